@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, mpeg, urlfilter
-from tarnfold.llm.common import table
+from tarnfold.llm import chat, langid, mixing, mpeg, pieces, toxicity, urlfilter
+from tarnfold.llm.common import id_mod, table
 
 #: The rules of op4, host and path prefix with a verdict.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -52,7 +52,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trap = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     out = chat.format_conversations(given.unionByName(more))
     turns = chat.read_turns(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -77,9 +77,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out, _ = mixing.mix(docs, max_repeats=2.0)
+    return out.select("doc_id", "source", "mix_pass", "mix_key", "mix_block")
+
+
+def model_file() -> str:
+    """Place of the public SentencePiece vocabulary; an installed file, alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = pieces.encode(docs, model_file(), keep=("doc_id", "text"))
+    got = pieces.decode(ids, model_file(), keep=("doc_id", "text"))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(id_mod("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", (id_mod("doc_id", 5) == 0).alias("held_out"))
+    return langid.identify(rows, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(id_mod("doc_id", 3) != 1))
+    rows = docs.select("doc_id", "text", (id_mod("doc_id", 3) == 1).alias("held_out"))
+    out = toxicity.score(rows, model, keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
+    "op3_temperature_mix": op3_temperature_mix,
     "op4_url_trie": op4_url_trie,
     "op6_chat_format": op6_chat_format,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_spans": op8_language_spans,
+    "op9_toxicity_grammar": op9_toxicity_grammar,
 }
 ORACLES: dict[str, str] = {"op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL}
