@@ -36,8 +36,8 @@ TARGETS = frozenset("you your youre he she they them him her tu vous toi ton vot
 NEGATIONS = frozenset("not never no isnt arent wasnt dont without ne pas jamais nicht kein keine nie nunca jamás sin".split())
 REPORTS = frozenset("said says say quote quoted wrote told reported dit dire écrit sagte sagt schrieb dijo dice escribió".split())
 
-PREFIXES = range(3, 7)
-FEATURES = 6
+PREFIXES = range(3, 10)
+FEATURES = 8
 
 
 class Transducer:
@@ -110,7 +110,7 @@ class Model:
         return got
 
     def features(self, text: str | None) -> list[float] | None:
-        """Sums of weights by output symbol: all insults, negated, reported, targeted, threats, and insults per clause; None without a match."""
+        """Sums of weights by output symbol: all insults, negated, reported, targeted, threats; then clauses, largest weight and text length; None without a match."""
         if not self._ready:
             self._prepare()
         low = text.lower() if text else ""
@@ -119,7 +119,7 @@ class Model:
         hits = [end - n + 1 for end, n in self.finder.iter(low) if end == n - 1 or not (c := low[end - n]).isalpha()]
         if not hits:
             return None
-        out, done, clauses = [0.0] * FEATURES, -1, 0
+        out, done, clauses, most = [0.0] * FEATURES, -1, 0, 0.0
         for at in sorted(hits):
             if at <= done:
                 continue
@@ -133,6 +133,7 @@ class Model:
                 if symbol[0] in "IH":
                     found = True
                     out[0 if symbol[0] == "I" else 4] += weight
+                    most = max(most, weight)
                     for i, mark in ((1, "n"), (2, "r"), (3, "t")):
                         if mark in symbol:
                             out[i] += weight
@@ -140,7 +141,7 @@ class Model:
         if not clauses:
             return None
         out[5] = float(clauses)
-        return [math.log1p(x) for x in out]
+        return [math.log1p(x) for x in out[:6]] + [most, math.log(len(low)) - 6]
 
     def score(self, text: str | None) -> float:
         f = self.features(text)
@@ -189,13 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model({}, np.array([prior] + [0.0] * FEATURES))
     counts = sample.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("b") + 0.5) / (neg + 1.0))
-    rare = F.greatest(F.lit(1.0), F.col("a") * 0.02)
-    chosen = counts.where((F.col("a") >= min_docs) & (F.col("b") <= rare) & (odds > 2)).withColumn("w", odds).collect()
-    lexicon: dict[str, float] = {}
-    for r in sorted(chosen, key=lambda r: (len(r["f"]) - r["f"].endswith("*"), not r["f"].endswith("*"), r["f"])):
-        stem = r["f"].rstrip("*")
-        if not any(stem[:k] + "*" in lexicon for k in range(1, len(stem) + 1)):  # a shorter stem says it already
-            lexicon[r["f"]] = float(r["w"])
+    chosen = counts.where((F.col("a") >= min_docs) & (F.col("b") <= F.col("a")) & (odds > 2)).withColumn("w", odds).collect()
+    lexicon = {r["f"]: float(r["w"]) for r in chosen}
     model = Model(lexicon, np.zeros(FEATURES + 1))
     shared = spark.sparkContext.broadcast(model)
 
@@ -210,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scratch.drop(sample)
     beta = np.zeros(x.shape[1])
     beta[0] = prior
-    ridge = np.diag([1e-3] + [0.5] * FEATURES)
+    ridge = np.diag([1e-3] + [0.1] * FEATURES)
     for _ in range(40):  # Newton steps of a ridge-penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
