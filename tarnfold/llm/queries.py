@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, langid, mixing, mpeg, pieces, toxicity, urlfilter
+from tarnfold.llm import chat, langid, minhash, mixing, mpeg, pieces, toxicity, urlfilter
 from tarnfold.llm.common import id_mod, table
 
 #: The rules of op4, host and path prefix with a verdict.
@@ -113,6 +113,24 @@ def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_minhash_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, g.y FROM r JOIN both_ways g ON r.reach = g.x),
+m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op3_temperature_mix": op3_temperature_mix,
@@ -121,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_spans": op8_language_spans,
     "op9_toxicity_grammar": op9_toxicity_grammar,
+    "op10_minhash_bottomk": op10_minhash_bottomk,
 }
-ORACLES: dict[str, str] = {"op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_minhash_bottomk": OP10_SQL}
