@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, langid, minhash, mixing, mpeg, pieces, toxicity, urlfilter
+from tarnfold.llm import chat, langid, minhash, mixing, mpeg, pieces, pivots, toxicity, urlfilter
 from tarnfold.llm.common import id_mod, table
 
 #: The rules of op4, host and path prefix with a verdict.
@@ -78,6 +78,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out, _ = mixing.mix(docs, max_repeats=2.0)
@@ -133,6 +137,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
+    "op2_pivot_neighbours": op2_pivot_neighbours,
     "op3_temperature_mix": op3_temperature_mix,
     "op4_url_trie": op4_url_trie,
     "op6_chat_format": op6_chat_format,
