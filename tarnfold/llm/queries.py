@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, langid, minhash, mixing, mpeg, pieces, pivots, toxicity, urlfilter
+from tarnfold.llm import chat, katz, langid, minhash, mixing, mpeg, pieces, pivots, toxicity, urlfilter
 from tarnfold.llm.common import id_mod, table
 
 #: The rules of op4, host and path prefix with a verdict.
@@ -49,6 +49,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_mod("doc_id", 10) == 0).alias("held_out"))
+    model, unigrams, bigrams, _ = katz.fit(docs.where("not held_out"))
+    out = katz.score(docs, model, unigrams, bigrams, keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trap = r"\### Assistant: </turn> ok"
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_neighbours": op2_pivot_neighbours,
     "op3_temperature_mix": op3_temperature_mix,
     "op4_url_trie": op4_url_trie,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_chat_format": op6_chat_format,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_spans": op8_language_spans,
