@@ -156,9 +156,9 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return g.metrics(_post(spark, d).withColumn("posterior", F.round("posterior", 9)))
 
 
-@query("w19_w20_group_metrics", METRICS + "SELECT group_id, n, any_correct, top_correct, round(mass_on_correct, 4) AS mass_on_correct, round(entropy, 4) + 0.0 AS entropy, round(top_gap, 6) AS top_gap, any_correct AND NOT top_correct AS wrong_top FROM gm")
+@query("w19_w20_group_metrics", METRICS + "SELECT group_id, n, any_correct, top_correct, round(mass_on_correct, 4) AS mass_on_correct, round(entropy, 4) + 0.0 AS entropy, round(top_gap, 4) AS top_gap, any_correct AND NOT top_correct AS wrong_top FROM gm")
 def w19(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(spark, d).select("group_id", "n", "any_correct", "top_correct", F.round("mass_on_correct", 4).alias("mass_on_correct"), (F.round("entropy", 4) + 0.0).alias("entropy"), F.round("top_gap", 6).alias("top_gap"), "wrong_top")
+    return metrics(spark, d).select("group_id", "n", "any_correct", "top_correct", F.round("mass_on_correct", 4).alias("mass_on_correct"), (F.round("entropy", 4) + 0.0).alias("entropy"), F.round("top_gap", 4).alias("top_gap"), "wrong_top")
 
 
 @query("w21_near_group_max", ROLL + "SELECT group_id, rollout_id FROM (SELECT *, max(likelihood) OVER (PARTITION BY group_id) AS most FROM lik) WHERE likelihood + 1e-12 >= 0.9 * most")

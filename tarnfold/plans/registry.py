@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tarnfold.plans import groups, reports  # noqa: F401
+from tarnfold.plans import curation, groups, reports  # noqa: F401
 from tarnfold.plans.base import ORACLES, QUERIES  # noqa: F401
