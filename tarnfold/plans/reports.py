@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.operators import groups as g
@@ -10,7 +10,8 @@ from tarnfold.operators import reports as r
 from tarnfold.plans.base import ROLL, query, rollouts, table
 from tarnfold.plans.groups import METRICS, metrics
 
-BAD = F.col("quality") == 1
+def good() -> Column:
+    return F.col("quality") == 1
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -27,19 +28,19 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a2_breakdown", L + "SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_correct, round(avg(quality), 9) AS accuracy FROM l GROUP BY 1")
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    return r.breakdown(labelled(spark, d), BAD, "lang").withColumn("accuracy", F.round("accuracy", 9))
+    return r.breakdown(labelled(spark, d), good(), "lang").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("a3_metric_block", L + "SELECT source, count(*) AS n, round(avg(quality), 9) AS accuracy, round(avg(toxic), 9) AS toxic_rate, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0 END), 9) AS long_rate FROM l GROUP BY 1")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     t = labelled(spark, d).groupBy("source")
-    return t.agg(F.count("*").alias("n"), F.round(r.accuracy(BAD), 9).alias("accuracy"), F.round(r.accuracy(F.col("toxic")), 9).alias("toxic_rate"), F.round(r.accuracy(F.col("n_chars") > 1000), 9).alias("long_rate"))
+    return t.agg(F.count("*").alias("n"), F.round(r.accuracy(good()), 9).alias("accuracy"), F.round(r.accuracy(F.col("toxic")), 9).alias("toxic_rate"), F.round(r.accuracy(F.col("n_chars") > 1000), 9).alias("long_rate"))
 
 
 @query("a4_grouping_sets", L + """SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dimension, coalesce(lang, source, 'all') AS bucket, count(*) AS n, round(avg(quality), 9) AS accuracy
 FROM l GROUP BY GROUPING SETS ((lang), (source), ())""")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return r.grouping_sets(labelled(spark, d), BAD, ["lang", "source"]).withColumn("accuracy", F.round("accuracy", 9))
+    return r.grouping_sets(labelled(spark, d), good(), ["lang", "source"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("a5_distribution", ROLL + "SELECT error_type, count(*) AS n FROM roll GROUP BY 1")
