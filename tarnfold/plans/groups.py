@@ -1,4 +1,4 @@
-"""Queries of the per-group operators (W*) over the rollout view."""
+"""Queries of the per-group operators (g.group("group_id")*) over the rollout view."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from tarnfold.operators import groups as g
 from tarnfold.plans.base import ROLL, query, rollouts, table
 
 KEY = ("group_id",)
-W = g.group("group_id")
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
@@ -32,13 +31,13 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w3_softmax_prior", ROLL + "SELECT group_id, rollout_id, round(prior, 9) AS prior FROM lik")
 def w3(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).select("group_id", "rollout_id", F.round(g.softmax(F.col("suitability").cast("double"), W), 9).alias("prior"))
+    return rollouts(spark, d).select("group_id", "rollout_id", F.round(g.softmax(F.col("suitability").cast("double"), g.group("group_id")), 9).alias("prior"))
 
 
 @query("w3_softmax_temperature", ROLL + """, e AS (SELECT *, exp((suitability - max(suitability) OVER (PARTITION BY group_id)) / 0.5) AS x FROM roll)
 SELECT group_id, rollout_id, round(x / sum(x) OVER (PARTITION BY group_id), 9) AS prior FROM e""")
 def w3t(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).select("group_id", "rollout_id", F.round(g.softmax(F.col("suitability").cast("double"), W, 0.5), 9).alias("prior"))
+    return rollouts(spark, d).select("group_id", "rollout_id", F.round(g.softmax(F.col("suitability").cast("double"), g.group("group_id"), 0.5), 9).alias("prior"))
 
 
 @query("w4_likelihood_variants", ROLL + """SELECT group_id, rollout_id, round(likelihood, 9) AS full_reward,
@@ -58,15 +57,15 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
 @query("w6_tempered_posterior", ROLL + """, t AS (SELECT *, pow(prior, 0.5) / sum(pow(prior, 0.5)) OVER (PARTITION BY group_id) AS tp FROM lik)
 SELECT group_id, rollout_id, round(tp, 9) AS tempered, round(CASE WHEN sum(tp * likelihood) OVER w > 0 THEN tp * likelihood / sum(tp * likelihood) OVER w ELSE 1.0 / count(*) OVER w END, 9) AS posterior FROM t WINDOW w AS (PARTITION BY group_id)""")
 def w6(spark: SparkSession, d: str) -> DataFrame:
-    t = _post(spark, d).withColumn("tempered", g.tempered(F.col("prior"), W, 0.5))
-    return t.select("group_id", "rollout_id", F.round("tempered", 9).alias("tempered"), F.round(g.normalise(F.col("tempered") * F.col("likelihood"), W)[0], 9).alias("posterior"))
+    t = _post(spark, d).withColumn("tempered", g.tempered(F.col("prior"), g.group("group_id"), 0.5))
+    return t.select("group_id", "rollout_id", F.round("tempered", 9).alias("tempered"), F.round(g.normalise(F.col("tempered") * F.col("likelihood"), g.group("group_id"))[0], 9).alias("posterior"))
 
 
 @query("w7_normalise_any_bad", ROLL + """, t AS (SELECT *, CASE WHEN step_validity = 4 AND consistency = 4 THEN -1.0 ELSE proof_completeness * 1.0 END AS x FROM roll)
 SELECT group_id, rollout_id, round(CASE WHEN bool_or(x < 0) OVER w OR sum(x) OVER w <= 0 THEN 1.0 / count(*) OVER w ELSE x / sum(x) OVER w END, 9) AS p, bool_or(x < 0) OVER w OR sum(x) OVER w <= 0 AS fallback FROM t WINDOW w AS (PARTITION BY group_id)""")
 def w7(spark: SparkSession, d: str) -> DataFrame:
     t = rollouts(spark, d).withColumn("x", F.when((F.col("step_validity") == 4) & (F.col("consistency") == 4), -1.0).otherwise(F.col("proof_completeness").cast("double")))
-    p, bad = g.normalise(F.col("x"), W)
+    p, bad = g.normalise(F.col("x"), g.group("group_id"))
     return t.select("group_id", "rollout_id", F.round(p, 9).alias("p"), bad.alias("fallback"))
 
 
@@ -110,8 +109,8 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN stddev_pop(likelihood) OVER w > 1e-7 THEN round((likelihood - avg(likelihood) OVER w) / stddev_pop(likelihood) OVER w, 5) + 0.0 ELSE 0.0 END AS standardised FROM lik WINDOW w AS (PARTITION BY group_id)""")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     t, x = rollouts(spark, d).withColumn("likelihood", g.likelihood()), F.col("likelihood")
-    flat = F.stddev_pop(x).over(W) <= 1e-7
-    return t.select("group_id", "rollout_id", (F.round(g.centred(x, W), 7) + 0.0).alias("centred"), (F.round(g.leave_one_out(x, W), 7) + 0.0).alias("leave_one_out"), F.when(flat, 0.0).otherwise(F.round(g.standardised(x, W), 5) + 0.0).alias("standardised"))
+    flat = F.stddev_pop(x).over(g.group("group_id")) <= 1e-7
+    return t.select("group_id", "rollout_id", (F.round(g.centred(x, g.group("group_id")), 7) + 0.0).alias("centred"), (F.round(g.leave_one_out(x, g.group("group_id")), 7) + 0.0).alias("leave_one_out"), F.when(flat, 0.0).otherwise(F.round(g.standardised(x, g.group("group_id")), 5) + 0.0).alias("standardised"))
 
 
 @query("w15_logp_rewards", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(exp(greatest(least(-l_quantity, 0), -80)), 9) AS sum_exp, round(exp(greatest(least(-l_quantity / greatest(l_linenumber, 1), 0), -80)), 9) AS mean_exp,
@@ -142,7 +141,7 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
   row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9), rollout_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS in_bottom FROM lik""")
 def w18(spark: SparkSession, d: str) -> DataFrame:
     t = rollouts(spark, d).withColumn("v", F.round(g.likelihood(), 9))
-    top, bottom = g.fraction_ranks(F.col("v"), W, 0.25)
+    top, bottom = g.fraction_ranks(F.col("v"), g.group("group_id"), 0.25)
     return t.select("group_id", "rollout_id", top.alias("in_top"), bottom.alias("in_bottom"))
 
 
@@ -164,7 +163,7 @@ def w19(spark: SparkSession, d: str) -> DataFrame:
 @query("w21_near_group_max", ROLL + "SELECT group_id, rollout_id FROM (SELECT *, max(likelihood) OVER (PARTITION BY group_id) AS most FROM lik) WHERE likelihood + 1e-12 >= 0.9 * most")
 def w21(spark: SparkSession, d: str) -> DataFrame:
     t = rollouts(spark, d).withColumn("likelihood", g.likelihood())
-    return t.withColumn("mx", F.max("likelihood").over(W)).where(F.col("likelihood") + 1e-12 >= 0.9 * F.col("mx")).select("group_id", "rollout_id")
+    return t.withColumn("mx", F.max("likelihood").over(g.group("group_id"))).where(F.col("likelihood") + 1e-12 >= 0.9 * F.col("mx")).select("group_id", "rollout_id")
 
 
 @query("w23_align_gold", """WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
