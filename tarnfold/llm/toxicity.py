@@ -204,17 +204,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     x = np.array([[1.0, *(r["x"] or [0.0] * FEATURES)] for r in grouped])
     y, w = np.array([float(r["y"] > 0) for r in grouped]), np.array([float(r["n"]) for r in grouped])
     scratch.drop(sample)
+    model.beta = logistic(x, y, w, prior)
+    return model
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, ridge: float = 1.0) -> np.ndarray:
+    """Ridge-penalised logistic regression on scaled features, by Newton steps that are halved until the loss falls."""
+    scale = np.sqrt(np.average(x * x, axis=0, weights=w))
+    scale[scale == 0] = 1.0
+    z = x / scale
+    penalty = np.array([1e-6] + [ridge] * (x.shape[1] - 1))
     beta = np.zeros(x.shape[1])
-    beta[0] = prior
-    ridge = np.diag([1e-3] + [0.1] * FEATURES)
-    for _ in range(40):  # Newton steps of a ridge-penalised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
-        beta += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+    beta[0] = prior * scale[0]
+
+    def loss(b: np.ndarray) -> float:
+        t = z @ b
+        return float((w * (np.logaddexp(0, t) - y * t)).sum() + 0.5 * (penalty * b * b).sum())
+
+    now = loss(beta)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (w * (y - p)) - penalty * beta)
+        size = 1.0
+        while size > 1e-6 and (new := loss(beta + size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - new < 1e-9 * max(1.0, abs(now)):
             break
-    model.beta = beta
-    return model
+        beta, now = beta + size * step, new
+    return beta / scale
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
