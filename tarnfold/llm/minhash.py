@@ -6,8 +6,8 @@
    probability under 1e-7; so, with the rarest values first, they share one among each one's first k - need + 1. Only these are indexed.
 3. Rounds of leaders: each list's members meet one leader of the list; a pair passes if the union sketch (the k smallest of both)
    does not rule t out, and is then verified by exact Jaccard on the full sets. Lists shrink to the components found so far.
-4. The rest, exactly: every pair of a list whose components still differ is met once, at the first value they share, with the same
-   filter and verification. As members of the list's largest component need no meeting among themselves, a large group of
+4. The rest, exactly: every pair of a list whose components still differ is met once, at the first value they share, under a filter
+   by sketches of 256 that is part of the join (and decides sets up to that size), and then verified. As members of the list's largest component need no meeting among themselves, a large group of
    near copies costs list length x leftovers instead of its square.
 
 Defined cases: A-Z are lower-cased and words are runs of bytes other than ASCII white space; fewer words than five make one
@@ -73,25 +73,37 @@ def sketch(df: DataFrame, doc_id: str, text: str, k: int, width: int) -> DataFra
     return given.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
+#: Hashes (their leading 32 bits) of the larger sketch that filters the pairs which leaders leave.
+LARGE = 256
+
+
 def full_sets(df: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, shingles as bytes)."""
+    """(doc_id, text) -> (doc_id, shingles as bytes, large sketch)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for part in slices(b, "_text"):
                 sets = shingle_sets(part.column("_text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                low = [((s[:LARGE] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32) for s in sets]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32))
+                large = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(low) if low else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), large], ["doc_id", "shingles", "large"])
 
-    return df.mapInArrow(run, "doc_id long, shingles binary")
+    return df.mapInArrow(run, "doc_id long, shingles binary, large array<int>")
+
+
+def least_shared(k: int, t: float) -> int:
+    """Of the k smallest values of a union, Binomial(k, t) are shared; 6.5 deviations under the mean."""
+    return max(1, math.floor(k * t - 6.5 * math.sqrt(k * t * (1 - t))))
 
 
 def _estimate(k: int, need: int, na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
     """Whether the union sketch leaves the threshold possible. Sketches that hold whole sets are decided exactly."""
     shared = F.size(F.array_intersect(sa, sb))
-    whole = (na <= k) & (nb <= k)
+    whole = (na <= k) & (nb <= k)  # two units of slack: leading bits of two hashes may agree
     lengths = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union(sa, sb)), 1, k), F.array_intersect(sa, sb)))
-    return lengths & (F.when(whole, 100 * shared >= percent * (na + nb - shared)).otherwise((shared >= need) & (common >= need)))
+    return lengths & (F.when(whole, 100 * (shared + 2) >= percent * (na + nb - shared - 2)).otherwise((shared >= need) & (common >= need)))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,9 +132,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark = df.sparkSession
     scratch = Scratch(spark, "minhash")
-    # Of a sketch of k, Binomial(k, t) values are shared: `need` is 6.5 deviations under the mean.
     t = percent / 100
-    need = max(1, math.floor(k * t - 6.5 * math.sqrt(k * t * (1 - t))))
+    need = least_shared(k, t)
     rows = scratch.save(sketch(df, doc_id, text, k, width), "sketches")
     full = rows.where("n > 0 and doc_id is not null")
     classes = scratch.save(full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).select("rep", "n", "sketch"), "classes")
@@ -159,14 +170,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         comp = _placed(index, all_links, scratch)
     # What leaders left: pairs of different components, one of them outside the list's main component.
     placed = scratch.save(postings.join(comp, postings.rep == comp.node).join(index.select(F.col("rep").alias("r2"), "prefix", "n"), F.col("rep") == F.col("r2")).select("rep", "value", "component", "prefix", "n"), "placed")
+    larger = sets.select(F.col("doc_id").alias("r3"), "large")
     by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(by, "value")
-    x = open_.where("component <> main").select("value", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("prefix").alias("pa"), F.col("n").alias("na"))
-    y = open_.select(F.col("value").alias("value2"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"), (F.col("component") == F.col("main")).alias("in_main"))
+    open_ = placed.join(by, "value").join(larger, F.col("rep") == F.col("r3"))
+    x = open_.where("component <> main").select("value", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("prefix").alias("pa"), F.col("n").alias("na"), F.col("large").alias("la"))
+    y = open_.select(F.col("value").alias("value2"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"), F.col("large").alias("lb"), (F.col("component") == F.col("main")).alias("in_main"))
     once = F.col("in_main") | (F.col("a") < F.col("b"))
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.array_min(F.array_intersect("pa", "pb")) == F.col("value"))
+    fits = fits & _estimate(LARGE, least_shared(LARGE, t), F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent)
     pairs = x.join(y, (F.col("value") == F.col("value2")) & (F.col("ca") != F.col("cb")) & once & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    all_links = _more(pairs, members, sets, scratch, found, k, need, percent)
+    all_links = _more(pairs, None, sets, scratch, found, k, need, percent)
     # Copies: every row's id belongs with its class.
     reps = full.join(classes_by_digest(rows), ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(all_links.union(reps.where("a <> b")), scratch)
@@ -178,18 +191,23 @@ def classes_by_digest(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
 
-def _more(pairs: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch, found: list[DataFrame], k: int, need: int, percent: int) -> DataFrame:
-    """Filter pairs by their union sketch, verify them, and add them to the links found."""
-    a = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    likely = pairs.join(a, "a").join(b, "b").where(_estimate(k, need, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
-    found.append(scratch.save(_verify(likely, sets, percent), "verified"))
+def _more(pairs: DataFrame, members: DataFrame | None, sets: DataFrame, scratch: Scratch, found: list[DataFrame], k: int, need: int, percent: int) -> DataFrame:
+    """Filter pairs by their union sketch (unless that is done), verify them, and add them to the links found."""
+    if members is not None:
+        pairs = _likely(pairs, members, k, need, percent)
+    found.append(scratch.save(_verify(pairs, sets, percent), "verified"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out
 
 
+def _likely(pairs: DataFrame, members: DataFrame, k: int, need: int, percent: int) -> DataFrame:
+    a = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").where(_estimate(k, need, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+
 def _placed(index: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every class of the index."""
     got = components(links, scratch).withColumnRenamed("node", "n2")
