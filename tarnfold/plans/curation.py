@@ -381,3 +381,39 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
 @query("k7_content_digest", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256(n_nationkey || '|' || n_name) AS h FROM nation)")
 def k7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name"), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+
+
+@query("s2_objects_only", "SELECT CAST(x AS BIGINT) AS id FROM range(5) t(x)")
+def s2(spark: SparkSession, d: str) -> DataFrame:
+    """Rows under an explicit schema, one object a line."""
+    t = spark.range(5)
+    return files.read_jsonl(spark, files.write_jsonl(t, files.scratch(spark, "objects")), t.schema)
+
+
+@query("s5_splits", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset kept as one table per split, read back with the split as a column."""
+    path = files.scratch(spark, "splits")
+    for split, test in (("test", F.col("doc_id") % 10 == 0), ("train", F.col("doc_id") % 10 != 0)):
+        docs(spark, d).where(test).select("doc_id").write.parquet(f"{path}/split={split}")
+    return files.discover(spark, path).select("doc_id", "split")
+
+
+@query("p13_result_row", ROLL + "SELECT group_id AS index, 'run' || run AS model_label, rollout_id, answer_correctness = 1 AS correct, error_type AS verification_method FROM roll")
+def p13(spark: SparkSession, d: str) -> DataFrame:
+    return rollouts(spark, d).select(F.col("group_id").alias("index"), F.concat(F.lit("run"), "run").alias("model_label"), "rollout_id", (F.col("answer_correctness") == 1).alias("correct"), F.col("error_type").alias("verification_method"))
+
+
+@query("p16_condition", ROLL + "SELECT group_id, rollout_id FROM roll WHERE run = 1 AND answer_correctness = 0 AND step_validity > 2")
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    return rollouts(spark, d).where("run = 1 and answer_correctness = 0 and step_validity > 2").select("group_id", "rollout_id")
+
+
+@query("k3_json_summary", "SELECT '{\"n\":' || count(*) || ',\"langs\":' || count(DISTINCT lang) || ',\"longest\":' || max(n_chars) || '}' AS summary FROM documents")
+def k3(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest")).select(F.to_json(F.struct("n", "langs", "longest")).alias("summary"))
+
+
+@query("k5_markdown_rows", "SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")
+def k5(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n")).select(F.format_string("| %s | %d |", "lang", "n").alias("line"))
