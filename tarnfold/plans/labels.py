@@ -107,7 +107,7 @@ def l14(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(e.agg(F.max("n").alias("most")))).select("error_type", "n", F.ceil(F.col("most") / F.col("n")).alias("passes"))
 
 
-REWARD = "(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END)"
+REWARD = "(CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
 def reward() -> Column:
