@@ -133,7 +133,7 @@ def test_katz_against_brute_force(spark):
     words = [f"w{i}" for i in range(30)] + [f"rare{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choices(words, weights=[30 - k if k < 30 else 0.3 for k in range(90)], k=rng.randrange(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "new Words"), (None, "w1 W1")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("x"))
-    model, uni, big, _ = katz.fit(df.where("doc_id < 100"), share=0.004)
+    model, uni, big, _ = katz.fit(df.where("doc_id < 100"), share=0.004, head=0.002)
     got = {r.doc_id: r for r in katz.score(df, model, uni, big, keep=("doc_id",)).collect()}
     toks = {i: [*WORD.findall((t or "").translate(LOW)), "\0"] for i, t in docs}
     c = collections.Counter(x for i in range(100) for x in toks[i])
