@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +92,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, near: int = 7, shared: int = 3, block: int = 512) -> DataFrame:
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 512, near: int = 7, shared: int = 3, block: int = 512) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
     scratch = Scratch(spark, "pivots")
@@ -116,30 +115,64 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     full = meets.join(seen, (F.col("l2") == F.col("label")) & (F.col("r2") == F.col("rep"))).select("l2", "key", "p", "q", "part", "rep", "v", "copies", "perm")
     n_points = len(points)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [int(k) for k in pdf["key"].iloc[0].split(",")]
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        x = unit(np.array(pdf["v"].tolist(), dtype=np.float64))
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        low = np.zeros((len(pdf), n_points), dtype=np.float32)
-        for r, perm in enumerate(pdf["perm"]):
-            low[r, perm] = 1
+    dealt = full.withColumn("meeting", F.xxhash64("l2", "key", "p", "q")).repartition("meeting").sortWithinPartitions("meeting", "l2", "key", "p", "q")
+    dealt = dealt.select("meeting", F.concat_ws(",", "key", "p", "q").alias("name"), "part", "rep", "copies", "perm", "v")
+
+    def meet(x: np.ndarray, name: str, part: np.ndarray, rep: np.ndarray, copies: np.ndarray, perm: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(links of each vector, forest) within one meeting of two blocks."""
+        *key, p, q = map(int, name.split(","))
+        low = np.zeros((len(x), n_points), dtype=np.float32)
+        np.put_along_axis(low, perm.astype(np.int64), 1, axis=1)
         low = low[:, : key[-1] + 1]
-        side = pdf["part"].to_numpy()
-        a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
         # both share the key; it is their smallest combination if no further pivot up to its last one is shared
         i, j = np.nonzero((x[a] @ x[b].T >= least - 1e-9) & (low[a] @ low[b].T == len(key)))
         i, j = a[i], b[j]
         if p == q:
             i, j = i[i < j], j[i < j]
-        exact = np.fromiter((float(np.dot(x[m], x[n])) for m, n in zip(i, j, strict=True)), dtype=np.float64, count=len(i)) >= least if len(i) < 4096 else np.einsum("ij,ij->i", x[i], x[j]) >= least
+        exact = np.einsum("ij,ij->i", x[i], x[j]) >= least
         i, j = i[exact], j[exact]
-        n = np.bincount(i, weights=copies[j], minlength=len(pdf)) + np.bincount(j, weights=copies[i], minlength=len(pdf))
-        some = np.flatnonzero(n)
-        edges = _forest(rep[i], rep[j])
-        return pd.DataFrame({"a": [*rep[some].tolist(), *[e[0] for e in edges]], "b": [-1] * len(some) + [e[1] for e in edges], "links": [*n[some].astype(np.int64).tolist(), *[0] * len(edges)], "edge": [False] * len(some) + [True] * len(edges)})
+        n = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
+        return n.astype(np.int64), _forest(rep[i], rep[j])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            ids, name, part, rep, copies = t["meeting"].to_numpy(), t["name"].to_pylist(), t["part"].to_numpy(), t["rep"].to_numpy(), t["copies"].to_numpy()
+            flat = [t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("perm", "v")]
+            perm, x = (f.reshape(len(ids), -1) for f in flat)
+            x = unit(x)
+            cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+            out: list[list] = [[], [], [], []]
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                n, edges = meet(x[lo:hi], name[lo], part[lo:hi], rep[lo:hi], copies[lo:hi], perm[lo:hi])
+                some = np.flatnonzero(n)
+                out[0] += rep[lo:hi][some].tolist() + [e[0] for e in edges]
+                out[1] += [-1] * len(some) + [e[1] for e in edges]
+                out[2] += n[some].tolist() + [0] * len(edges)
+                out[3] += [False] * len(some) + [True] * len(edges)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["a", "b", "links", "edge"])
 
-    found = scratch.save(full.groupBy("l2", "key", "p", "q").applyInPandas(meet, "a long, b long, links long, edge boolean"), "links")
+        for b in it:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                ids = part.column("meeting").to_numpy()
+                new = np.flatnonzero(ids[1:] != ids[:-1])
+                first = part.column("meeting")[0].as_py()
+                if held and held[-1].column("meeting")[-1].as_py() != first:
+                    yield close(pa.Table.from_batches(held))
+                    held = []
+                if len(new):  # all meetings but the last have ended
+                    end = int(new[-1]) + 1
+                    yield close(pa.Table.from_batches([*held, part.slice(0, end)]))
+                    held, part = [], part.slice(end)
+                held.append(part)
+        if held:
+            yield close(pa.Table.from_batches(held))
+
+    found = scratch.save(dealt.mapInArrow(run, "a long, b long, links long, edge boolean"), "links")
     counts = found.where("not edge").groupBy("a").agg(F.sum("links").alias("links"))
     own = rows.select(F.col("vec_id").alias("id"), "label", "v").join(classes, ["label", "v"]).select("id", "rep", "copies")
     own = scratch.save(own.join(counts, F.col("rep") == F.col("a"), "left").select("id", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "counts")
