@@ -36,13 +36,18 @@ def usable(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
 
 
 def fit_pivots(vectors: DataFrame, count: int) -> list[np.ndarray]:
-    """At most `count` unit vectors of the most usual length, by the lowest hashes."""
+    """At most `count` unit vectors of the most usual length: of the 4 x count with the lowest hashes, those apart from the ones before
+    (cosine under 0.7), as pivots that are copies of each other would be ordered by chance."""
     size = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return []
-    rows = vectors.where(F.size("v") == size["n"]).select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h", "v").limit(count).collect()
-    out = [np.array(r["v"]) for r in rows]
-    return [unit(v[None, :])[0] for v in out]
+    rows = vectors.where(F.size("v") == size["n"]).select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h", "v").limit(4 * count).collect()
+    out = np.zeros((0, size["n"]))
+    for r in rows:
+        v = unit(np.array([r["v"]]))
+        if len(out) < count and not (out @ v[0] >= 0.7).any():
+            out = np.concatenate([out, v])
+    return list(out)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
