@@ -1,8 +1,7 @@
 """Katz backoff scoring: Good-Turing discounted bigrams over exactly counted unigrams, with exactly normalised backoff weights.
 
 Tokens are words (A-Z lower-cased) and one end token. Unigrams: p1(w) = (c + 0.1) / (N + 0.1 (V + 1)), counted for every word; it
-sums to 1 over the V words and one unseen word. Words with a relative frequency of at least `share` are their own class in bigrams
-(1 / share classes at most, whatever the corpus); all others share the class UNK, within which p1 divides the probability. Bigrams of classes:
+sums to 1 over the V words and one unseen word. Every word has bigrams of its own, as history and as successor:
 
     p(w | h) = f(h) d(c) c(h, w) / c(h)  if c(h, w) > 0, else  a(h) p1(w)
 
@@ -10,12 +9,17 @@ d are Katz's discounts for counts up to 5; f(h) is 1, unless discounting leaves
 nothing is unseen (then 1 over the discounted mass); a(h) = (1 - seen mass) / (1 - p1 of the seen), so each context sums to 1. An unseen
 context backs off with weight 1.
 
-Stored: the tables `unigrams` (word, c) and `bigrams` (key, c), partitioned by hash ranges in the shared folder. Evaluated: a document
-starts as if all were unseen, which its task knows; frequent bigrams (relative frequency over `head`, 1 / head of them at most) are
-settled there too; the other ones, and the rare words, are met with the tables by one equi-join and correct the sums by the key's
-gain, which its table row holds. So no frequent key is shuffled by document, and no table is broadcast beyond 1 / head rows.
+Stored: partitioned tables in the shared folder, of words' and bigrams' counts and of the rare words' weights as histories. The most
+frequent words (`fast` of them at most) are known to the tasks, with their weights; that changes where a value is looked up,
+never the value. Evaluated: a document starts as if all were unseen, as far as its task knows; frequent bigrams
+(relative frequency over `head`, 1 / head of them at most) are settled there too; the other ones, and the rare words, are met with
+the tables by one equi-join and correct the sums by the key's gain, which its table row holds. So no frequent key is shuffled by
+document, and no table is broadcast beyond `fast` or 1 / head rows.
 
-Words and bigrams are keyed by 64-bit hashes; two of a corpus' words falling together is as unlikely as 64 bits make it.
+With `share` set (not by default), words rarer than it fall together in one class UNK of the bigrams, within which p1 divides the probability.
+
+Words are keyed by 63-bit hashes, bigrams by their words' numbers or by 63-bit hashes of both; two of a corpus' keys falling together is
+as unlikely as 63 bits make it.
 Defined cases: a null or empty text is the end token alone; rows with null ids or repeated rows are scored one by one; an empty training set
 has N = V = 0 and every token is unseen; further columns are ignored.
 """
@@ -30,32 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, slices, word_hashes
+from tarnfold.llm.common import Scratch, mix64, slices, word_hashes
 
-END = np.uint64(0x656E64)
+TOP_BIT = np.uint64(1 << 63)
+END = np.uint64(0x656E64) | TOP_BIT
 TOP = 5  # counts above it are not discounted
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all texts laid end to end, each with its end token; first position of each text, and the total)."""
+    """(token hashes of all texts laid end to end, each with its end token; first position of each text, and the total).
+
+    Their top bit is set, so that as signed numbers they are negative and apart from the numbers of known words.
+    """
     words, at = word_hashes(texts)
     n = len(at) - 1
     out = np.empty(len(words) + n, dtype=np.uint64)
     ends = at[1:] + np.arange(n)
     rest = np.ones(len(out), dtype=bool)
     rest[ends] = False
-    out[ends], out[rest] = END, words
+    out[ends], out[rest] = END, words | TOP_BIT
     return out, np.append(at[:-1] + np.arange(n), len(out))
 
 
 @dataclass
 class Unigrams:
-    """The frequent words' sorted hashes and counts, and the corpus's totals; bounded by 1 / share."""
+    """The frequent words' sorted hashes and counts, and the corpus's totals; bounded by `fast` or 1 / share."""
 
     words: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
+    whole: bool  # rare words have bigrams of their own
     logp: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -80,12 +89,23 @@ class Unigrams:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == hashes, at, len(self.words))
 
-    def keys(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bigram keys; texts begin after START."""
+    def pairs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class before each token, its own class, whether the bigram has a rare word of its own); texts begin after START."""
+        classes = self.classes(hashes)
         before = np.empty_like(classes)
         before[1:] = classes[:-1]
         before[starts] = len(self.words) + 1
-        return before * self.base + classes
+        return before, classes, ((classes == len(self.words)) | (before == len(self.words))) & self.whole
+
+    def codes(self, hashes: np.ndarray, before: np.ndarray, classes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two words of some bigrams: a known word's number, a rare one's hash (negative)."""
+        signed, unk = hashes.view(np.int64), len(self.words)
+        return np.where(before[where] == unk, signed[where - 1], before[where]), np.where(classes[where] == unk, signed[where], classes[where])
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams with a rare word; negative, as other bigrams' keys are not."""
+    return (mix64(mix64(h.view(np.uint64)) + w.view(np.uint64)) | TOP_BIT).view(np.int64)
 
 
 @dataclass
@@ -116,7 +136,10 @@ def discounts(n: dict[int, int]) -> np.ndarray:
 
 
 def _count(df: DataFrame, text: str, uni: Unigrams | None, most: int = 1 << 22) -> DataFrame:
-    """(k, c): words' or, given unigrams, bigrams' counts, added up within each task."""
+    """(h, w, c): words' or, given unigrams, bigrams' counts, added up within each task.
+
+    h is a word's hash or a bigram's key and w 0, but for bigrams with a rare word: there they are the codes of both words.
+    """
     shared = df.sparkSession.sparkContext.broadcast(uni)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +150,26 @@ def _count(df: DataFrame, text: str, uni: Unigrams | None, most: int = 1 << 22)
             keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
+        def batch(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(c)], ["h", "w", "c"])
+
         def out() -> pa.RecordBatch:
             keys, counts = merged()
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "c"])
+            return batch(keys.view(np.int64), np.zeros(len(keys), dtype=np.int64), counts)
 
         held = 0
         for b in it:
             for part in slices(b, text):
-                hashes, at = tokens(part.column(text))
-                keys = hashes if u is None else u.keys(u.classes(hashes), at[:-1])
+                keys, at = tokens(part.column(text))
+                if u is not None:
+                    before, classes, rare = u.pairs(keys, at[:-1])
+                    where = np.flatnonzero(rare)
+                    if len(where):  # they seldom come again, so they are not held
+                        h, w = u.codes(keys, before, classes, where)
+                        _, first, times = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
+                        yield batch(h[first], w[first], times)
+                    keys = (before * u.base + classes)[~rare]
                 got = np.unique(keys, return_counts=True)
                 parts.append(got)
                 held += len(got[0])
@@ -150,21 +183,55 @@ def _count(df: DataFrame, text: str, uni: Unigrams | None, most: int = 1 << 22)
         if parts:
             yield out()
 
-    return df.select(text).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    return df.select(text).mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
-def fit(df: DataFrame, text: str = "text", share: float = 1e-6, head: float = 2e-7) -> tuple[Katz, DataFrame, DataFrame, Scratch]:
-    """The bounded part of the model, and its tables unigrams (k, c) and bigrams (k, c)."""
-    scratch = Scratch(df.sparkSession, "katz")
-    unigrams = scratch.save(_count(df, text, None), "unigrams")
+def _weights(c: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 f(h) / c(h) and log10 a(h) of contexts with count c, discounted mass and p1 of the seen."""
+    rest = np.maximum(0.0, 1 - p)
+    f = np.where(rest < 1e-12, c / np.maximum(mass, 1e-300), np.where(mass > c * (1 - 1e-12), c / (c + 1), 1.0))
+    back = np.log10(np.maximum(1 - f * mass / c, 1e-300) / np.maximum(rest, 1e-300))
+    return np.log10(f / c), np.where(rest < 1e-12, 0.0, back)  # 0: nothing is unseen
+
+
+def _kept(c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return c * np.where(c <= TOP, cuts[np.minimum(c, TOP)], 1.0)
+
+
+def fit(df: DataFrame, text: str = "text", share: float | None = None, head: float = 2e-7, fast: int = 1 << 18) -> tuple[Katz, DataFrame, DataFrame, Scratch]:
+    """The bounded part of the model, and the tables words (k, own, gain) and bigrams (k, gain) of what the rest gains if seen."""
+    scratch, context = Scratch(df.sparkSession, "katz"), df.sparkSession.sparkContext
+    unigrams = scratch.save(_count(df, text, None).select(F.col("h").alias("k"), "c"), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = unigrams.where(F.col("c") >= max(1.0, total * share)).toPandas()
+    whole = share is None
+    if whole:
+        sizes = unigrams.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+        fits = sizes["c"][sizes["n"].cumsum() <= fast]
+        known = F.col("c") >= int(fits.min() if len(fits) else total + 1)
+        known = known | (F.col("k") == int(END.view(np.int64)))  # it is nobody's history
+    else:
+        known = F.col("c") >= max(1.0, total * share)
+    rows = unigrams.where(known).toPandas()
     words = rows["k"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    uni = Unigrams(words[order], rows["c"].to_numpy(dtype=np.int64)[order], int(total), int(distinct))
-    bigrams = scratch.save(_count(df, text, uni), "bigrams")
-    d = discounts({r["c"]: r["n"] for r in bigrams.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
-    shared = df.sparkSession.sparkContext.broadcast((uni, d))
+    uni = Unigrams(words[order], rows["c"].to_numpy(dtype=np.int64)[order], int(total), int(distinct), whole)
+    counted = scratch.save(_count(df, text, uni), "bigrams")
+    context._jvm.System.gc()  # lets Spark delete the files of shuffles that are done
+    d = discounts({r["c"]: r["n"] for r in counted.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
+    shared = context.broadcast((uni, d))
+    bigrams = counted.where("h >= 0 and w >= 0").select(F.col("h").alias("k"), "c")
+    rare = counted.where("h < 0 or w < 0")
+
+    def priced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, _ = shared.value
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(u.p[b.column("w").to_numpy()])], ["h", "w", "c", "p"])
+
+    # p1 of the successor: a known one's from the task, a rare one's by a join, so that no key has many rows
+    others = unigrams.where(~known).select(F.col("k").alias("w"), ((F.col("c") + 0.1) / uni.norm).alias("p"))
+    rare = scratch.save(rare.where("w >= 0").mapInArrow(priced, "h long, w long, c long, p double").union(rare.where("w < 0").join(others, "w").select("h", "w", "c", "p")), "rare")
+    context._jvm.System.gc()
 
     def contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, cuts = shared.value
@@ -172,23 +239,56 @@ def fit(df: DataFrame, text: str = "text", share: float = 1e-6, head: float = 2e
         for b in it:
             k, c = b.column("k").to_numpy(), b.column("c").to_numpy()
             h, w = k // u.base, k % u.base
-            for row, weight in zip(sums, (c, c * np.where(c <= TOP, cuts[np.minimum(c, TOP)], 1.0), u.p[w]), strict=True):
+            for row, weight in zip(sums, (c, _kept(c, cuts), u.p[w]), strict=True):
                 row += np.bincount(h, weights=weight, minlength=u.base)
         h = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(s[h]) for s in sums)], ["h", "c", "seen", "p"])
 
-    seen = bigrams.mapInArrow(contexts, "h long, c double, seen double, p double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"), F.sum("p").alias("p")).toPandas()
+    cut = F.lit(1.0)
+    for r in range(1, TOP + 1):
+        cut = F.when(F.col("c") == r, float(d[r])).otherwise(cut)
+    parts = rare.select("h", F.col("c").cast("double").alias("c"), (F.col("c") * cut).alias("seen"), "p")
+    sums = [F.sum(x).alias(x) for x in ("c", "seen", "p")]
+    seen = bigrams.mapInArrow(contexts, "h long, c double, seen double, p double").union(parts.where("h >= 0")).groupBy("h").agg(*sums).toPandas()
     log_context, log_back = np.zeros(uni.base), np.zeros(uni.base)
-    h, c, mass, p = (seen[x].to_numpy() for x in ("h", "c", "seen", "p"))
-    rest = np.maximum(0.0, 1 - p)
-    f = np.where(rest < 1e-12, c / np.maximum(mass, 1e-300), np.where(mass > c * (1 - 1e-12), c / (c + 1), 1.0))
-    log_context[h] = np.log10(f / c)
-    log_back[h] = np.log10(np.maximum(1 - f * mass / c, 1e-300) / np.maximum(rest, 1e-300))
-    log_back[h[rest < 1e-12]] = 0.0  # nothing is unseen
+    h = seen["h"].to_numpy(dtype=np.int64)
+    log_context[h], log_back[h] = _weights(*(seen[x].to_numpy(dtype=float) for x in ("c", "seen", "p")))
+
+    def weighed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            c = b.column("c").to_numpy()
+            before, back = _weights(c, b.column("seen").to_numpy(), b.column("p").to_numpy())
+            own = np.log10((c + 0.1) / 0.1)
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(own), pa.array(own + back), pa.array(before - back)], ["k", "own", "gain", "step"])
+
+    histories = scratch.save(parts.where("h < 0").groupBy("h").agg(*sums).mapInArrow(weighed, "k long, own double, gain double, step double"), "histories")
     heads = bigrams.where(F.col("c") >= max(1.0, total * head)).toPandas()
     keys = heads["k"].to_numpy(dtype=np.int64)
     order = np.argsort(keys)
-    return Katz(uni, d, log_context, log_back, keys[order], heads["c"].to_numpy(dtype=np.int64)[order]), unigrams, bigrams, scratch
+    model = Katz(uni, d, log_context, log_back, keys[order], heads["c"].to_numpy(dtype=np.int64)[order])
+    fitted = context.broadcast(model)
+
+    def gains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fitted.value
+        for b in it:
+            k, c = b.column("k").to_numpy(), b.column("c").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(m.gain(k, c))], ["k", "gain"])
+
+    def rare_gains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fitted.value
+        steps = m.log_context - m.log_back
+        for b in it:
+            h, w, c, p = (b.column(x).to_numpy() for x in ("h", "w", "c", "p"))
+            step = np.where(h < 0, b.column("step").to_numpy(zero_copy_only=False), steps[np.maximum(h, 0)])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), pa.array(np.log10(_kept(c, m.discounts)) + step - np.log10(p))], ["k", "gain"])
+
+    settled = bigrams.mapInArrow(gains, "k long, gain double")
+    if not whole:
+        own = F.log10((F.col("c") + 0.1) / 0.1)
+        return model, unigrams.select("k", own.alias("own"), own.alias("gain")), settled, scratch
+    stepped = rare.where("h < 0").join(histories.select(F.col("k").alias("h"), "step"), "h").select("h", "w", "c", "p", "step")
+    stepped = stepped.union(rare.where("h >= 0").select("h", "w", "c", "p", F.lit(0.0).alias("step")))
+    return model, histories.select("k", "own", "gain"), settled.union(stepped.mapInArrow(rare_gains, "k long, gain double")), scratch
 
 
 def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -199,6 +299,8 @@ def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, t
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         u, unk = m.uni, len(m.uni.words)
+        taught = m.log_context != 0
+        taught[unk] |= u.whole  # the task doesn't know
         unseen = np.log10(0.1 / u.norm)
         word_logp = np.append(np.log10((u.counts + 0.1) / u.norm), unseen)
         names = [*keep, "kind", "k", "row", "n", "n_tokens", "base", "score"]
@@ -206,15 +308,15 @@ def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, t
         for b in it:
             for part in slices(b, "_text"):
                 hashes, at = tokens(part.column("_text"))
-                classes = u.classes(hashes)
-                keys = u.keys(classes, at[:-1])
-                before = keys // u.base
+                before, classes, own_pair = u.pairs(hashes, at[:-1])
+                keys = before * u.base + classes
+                where = np.flatnonzero(own_pair)
+                keys[where] = pair_keys(*u.codes(hashes, before, classes, where))
                 rows = part.column("_row").to_numpy()
                 doc = np.repeat(np.arange(len(rows)), np.diff(at))
                 rare = classes == unk
                 own = word_logp[classes]
-                # within UNK, p1 divides the class's probability
-                value = m.log_back[before] + u.logp[classes] + np.where(rare, own - u.logp[unk], 0.0)
+                value = m.log_back[before] + own  # within UNK, p1 divides the class's probability
                 if len(m.heads):
                     i = np.searchsorted(m.heads, keys)
                     i[i == len(m.heads)] = 0
@@ -225,7 +327,7 @@ def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, t
                 sums = [np.bincount(doc, weights=x, minlength=len(rows)) for x in (own, value)]
                 known = np.bincount(doc, weights=~rare, minlength=len(rows)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.zeros(len(rows), dtype=np.int32)), pa.array(rows), pa.array(rows), pa.array(known), pa.array(np.diff(at)), *map(pa.array, sums)], names)
-                for kind, where, key in ((1, np.flatnonzero(rare), hashes.view(np.int64)), (2, np.flatnonzero(~head & (m.log_context[before] != 0)), keys)):
+                for kind, where, key in ((1, np.flatnonzero(rare), hashes.view(np.int64)), (2, np.flatnonzero(~head & taught[before]), keys)):
                     if not len(where):
                         continue
                     o = where[np.lexsort((doc[where], key[where]))]
@@ -240,13 +342,7 @@ def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, t
     fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
     events = given.mapInArrow(run, f"{fields}kind int, k long, row long, n long, n_tokens long, base double, score double")
 
-    def gains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in it:
-            k, c = b.column("k").to_numpy(), b.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), 2, dtype=np.int32)), b.column("k"), pa.array(m.gain(k, c))], ["kind", "k", "gain"])
-
-    tables = unigrams.select(F.lit(1).alias("kind"), "k", F.log10((F.col("c") + 0.1) / 0.1).alias("gain")).union(bigrams.mapInArrow(gains, "kind int, k long, gain double"))
+    tables = unigrams.select(F.lit(1).alias("kind"), "k", "own", "gain").union(bigrams.select(F.lit(2).alias("kind"), "k", F.lit(0.0).alias("own"), "gain"))
     met = events.join(tables, ["kind", "k"], "left")
     extra = F.col("n") * F.coalesce("gain", F.lit(0.0))
     doc, word = F.col("kind") == 0, F.col("gain").isNotNull() & (F.col("kind") == 1)
@@ -255,7 +351,7 @@ def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, t
         "row",
         "n_tokens",
         F.when(doc | word, F.col("n")).otherwise(0).alias("n_known"),
-        F.when(doc, F.col("base")).when(word, extra).otherwise(0.0).alias("base"),
+        F.when(doc, F.col("base")).when(word, F.col("n") * F.col("own")).otherwise(0.0).alias("base"),
         F.when(doc, F.col("score")).otherwise(extra).alias("score"),
     )
     out = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in keep], F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))

@@ -169,6 +169,39 @@ def test_katz_against_brute_force(spark):
     assert katz.score(df.limit(0), model, uni, big, keep=("doc_id",)).count() == 0
 
 
+def test_katz_rare_words_keep_their_bigrams(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(20)] + [f"rare{i}" for i in range(80)]
+    docs = [(i, " ".join(rng.choices(words, weights=[30 if k < 20 else 1.5 for k in range(100)], k=rng.randrange(0, 60)) + ["odd", "pair"] * (i % 9 == 0))) for i in range(120)] + [(500, None), (501, "odd new pair odd pair")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    toks = {i: [*WORD.findall(t or ""), "\0"] for i, t in docs}
+    c = collections.Counter(x for i in range(100) for x in toks[i])
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+    p1 = lambda x: (c[x] + 0.1) / norm
+    pairs = collections.Counter(p for i in range(100) for p in zip(["S", *toks[i]], toks[i], strict=False))
+    d = katz.discounts(dict(collections.Counter(pairs.values())))
+    followers = collections.defaultdict(dict)
+    for (h, x), k in pairs.items():
+        followers[h][x] = k
+
+    def prob(h, x):
+        if h not in followers:
+            return p1(x)
+        total = sum(followers[h].values())
+        kept = {y: k * (d[k] if k <= 5 else 1) for y, k in followers[h].items()}
+        mass, rest = sum(kept.values()), 1 - sum(map(p1, kept))
+        f = total / (total + 1) if mass > total * (1 - 1e-12) else 1
+        return f * kept[x] / total if x in kept else (1 - f * mass / total) / rest * p1(x)
+
+    for fast in (0, 12, 1 << 18):  # none, some and all of the words known to the tasks: the same scores
+        model, uni, big, _ = katz.fit(df.where("doc_id < 100"), fast=fast, head=0.01)
+        for r in katz.score(df, model, uni, big, keep=("doc_id",)).collect():
+            t = toks[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (len(t), sum(x in c for x in t))
+            assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in t))
+            assert r.score == pytest.approx(sum(math.log10(prob(h, x)) for h, x in zip(["S", *t], t, strict=False)))
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
 
