@@ -2,7 +2,9 @@
 
 Fit: hashed character n-grams (with word bounds) of every training text are counted per language into a fixed number of
 buckets, together with letters per script. The model's size is bounded by max_langs x (buckets + scripts), whatever the
-corpus. Predict: a word's candidates are the languages that use its script; its score is its mean n-gram log
+corpus. Words are runs of letters, cut where the script changes; runs of more than 24 letters, as scripts without spaces have them,
+are cut into consecutive pieces of 16 (the last one 9 to 24), whose n-grams reach over the cut, so every letter is learned and
+judged and spans can begin inside a run. Predict: a word's candidates are the languages that use its script; its score is its mean n-gram log
 probability, floored; a switch of language between two words costs `switch`. The prediction is the language whose spans
 hold most letters, its score their share.
 
@@ -34,26 +36,69 @@ _STARTS = [r for r, _ in RANGES]
 _INDEX = [SCRIPTS.index(s) for _, s in RANGES]
 
 
+#: Letters of a piece of a longer run, and of the longest run that stays whole.
+PIECE, WHOLE = 16, 24
+
+
 def script(word: str) -> int:
-    """Script of a word's first letter."""
-    return _INDEX[bisect_right(_STARTS, ord(word[0])) - 1]
+    """Script of a word's letters."""
+    return _INDEX[bisect_right(_STARTS, ord(letters_of(word)[0])) - 1]
+
+
+def letters_of(word: str) -> str:
+    """The letters of a word or of a piece, without the mark before it and the letters after it."""
+    return word.lstrip("\0").partition("\0")[0] if "\0" in word else word
+
+
+def plain(run: str) -> bool:
+    """Whether a run of letters stays whole."""
+    return len(run) <= WHOLE and (max(run) < "\u0370" or len(set(map(script, run))) == 1)
+
+
+def pieces(run: str) -> list[str]:
+    """Words of a run of letters. A piece that continues a word begins with a zero; one that is continued ends with a zero and the next three letters."""
+    scripts = np.fromiter(map(script, run), dtype=np.int64, count=len(run))
+    bounds = [0, *(np.flatnonzero(np.diff(scripts)) + 1).tolist(), len(run)]
+    out = []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        mark = ""
+        while hi - lo > WHOLE:
+            out.append(f"{mark}{run[lo : lo + PIECE]}\0{run[lo + PIECE : lo + PIECE + 3]}")
+            lo, mark = lo + PIECE, "\0"
+        out.append(mark + run[lo:hi])
+    return out
+
+
+def _coded(word: str) -> tuple[bytes, int]:
+    """Bytes of a piece between its bounds, and how many of them begin n-grams of its own."""
+    head, cut, after = word.lstrip("\0").partition("\0")
+    out = (b"" if word[0] == "\0" else b"<") + head.encode() + (b"" if cut else b">")
+    return out + after.encode(), len(out)
 
 
 def grams(words: list[str], buckets: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For n = 2, 3, 4: (hash bucket of the n bytes at every position, whether they lie within one word); and the words' first positions.
 
-    Each word stands between `<` and `>`; only its first 62 bytes count.
+    Each word stands between `<` and `>`; of a piece's following letters only the n-grams that begin before them count.
     """
-    coded = [b"<%b>" % w.encode()[:62] for w in words]
+    coded = [b"<%b>" % w.encode() for w in words]
+    cut = [(i, *_coded(w)) for i, w in enumerate(words) if "\0" in w]
+    for i, code, _ in cut:
+        coded[i] = code
     sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint32)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(data))  # bytes to the word's end
+    after = np.zeros(1, dtype=np.int64)
+    if cut:
+        after = np.zeros(len(words), dtype=np.int64)
+        after[[i for i, _, _ in cut]] = [len(code) - n for _, code, n in cut]
+        after = np.repeat(after, sizes)  # bytes that begin none
     out, h = [], data * np.uint32(0x9E3779B1)
     for n in (2, 3, 4):
         h = h.copy()
         h[: len(data) - n + 1] = (h[: len(data) - n + 1] ^ data[n - 1 :]) * np.uint32(0x85EBCA6B) + np.uint32(n)
-        out.append(((h >> np.uint32(7)) % np.uint32(buckets), left >= n))
+        out.append(((h >> np.uint32(7)) % np.uint32(buckets), left >= np.maximum(n, after + 1)))
     return out, starts
 
 
@@ -95,12 +140,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1
                 total = sums.setdefault(key, np.zeros(width, dtype=np.int64))
                 if not count:
                     continue
+                for run in [w for w in count if not plain(w)]:
+                    n = count.pop(run)
+                    for piece in pieces(run):
+                        count[piece] += n
                 seen, n = list(count), np.fromiter(count.values(), dtype=np.int64, count=len(count))
-                hashed, starts = grams(seen, buckets)
-                each = np.repeat(n, np.diff(np.append(starts, len(hashed[0][0]))))
-                for at, inside in hashed:
-                    total[:buckets] += np.bincount(at[inside], weights=each[inside], minlength=buckets).astype(np.int64)
-                total[buckets:] += np.bincount(list(map(script, seen)), weights=n * np.fromiter(map(len, seen), dtype=np.int64, count=len(seen)), minlength=len(SCRIPTS)).astype(np.int64)
+                for lo in range(0, len(seen), 1 << 15):
+                    hashed, starts = grams(seen[lo : lo + (1 << 15)], buckets)
+                    each = np.repeat(n[lo : lo + (1 << 15)], np.diff(np.append(starts, len(hashed[0][0]))))
+                    for at, inside in hashed:
+                        total[:buckets] += np.bincount(at[inside], weights=each[inside], minlength=buckets).astype(np.int64)
+                total[buckets:] += np.bincount(list(map(script, seen)), weights=n * np.fromiter((len(letters_of(w)) for w in seen), dtype=np.int64, count=len(seen)), minlength=len(SCRIPTS)).astype(np.int64)
             words.clear()
 
         for b in it:
@@ -170,7 +220,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, lang_pred, score and spans array<struct<first, last, lang>> (word numbers, both inclusive)."""
+    """keep columns, lang_pred, score and spans array<struct<first, last, lang>> (numbers of words or pieces, both inclusive)."""
     given = df.select(*keep, F.col(text).alias("_text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
@@ -185,9 +235,15 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 if len(known) > 300_000:
                     known = {}
                 per_text, lengths, fresh = [], [], []
+                cut: dict[str, list[str]] = {}
                 for t in part.column("_text").to_pylist():
                     words = WORD.findall(t.lower()) if t and m.langs else []
-                    new = list(set(words).difference(known))
+                    strange = set(words).difference(known)
+                    cut.update((w, pieces(w)) for w in strange if w not in cut and not plain(w))
+                    if not cut.keys().isdisjoint(strange):
+                        words = [p for w in words for p in cut.get(w, (w,))]
+                        strange = set(words).difference(known)
+                    new = list(strange)
                     if new:
                         at = len(known)
                         known.update(zip(new, range(at, at + len(new)), strict=True))
@@ -198,7 +254,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                     size = len(known)
                     if size > len(table):
                         table, letters = (np.concatenate([x, np.zeros((size, *x.shape[1:]), dtype=x.dtype)]) for x in (table, letters))
-                    count = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in fresh), dtype=np.int64, count=len(fresh))
+                    count = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, letters_of(w))) for w in fresh), dtype=np.int64, count=len(fresh))
                     letters[size - len(fresh) : size] = count
                     for lo in range(0, len(fresh), 1 << 15):
                         table[size - len(fresh) + lo : size - len(fresh) + min(len(fresh), lo + (1 << 15))] = m.score(fresh[lo : lo + (1 << 15)])

@@ -1,5 +1,6 @@
 """URL trie, chat formatting, SentencePiece, language spans and toxicity on small cases."""
 
+import collections
 import itertools
 import random
 
@@ -132,6 +133,29 @@ def test_language_cases(spark):
         langid.fit(spark.createDataFrame(train, "doc_id int, text string, lang string"), max_langs=2)
 
 
+def test_long_runs_and_mixed_scripts_are_judged_whole(spark):
+    rng = random.Random(8)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    one, two = "กขคงจ", "ฉชซญด"
+    train = [(run(one, 80), "a") for _ in range(30)] + [(run(two, 80), "b") for _ in range(30)] + [("абв где жзи " * 5, "c")] * 9 + [("the cat here " * 5, "d")] * 9
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    cases = [(1, run(one, 40) + run(two, 360)), (2, run(one, 200) + run(two, 200)), (3, "t" + "абвгдежзи"), (4, run("abc", 30) + run(one, 10))]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(cases, "doc_id int, text string"), model, keep=("doc_id",)).collect()}
+    assert got[1].lang_pred == "b" and got[1].score == pytest.approx(0.9, abs=0.05)
+    assert [s.lang for s in got[2].spans] == ["a", "b"] and got[2].spans[1].first in (12, 13) and got[2].score == pytest.approx(0.5, abs=0.05)
+    assert got[3].lang_pred == "c"
+    assert "".join(map(langid.letters_of, langid.pieces(cases[1][1]))) == cases[1][1]
+
+    def brute(word):
+        data = b"<%b>" % word.encode()
+        return collections.Counter(data[i : i + n] for n in (2, 3, 4) for i in range(len(data) - n + 1))
+
+    for word in ("abcdefghij" * 9, "é" * 25, run(one, 57)):  # cut or whole, a run has the same n-grams
+        hashed, _ = langid.grams(langid.pieces(word), 1 << 30)
+        for n, (at, inside) in zip((2, 3, 4), hashed, strict=True):
+            assert sorted(collections.Counter(at[inside].tolist()).values()) == sorted(k for g, k in brute(word).items() if len(g) == n)
+
+
 def test_grammar_marks():
     machine = toxicity.grammar(negation=2, report=3, target=2)
 
