@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir); its result is written as Parquet and rea
 the columns of `documents`. Models are fitted on the stage's own input.
 
 Defined cases: those of the operators; a null text passes toxicity, is rejected by language ID (`und`), and so goes no further;
-repeated rows are copies to near-dedup, which keeps the first row of the smallest id; empty tables stay empty.
+repeated rows are copies to near-dedup, which keeps a row of the smallest id; rows that share an id but not their text are documents of
+their own there, and rows without an id stay; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -34,12 +35,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
+    scratch = Scratch(spark, "pipeline")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return one_row_of_each(docs, scratch)
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(spark, "pipeline").save(gone, "gone")
+    gone = scratch.save(gone, "gone")
     few = gone.count() <= minhash.MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+
+
+def one_row_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same where ids repeat: rows are compared by a key of their own. Blank texts link with nothing, so they are copies only under one id."""
+    rows = scratch.save(docs.where("doc_id is not null").select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    ids = rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    found = minhash.near_duplicates(rows, doc_id="_row").join(ids, F.col("doc_id") == F.col("_row"))
+    blank = F.col("n_shingles") == 0
+    groups = found.groupBy(F.when(~blank, F.col("component_id")).alias("a"), F.when(blank, F.col("_id")).alias("b"), F.when(blank, F.col("_hash")).alias("c"))
+    first = scratch.save(groups.agg(F.min(F.struct("_id", "_row")).alias("m")).select("m._row"), "first")
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, max_repeats: float = 2.0) -> DataFrame:

@@ -215,3 +215,17 @@ def test_pipeline_stages(spark, sf_dir):
     assert cp.drop_toxic(spark, odd, sf_dir).count() == 3
     out = cp.encode_pieces(spark, cp.mix_sources(spark, kept, sf_dir), sf_dir)
     assert out.count() > 0 and out.where("n_pieces <> size(ids)").count() == 0
+
+
+def test_pipeline_keeps_rows_that_only_share_an_id(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, a), (2, a + " end"), (3, b), (4, c), (5, ""), (5, ""), (5, None), (6, "")]
+    rows += [(None, text()) for _ in range(6)] + [(None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS).schema)
+    got = collections.Counter((r.doc_id, r.text) for r in cp.one_of_each(spark, docs, sf_dir).collect())
+    assert got == collections.Counter([(1, a), (1, b), (4, c), (5, ""), (5, None), (6, ""), *rows[10:]])
+    assert cp.one_of_each(spark, docs.where("doc_id is null"), sf_dir).count() == 7
