@@ -33,7 +33,7 @@ def unescape(c: Column) -> Column:
 
 def text_part(c: Column) -> Column:
     """A one-part message from plain text."""
-    return F.array(F.struct(F.lit("text").alias("kind"), c.alias("text")).cast("struct<kind:string,text:string>")).cast("array<struct<kind:string,text:string>>")
+    return F.array(F.struct(F.lit("text").alias("kind"), c.alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
 
 
 def expanded_tokens(part: Column, tile: int = 512, tile_tokens: int = 170, base_tokens: int = 85, audio_rate: float = 25.0, page_tokens: int = 800) -> Column:
@@ -59,19 +59,18 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     order = [F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first()] + ([F.to_json("_parts").asc_nulls_first()] if parts else [])
     w = Window.partitionBy("conv_id").orderBy(*order)
     rows = given.withColumn("_n", F.row_number().over(w))
-    if parts:
-        rows = rows.withColumn("_files", F.coalesce(F.filter("_parts", is_attachment), F.array().cast(f"array<{PART}>")))
-        rows = rows.withColumn("_before", F.coalesce(F.sum(F.size("_files")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-        def visit(p: Column, i: Column) -> Column:
-            ordinal = F.col("_before") + F.size(F.filter(F.slice("_parts", F.lit(1), i), is_attachment))
-            return F.when(is_attachment(p), F.concat(F.lit("<"), p["kind"], F.lit(":"), ordinal.cast("string"), F.lit(">"))).otherwise(escape(p["text"]))
-
-        body = F.concat(escape(F.col("_text")) if text else F.lit(""), F.coalesce(F.array_join(F.transform("_parts", visit), ""), F.lit("")))
-        files = F.transform("_files", lambda p, i: F.struct((F.col("_before") + i).cast("long").alias("ordinal"), F.col("_turn").cast("long").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
-    else:
-        body = escape(F.col("_text"))
-        files = F.array().cast("array<struct<ordinal:bigint,turn:bigint,kind:string,ref:string,tokens:bigint>>")
+    none = F.array().cast(f"array<{PART}>")
+    # a message's text is its first part
+    rows = rows.withColumn("_parts", F.concat(text_part(F.col("_text")).cast(f"array<{PART}>") if text else none, F.coalesce("_parts", none)))
+    rows = rows.withColumn("_files", F.filter("_parts", is_attachment))
+    rows = rows.withColumn("_before", F.coalesce(F.sum(F.size("_files")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def visit(p: Column, i: Column) -> Column:
+        ordinal = F.col("_before") + F.size(F.filter(F.slice("_parts", F.lit(1), i), is_attachment))
+        return F.when(is_attachment(p), F.concat(F.lit("<"), p["kind"], F.lit(":"), ordinal.cast("string"), F.lit(">"))).otherwise(escape(p["text"]))
+
+    body = F.array_join(F.transform("_parts", visit), "")
+    files = F.transform("_files", lambda p, i: F.struct((F.col("_before") + i).cast("long").alias("ordinal"), F.col("_turn").cast("long").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
     segment = lambda content, loss: F.struct(content.alias("content"), loss.alias("loss"))
     rows = rows.select(
         "conv_id",

@@ -133,6 +133,15 @@ def test_language_cases(spark):
         langid.fit(spark.createDataFrame(train, "doc_id int, text string, lang string"), max_langs=2)
 
 
+def test_chat_text_is_a_part(spark):
+    rows = [(1, 0, "user", "a\\l<b"), (1, 1, "assistant", None), (1, 2, "assistant", "x</turn>"), (2, None, None, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("p", chat.text_part(F.col("text")))
+    plain, typed = chat.format_conversations(df), chat.format_conversations(df, text=None, parts="p")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, typed.collect()))
+    plan = plain._jdf.queryExecution().analyzed().toString()
+    assert "_files" in plan and "_before" in plan  # texts go through the visitor
+
+
 def test_long_runs_and_mixed_scripts_are_judged_whole(spark):
     rng = random.Random(8)
     run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
