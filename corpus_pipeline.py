@@ -23,13 +23,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.withColumn("_copy", F.col("text")), model, text="_copy", keep=COLUMNS).where(F.col("score") < threshold).select(*COLUMNS)
+    return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < threshold).select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Documents without letters, or where no language has the given share of the letters, go."""
     model = langid.fit(docs)
-    out = langid.identify(docs.withColumn("_copy", F.col("text")), model, text="_copy", keep=COLUMNS)
+    out = langid.identify(docs, model, keep=COLUMNS)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = current.get() if current.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarnfold-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -66,13 +70,40 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow whose workers release their memory when a task ends."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(it)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def with_text(df: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """(keep columns and the text, the text's name there): a text that is kept anyway goes to Python once."""
+    if text in keep:
+        return df.select(*[F.col(f"`{c}`") for c in keep]), text
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")), "_text"
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of about `limit` bytes of a text column, so that temporaries stay small."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    """Cut a batch into runs of about `limit` bytes of a text, binary or 4-byte list column, so that temporaries stay small."""
+    values = batch.column(column)
+    lengths = pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+    lengths = lengths.fill_null(0).to_numpy(zero_copy_only=False) * (4 if pa.types.is_list(values.type) else 1)
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if i > start and size + n > limit:

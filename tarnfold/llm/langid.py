@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import slices
+from tarnfold.llm.common import batches, slices, with_text
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -165,7 +165,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
     counts = np.zeros((len(langs), width))
-    for r in rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in batches(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
     return Model(langs, counts[:, :buckets], counts[:, buckets:])
 
@@ -221,7 +221,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns, lang_pred, score and spans array<struct<first, last, lang>> (numbers of words or pieces, both inclusive)."""
-    given = df.select(*keep, F.col(text).alias("_text"))
+    given, name = with_text(df, text, keep)
     shared = df.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
 
@@ -231,12 +231,12 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         table = np.zeros((1 << 12, max(1, len(m.langs))), dtype=np.float32)
         letters = np.zeros(1 << 12, dtype=np.int64)
         for b in it:
-            for part in slices(b, "_text", 1 << 23):
+            for part in slices(b, name, 1 << 22):
                 if len(known) > 300_000:
                     known = {}
                 per_text, lengths, fresh = [], [], []
                 cut: dict[str, list[str]] = {}
-                for t in part.column("_text").to_pylist():
+                for t in part.column(name).to_pylist():
                     words = WORD.findall(t.lower()) if t and m.langs else []
                     strange = set(words).difference(known)
                     cut.update((w, pieces(w)) for w in strange if w not in cut and not plain(w))
@@ -283,4 +283,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], [*keep, "lang_pred", "score", "spans"])
 
     fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
-    return given.mapInArrow(label, f"{fields}lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>")
+    return batches(given, label, f"{fields}lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>")

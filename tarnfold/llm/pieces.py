@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import slices
+from tarnfold.llm.common import batches, slices, with_text
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; a lone private code point, itself never a piece.
@@ -42,7 +43,7 @@ def load(model_file: str) -> list[tuple[str, float, str]]:
 
 
 class Codec:
-    def __init__(self, pieces: list[tuple[str, float, str]], kept: int = 300_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float, str]], kept: int = 100_000) -> None:
         self.pieces, self.kept = pieces, kept
         self._prepare()
 
@@ -146,24 +147,24 @@ class Codec:
 
 def encode(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns and ids array<int>. The vocabulary file is read on the driver; its pieces are broadcast."""
-    given = df.select(*keep, F.col(text).alias("_text"))
+    given, name = with_text(df, text, keep)
     shared = df.sparkSession.sparkContext.broadcast(Codec(load(model_file)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for b in it:
-            for part in slices(b, "_text"):
-                flat: list[int] = []
-                ends, nulls = [0], []
-                for t in part.column("_text").to_pylist():
-                    flat += codec.encode(t) if t else ()
+            for part in slices(b, name):
+                flat, ends, nulls = array("i"), [0], []
+                for t in part.column(name).to_pylist():
+                    if t:
+                        flat.extend(codec.encode(t))
                     ends.append(len(flat))
                     nulls.append(t is None)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)), mask=pa.array(nulls, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, "ids"])
 
     fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
-    return given.mapInArrow(run, f"{fields}ids array<int>")
+    return batches(given, run, f"{fields}ids array<int>")
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -174,10 +175,9 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ..
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for b in it:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, "ids"):
                 out = [None if x is None else codec.decode(x.tolist()) for x in part.column("ids").to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("ids"), pa.array(out, pa.string())], [*keep, "ids", "decoded"])
 
     fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
-    return given.mapInArrow(run, f"{fields}ids array<int>, decoded string")
+    return batches(given, run, f"{fields}ids array<int>, decoded string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, slices
+from tarnfold.llm.common import Scratch, batches, slices, with_text
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -236,14 +236,14 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, ridge: f
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns and score (0 to 1)."""
-    given = df.select(*keep, F.col(text).alias("_text"))
+    given, name = with_text(df, text, keep)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for part in slices(b, "_text", 1 << 22):
-                got = [shared.value.score(t) for t in part.column("_text").to_pylist()]
+            for part in slices(b, name):
+                got = [shared.value.score(t) for t in part.column(name).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.float64())], [*keep, "score"])
 
     fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
-    return given.mapInArrow(run, f"{fields}score double")
+    return batches(given, run, f"{fields}score double")
