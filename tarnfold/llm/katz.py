@@ -1,51 +1,56 @@
-"""Katz backoff scoring: Good-Turing discounted bigrams over exactly counted unigrams, with exactly normalised backoff weights.
+"""Katz backoff scoring: Good-Turing discounted n-grams of any order over exactly counted words, with exactly normalised backoff weights.
 
-Tokens are words (A-Z lower-cased) and one end token. Unigrams: p1(w) = (c + 0.1) / (N + 0.1 (V + 1)), counted for every word; it
-sums to 1 over the V words and one unseen word. Every word has bigrams of its own, as history and as successor:
+Tokens are words (A-Z lower-cased) and one end token; texts are padded in front by start marks. Words have p1(w) = (c + 0.1) / (N + 0.1
+(V + 1)), counted for every word, which sums to 1 over the V words and one unseen word. From order 2 to `order`,
 
-    p(w | h) = f(h) d(c) c(h, w) / c(h)  if c(h, w) > 0, else  a(h) p1(w)
+    p(w | h) = f(h) d(c) c(h, w) / c(h)  if c(h, w) > 0,  else  a(h) p(w | h'),  h' being h without its first word.
 
-d are Katz's discounts for counts up to 5; f(h) is 1, unless discounting leaves nothing for the unseen (then c / (c + 1)) or
-nothing is unseen (then 1 over the discounted mass); a(h) = (1 - seen mass) / (1 - p1 of the seen), so each context sums to 1. An unseen
-context backs off with weight 1.
+d are Katz's discounts of that order for counts up to 5; f(h) is 1, unless discounting leaves nothing for the unseen (then c / (c + 1)) or nothing
+is unseen (then c over the discounted mass); a(h) = (1 - seen mass) / (1 - sum of p(w | h') over the seen), so each history's
+probabilities sum to 1. A history that was never seen backs off with weight 1.
 
-Stored: partitioned tables in the shared folder, of words' and bigrams' counts and of the rare words' weights as histories. The most
-frequent words (`fast` of them at most) are known to the tasks, with their weights; that changes where a value is looked up,
-never the value. Evaluated: a document starts as if all were unseen, as far as its task knows; frequent bigrams
-(relative frequency over `head`, 1 / head of them at most) are settled there too; the other ones, and the rare words, are met with
-the tables by one equi-join and correct the sums by the key's gain, which its table row holds. So no frequent key is shuffled by
-document, and no table is broadcast beyond `fast` or 1 / head rows.
+Stored and evaluated in partitioned tables, of which nothing is cut off, whatever its count:
 
-With `share` set (not by default), words rarer than it fall together in one class UNK of the bigrams, within which p1 divides the probability.
+1. Words are counted and numbered by falling count; a word's number gives its count through a table of one row per distinct count. The `fast` most
+   frequent words are known to the tasks, the others are met by a join. The corpus is kept as numbers, in chunks of about
+   `chunk_tokens` tokens.
+2. For each order, a chunk asks for its distinct n-grams: (history, word, how often in its training texts, lower-order probability), dealt
+   by history to buckets. A bucket adds up the counts, keeps its n-grams as rows of the model, and answers every chunk with the counts,
+   and with the history's sums where something is unseen. With the discounts, the chunk evaluates each token from its lower-order
+   probability, which recursively came about in the same way.
+
+A chunk asks once for an n-gram however often it occurs, so no n-gram is hot. Histories seen `hot` times or more (N / hot of them at
+most, known from the order below) are dealt by history and word, and their sums added up apart. Blobs of sorted, delta-coded and
+compressed numbers travel instead of rows.
+
+Up to order 3 n-grams are compared exactly; longer histories by 63-bit hashes, as words are when they are numbered.
 
-Words are keyed by 63-bit hashes, bigrams by their words' numbers or by 63-bit hashes of both; two of a corpus' keys falling together is
-as unlikely as 63 bits make it.
 Defined cases: a null or empty text is the end token alone; rows with null ids or repeated rows are scored one by one; an empty training set
-has N = V = 0 and every token is unseen; further columns are ignored.
+has N = V = 0 and every token is unseen; a null training flag is false; further columns are ignored. A text is one chunk at most, so it must fit a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, mix64, slices, word_hashes
+from tarnfold.llm.common import Scratch, batches, mix64, slices, word_hashes
 
 TOP_BIT = np.uint64(1 << 63)
 END = np.uint64(0x656E64) | TOP_BIT
 TOP = 5  # counts above it are not discounted
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all texts laid end to end, each with its end token; first position of each text, and the total).
-
-    Their top bit is set, so that as signed numbers they are negative and apart from the numbers of known words.
-    """
+    """(token hashes of all texts laid end to end, each with its end token; first position of each text, and the total). Their top bit is set."""
     words, at = word_hashes(texts)
     n = len(at) - 1
     out = np.empty(len(words) + n, dtype=np.uint64)
@@ -53,306 +58,502 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rest = np.ones(len(out), dtype=bool)
     rest[ends] = False
     out[ends], out[rest] = END, words | TOP_BIT
-    return out, np.append(at[:-1] + np.arange(n), len(out))
+    return out.view(np.int64), np.append(at[:-1] + np.arange(n), len(out))
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Compressed by planes of bytes; rising numbers as differences."""
+    if not len(x):
+        return bytes(8)
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(b: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, dtype=kind)
+    raw = np.frombuffer(_ZSTD.decompress(b[8:], n * size, asbytes=True), dtype=np.uint8)
+    out = np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
+    return np.cumsum(out, dtype=kind) if rising else out
+
+
+def pack_floats(x: np.ndarray) -> bytes:
+    """Few distinct values: a dictionary and places in it."""
+    coded = pa.array(x, pa.float64()).dictionary_encode()
+    values = pack(coded.dictionary.to_numpy())
+    return len(values).to_bytes(8, "little") + values + pack(coded.indices.to_numpy().astype(np.int32))
+
+
+def unpack_floats(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return unpack(b[8 : 8 + n], np.float64)[unpack(b[8 + n :], np.int32)]
+
+
+def runs(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Consecutive rows with an equal key, across batches."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for b in it:
+        keys = b.column(column).to_numpy()
+        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+        for lo, hi in pairwise([0, *cuts, len(keys)]):
+            if hi == lo:
+                continue
+            if held and keys[lo] != key:
+                yield key, held
+                held = []
+            key = keys[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, held
 
 
 @dataclass
-class Unigrams:
-    """The frequent words' sorted hashes and counts, and the corpus's totals; bounded by `fast` or 1 / share."""
-
-    words: np.ndarray
-    counts: np.ndarray
+class Words:
+    """Totals, the frequent words, and the counts of the others by their numbers. Bounded by `fast` and by the number of distinct counts."""
+
+    hashes: np.ndarray  # of frequent words, sorted
+    numbers: np.ndarray  # theirs
+    counts: np.ndarray  # of words, by number, as far as they are frequent
+    starts: np.ndarray  # first number of each count below
+    lower: np.ndarray  # and that count
     total: int
     distinct: int
-    whole: bool  # rare words have bigrams of their own
-    logp: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        p = (self.counts + 0.1) / self.norm
-        unk = max(0.0, 1.0 - float(p.sum()))
-        self.p = np.append(p, unk)  # UNK is the last class
-        self.logp = np.log10(np.maximum(self.p, 1e-300))
+    texts: int
 
     @property
-    def norm(self) -> float:
-        return self.total + 0.1 * (self.distinct + 1)
+    def unknown(self) -> int:
+        return self.distinct
 
     @property
-    def base(self) -> int:
-        """Contexts: the classes, UNK and START; a bigram's key is context x base + class."""
-        return len(self.words) + 2
-
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, len(self.words))
+    def start(self) -> int:
+        return self.distinct + 1
+
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts; that of the start mark is the number of texts."""
+        size = len(self.counts)
+        out = np.zeros(len(ids), dtype=np.int64)
+        low = ids < size
+        out[low] = self.counts[ids[low]]
+        if len(self.starts):
+            mid = ~low & (ids < self.distinct)
+            out[mid] = self.lower[np.searchsorted(self.starts, ids[mid], side="right") - 1]
+        out[ids == self.start] = self.texts
+        return out
+
+    def p(self, ids: np.ndarray) -> np.ndarray:
+        return (self.count(ids) + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of frequent words, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int32)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int32)
 
-    def pairs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class before each token, its own class, whether the bigram has a rare word of its own); texts begin after START."""
-        classes = self.classes(hashes)
-        before = np.empty_like(classes)
-        before[1:] = classes[:-1]
-        before[starts] = len(self.words) + 1
-        return before, classes, ((classes == len(self.words)) | (before == len(self.words))) & self.whole
 
-    def codes(self, hashes: np.ndarray, before: np.ndarray, classes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two words of some bigrams: a known word's number, a rare one's hash (negative)."""
-        signed, unk = hashes.view(np.int64), len(self.words)
-        return np.where(before[where] == unk, signed[where - 1], before[where]), np.where(classes[where] == unk, signed[where], classes[where])
+@dataclass
+class Order:
+    """One order of the model: discounts, sums of hot histories, and the table of its n-grams (rows of blobs by bucket)."""
 
+    discounts: np.ndarray  # by count, 1 from TOP + 1 on
+    hot: np.ndarray  # sorted keys of hot histories
+    sums: np.ndarray  # theirs: n-grams by count 1 to TOP, counts above TOP added up, lower-order probability of the seen
+    table: DataFrame | None = None
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hashes of bigrams with a rare word; negative, as other bigrams' keys are not."""
-    return (mix64(mix64(h.view(np.uint64)) + w.view(np.uint64)) | TOP_BIT).view(np.int64)
+    def weights(self, sums: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """f and a of histories with these sums and counts."""
+        mass = sums[:, :TOP] @ (self.discounts[1 : TOP + 1] * np.arange(1, TOP + 1)) + sums[:, TOP]
+        rest = 1 - sums[:, TOP + 1]
+        full = rest < 1e-12
+        f = np.where(full, c / np.maximum(mass, 1e-300), np.where(sums[:, :TOP].any(axis=1), 1.0, c / (c + 1)))
+        return f, np.where(full, 1.0, np.maximum(1 - f * mass / c, 0) / np.where(full, 1.0, rest))
 
 
 @dataclass
-class Katz:
-    uni: Unigrams
-    discounts: np.ndarray  # by count, 1 from TOP + 1 on
-    log_context: np.ndarray  # log10 f(h) / c(h)
-    log_back: np.ndarray  # log10 a(h)
-    heads: np.ndarray  # sorted keys of the frequent bigrams
-    head_counts: np.ndarray
-
-    def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of a seen bigram's probability over what it would be if unseen."""
-        before, now = keys // self.uni.base, keys % self.uni.base
-        return np.log10(counts * np.where(counts <= TOP, self.discounts[np.minimum(counts, TOP)], 1.0)) + self.log_context[before] - self.log_back[before] - self.uni.logp[now]
+class Model:
+    words: Words
+    numbers: DataFrame  # (k, id) of the words that are not frequent
+    orders: list[Order]
+    buckets: int
+    scratch: Scratch
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
-    """Katz's discounts from the numbers of bigrams by count; where these don't give 0 < d <= 1, (r - 1/2) / r."""
+    """Katz's discounts from the numbers of n-grams by count; where these don't give 0 < d < 1, (r - 1/2) / r."""
     out = np.ones(TOP + 1)
     cut = (TOP + 1) * n.get(TOP + 1, 0) / n[1] if n.get(1) else 1.0
     for r in range(1, TOP + 1):
         d = -1.0
         if n.get(r) and n.get(r + 1) and cut < 1:
             d = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut)
-        out[r] = d if 0 < d <= 1 else (r - 0.5) / r
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
     return out
 
 
-def _count(df: DataFrame, text: str, uni: Unigrams | None, most: int = 1 << 22) -> DataFrame:
-    """(h, w, c): words' or, given unigrams, bigrams' counts, added up within each task.
-
-    h is a word's hash or a bigram's key and w 0, but for bigrams with a rare word: there they are the codes of both words.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(uni)
+def _count_words(df: DataFrame, text: str, most: int = 1 << 21) -> DataFrame:
+    """(k, c): words' hashes and counts, added up within each task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = shared.value
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
-        def batch(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(c)], ["h", "w", "c"])
-
-        def out() -> pa.RecordBatch:
-            keys, counts = merged()
-            parts.clear()
-            return batch(keys.view(np.int64), np.zeros(len(keys), dtype=np.int64), counts)
-
         held = 0
         for b in it:
             for part in slices(b, text):
-                keys, at = tokens(part.column(text))
-                if u is not None:
-                    before, classes, rare = u.pairs(keys, at[:-1])
-                    where = np.flatnonzero(rare)
-                    if len(where):  # they seldom come again, so they are not held
-                        h, w = u.codes(keys, before, classes, where)
-                        _, first, times = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-                        yield batch(h[first], w[first], times)
-                    keys = (before * u.base + classes)[~rare]
-                got = np.unique(keys, return_counts=True)
-                parts.append(got)
-                held += len(got[0])
+                parts.append(np.unique(tokens(part.column(text))[0], return_counts=True))
+                held += len(parts[-1][0])
                 if held > most:
-                    keys, counts = merged()
-                    parts[:] = [(keys, counts)]
-                    held = len(keys)
+                    parts[:] = [merged()]
+                    held = len(parts[0][0])
                     if held > most // 2:
-                        yield out()
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, parts.pop())], ["k", "c"])
                         held = 0
         if parts:
-            yield out()
-
-    return df.select(text).mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
-
-
-def _weights(c: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 f(h) / c(h) and log10 a(h) of contexts with count c, discounted mass and p1 of the seen."""
-    rest = np.maximum(0.0, 1 - p)
-    f = np.where(rest < 1e-12, c / np.maximum(mass, 1e-300), np.where(mass > c * (1 - 1e-12), c / (c + 1), 1.0))
-    back = np.log10(np.maximum(1 - f * mass / c, 1e-300) / np.maximum(rest, 1e-300))
-    return np.log10(f / c), np.where(rest < 1e-12, 0.0, back)  # 0: nothing is unseen
-
-
-def _kept(c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Discounted counts."""
-    return c * np.where(c <= TOP, cuts[np.minimum(c, TOP)], 1.0)
-
-
-def fit(df: DataFrame, text: str = "text", share: float | None = None, head: float = 2e-7, fast: int = 1 << 18) -> tuple[Katz, DataFrame, DataFrame, Scratch]:
-    """The bounded part of the model, and the tables words (k, own, gain) and bigrams (k, gain) of what the rest gains if seen."""
-    scratch, context = Scratch(df.sparkSession, "katz"), df.sparkSession.sparkContext
-    unigrams = scratch.save(_count(df, text, None).select(F.col("h").alias("k"), "c"), "unigrams")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    whole = share is None
-    if whole:
-        sizes = unigrams.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
-        fits = sizes["c"][sizes["n"].cumsum() <= fast]
-        known = F.col("c") >= int(fits.min() if len(fits) else total + 1)
-        known = known | (F.col("k") == int(END.view(np.int64)))  # it is nobody's history
-    else:
-        known = F.col("c") >= max(1.0, total * share)
-    rows = unigrams.where(known).toPandas()
-    words = rows["k"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    uni = Unigrams(words[order], rows["c"].to_numpy(dtype=np.int64)[order], int(total), int(distinct), whole)
-    counted = scratch.save(_count(df, text, uni), "bigrams")
-    context._jvm.System.gc()  # lets Spark delete the files of shuffles that are done
-    d = discounts({r["c"]: r["n"] for r in counted.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
-    shared = context.broadcast((uni, d))
-    bigrams = counted.where("h >= 0 and w >= 0").select(F.col("h").alias("k"), "c")
-    rare = counted.where("h < 0 or w < 0")
-
-    def priced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, _ = shared.value
-        for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(u.p[b.column("w").to_numpy()])], ["h", "w", "c", "p"])
-
-    # p1 of the successor: a known one's from the task, a rare one's by a join, so that no key has many rows
-    others = unigrams.where(~known).select(F.col("k").alias("w"), ((F.col("c") + 0.1) / uni.norm).alias("p"))
-    rare = scratch.save(rare.where("w >= 0").mapInArrow(priced, "h long, w long, c long, p double").union(rare.where("w < 0").join(others, "w").select("h", "w", "c", "p")), "rare")
-    context._jvm.System.gc()
-
-    def contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, cuts = shared.value
-        sums = np.zeros((3, u.base))
-        for b in it:
-            k, c = b.column("k").to_numpy(), b.column("c").to_numpy()
-            h, w = k // u.base, k % u.base
-            for row, weight in zip(sums, (c, _kept(c, cuts), u.p[w]), strict=True):
-                row += np.bincount(h, weights=weight, minlength=u.base)
-        h = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(s[h]) for s in sums)], ["h", "c", "seen", "p"])
-
-    cut = F.lit(1.0)
-    for r in range(1, TOP + 1):
-        cut = F.when(F.col("c") == r, float(d[r])).otherwise(cut)
-    parts = rare.select("h", F.col("c").cast("double").alias("c"), (F.col("c") * cut).alias("seen"), "p")
-    sums = [F.sum(x).alias(x) for x in ("c", "seen", "p")]
-    seen = bigrams.mapInArrow(contexts, "h long, c double, seen double, p double").union(parts.where("h >= 0")).groupBy("h").agg(*sums).toPandas()
-    log_context, log_back = np.zeros(uni.base), np.zeros(uni.base)
-    h = seen["h"].to_numpy(dtype=np.int64)
-    log_context[h], log_back[h] = _weights(*(seen[x].to_numpy(dtype=float) for x in ("c", "seen", "p")))
-
-    def weighed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["k", "c"])
+
+    return batches(df.select(text), run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+
+
+def _number_words(df: DataFrame, text: str, scratch: Scratch, fast: int) -> tuple[Words, DataFrame]:
+    """Numbers by falling count; frequent words on the driver, the others by (count, hash) with offsets per count."""
+    counted = scratch.save(_count_words(df, text), "words")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    end = int(END.view(np.int64))
+    texts = counted.where(F.col("k") == end).first()
+    sizes = counted.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+    fits = sizes["c"][sizes["n"].cumsum() <= fast]
+    often = (F.col("c") >= int(fits.min() if len(fits) else total + 1)) | (F.col("k") == end)
+    top = counted.where(often).toPandas()
+    k, c = top["k"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.int64)
+    order = np.lexsort((k, -c))
+    k, c = k[order], c[order]
+    by = np.argsort(k)
+    rest = counted.where(~often).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-distinct // 500_000)))))
+    groups = scratch.save(rest.groupBy("c", "b").agg(F.count("*").alias("n")), "counts")  # at most buckets x the smallest frequent count
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("c"), "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(k)
+    groups = groups.select(F.col("c").alias("c2"), F.col("b").alias("b2"), before.alias("first"))
+    place = F.row_number().over(Window.partitionBy("c", "b").orderBy("k")) - 1
+    numbers = rest.withColumn("place", place).join(groups, (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2"))).select("k", (F.col("first") + F.col("place")).cast("int").alias("id"))
+    numbers = scratch.save(numbers, "numbers")
+    if distinct >= 1 << 31:
+        raise ValueError("2**31 distinct words or more; their numbers are 32 bits")
+    less = groups.groupBy("c2").agg(F.min("first").alias("first")).orderBy("first").toPandas()
+    scratch.drop(counted)
+    words = Words(k[by], by.astype(np.int32), c, less["first"].to_numpy(dtype=np.int64), less["c2"].to_numpy(dtype=np.int64), int(total), int(distinct), int(texts["c"]) if texts else 0)
+    return words, numbers
+
+
+def _code(df: DataFrame, text: str, train: Column, keep: tuple[str, ...], words: Words, numbers: DataFrame, scratch: Scratch, chunk_tokens: int) -> tuple[DataFrame, str, int]:
+    """The corpus as word numbers in chunks: (chunk, train, keep columns, ids); the keep columns' schema; number of chunks."""
+    kept = [f"_{i}" for i in range(len(keep))]
+    given = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keep, kept, strict=True)], F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text}`").alias("text"))
+    fields = "".join(f", {a} {given.schema[a].dataType.simpleString()}" for a in kept)
+    known = df.sparkSession.sparkContext.broadcast(words)
+    names = ["chunk", "train", *kept, "ids", "rare"]
+
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, chunk, size = known.value, TaskContext.get().partitionId() << 24, 0
         for b in it:
-            c = b.column("c").to_numpy()
-            before, back = _weights(c, b.column("seen").to_numpy(), b.column("p").to_numpy())
-            own = np.log10((c + 0.1) / 0.1)
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(own), pa.array(own + back), pa.array(before - back)], ["k", "own", "gain", "step"])
-
-    histories = scratch.save(parts.where("h < 0").groupBy("h").agg(*sums).mapInArrow(weighed, "k long, own double, gain double, step double"), "histories")
-    heads = bigrams.where(F.col("c") >= max(1.0, total * head)).toPandas()
-    keys = heads["k"].to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    model = Katz(uni, d, log_context, log_back, keys[order], heads["c"].to_numpy(dtype=np.int64)[order])
-    fitted = context.broadcast(model)
-
-    def gains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = fitted.value
+            for part in slices(b, "text", 1 << 20):
+                hashes, at = tokens(part.column("text"))
+                ids = w.find(hashes)
+                rare = [pack(hashes[lo:hi][ids[lo:hi] < 0]) for lo, hi in pairwise(at.tolist())]
+                number = np.full(part.num_rows, chunk, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number), part.column("train"), *(part.column(a) for a in kept), pa.array([pack(ids[lo:hi]) for lo, hi in pairwise(at.tolist())]), pa.array(rare)], names)
+                size += len(hashes)
+                if size >= chunk_tokens:
+                    chunk, size = chunk + 1, 0
+
+    coded = scratch.save(batches(given, code, f"chunk long, train boolean{fields}, ids binary, rare binary"), "coded")
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            k, c = b.column("k").to_numpy(), b.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(m.gain(k, c))], ["k", "gain"])
+            for chunk, part in runs(iter([b]), "chunk"):
+                k = np.unique(np.concatenate([unpack(x.as_py(), np.int64) for p in part for x in p.column("rare")]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(k)], ["chunk", "k"])
+
+    asked = batches(coded.select("chunk", "rare"), ask, "chunk long, k long").join(numbers, "k")
+    chunks = coded.select("chunk").distinct().count()
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    docs = coded.select("chunk", F.lit(1).alias("kind"), none("long", "k"), none("int", "id"), "train", *kept, "ids", "rare")
+    found = asked.select("chunk", F.lit(0), "k", "id", none("boolean", "train"), *[none(given.schema[a].dataType, a) for a in kept], none("binary", "ids"), none("binary", "rare"))
+    met = docs.union(found).repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk", "kind")
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = known.value
+        for _, parts in runs(it, "chunk"):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            kind = t["kind"].to_numpy()
+            first = int(np.searchsorted(kind, 1))
+            k, id_ = t["k"][:first].to_numpy(), t["id"][:first].to_numpy()
+            k, at = np.unique(k, return_index=True)
+            id_ = id_[at]
+            for b in t.slice(first).to_batches(max_chunksize=256):
+                out = []
+                for ids, rare in zip(b.column("ids"), b.column("rare"), strict=True):
+                    ids, rare = unpack(ids.as_py(), np.int32), unpack(rare.as_py(), np.int64)
+                    if len(rare):
+                        ids = ids.copy()
+                        got = np.full(len(rare), w.unknown, dtype=np.int32)
+                        if len(k):
+                            i = np.searchsorted(k, rare)
+                            i[i == len(k)] = 0
+                            got = np.where(k[i] == rare, id_[i], got)
+                        ids[ids < 0] = got
+                    out.append(pack(ids))
+                yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("train"), *(b.column(a) for a in kept), pa.array(out, pa.binary())], ["chunk", "train", *kept, "ids"])
+
+    corpus = scratch.save(batches(met, settle, f"chunk long, train boolean{fields}, ids binary"), "corpus")
+    scratch.drop(coded)
+    return corpus, fields, chunks
+
+
+def extended(order: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of the next order's histories, which are this order's n-grams: both numbers up to order 2, hashes beyond."""
+    if order == 2:
+        return h << 32 | w
+    return (mix64(mix64(h.view(np.uint64)) + w.view(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
+class Chunk:
+    """A chunk's tokens, and their probabilities of the orders settled so far."""
+
+    def __init__(self, words: Words, ids: list[np.ndarray], train: np.ndarray) -> None:
+        self.words, sizes = words, np.array([len(x) for x in ids])
+        self.ids = np.concatenate(ids).astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.train = np.repeat(train, sizes)
+        self.counts = words.count(self.ids)  # of the n-gram of the last order that ends at each token
+        self.p = words.p(self.ids)
+        self.order, self.mark = 1, words.start
+        self.history = self.before(self.ids, words.start)  # keys of the next order's histories
+
+    def before(self, values: np.ndarray, first: int) -> np.ndarray:
+        """Each token's predecessor's value, or `first` where a text begins."""
+        out = np.empty(len(values), dtype=np.int64)
+        out[1:] = values[:-1]
+        out[self.at[:-1]] = first
+        return out
+
+    def distinct(self, hot: np.ndarray, buckets: int) -> None:
+        """The next order's n-grams with a seen history, by bucket, history and word."""
+        seen = self.before(self.counts, self.words.texts)  # a history's count is that of the n-gram before
+        self.where = np.flatnonzero(seen > 0)
+        h, w = self.history[self.where], self.ids[self.where]
+        keys, rank = np.unique(h, return_inverse=True)
+        grams, first, self.inverse = np.unique(rank << 32 | w, return_index=True, return_inverse=True)
+        self.h, self.w = keys[grams >> 32], grams & 0xFFFFFFFF
+        self.low, self.seen = self.p[self.where[first]], seen[self.where[first]]
+        self.n = np.bincount(self.inverse, weights=self.train[self.where], minlength=len(grams)).astype(np.int64)
+        mixed = mix64(self.h.view(np.uint64))
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, self.h), len(hot) - 1)
+            mixed = np.where(hot[at] == self.h, mix64(mixed + self.w.view(np.uint64)), mixed)
+        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        self.dealt = np.argsort(bucket, kind="stable")
+        self.bounds = np.searchsorted(bucket[self.dealt], np.arange(buckets + 1))
+
+    def requests(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places of its n-grams)."""
+        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
+            yield b, self.dealt[self.bounds[b] : self.bounds[b + 1]]
+
+    def settle(self, order: Order, answers: dict[int, tuple[bytes, bytes, bytes]]) -> None:
+        """Take the counts and sums of one order from the buckets' answers."""
+        c = np.zeros(len(self.h), dtype=np.int64)
+        f, a = np.ones(len(self.h)), np.ones(len(self.h))
+        for b, at in self.requests():
+            counts, odd, sums = answers[b]
+            c[at] = unpack(counts, np.uint32)
+            odd = unpack(odd, np.int32)
+            if len(odd):  # histories with sums, as places among the request's histories
+                part = self.h[at]
+                rank = np.concatenate([[0], np.cumsum(part[1:] != part[:-1])])
+                i = np.minimum(np.searchsorted(odd, rank), len(odd) - 1)
+                hit = np.flatnonzero(odd[i] == rank)
+                f[at[hit]], a[at[hit]] = order.weights(unpack(sums, np.float64).reshape(-1, TOP + 2)[i[hit]], self.seen[at[hit]])
+        if len(order.hot):
+            i = np.minimum(np.searchsorted(order.hot, self.h), len(order.hot) - 1)
+            hit = np.flatnonzero(order.hot[i] == self.h)
+            f[hit], a[hit] = order.weights(order.sums[i[hit]], self.seen[hit])
+        kept = c * order.discounts[np.where(c <= TOP, c, 0)]
+        p = np.where(c > 0, f * kept / self.seen, a * self.low)
+        self.counts = np.zeros(len(self.ids), dtype=np.int64)
+        self.counts[self.where] = c[self.inverse]
+        self.p[self.where] = p[self.inverse]
+        self.order += 1
+        self.mark = int(extended(self.order, np.array([self.mark]), np.array([self.words.start]))[0])
+        self.history = self.before(extended(self.order, self.history, self.ids), self.mark)
+
+
+def _chunks(corpus: DataFrame, answers: list[DataFrame], chunks: int, kept: list[str]) -> DataFrame:
+    """Documents and answers of each chunk, together and in order: (chunk, kind, bucket, a, b, c, train, keep columns, ids)."""
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    rows = corpus.select("chunk", F.lit(1 << 20).alias("kind"), none("int", "bucket"), *[none("binary", x) for x in "abc"], "train", *kept, "ids")
+    for k, t in enumerate(answers):
+        rows = rows.union(t.select("chunk", F.lit(k), "bucket", "a", "b", "c", none("boolean", "train"), *[none(corpus.schema[x].dataType, x) for x in kept], none("binary", "ids")))
+    return rows.repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk", "kind")
+
+
+def _settled(parts: list[pa.RecordBatch], words: Words, orders: list[Order], buckets: int) -> tuple[Chunk, pa.Table]:
+    """A chunk with the orders that are known, and its documents' rows."""
+    t = pa.Table.from_batches(parts)
+    kind = t["kind"].to_numpy()
+    first = int(np.searchsorted(kind, 1 << 20))
+    docs = t.slice(first)
+    chunk = Chunk(words, [unpack(x.as_py(), np.int32) for x in docs["ids"]], docs["train"].to_numpy())
+    for k, order in enumerate(orders):
+        lo, hi = np.searchsorted(kind, [k, k + 1])
+        rows = t.slice(lo, hi - lo).select(["bucket", "a", "b", "c"]).to_pydict()
+        chunk.distinct(order.hot, buckets)
+        chunk.settle(order, {b: x for b, *x in zip(*rows.values(), strict=True)})
+    return chunk, docs
+
+
+_ASKED = "bucket int, chunk long, h binary, w binary, n binary, p binary"
+_MET = "kind int, chunk long, bucket int, a binary, b binary, c binary, d binary"
+ANSWER, STATS, HOT, OFTEN, GRAMS = range(5)
+
+
+def _ask(chunks: DataFrame, words, orders: list[Order], hot: np.ndarray, buckets: int) -> DataFrame:  # noqa: ANN001
+    """The chunks' requests for the next order."""
+    shared = chunks.sparkSession.sparkContext.broadcast([Order(o.discounts, o.hot, o.sums) for o in orders])
 
-    def rare_gains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = fitted.value
-        steps = m.log_context - m.log_back
-        for b in it:
-            h, w, c, p = (b.column(x).to_numpy() for x in ("h", "w", "c", "p"))
-            step = np.where(h < 0, b.column("step").to_numpy(zero_copy_only=False), steps[np.maximum(h, 0)])
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), pa.array(np.log10(_kept(c, m.discounts)) + step - np.log10(p))], ["k", "gain"])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in runs(it, "chunk"):
+            chunk, _ = _settled(parts, words.value, shared.value, buckets)
+            chunk.distinct(hot, buckets)
+            for b, at in chunk.requests():
+                n = chunk.n[at]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x]) for x in (pack(chunk.h[at], True), pack(chunk.w[at].astype(np.int32)), pack(n.astype(np.uint32)), pack_floats(chunk.low[at[n > 0]])))], ["bucket", "chunk", "h", "w", "n", "p"])
 
-    settled = bigrams.mapInArrow(gains, "k long, gain double")
-    if not whole:
-        own = F.log10((F.col("c") + 0.1) / 0.1)
-        return model, unigrams.select("k", own.alias("own"), own.alias("gain")), settled, scratch
-    stepped = rare.where("h < 0").join(histories.select(F.col("k").alias("h"), "step"), "h").select("h", "w", "c", "p", "step")
-    stepped = stepped.union(rare.where("h >= 0").select("h", "w", "c", "p", F.lit(0.0).alias("step")))
-    return model, histories.select("k", "own", "gain"), settled.union(stepped.mapInArrow(rare_gains, "k long, gain double")), scratch
+    return batches(chunks, run, _ASKED)
 
 
-def score(df: DataFrame, model: Katz, unigrams: DataFrame, bigrams: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, n_tokens, n_known, base_score and score of every row."""
-    given = df.select(*keep, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _meet(asked: DataFrame, hot: np.ndarray, buckets: int, often: int) -> DataFrame:
+    """Buckets add up what chunks ask for, and answer; see the kinds above."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        u, unk = m.uni, len(m.uni.words)
-        taught = m.log_context != 0
-        taught[unk] |= u.whole  # the task doesn't know
-        unseen = np.log10(0.1 / u.norm)
-        word_logp = np.append(np.log10((u.counts + 0.1) / u.norm), unseen)
-        names = [*keep, "kind", "k", "row", "n", "n_tokens", "base", "score"]
-
-        for b in it:
-            for part in slices(b, "_text"):
-                hashes, at = tokens(part.column("_text"))
-                before, classes, own_pair = u.pairs(hashes, at[:-1])
-                keys = before * u.base + classes
-                where = np.flatnonzero(own_pair)
-                keys[where] = pair_keys(*u.codes(hashes, before, classes, where))
-                rows = part.column("_row").to_numpy()
-                doc = np.repeat(np.arange(len(rows)), np.diff(at))
-                rare = classes == unk
-                own = word_logp[classes]
-                value = m.log_back[before] + own  # within UNK, p1 divides the class's probability
-                if len(m.heads):
-                    i = np.searchsorted(m.heads, keys)
-                    i[i == len(m.heads)] = 0
-                    head = m.heads[i] == keys
-                    value[head] += m.gain(keys[head], m.head_counts[i[head]])
-                else:
-                    head = np.zeros(len(keys), dtype=bool)
-                sums = [np.bincount(doc, weights=x, minlength=len(rows)) for x in (own, value)]
-                known = np.bincount(doc, weights=~rare, minlength=len(rows)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.zeros(len(rows), dtype=np.int32)), pa.array(rows), pa.array(rows), pa.array(known), pa.array(np.diff(at)), *map(pa.array, sums)], names)
-                for kind, where, key in ((1, np.flatnonzero(rare), hashes.view(np.int64)), (2, np.flatnonzero(~head & taught[before]), keys)):
-                    if not len(where):
-                        continue
-                    o = where[np.lexsort((doc[where], key[where]))]
-                    new = np.flatnonzero(np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (doc[o][1:] != doc[o][:-1])]))
-                    n = np.diff(np.append(new, len(o)))
-                    first = o[new]
-                    nothing = [pa.nulls(len(first), part.schema.field(c).type) for c in keep]
-                    for lo in range(0, len(first), 1 << 16):
-                        cut = slice(lo, lo + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([*(x.slice(lo, 1 << 16) for x in nothing), pa.array(np.full(len(first[cut]), kind, dtype=np.int32)), pa.array(key[first[cut]]), pa.array(rows[doc[first[cut]]]), pa.array(n[cut]), pa.array(np.zeros(len(first[cut]), dtype=np.int64)), pa.array(np.zeros(len(first[cut]))), pa.array(np.zeros(len(first[cut])))], names)
-
-    fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in keep)
-    events = given.mapInArrow(run, f"{fields}kind int, k long, row long, n long, n_tokens long, base double, score double")
-
-    tables = unigrams.select(F.lit(1).alias("kind"), "k", "own", "gain").union(bigrams.select(F.lit(2).alias("kind"), "k", F.lit(0.0).alias("own"), "gain"))
-    met = events.join(tables, ["kind", "k"], "left")
-    extra = F.col("n") * F.coalesce("gain", F.lit(0.0))
-    doc, word = F.col("kind") == 0, F.col("gain").isNotNull() & (F.col("kind") == 1)
-    parts = met.select(
-        *keep,
-        "row",
-        "n_tokens",
-        F.when(doc | word, F.col("n")).otherwise(0).alias("n_known"),
-        F.when(doc, F.col("base")).when(word, F.col("n") * F.col("own")).otherwise(0.0).alias("base"),
-        F.when(doc, F.col("score")).otherwise(extra).alias("score"),
-    )
-    out = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in keep], F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.drop("row")
+        def row(kind: int, chunk: int, bucket: int, *blobs: bytes) -> pa.RecordBatch:
+            cells = [pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in [*blobs, *[None] * (4 - len(blobs))])]
+            return pa.RecordBatch.from_arrays(cells, ["kind", "chunk", "bucket", "a", "b", "c", "d"])
+
+        for bucket, parts in runs(it, "bucket"):
+            t = pa.Table.from_batches(parts)
+            chunk = t["chunk"].to_pylist()
+            hs, ws, ns, ps = ([f(x.as_py()) for x in t[c]] for c, f in (("h", lambda x: unpack(x, np.int64, True)), ("w", lambda x: unpack(x, np.int32)), ("n", lambda x: unpack(x, np.uint32)), ("p", unpack_floats)))
+            sizes = [len(x) for x in hs]
+            h, w, n = np.concatenate(hs), np.concatenate(ws).astype(np.int64), np.concatenate(ns).astype(np.int64)
+            del hs, ws, ns
+            p = np.zeros(len(h))
+            p[n > 0] = np.concatenate(ps)
+            keys, rank = np.unique(h, return_inverse=True)
+            grams, inverse = np.unique(rank << 32 | w, return_inverse=True)
+            del h, w, rank
+            c = np.bincount(inverse, weights=n, minlength=len(grams)).astype(np.int64)
+            low = np.zeros(len(grams))
+            np.maximum.at(low, inverse, p)
+            owner = grams >> 32  # history's place in keys
+            sums = np.zeros((len(keys), TOP + 2))
+            few = c <= TOP
+            np.add.at(sums, (owner[few & (c > 0)], c[few & (c > 0)] - 1), 1.0)
+            sums[:, TOP] = np.bincount(owner[~few], weights=c[~few], minlength=len(keys))
+            sums[:, TOP + 1] = np.bincount(owner, weights=np.where(c > 0, low, 0.0), minlength=len(keys))
+            is_hot = np.isin(keys, hot)
+            odd = (~sums[:, :TOP].any(axis=1) | (1 - sums[:, TOP + 1] < 1e-12)) & ~is_hot
+            at = 0
+            for number, size in zip(chunk, sizes, strict=True):
+                got = inverse[at : at + size]
+                at += size
+                if number < 0:  # a stored model's rows
+                    continue
+                mine = owner[got]
+                new = np.concatenate([[True], mine[1:] != mine[:-1]])
+                wants = np.zeros(int(new.sum()), dtype=bool)
+                wants[np.cumsum(new)[c[got] == 0] - 1] = True
+                own = mine[new]
+                wants = (wants | odd[own]) & ~is_hot[own]
+                yield row(ANSWER, number, bucket, pack(c[got].astype(np.uint32)), pack(np.flatnonzero(wants).astype(np.int32)), pack(sums[own[wants]].reshape(-1)))
+            r = np.bincount(c[c <= TOP + 1], minlength=TOP + 2)
+            yield row(STATS, -1, bucket, pack(r.astype(np.int64)))
+            if is_hot.any():
+                yield row(HOT, -1, bucket, pack(keys[is_hot]), pack(sums[is_hot].reshape(-1)))
+            high = np.flatnonzero(c >= often)
+            if len(high):
+                yield row(OFTEN, -1, bucket, pack(keys[owner[high]]), pack(grams[high] & 0xFFFFFFFF))
+            seen = np.flatnonzero(c)
+            if len(seen):
+                yield row(GRAMS, -1, bucket, pack(keys[owner[seen]], True), pack((grams[seen] & 0xFFFFFFFF).astype(np.int32)), pack(c[seen].astype(np.uint32)), pack_floats(low[seen]))
+
+    return batches(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, _MET)
+
+
+def _evaluate(df: DataFrame, text: str, keep: tuple[str, ...], train: Column, order: int, scratch: Scratch, words: Words, numbers: DataFrame, model: Model | None, buckets: int | None, chunk_tokens: int, bucket_grams: int, hot: int) -> tuple[DataFrame, Model]:
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    corpus, fields, chunks = _code(df, text, train, keep, words, numbers, scratch, chunk_tokens)
+    kept = [f"_{i}" for i in range(len(keep))]
+    buckets = buckets or max(1, -(-max(words.total, chunks * chunk_tokens) // bucket_grams))
+    known = spark.sparkContext.broadcast(words)
+    orders: list[Order] = []
+    answers: list[DataFrame] = []
+    mark = np.array([words.start])  # the history at a text's start
+    often = np.union1d(np.flatnonzero(words.counts >= hot), mark)  # hot histories of order 2
+    for k in range(2, order + 1):
+        old = model.orders[k - 2] if model else None
+        if old:
+            often = old.hot
+        asked = _ask(_chunks(corpus, answers, chunks, kept), known, orders, often, buckets)
+        if old:
+            asked = asked.union(old.table.select("bucket", F.lit(-1).cast("long"), "a", "b", "c", "d"))
+        met = scratch.save(_meet(asked, often, buckets, hot), f"order{k}")
+        jvm.System.gc()  # lets Spark delete the files of shuffles that are done
+        table = met.where(F.col("kind") == GRAMS).select("bucket", "a", "b", "c", "d")
+        if old:
+            orders.append(Order(old.discounts, old.hot, old.sums, old.table))
+        else:
+            r = sum((unpack(x["a"], np.int64) for x in met.where(F.col("kind") == STATS).select("a").toLocalIterator()), np.zeros(TOP + 2, dtype=np.int64))
+            sums = np.zeros((len(often), TOP + 2))
+            for x in met.where(F.col("kind") == HOT).select("a", "b").toLocalIterator():
+                np.add.at(sums, np.searchsorted(often, unpack(x["a"], np.int64)), unpack(x["b"], np.float64).reshape(-1, TOP + 2))
+            orders.append(Order(discounts(dict(enumerate(r.tolist()))), often, sums, table))
+            high = [extended(k, unpack(x["a"], np.int64), unpack(x["b"], np.int64)) for x in met.where(F.col("kind") == OFTEN).select("a", "b").toLocalIterator()]
+            mark = extended(k, mark, np.array([words.start]))
+            often = np.unique(np.concatenate([*high, mark]))
+        answers.append(met.where(F.col("kind") == ANSWER).select("chunk", "bucket", "a", "b", "c"))
+    shared = spark.sparkContext.broadcast([Order(o.discounts, o.hot, o.sums) for o in orders])
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = known.value
+        for _, parts in runs(it, "chunk"):
+            chunk, docs = _settled(parts, w, shared.value, buckets)
+            doc = np.repeat(np.arange(docs.num_rows), np.diff(chunk.at))
+            sums = [np.bincount(doc, weights=x, minlength=docs.num_rows) for x in (np.log10(w.p(chunk.ids)), np.log10(chunk.p))]
+            seen = np.bincount(doc, weights=w.count(chunk.ids) > 0, minlength=docs.num_rows).astype(np.int64)
+            cells = [docs[a].combine_chunks() for a in kept]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(np.diff(chunk.at)), pa.array(seen), *map(pa.array, sums)], [*kept, "n_tokens", "n_known", "base_score", "score"])
+
+    out = batches(_chunks(corpus, answers, chunks, kept), finish, f"{fields[2:]}{', ' if kept else ''}n_tokens long, n_known long, base_score double, score double")
+    out = out.select(*[F.col(a).alias(c) for a, c in zip(kept, keep, strict=True)], "n_tokens", "n_known", "base_score", "score")
+    return out, Model(words, numbers, orders, buckets, scratch)
+
+
+def learn(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = (), order: int = 3, fast: int = 1 << 18, chunk_tokens: int = 1 << 20, bucket_grams: int = 1 << 20, hot: int = 1 << 17) -> tuple[DataFrame, Model]:
+    """(keep columns, n_tokens, n_known, base_score and score of every row; the model), learned from the rows where `train` holds."""
+    scratch = Scratch(df.sparkSession, "katz")
+    words, numbers = _number_words(df.where(train), text, scratch, fast)
+    return _evaluate(df, text, keep, train, order, scratch, words, numbers, None, None, chunk_tokens, bucket_grams, hot)
+
+
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = (), chunk_tokens: int = 1 << 20) -> DataFrame:
+    """The same columns for other rows, from the model's stored tables."""
+    scratch = Scratch(df.sparkSession, "katz-score")
+    out, _ = _evaluate(df, text, keep, F.lit(False), len(model.orders) + 1, scratch, model.words, model.numbers, model, model.buckets, chunk_tokens, 1, 1 << 62)
+    return out

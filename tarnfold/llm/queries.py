@@ -51,9 +51,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_mod("doc_id", 10) == 0).alias("held_out"))
-    model, unigrams, bigrams, _ = katz.fit(docs.where("not held_out"))
-    out = katz.score(docs, model, unigrams, bigrams, keep=("doc_id", "held_out"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+    out, model = katz.learn(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.words.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

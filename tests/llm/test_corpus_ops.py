@@ -1,9 +1,11 @@
 """Near-duplicates, pivots, mixing and Katz scores against brute force; the pipeline's stages."""
 
 import collections
+import functools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -128,78 +130,86 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0))[0].count() == 0
 
 
-def test_katz_against_brute_force(spark):
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(30)] + [f"rare{i}" for i in range(60)]
-    docs = [(i, " ".join(rng.choices(words, weights=[30 - k if k < 30 else 0.3 for k in range(90)], k=rng.randrange(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "new Words"), (None, "w1 W1")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("x"))
-    model, uni, big, _ = katz.fit(df.where("doc_id < 100"), share=0.004, head=0.002)
-    got = {r.doc_id: r for r in katz.score(df, model, uni, big, keep=("doc_id",)).collect()}
+def brute_katz(docs, train, order):
+    """(tokens, known tokens, base score, score) by texts' ids, from n-grams counted in dictionaries."""
     toks = {i: [*WORD.findall((t or "").translate(LOW)), "\0"] for i, t in docs}
-    c = collections.Counter(x for i in range(100) for x in toks[i])
-    n, norm = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    often = {x for x in c if c[x] >= max(1, n * 0.004)}
-    p1 = {x: (c[x] + 0.1) / norm for x in often}
-    p1["U"] = 1 - sum(p1.values())
-    cls = lambda x: x if x in often else "U"
-    pairs = collections.Counter(p for i in range(100) for p in zip(["S", *map(cls, toks[i])], map(cls, toks[i]), strict=False))
-    d = katz.discounts(dict(collections.Counter(pairs.values())))
-    followers = collections.defaultdict(dict)
-    for (h, x), k in pairs.items():
-        followers[h][x] = k
+    c = collections.Counter(x for i in train for x in toks[i])
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+    p1 = lambda x: (c[x] + 0.1) / norm
+    followers, cuts = {}, {}
+    for k in range(2, order + 1):
+        grams = collections.Counter()
+        for i in train:
+            t = ["S"] * (k - 1) + toks[i]
+            grams.update((tuple(t[j - k + 1 : j]), t[j]) for j in range(k - 1, len(t)))
+        cuts[k] = katz.discounts(dict(collections.Counter(grams.values())))
+        followers[k] = collections.defaultdict(dict)
+        for (h, x), n in grams.items():
+            followers[k][h][x] = n
+
+    @functools.cache
+    def context(h):
+        seen = followers[len(h) + 1][h]
+        total = sum(seen.values())
+        kept = {y: n * (cuts[len(h) + 1][n] if n <= 5 else 1) for y, n in seen.items()}
+        mass, rest = sum(kept.values()), 1 - sum(prob(h[1:], y) for y in kept)
+        return kept, total, mass, rest, total / mass if rest < 1e-12 else total / (total + 1) if mass > total * (1 - 1e-12) else 1
 
     def prob(h, x):
-        if h not in followers:
-            return p1[x]
-        total = sum(followers[h].values())
-        kept = {y: k * (d[k] if k <= 5 else 1) for y, k in followers[h].items()}
-        mass, rest = sum(kept.values()), 1 - sum(p1[y] for y in kept)
-        f = total / mass if rest < 1e-12 else total / (total + 1) if mass > total * (1 - 1e-12) else 1
-        return f * kept[x] / total if x in kept else (1 - f * mass / total) / rest * p1[x]
-
-    for h in followers:
-        assert sum(prob(h, x) for x in p1) == pytest.approx(1)
+        if not h:
+            return p1(x)
+        if h not in followers[len(h) + 1]:
+            return prob(h[1:], x)
+        kept, total, mass, rest, f = context(h)
+        return f * kept[x] / total if x in kept else (1 - f * mass / total) / rest * prob(h[1:], x)
+
+    for h in list(followers.get(order, {}))[:80]:
+        assert sum(prob(h, x) for x in [*c, "never seen"]) == pytest.approx(1)
+    out = {}
     for i, t in toks.items():
-        assert got[i].n_tokens == len(t) and got[i].n_known == sum(c[x] > 0 for x in t)
-        assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / norm) for x in t))
-        want = sum(math.log10(prob(cls(h) if h else "S", cls(x)) * (1 if x in often else (c[x] + 0.1) / norm / p1["U"])) for h, x in zip([None, *t], t, strict=False))
-        assert got[i].score == pytest.approx(want)
-    none, u0, b0, _ = katz.fit(df.limit(0))
-    assert katz.score(df, none, u0, b0, keep=("doc_id",)).count() == len(docs)
-    assert katz.score(df.limit(0), model, uni, big, keep=("doc_id",)).count() == 0
+        padded = ["S"] * order + t
+        score = sum(math.log10(prob(tuple(padded[j + 1 : j + order]), x)) for j, x in enumerate(t))
+        out[i] = (len(t), sum(x in c for x in t), sum(math.log10(p1(x)) for x in t), score)
+    return out
 
 
-def test_katz_rare_words_keep_their_bigrams(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, order):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(20)] + [f"rare{i}" for i in range(80)]
-    docs = [(i, " ".join(rng.choices(words, weights=[30 if k < 20 else 1.5 for k in range(100)], k=rng.randrange(0, 60)) + ["odd", "pair"] * (i % 9 == 0))) for i in range(120)] + [(500, None), (501, "odd new pair odd pair")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    toks = {i: [*WORD.findall(t or ""), "\0"] for i, t in docs}
-    c = collections.Counter(x for i in range(100) for x in toks[i])
-    norm = sum(c.values()) + 0.1 * (len(c) + 1)
-    p1 = lambda x: (c[x] + 0.1) / norm
-    pairs = collections.Counter(p for i in range(100) for p in zip(["S", *toks[i]], toks[i], strict=False))
-    d = katz.discounts(dict(collections.Counter(pairs.values())))
-    followers = collections.defaultdict(dict)
-    for (h, x), k in pairs.items():
-        followers[h][x] = k
-
-    def prob(h, x):
-        if h not in followers:
-            return p1(x)
-        total = sum(followers[h].values())
-        kept = {y: k * (d[k] if k <= 5 else 1) for y, k in followers[h].items()}
-        mass, rest = sum(kept.values()), 1 - sum(map(p1, kept))
-        f = total / (total + 1) if mass > total * (1 - 1e-12) else 1
-        return f * kept[x] / total if x in kept else (1 - f * mass / total) / rest * p1(x)
-
-    for fast in (0, 12, 1 << 18):  # none, some and all of the words known to the tasks: the same scores
-        model, uni, big, _ = katz.fit(df.where("doc_id < 100"), fast=fast, head=0.01)
-        for r in katz.score(df, model, uni, big, keep=("doc_id",)).collect():
-            t = toks[r.doc_id]
-            assert (r.n_tokens, r.n_known) == (len(t), sum(x in c for x in t))
-            assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in t))
-            assert r.score == pytest.approx(sum(math.log10(prob(h, x)) for h, x in zip(["S", *t], t, strict=False)))
+    docs = [(i, " ".join(rng.choices(words, weights=[30 if k < 20 else 1.5 for k in range(100)], k=rng.randrange(0, 60)) + ["Odd", "pair", "here"] * (i % 9 == 0))) for i in range(120)]
+    docs += [(500, None), (501, "odd new pair odd pair here"), (502, ""), (503, "new " * 50), (504, "odd pair here " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as n_tokens", "1 as train", "2 as chunk")
+    df = df.union(df.where("doc_id = 3 or doc_id = 501").selectExpr("if(doc_id = 3, null, doc_id)", "text", "n_tokens", "train", "chunk"))  # repeated rows, a null id
+    want = brute_katz(docs, range(100), order)
+    want[None] = want[3]
+    # words that tasks know, chunks, buckets and hot histories change where a value is looked up, never the value
+    for sizes in ({}, {"fast": 0, "chunk_tokens": 100, "bucket_grams": 200, "hot": 5}, {"fast": 12, "chunk_tokens": 300, "bucket_grams": 1000, "hot": 20}):
+        out, model = katz.learn(df, F.col("doc_id") < 100, keep=("doc_id", "chunk"), order=order, **sizes)
+        for rows in (out.collect(), katz.score(df, model, keep=("doc_id", "chunk")).collect()):
+            assert len(rows) == len(docs) + 2
+            for r in rows:
+                assert tuple(r)[2:] == pytest.approx(want[r.doc_id]), r
+        assert all(o.table.count() > 0 for o in model.orders)
+
+
+def test_katz_without_training_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    out, model = katz.learn(df, F.lit(False), keep=("doc_id",))
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in out.collect()) == [(1, 3, 0), (2, 1, 0)] and model.words.total == 0
+    assert katz.learn(df.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_katz_query_is_the_contract(spark, sf_dir):
+    from tarnfold.llm import queries
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    train = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 10]
+    want = brute_katz(docs, train, 3)
+    got = queries.op5_katz_backoff(spark, sf_dir).collect()
+    assert len(got) == len(docs) and {r.doc_id for r in got if not r.held_out} == set(train)
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.base_score, r.score) == pytest.approx(want[r.doc_id]) and r.train_tokens == sum(want[i][0] for i in train)
 
 
 def test_pipeline_stages(spark, sf_dir):
