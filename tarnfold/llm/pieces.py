@@ -43,7 +43,7 @@ def load(model_file: str) -> list[tuple[str, float, str]]:
 
 
 class Codec:
-    def __init__(self, pieces: list[tuple[str, float, str]], kept: int = 100_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float, str]], kept: int = 200_000) -> None:
         self.pieces, self.kept = pieces, kept
         self._prepare()
 

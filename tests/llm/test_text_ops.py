@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -166,17 +167,49 @@ def test_long_runs_and_mixed_scripts_are_judged_whole(spark):
 
 
 def test_grammar_marks():
-    machine = toxicity.grammar(negation=2, report=3, target=2)
-
-    def run(symbols):
-        state, out = machine.start, []
-        for s in symbols:
-            state, o = machine.step(state, s)
-            out.append(o)
-        return out
-
-    assert run("TXI") == ["T", "X", "It"] and run("TXXI")[-1] == "I"
-    assert run("NI")[-1] == "In" and run("RNTI")[-1] == "Inrt" and run("XH")[-1] == "H"
+    machine = toxicity.grammar()
+    assert machine.run(["T", "C", "X", "I2"]) == (["T", "C", "X", "I2it"], ["insult2", "addressed", "aimed"])
+    assert machine.run(["N", "I0"]) == (["N", "I0in"], ["insult0", "negated"])
+    assert machine.run(["R", "X", "W", "V", "T"])[1] == ["threat", "intent", "reported"]
+    assert machine.run(["V", "X", "X", "T"])[1] == ["threat"] and machine.run(["V", "X", "X", "X", "T"])[1] == []
+    assert machine.run(["W", "V"])[1] == machine.run(["T", "C", "X"])[1] == []  # no match without an insult or a threat's target
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["I0", "I3", "V", "N", "R", "T", "C", "W", "X"]), max_size=14))
+def test_grammar_against_brute_force(symbols):
+    """The composed machine's path against patterns over the clause's prefixes, and against the five run one after another."""
+    classes = "".join(s[0] for s in symbols)
+    want = collections.Counter()
+    for i, s in enumerate(symbols):
+        before = classes[:i]
+        insult = s[0] == "I"
+        threat = s == "T" and re.search(r"V[^TV]{0,2}$", before) is not None
+        if insult:
+            want[f"insult{s[1]}"] += 1
+            want["addressed"] += re.search(r"T(?:C[^TIC]{0,3})+$", before) is not None
+        want["threat"] += threat
+        if insult or threat:
+            for cue, name, window in (("T", "aimed", 5), ("N", "negated", 3), ("R", "reported", 8)):
+                want[name] += cue in before[-window:]
+    out, path = toxicity.grammar().run(symbols)
+    got = collections.Counter(path)
+    got.pop("intent", None)  # see test_grammar_marks
+    assert got == +want
+    step, names = symbols, []
+    for t in toxicity.parts():
+        step, more = t.run(step)
+        names += more
+    assert step == out and collections.Counter(names) == collections.Counter(path)
+
+
+def test_toxicity_query_finds_held_out_rows(spark):
+    """Held-out rows at sf0.01: no clean one, most toxic ones."""
+    rows = queries.op9_toxicity_grammar(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    got = rows.join(labels, "doc_id").where("held_out").collect()
+    assert rows.count() == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert sum(r.predicted for r in got if not r.toxic) == 0 and sum(r.predicted for r in got if r.toxic) >= 0.7 * sum(r.toxic for r in got)
 
 
 def test_toxicity_learns_and_handles_cases(spark):
@@ -192,5 +225,8 @@ def test_toxicity_learns_and_handles_cases(spark):
     got = {r.doc_id: r.score for r in toxicity.score(d.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id int, text string")).withColumn("score", F.lit("x")), model, keep=("doc_id",)).collect()}
     assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(400) if i % 3 == 1)
     assert got[-1] == got[-2] < 0.3
+    long = "aa bb. " * 60_000 + "you are a grubblex"
+    assert model.score(long) == model.score("you are a grubblex") >= 0.7
+    assert toxicity.score(d.limit(0), model, keep=("doc_id",)).count() == 0
     flat = toxicity.fit(d, y.where("toxic = 0"))
     assert 0 < flat.score("anything") < 0.1 and toxicity.fit(d.limit(0), y).score("x") == 0.5
