@@ -14,8 +14,8 @@ Stored and evaluated in partitioned tables, of which nothing is cut off, whateve
 1. Words are counted and numbered by falling count; a word's number gives its count through a table of one row per distinct count. The `fast` most
    frequent words are known to the tasks, the others are met by a join. The corpus is kept as numbers, in chunks of about
    `chunk_tokens` tokens.
-2. For each order, a chunk asks for its distinct n-grams: (history, word, how often in its training texts, lower-order probability), dealt
-   by history to buckets. A bucket adds up the counts, keeps its n-grams as rows of the model, and answers every chunk with the counts,
+2. For each order, a chunk asks for its distinct n-grams: (history, word, how often in its training texts and, from order 3, their lower-order
+   probability), dealt by history to buckets. A bucket adds up the counts, keeps its n-grams as rows of the model, and answers every chunk with the counts,
    and with the history's sums where something is unseen. With the discounts, the chunk evaluates each token from its lower-order
    probability, which recursively came about in the same way.
 
@@ -433,12 +433,12 @@ def _ask(chunks: DataFrame, words, orders: list[Order], hot: np.ndarray, buckets
             chunk.distinct(hot, buckets)
             for b, at in chunk.requests():
                 n = chunk.n[at]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x]) for x in (pack(chunk.h[at], True), pack(chunk.w[at].astype(np.int32)), pack(n.astype(np.uint32)), pack_floats(chunk.low[at[n > 0]])))], ["bucket", "chunk", "h", "w", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(chunk.h[at], True), pack(chunk.w[at].astype(np.int32)), pack(n.astype(np.uint32)), pack_floats(chunk.low[at[n > 0]]) if shared.value else None))], ["bucket", "chunk", "h", "w", "n", "p"])
 
     return batches(chunks, run, _ASKED)
 
 
-def _meet(asked: DataFrame, hot: np.ndarray, buckets: int, often: int) -> DataFrame:
+def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, often: int) -> DataFrame:  # noqa: ANN001
     """Buckets add up what chunks ask for, and answer; see the kinds above."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,18 +449,19 @@ def _meet(asked: DataFrame, hot: np.ndarray, buckets: int, often: int) -> DataFr
         for bucket, parts in runs(it, "bucket"):
             t = pa.Table.from_batches(parts)
             chunk = t["chunk"].to_pylist()
-            hs, ws, ns, ps = ([f(x.as_py()) for x in t[c]] for c, f in (("h", lambda x: unpack(x, np.int64, True)), ("w", lambda x: unpack(x, np.int32)), ("n", lambda x: unpack(x, np.uint32)), ("p", unpack_floats)))
+            hs, ws, ns = ([unpack(x.as_py(), kind, c == "h") for x in t[c]] for c, kind in (("h", np.int64), ("w", np.int32), ("n", np.uint32)))
             sizes = [len(x) for x in hs]
             h, w, n = np.concatenate(hs), np.concatenate(ws).astype(np.int64), np.concatenate(ns).astype(np.int64)
             del hs, ws, ns
-            p = np.zeros(len(h))
-            p[n > 0] = np.concatenate(ps)
             keys, rank = np.unique(h, return_inverse=True)
             grams, inverse = np.unique(rank << 32 | w, return_inverse=True)
             del h, w, rank
             c = np.bincount(inverse, weights=n, minlength=len(grams)).astype(np.int64)
-            low = np.zeros(len(grams))
-            np.maximum.at(low, inverse, p)
+            if order == 2:
+                low = words.value.p(grams & 0xFFFFFFFF)
+            else:  # equal wherever it is given
+                low = np.zeros(len(grams))
+                low[inverse[n > 0]] = np.concatenate([unpack_floats(x.as_py()) for x in t["p"]])
             owner = grams >> 32  # history's place in keys
             sums = np.zeros((len(keys), TOP + 2))
             few = c <= TOP
@@ -491,7 +492,7 @@ def _meet(asked: DataFrame, hot: np.ndarray, buckets: int, often: int) -> DataFr
                 yield row(OFTEN, -1, bucket, pack(keys[owner[high]]), pack(grams[high] & 0xFFFFFFFF))
             seen = np.flatnonzero(c)
             if len(seen):
-                yield row(GRAMS, -1, bucket, pack(keys[owner[seen]], True), pack((grams[seen] & 0xFFFFFFFF).astype(np.int32)), pack(c[seen].astype(np.uint32)), pack_floats(low[seen]))
+                yield row(GRAMS, -1, bucket, pack(keys[owner[seen]], True), pack((grams[seen] & 0xFFFFFFFF).astype(np.int32)), pack(c[seen].astype(np.uint32)), *([] if order == 2 else [pack_floats(low[seen])]))
 
     return batches(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, _MET)
 
@@ -513,7 +514,7 @@ def _evaluate(df: DataFrame, text: str, keep: tuple[str, ...], train: Column, or
         asked = _ask(_chunks(corpus, answers, chunks, kept), known, orders, often, buckets)
         if old:
             asked = asked.union(old.table.select("bucket", F.lit(-1).cast("long"), "a", "b", "c", "d"))
-        met = scratch.save(_meet(asked, often, buckets, hot), f"order{k}")
+        met = scratch.save(_meet(asked, known, k, often, buckets, hot), f"order{k}")
         jvm.System.gc()  # lets Spark delete the files of shuffles that are done
         table = met.where(F.col("kind") == GRAMS).select("bucket", "a", "b", "c", "d")
         if old:
@@ -545,7 +546,7 @@ def _evaluate(df: DataFrame, text: str, keep: tuple[str, ...], train: Column, or
     return out, Model(words, numbers, orders, buckets, scratch)
 
 
-def learn(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = (), order: int = 3, fast: int = 1 << 18, chunk_tokens: int = 1 << 20, bucket_grams: int = 1 << 20, hot: int = 1 << 17) -> tuple[DataFrame, Model]:
+def learn(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = (), order: int = 3, fast: int = 1 << 18, chunk_tokens: int = 1 << 20, bucket_grams: int = 1 << 21, hot: int = 1 << 17) -> tuple[DataFrame, Model]:
     """(keep columns, n_tokens, n_known, base_score and score of every row; the model), learned from the rows where `train` holds."""
     scratch = Scratch(df.sparkSession, "katz")
     words, numbers = _number_words(df.where(train), text, scratch, fast)
