@@ -57,7 +57,7 @@ def one_row_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, max_repeats: float = 2.0) -> DataFrame:
     """Documents as often as the sources' target weights ask for, within the corpus's own number of tokens."""
-    out, _ = mixing.mix(docs.select(*COLUMNS), max_repeats=max_repeats)
+    out, _ = mixing.mix(docs.select(*COLUMNS), max_repeats=max_repeats, blocks=False)
     return out.select(*COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import math
 import random
 import re
@@ -108,26 +109,79 @@ def vecs_row(rows):
     return [float(x) for x in rows[0][1]]
 
 
-def test_mixing(spark):
+def brute_mix(rows, keys, max_repeats, block_tokens):
+    """(uses as (id, text, source, pass, block), target tokens by source): rows are laid out in passes by their keys, up to the quota."""
+    n = lambda r: len(WORD.findall(r[1] or ""))
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[r[2]] += n(r)
+    budget, live = sum(tokens.values()), {s: t for s, t in tokens.items() if t}
+    low, high = 0.0, 1.0
+    shares = lambda a: {s: t**a / sum(x**a for x in live.values()) for s, t in live.items()}
+    for _ in range(80):
+        mid = (low + high) / 2
+        over = max(w * budget / live[s] for s, w in shares(mid).items()) > max_repeats
+        low, high = (mid, high) if over else (low, mid)
+    out = []
+    for s, w in shares(high).items():
+        quota, used, k = w * budget, 0, 0
+        while used < quota - 1e-6 * live[s]:
+            whole = quota - k * live[s] >= live[s] * (1 - 1e-12)
+            order = sorted((r for r in rows if r[2] == s), key=lambda r: (keys[r, k], n(r)))
+            sums = list(itertools.accumulate(map(n, order)))
+            cut = max((keys[r, k] for r, c in zip(order, sums, strict=True) if c <= quota - used), default=-1)
+            # rows that tie are kept together only where all of them fit
+            over = min((keys[r, k] for r, c in zip(order, sums, strict=True) if c > quota - used), default=1 << 64)
+            for r, c in zip(order, sums, strict=True):
+                if whole or (keys[r, k] <= cut and keys[r, k] != over):
+                    out.append((*r, k, min(max(1, math.ceil(budget / block_tokens)) - 1, int((used + c - n(r)) // (w * block_tokens)))))
+            used, k = used + live[s], k + 1
+    return out, {s: w * budget for s, w in shares(high).items()}
+
+
+def test_mixing_against_brute_force(spark):
     rng = random.Random(1)
-    docs = [(i, "w " * rng.randrange(1, 30), "big" if i % 10 else rng.choice(["s1", "s2"])) for i in range(3000)] + [(-1, None, None), (-2, "", "none")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("k", F.lit(3))
-    out, plan = mixing.mix(df, max_repeats=2.0)
-    rows = out.collect()
+    docs = [(i, "w " * rng.randrange(0, 30), "big" if i % 10 else rng.choice(["s1", "s2", None])) for i in range(3000)] + [(-1, None, None), (-2, "", "none"), (-3, "x " * 5000, "big")]
+    names = ("s", "whole", "cut", "uses", "mix_pass", "_id", "_text", "n", "k")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", *[f"7 as {c}" for c in names])
+    out, plan = mixing.mix(df, max_repeats=2.0, block_tokens=2000)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "source", *[c for c in names if c != "mix_pass"], "mix_pass", "mix_key", "mix_block"] and got[0].whole == 7
+    ids = df.selectExpr("doc_id", "text", "source", "cast(doc_id as string) as __id", "xxhash64(text) as __text")
+    keys = {}
+    for k in range(4):
+        keys |= {((r[0], r[1], r[2]), k): r[3] for r in ids.select("doc_id", "text", "source", mixing._key(17, F.lit(k))).collect()}
+    want, target = brute_mix(docs, keys, 2.0, 2000)
+    assert collections.Counter((r.doc_id, r.text, r.source, r.mix_pass, r.mix_block) for r in got) == collections.Counter(want)
+    blocks = collections.defaultdict(collections.Counter)
+    for r in got:
+        blocks[r.mix_block][r.source] += len((r.text or "").split())
     total = sum(n for _, n, *_ in plan.sources)
-    used = collections.Counter()
-    for r in rows:
-        used[r.source] += len((r.text or "").split())
-    for s, n, w, whole, _ in plan.sources:
-        if n:
-            assert used[s] <= w * total + 1e-6 and used[s] >= w * total - 30, s
-            assert w * total / n <= 2 + 1e-9
+    for b in range(total // 2000):
+        for s, t in target.items():
+            assert abs(blocks[b][s] - t / total * 2000) <= (60 if s != "big" else 5060)  # its share, to within a row at either end
     assert max(w * total / n for _, n, w, *_ in plan.sources if n) == pytest.approx(2, rel=1e-6)
-    times = collections.Counter((r.doc_id, r.mix_pass) for r in rows)
-    assert set(times.values()) == {1} and all(0 <= r.mix_key <= 1 for r in rows) and rows[0].k == 3
+    flat, _ = mixing.mix(df, max_repeats=2.0, blocks=False)
+    assert collections.Counter((r.doc_id, r.mix_pass) for r in flat.collect()) == collections.Counter((r.doc_id, r.mix_pass) for r in got)
+    assert mixing.mix(df.limit(0))[0].count() == 0
+
+
+def test_mixing_limits():
     flat = mixing.solve([1000, 10, 10], 1020, target_entropy=0.9)
     assert mixing.entropy(mixing.weights([1000, 10, 10], flat)) == pytest.approx(0.9 * math.log(3), rel=1e-6)
-    assert mixing.mix(df.limit(0))[0].count() == 0
+    sharp = mixing.solve([600, 500, 400], 1500, target_entropy=0.2)
+    assert sharp > 1 and mixing.entropy(mixing.weights([600, 500, 400], sharp)) == pytest.approx(0.2 * math.log(3), rel=1e-6)
+    assert mixing.solve([5, 5], 20, max_repeats=2.0) == 0 and mixing.solve([], 20, max_repeats=2.0) == 1
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.solve([3000, 600], 1e6, max_repeats=2.0)
+    with pytest.raises(ValueError, match="tie"):
+        mixing.solve([5, 5], 10, target_entropy=0.3)
+
+
+def test_mixing_rows_that_tie(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")] * 6 + [(2, "d " * 50, "y")], "doc_id long, text string, source string")
+    rows = collections.Counter(r.doc_id for r in mixing.mix(df, max_repeats=2.0)[0].collect())
+    assert rows[1] in (6, 12) and rows[2] == 0 or rows[2] == 1  # six equal rows are kept or left together in each pass
 
 
 def brute_katz(docs, train, order):
