@@ -88,6 +88,17 @@ def op2_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: The contract, exactly; the index finds all its links where its recall is whole, as on the tables of TESTDATA.md.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.y FROM r JOIN l ON r.reach = l.x),
+m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""
+
+
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out, _ = mixing.mix(docs, max_repeats=2.0)
@@ -153,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_minhash_bottomk": op10_minhash_bottomk,
 }
-ORACLES: dict[str, str] = {"op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_minhash_bottomk": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_pivot_neighbours": OP2_SQL, "op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_minhash_bottomk": OP10_SQL}

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -105,6 +106,45 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivots_link_vectors_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), 1) for i in range(10, 60)] + [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [2.0], 1), (5, [3.0], 1), (6, [-1.0], 1), (7, [1.0, 0.0], 2)]
+    got = {r.vec_id: r for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(1, 8)] == [(1, 1), (1, 1), (0, 3), (1, 4), (1, 4), (0, 6), (0, 7)]
+
+
+def test_pivots_recall_of_planted_links(spark):
+    """Near vectors at cosines of 0.93 to 0.97, many more vectors than pivots, and a class of copies that holds a third of the rows."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(6000, 64)))
+    noise = rng.normal(size=base.shape)
+    noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base)
+    cos = rng.uniform(0.932, 0.97, size=(6000, 1))
+    vecs = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * noise, np.repeat(base[:1], 6000, axis=0)])
+    rows = [(i, v, 1 + i % 6000 % 3 if i < 12_000 else 1) for i, v in enumerate(vecs.tolist())]
+    got = {r.vec_id: r for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got[i].component_id == got[i + 6000].component_id == i for i in range(6000))
+    assert found >= 0.95 * 6000
+    assert all(got[i].n_links in (6000, 6001) and got[i].component_id == 0 for i in range(12_000, 18_000))
+    assert all(got[i].n_links <= 1 for i in range(1, 6000))
+
+
+def test_pivots_query_against_sql(spark, tmp_path):
+    from tarnfold.llm import queries
+    from tests import oracle
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 64))
+    rows = [(i, (base[i % 60] + 0.15 * rng.normal(size=64) * (i % 4 > 0)).tolist(), None if i == 7 else i % 60 % 2) for i in range(400)] + [(900, None, 1), (901, [0.0] * 64, 1), (902, [float("inf")] * 64, 1), (903, base[1].tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    next(tmp_path.glob("e/*.parquet")).rename(tmp_path / "embeddings.parquet")
+    shutil.rmtree(tmp_path / "e")
+    con = oracle.connect(str(tmp_path))
+    assert con.execute(f"SELECT sum(n_links) FROM ({queries.OP2_SQL})").fetchone()[0] > 1000
+    oracle.same(con, queries.op2_pivot_neighbours(spark, str(tmp_path)), queries.OP2_SQL)
+
+
 def vecs_row(rows):
     return [float(x) for x in rows[0][1]]
 
