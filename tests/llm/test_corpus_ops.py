@@ -299,7 +299,7 @@ def test_katz_query_is_the_contract(spark, sf_dir):
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     train = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 10]
-    want = brute_katz(docs, train, 3)
+    want = brute_katz(docs, train, queries.KATZ_ORDER)
     got = queries.op5_katz_backoff(spark, sf_dir).collect()
     assert len(got) == len(docs) and {r.doc_id for r in got if not r.held_out} == set(train)
     for r in got:
