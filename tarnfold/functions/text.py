@@ -21,7 +21,9 @@ def _udf(fn: Callable, schema: str, names: list[str] | None):  # noqa: ANN202
     def rows(it):  # noqa: ANN001, ANN202
         for got in it:
             series = got if isinstance(got, tuple) else (got,)
-            values = [fn(*(None if pd.isna(x) else x for x in row)) for row in zip(*series, strict=True)]
+            columns = [x.astype(object).where(x.notna(), None).tolist() for x in series]
+            known = {row: fn(*row) for row in set(zip(*columns, strict=True))}  # equal rows are computed once
+            values = [known[row] for row in zip(*columns, strict=True)]
             yield pd.DataFrame(values, columns=names) if names else pd.Series(values, dtype=object)
 
     rows.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame if names else pd.Series]}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.sources.files import scratch
+
 #: Above this many keys an evaluation set is joined by a shuffle instead of a broadcast.
 MOST_KEYS = 1_000_000
 
@@ -71,36 +73,96 @@ def issues(*named: tuple[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named])))
 
 
+#: Rows that are ordered in one task at most, to find the last of a first n.
+EDGE = 10_000
+
+
+def first_n(df: DataFrame, n: int, h: str, *ties: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely are among the first n by a hexadecimal hash column, the rest of the first n).
+
+    The hash that cuts the order is found by counting leading digits, 4096 at a time, until few enough rows share them; only
+    those are ordered, so no task holds n rows, whatever n is.
+    """
+    if n <= 0:
+        return df.limit(0), df.limit(0)
+    prefix, before, size = "", 0, None
+    while size is None or size > EDGE:
+        at = len(prefix)
+        digits = df.where(F.col(h).startswith(prefix)).groupBy(F.substring(h, at + 1, 3).alias("d")).agg(F.count("*").alias("n"))
+        total = before
+        for r in sorted(digits.collect()):
+            if total + r["n"] >= n:
+                break
+            total += r["n"]
+        else:  # fewer than n rows in all
+            return df, df.limit(0)
+        if not r["d"] or at >= 60:
+            break
+        prefix, before, size = prefix + r["d"], total, r["n"]
+    edge = df.where(F.col(h).startswith(prefix)).orderBy(h, *ties).limit(n - before)
+    return df.where(F.substring(h, 1, len(prefix)) < prefix), edge
+
+
 def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str, target: int) -> DataFrame:
-    """The reference's single scan with early stop, as ranks: rows in hash order; those with a reason go; then later copies of a key; then rows after
-    the target-th survivor. Adds `outcome`: selected, duplicate, the reason, or unscanned.
+    """The reference's single scan with early stop: rows in hash order; those with a reason go; then later copies of a key; then rows after
+    the target-th survivor. Where fewer survive, the scan goes on to the end. Adds `outcome`: selected, duplicate, the reason, or unscanned.
 
-    Rank over all survivors is one sorted column of keys: rows are range-partitioned by the hash, counted per partition, and
-    numbered from the counts before, so no task holds them all.
+    A key's first row is an aggregate; the target-th survivor is found by counting digits of the hash (first_n).
     """
     ranked = df.withColumn("_o", order).withColumn("_reason", reason)
     fine = ranked.where("_reason is null")
     first = fine.groupBy(key).agg(F.min(F.struct("_o", tie)).alias("_f"))
     marked = ranked.join(first, key, "left").withColumn("_dup", F.col("_reason").isNull() & (F.struct("_o", tie) != F.col("_f")))
-    last = marked.where("_reason is null and not _dup").select(F.struct("_o", tie).alias("_k")).orderBy("_k").limit(target).agg(F.max("_k").alias("_last"))
-    out = marked.join(F.broadcast(last))
-    me = F.struct("_o", tie)
-    state = F.when(me > F.col("_last"), "unscanned").when(F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_dup"), "duplicate").otherwise("selected")
+    survivors = first.select(F.col("_f._o").alias("_o"), F.col(f"_f.{tie}").alias(tie))
+    last = None
+    if 0 < target <= survivors.count():
+        _, edge = first_n(survivors, target, "_o", tie)
+        last = edge.agg(F.max(F.struct("_o", tie)).alias("_last"))
+    out = marked.join(F.broadcast(last)) if last is not None else marked.withColumn("_last", F.lit(None).cast(marked.select(F.struct("_o", tie).alias("x")).schema["x"].dataType))
+    state = F.when(F.struct("_o", tie) > F.col("_last"), "unscanned").when(F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_dup"), "duplicate").otherwise("selected")
     return out.withColumn("outcome", state).drop("_f", "_dup", "_last", "_reason")
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """0-based global position by order: range partitions, counts per partition, then positions within; no single-partition window."""
+    """0-based global position by order: range partitions, counts per partition, then positions within; no single-partition window.
+
+    The dealt rows are written once, with their partition's number, as a second computation of the ranges would draw other bounds.
+    """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*order)
-    local = dealt.withColumn("_i", F.row_number().over(w) - 1)
+    path = scratch(spark, "index")
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
-    del spark
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b")).cast("long")).drop("_p", "_i", "_b")
 
 
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item: str, width: int = 4) -> DataFrame:
+    """Ids of documents that hold an item's whole text, by an index of word windows.
+
+    A text that holds an item holds the item's inner words as whole words, between the same white space. So the item is indexed by one
+    window of `width` inner words (the one with the lowest hash), documents by all of theirs; ids that meet are verified by
+    `contains`. Items of one or two words have no inner words: these are looked for one by one.
+    """
+    known = items.select(F.col(item).alias("_item")).where("_item is not null").distinct()
+    words = F.split("_item", r"\s+")
+    long_ = known.withColumn("_w", words).where(F.size("_w") > 2).withColumn("_k", F.least(F.lit(width), F.size("_w") - 2))
+    window = lambda w, i, k: F.xxhash64(k, F.array_join(F.slice(w, i, k), " "))
+    keyed = long_.select("_item", "_k", F.array_min(F.transform(F.sequence(F.lit(2), F.size("_w") - F.col("_k")), lambda i: window(F.col("_w"), i, F.col("_k")))).alias("_key"))
+    widths = [r[0] for r in keyed.select("_k").distinct().collect()]  # 1 to width
+    own = docs.select(F.col(doc_id).alias("_id"), F.split(text, r"\s+").alias("_w"))
+    none = F.array().cast("array<bigint>")
+    all_of = lambda k: F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: window(F.col("_w"), i, F.lit(k)))
+    keys = [F.when(F.size("_w") >= k, all_of(k)).otherwise(none) for k in widths]
+    met = own.select("_id", F.explode(F.array_distinct(F.concat(*keys) if keys else none)).alias("_key")).join(small(keyed.select("_key", "_item")), "_key")
+    met = met.select("_id", "_item").distinct()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    found = texts.join(met, "_id").where(F.contains("_text", "_item")).select("_id")
+    short = small(known.where(F.size(words) <= 2))
+    return found.union(texts.join(short, F.contains("_text", "_item"), "left_semi").select("_id")).distinct().select(F.col("_id").alias(doc_id))
+
+
 def batches(index: Column, size: int) -> tuple[Column, Column]:
     """(batch number, place within it) of a dense index."""
     return F.floor(index / size).cast("int"), F.pmod(index, F.lit(size)).cast("int")

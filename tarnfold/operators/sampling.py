@@ -7,12 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.operators.curate import hash_order, hash_uniform
+from tarnfold.operators.curate import first_n, hash_order, hash_uniform
 
 
 def take(df: DataFrame, n: int, seed: int | str, *ids: str) -> DataFrame:
-    """n rows without replacement, by hash order. TakeOrdered keeps n rows a task."""
-    return df.withColumn("_h", hash_order(seed, *[F.col(c) for c in ids])).orderBy("_h", *ids).limit(n).drop("_h")
+    """n rows without replacement, by hash order."""
+    certain, edge = first_n(df.withColumn("_h", hash_order(seed, *[F.col(c) for c in ids])), n, "_h", *ids)
+    return certain.union(edge).drop("_h")
 
 
 def take_per(df: DataFrame, n: int, seed: int | str, strata: list[str], *ids: str) -> DataFrame:
@@ -53,7 +54,8 @@ def stratified(df: DataFrame, quotas: DataFrame, bucket: str, total: int, seed:
     ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).join(F.broadcast(quotas.select(bucket, "quota")), bucket, "left")
     first = ranked.where(F.col("_r") <= F.coalesce("quota", F.lit(0)))
     lack = total - first.count()
-    rest = ranked.where(F.col("_r") > F.coalesce("quota", F.lit(0))).orderBy("_h", ident).limit(max(0, lack))
+    certain, edge = first_n(ranked.where(F.col("_r") > F.coalesce("quota", F.lit(0))), lack, "_h", ident)
+    rest = certain.union(edge)
     return first.withColumn("via", F.lit("quota")).union(rest.withColumn("via", F.lit("backfill"))).drop("_h", "_r", "quota")
 
 
@@ -75,8 +77,8 @@ def oversample(df: DataFrame, n: int, seed: int | str, ident: str, rows: int | N
     whole = math.ceil(n / size)
     each = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))))
     each = each.withColumn("_h", hash_order(seed, F.col("pass"), F.col(ident)))
-    last = each.where(F.col("pass") == whole - 1).orderBy("_h", ident).limit(n - (whole - 1) * size)
-    out = each.where(F.col("pass") < whole - 1).union(last)
+    certain, edge = first_n(each.where(F.col("pass") == whole - 1), n - (whole - 1) * size, "_h", ident)
+    out = each.where(F.col("pass") < whole - 1).union(certain).union(edge)
     return out.withColumn("instance", (F.row_number().over(Window.partitionBy(ident).orderBy("pass")) - 1).cast("long")).drop("_h")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ def z1(spark: SparkSession, d: str) -> DataFrame:
     """The events as an append-only log, read as a stream into the same state."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"beliefs_{abs(hash(d)) % 10**8}"
+    name = f"beliefs_{uuid.uuid4().hex}"
     bf.run_stream(bf.beliefs(stream, ["event_type"], reward()), name, "complete", files.scratch(spark, "stream"))
     return spark.table(name).select("event_type", "alpha", "beta", "trials")
 

@@ -207,8 +207,8 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
 @query("j3_exists_in_comparison", ROLL + ", s AS (SELECT group_id, list(answer_correctness) AS a FROM roll WHERE run = 1 GROUP BY 1) SELECT r.group_id, rollout_id, coalesce(len(list_filter(a, lambda x: x = 1)) > 0, false) AS solved_elsewhere FROM roll r LEFT JOIN s USING (group_id) WHERE r.run = 0")
 def j3(spark: SparkSession, d: str) -> DataFrame:
     t = rollouts(spark, d)
-    s = t.where("run = 1").groupBy("group_id").agg(F.collect_list("answer_correctness").alias("a"))
-    return t.where("run = 0").join(s, "group_id", "left").select("group_id", "rollout_id", F.coalesce(F.exists("a", lambda x: x == 1), F.lit(False)).alias("solved_elsewhere"))
+    s = t.where("run = 1").groupBy("group_id").agg(F.some(F.col("answer_correctness") == 1).alias("solved"))
+    return t.where("run = 0").join(s, "group_id", "left").select("group_id", "rollout_id", F.coalesce("solved", F.lit(False)).alias("solved_elsewhere"))
 
 
 @query("j4_multiway_runs", ROLL + "SELECT group_id, count(*) AS n FROM roll GROUP BY 1 HAVING count(DISTINCT run) = 3")
@@ -256,10 +256,8 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j11_score_compare", ROLL + "SELECT group_id, round(avg(abs(step_validity - consistency)), 9) AS mae, bool_and(step_validity = consistency) AS exact FROM roll GROUP BY 1")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    t = rollouts(spark, d).groupBy("group_id").agg(F.collect_list(F.struct("rollout_id", "step_validity", "consistency")).alias("m"))
-    s = t.withColumn("m", F.array_sort("m"))
-    diffs = F.zip_with(F.transform("m", lambda x: x["step_validity"]), F.transform("m", lambda x: x["consistency"]), lambda a, b: F.abs(a - b))
-    return s.select("group_id", F.round(F.aggregate(diffs, F.lit(0), lambda a, x: a + x) / F.size("m"), 9).alias("mae"), F.forall(diffs, lambda x: x == 0).alias("exact"))
+    off = F.abs(F.col("step_validity") - F.col("consistency"))
+    return rollouts(spark, d).groupBy("group_id").agg(F.round(F.avg(off), 9).alias("mae"), F.every(off == 0).alias("exact"))
 
 
 @query("j12_precedence_coalesce", """SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_name END, CASE WHEN s_acctbal > 0 THEN s_name END, n_name, r_name, 'none') AS label

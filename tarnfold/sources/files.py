@@ -12,21 +12,44 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarnfold-")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set and there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tarnfold-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines are skipped; a line that isn't an object of the schema fails the job, naming its file."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Blank lines are skipped; a line that isn't an object of the schema fails the job, naming its file, its first byte there and its start.
+
+    Lines are read as text, as the JSON reader takes an array of objects for several rows. A split file's lines have no numbers of
+    their own, so the message tells what finds the line: its file and text.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
+    keep = "_corrupt_line"
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(keep, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": keep})
+    rows = lines.withColumn("_r", parsed)
+    bad = ~F.ltrim("value").startswith("{") | F.col("_r").isNull() | F.col(f"_r.{keep}").isNotNull()
+    told = F.concat(F.lit("Malformed line, no object of the schema, in "), "_file", F.lit(": "), F.substring("value", 1, 200))
+    checked = rows.withColumn("_r", F.when(bad, F.raise_error(told).cast(rows.schema["_r"].dataType)).otherwise(F.col("_r")))
+    return checked.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields])
+
+
+def line_number(spark: SparkSession, path: str, line: str) -> int | None:
+    """1-based number of the first such line of one file, for an error's message: a search of that file alone."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    found = whole.where(F.col("line").startswith(line)).agg(F.min("n")).first()[0]
+    return None if found is None else found + 1
 
 
 def read_json_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines, or one JSON array or object per file: told apart by the first character that isn't white space."""
     heads = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.substring(F.trim("value"), 1, 1)).first()
-    whole = heads is not None and heads[0] == "["
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", whole).json(path)
+    if heads is not None and heads[0] == "[":
+        return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    return read_jsonl(spark, path, schema)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -58,8 +81,16 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def digest(df: DataFrame, *cols: str) -> DataFrame:
+    """One row, `digest`: of a table's content, whatever its rows' order. The rows' SHA-256, in four words of 64 bits, are added up."""
+    h = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256)
+    words = [F.conv(F.substring(h, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = df.select(*[w.alias(f"w{i}") for i, w in enumerate(words)]).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return sums.select(F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3"), 256).alias("digest"))
+
+
 def to_json_array(df: DataFrame) -> DataFrame:
-    """One row, a JSON array: for reports of a few rows."""
+    """One row, a JSON array: for reports of a few rows, as the array is one value."""
     return df.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*df.columns))), ","), F.lit("]")).alias("value"))
 
 

@@ -29,6 +29,53 @@ def test_dense_index_is_dense(spark):
     assert got == list(range(1000))
 
 
+def test_dense_index_beyond_the_range_sampler(spark):
+    """Many partitions and rows, and a column that only one side of the count reads."""
+    t = spark.range(1_000_000).withColumn("h", F.xxhash64("id")).withColumn("wide", F.sha2(F.col("id").cast("string"), 256))
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        got = curate.dense_index(t, [F.col("h")], "i")
+        n, distinct, least, most = got.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+        assert (n, distinct, least, most) == (1_000_000, 1_000_000, 0, 999_999)
+        few = got.where("i < 100000 and i % 1000 = 0").select("i", "h", "wide").collect()
+        assert all(r.wide for r in few) and [r.h for r in sorted(few)] == sorted(r.h for r in few)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_first_n_of_any_size(spark, monkeypatch):
+    t = spark.range(5000).select("id", curate.hash_order(7, F.col("id") % 4000).alias("h"))  # a fifth of the hashes come twice
+    want = sorted((r.h, r.id) for r in t.collect())
+    monkeypatch.setattr(curate, "EDGE", 20)
+    for n in (0, 1, 19, 1234, 4999, 5000, 9000):
+        certain, edge = curate.first_n(t, n, "h", "id")
+        assert sorted((r.h, r.id) for r in certain.union(edge).collect()) == want[:n] and edge.count() <= 20
+    same = spark.range(300).select("id", F.sha2(F.lit("x"), 256).alias("h"))
+    certain, edge = curate.first_n(same, 120, "h", "id")
+    assert certain.count() == 0 and sorted(r.id for r in edge.collect()) == list(range(120))
+
+
+def test_scan_that_misses_its_target_goes_on_to_the_end(spark):
+    t = spark.createDataFrame([(i, f"k{i % 5}", i % 7 == 0) for i in range(40)], "id long, k string, bad boolean")
+    reason = F.when(F.col("bad"), "bad")
+    for target in (3, 5, 6, 100):
+        got = {r.id: r.outcome for r in curate.scan_select(t, reason, "k", curate.hash_order(1, F.col("id")), "id", target).collect()}
+        order, kept, want = sorted(t.withColumn("o", curate.hash_order(1, F.col("id"))).collect(), key=lambda r: (r.o, r.id)), set(), {}
+        for r in order:
+            want[r.id] = "unscanned" if len(kept) == target else "bad" if r.bad else "duplicate" if r.k in kept else "selected"
+            kept |= {r.k} if want[r.id] == "selected" else set()
+        assert got == want
+
+
+def test_containing_against_brute_force(spark):
+    docs = [(1, "the cat sat on the mat"), (2, "bathe cat sat on the matter"), (3, "the  cat sat on the mat"), (4, None), (5, ""), (6, "x yes"), (7, "cat\nsat on"), (1, "no")]
+    items = [("the cat sat on the mat",), ("he cat sat on the mat",), ("cat sat on",), ("cat\nsat o",), ("x y",), ("q",), ("",), (None,), ("a b c d e f g h i",)]
+    for keep in (items[:5], items[:4] + items[8:], items[4:6], items, [], [(None,)]):
+        d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(keep, "item string")
+        want = {k for k, t in docs if t is not None and any(x is not None and x in t for (x,) in keep)}
+        assert sorted(r.doc_id for r in curate.containing(d, i, "doc_id", "text", "item").collect()) == sorted(want)
+
+
 def test_split_is_stable(spark):
     t = spark.range(500).withColumn("s", curate.hash_split(F.col("id"), 0.2))
     assert rows(t) == rows(t.repartition(7))
@@ -43,10 +90,21 @@ def test_oversample(spark):
     assert sampling.oversample(t.limit(0), 5, 1, "id").count() == 0
 
 
-def test_failfast_names_broken_lines(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n')
-    with pytest.raises(Exception, match="(?i)malformed"):
-        files.read_jsonl(spark, f"file://{tmp_path}/x.jsonl", spark.createDataFrame([], "a int").schema).collect()
+@pytest.mark.parametrize("line", ["not json", '[{"a": 2}, {"a": 3}]', "7", '"text"', '{"a": "x"', '{"a": "word"}'])
+def test_lines_that_are_no_objects_fail(spark, tmp_path, line):
+    path = f"file://{tmp_path}/x.jsonl"
+    schema = spark.createDataFrame([], "a int").schema
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n  {"a": null, "b": 2}\n')
+    assert sorted(files.read_jsonl(spark, path, schema).collect(), key=str) == [(1,), (None,)]
+    (tmp_path / "x.jsonl").write_text(f'{{"a": 1}}\n\n{line}\n')
+    with pytest.raises(Exception, match=r"(?s)Malformed line.*x\.jsonl"):
+        files.read_jsonl(spark, path, schema).collect()
+    assert files.line_number(spark, path, line) == 3
+
+
+def test_digest_tells_tables_apart(spark):
+    one = lambda t: files.digest(t, "id").first()[0]
+    assert one(spark.range(100)) == one(spark.range(100).repartition(3)) != one(spark.range(99)) and one(spark.range(0))
 
 
 def test_markdown():
