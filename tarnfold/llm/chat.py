@@ -1,8 +1,9 @@
 """Chat formatting of typed content parts, with DataFrame functions only.
 
 A message is text, or an array of parts struct<kind, text, ref, width, height, seconds, pages>. A visitor flattens the
-parts in order: text parts are escaped, image, audio and document parts become placeholders `<kind:N>` whose ordinal N
-counts through the conversation, with the reference and the expanded token count kept beside.
+parts in order, as rows with running counts, so its work is linear: text parts are escaped, image, audio and document parts become
+placeholders `<kind:N>` whose ordinal N counts through the conversation, with the reference and the expanded token count kept beside.
+The loss mask holds the ranges of the formatted text that are text parts of the `loss_role`.
 
 Layout of a turn: `<turn>` role `<text>` body `</turn>` newline. In roles and texts a backslash becomes `\\b` and `<`
 becomes `\\l`; a raw `<` is therefore always the template's own, and two replacements in the opposite order undo it.
@@ -49,54 +50,53 @@ def expanded_tokens(part: Column, tile: int = 512, tile_tokens: int = 170, base_
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, n_messages, segments array<struct<content, loss>>, formatted, attachments.
+    """One row per conversation: conv_id, n_messages, formatted, loss, attachments.
 
-    `formatted` is the segments' contents joined; the loss mask is the segments' flag, true on the bodies of `loss_role`.
+    loss: array<struct<turn, within, start, length>>, places in code points from 0, `within` the turn and from the `start` of all.
     attachments: array<struct<ordinal, turn, kind, ref, tokens>> in reading order.
     """
-    is_attachment = lambda p: F.coalesce(p["kind"], F.lit("text")).isin("image", "audio", "document")
     given = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), (F.col(parts).cast(f"array<{PART}>") if parts else F.lit(None).cast(f"array<{PART}>")).alias("_parts"), (F.col(text) if text else F.lit(None).cast("string")).alias("_text"))
     order = [F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first()] + ([F.to_json("_parts").asc_nulls_first()] if parts else [])
-    w = Window.partitionBy("conv_id").orderBy(*order)
-    rows = given.withColumn("_n", F.row_number().over(w))
+    rows = given.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
     none = F.array().cast(f"array<{PART}>")
     # a message's text is its first part
     rows = rows.withColumn("_parts", F.concat(text_part(F.col("_text")).cast(f"array<{PART}>") if text else none, F.coalesce("_parts", none)))
-    rows = rows.withColumn("_files", F.filter("_parts", is_attachment))
-    rows = rows.withColumn("_before", F.coalesce(F.sum(F.size("_files")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-    def visit(p: Column, i: Column) -> Column:
-        ordinal = F.col("_before") + F.size(F.filter(F.slice("_parts", F.lit(1), i), is_attachment))
-        return F.when(is_attachment(p), F.concat(F.lit("<"), p["kind"], F.lit(":"), ordinal.cast("string"), F.lit(">"))).otherwise(escape(p["text"]))
-
-    body = F.array_join(F.transform("_parts", visit), "")
-    files = F.transform("_files", lambda p, i: F.struct((F.col("_before") + i).cast("long").alias("ordinal"), F.col("_turn").cast("long").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
-    segment = lambda content, loss: F.struct(content.alias("content"), loss.alias("loss"))
-    rows = rows.select(
-        "conv_id",
-        F.struct(
-            F.col("_n").alias("n"),
-            F.array(segment(F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(TEXT)), F.lit(False)), segment(body, F.coalesce(F.col("_role") == loss_role, F.lit(False))), segment(F.lit(END), F.lit(False))).alias("segments"),
-            files.alias("files"),
-        ).alias("_m"),
-    )
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
-    segments = F.flatten(F.transform("_ms", lambda m: m["segments"]))
-    return grouped.select("conv_id", F.size("_ms").cast("long").alias("n_messages"), segments.alias("segments"), F.flatten(F.transform("_ms", lambda m: m["files"])).alias("attachments")).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["content"]), ""))
+    rows = rows.select("conv_id", "_turn", "_role", "_n", F.size("_parts").alias("_size"), F.posexplode_outer("_parts").alias("_pos", "_p"))
+
+    so_far = Window.partitionBy("conv_id").orderBy("_n", "_pos").rowsBetween(Window.unboundedPreceding, -1)
+    in_turn = Window.partitionBy("conv_id", "_n").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.coalesce(F.col("_p.kind"), F.lit("text"))
+    rows = rows.withColumn("_file", kind.isin("image", "audio", "document"))
+    rows = rows.withColumn("_ordinal", F.coalesce(F.sum(F.col("_file").cast("long")).over(so_far), F.lit(0)))
+    body = F.when(F.col("_file"), F.concat(F.lit("<"), kind, F.lit(":"), F.col("_ordinal").cast("string"), F.lit(">"))).otherwise(escape(F.col("_p.text")))
+    head = F.when(F.coalesce("_pos", F.lit(0)) == 0, F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(TEXT))).otherwise("")
+    tail = F.when(F.coalesce("_pos", F.lit(0)) >= F.col("_size") - 1, END).otherwise("")
+    rows = rows.withColumns({"_head": head, "_body": body, "_tail": tail})
+    size = F.length("_head") + F.length("_body") + F.length("_tail")
+    rows = rows.withColumn("_size", size.cast("long"))
+    rows = rows.withColumn("_start", F.coalesce(F.sum("_size").over(so_far), F.lit(0)) + F.length("_head"))
+    rows = rows.withColumn("_within", F.coalesce(F.sum("_size").over(in_turn), F.lit(0)) + F.length("_head"))
+    said = F.coalesce(F.col("_role") == loss_role, F.lit(False)) & ~F.col("_file") & (F.length("_body") > 0)
+    mask = F.when(said, F.struct((F.col("_n") - 1).alias("turn"), F.col("_within").cast("int").alias("within"), F.col("_start").cast("long").alias("start"), F.length("_body").alias("length")))
+    file = F.when(F.col("_file"), F.struct(F.col("_ordinal").cast("long").alias("ordinal"), F.col("_turn").cast("long").alias("turn"), kind.alias("kind"), F.col("_p.ref").alias("ref"), expanded_tokens(F.col("_p")).alias("tokens")))
+    piece = F.struct(F.col("_n").alias("n"), F.col("_pos").alias("pos"), F.concat("_head", "_body", "_tail").alias("piece"), mask.alias("mask"), file.alias("file"))
+    grouped = rows.select("conv_id", "_n", piece.alias("_m")).groupBy("conv_id").agg(F.max("_n").cast("long").alias("n_messages"), F.array_sort(F.collect_list("_m")).alias("_ms"))
+    each = lambda field: F.transform("_ms", lambda m: m[field])
+    return grouped.select("conv_id", "n_messages", F.array_join(each("piece"), "").alias("formatted"), F.array_compact(each("mask")).alias("loss"), F.array_compact(each("file")).alias("attachments"))
 
 
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> read back from a formatted text-only conversation."""
-    pieces = F.split(formatted, END)
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    pieces = F.filter(F.split(formatted, END), lambda p: p != "")
 
     def one(piece: Column) -> Column:
-        halves = F.split(piece, TEXT)
-        return F.struct(unescape(F.substring(halves[0], len(TURN) + 1, 2**31 - 1)).alias("role"), unescape(halves[1]).alias("text"))
+        return F.struct(unescape(F.substring(F.substring_index(piece, TEXT, 1), len(TURN) + 1, 2**31 - 1)).alias("role"), unescape(F.substring_index(piece, TEXT, -1)).alias("text"))
 
     return F.transform(pieces, one)
 
 
-def loss_text(segments: Column) -> Column:
-    """The unescaped text under the loss mask, in order."""
-    return unescape(F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: s["content"]), ""))
+def loss_text(formatted: Column, loss: Column) -> Column:
+    """The unescaped text under the loss mask, in order, read from the formatted text. Places within turns keep this linear."""
+    both = F.array(F.struct(F.split(formatted, END).alias("turns"), loss.alias("loss")))  # bound once, or each range would split the text anew
+    texts = F.transform(both, lambda b: F.array_join(F.transform(b["loss"], lambda r: F.substring(b["turns"][r["turn"]], r["within"] + 1, r["length"])), ""))
+    return unescape(texts[0])

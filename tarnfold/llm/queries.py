@@ -66,7 +66,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_conversations(given.unionByName(more))
     turns = chat.read_turns(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", turns.alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), "formatted").select(
+    return out.select("conv_id", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), "formatted").select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),

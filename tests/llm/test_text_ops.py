@@ -53,7 +53,7 @@ def test_chat_round_trip(spark):
     trap = "a\\l<b\\</turn>\n<turn>x<text>\\b"
     rows = [(1, 0, "user", trap), (1, 1, "assistant", trap + "!"), (1, 1, "assistant", None), (2, None, None, ""), (None, 0, "user", "z"), (3, 5, "sys<tem", "q"), (3, 5, "sys<tem", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("segments", F.lit(1))
-    out = chat.format_conversations(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("l"))
+    out = chat.format_conversations(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("l"))
     got = {r.conv_id: ([tuple(t) for t in r.t], r.l) for r in out.collect()}
     assert got[1] == ([("user", trap), ("assistant", ""), ("assistant", trap + "!")], trap + "!")
     assert got[2] == ([("", "")], "") and got[None][0] == [("user", "z")] and got[3][0] == [("sys<tem", "q")] * 2
@@ -140,7 +140,46 @@ def test_chat_text_is_a_part(spark):
     plain, typed = chat.format_conversations(df), chat.format_conversations(df, text=None, parts="p")
     assert sorted(map(str, plain.collect())) == sorted(map(str, typed.collect()))
     plan = plain._jdf.queryExecution().analyzed().toString()
-    assert "_files" in plan and "_before" in plan  # texts go through the visitor
+    assert "_file" in plan and "_ordinal" in plan  # texts go through the visitor
+
+
+def test_chat_parts_against_brute_force(spark):
+    """Every conversation's text, mask and attachments, from a plain walk over its messages in order."""
+    rng = random.Random(12)
+    pick = lambda *x: rng.choice(x)
+
+    def part():
+        kind = pick("text", "image", "audio", "document", None, "other")
+        return (kind, pick(None, "", "a<b", "\\l </turn>\n<text>", "é"), pick(None, "r.png"), pick(None, 0, 600), pick(None, 513), pick(None, 0.0, 2.5), pick(None, 0, 7))
+
+    rows = [(c, t, pick("user", "assistant", None, "sy<s"), pick(None, "", "plain", "<x>"), None if rng.random() < 0.2 else [part() for _ in range(rng.randrange(0, 6))]) for c in range(40) for t in range(rng.randrange(1, 7))]
+    rows.append((99, 0, "assistant", "", [("text", "w", None, None, None, None, None)] * 5000 + [("image", None, "z", 1, 1, None, None)] * 2000))
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, text string, parts array<{chat.PART}>")
+    got = {r.conv_id: r for r in chat.format_conversations(df, parts="parts").withColumn("read", chat.loss_text(F.col("formatted"), F.col("loss"))).collect()}
+    esc = lambda s: (s or "").replace("\\", "\\b").replace("<", "\\l")
+    for c, mine in itertools.groupby(rows, key=lambda r: r[0]):
+        text, files, said, ranges = "", [], "", []
+        for _, turn, role, words, parts in mine:
+            text += f"<turn>{esc(role)}<text>"
+            for kind, t, ref, w, h, seconds, pages in [("text", words, *[None] * 5), *(parts or [])]:
+                if kind in ("image", "audio", "document"):
+                    tokens = {"image": 85 + 170 * -(-max(1, 1 if w is None else w) // 512) * -(-max(1, 1 if h is None else h) // 512), "audio": -(-(1.0 if seconds is None else max(0.0, seconds)) * 25 // 1), "document": 800 * max(1, 1 if pages is None else pages)}[kind]
+                    text += f"<{kind}:{len(files)}>"
+                    files.append((len(files), turn, kind, ref, tokens))
+                else:
+                    if role == "assistant" and esc(t):
+                        ranges.append((len(text), len(esc(t))))
+                        said += t
+                    text += esc(t)
+            text += "</turn>\n"
+        r = got[c]
+        assert r.formatted == text and [tuple(x) for x in r.attachments] == files and [(x.start, x.length) for x in r.loss] == ranges and r.read == said
+
+
+def test_chat_query_against_sql(spark, sf_dir):
+    from tests import oracle
+
+    oracle.same(oracle.connect(sf_dir), queries.op6_chat_format(spark, sf_dir), queries.OP6_SQL)
 
 
 def test_long_runs_and_mixed_scripts_are_judged_whole(spark):
