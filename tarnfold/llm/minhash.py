@@ -8,7 +8,9 @@
    does not rule t out, and is then verified by exact Jaccard on the full sets. Lists shrink to the components found so far.
 4. The rest, exactly: every pair of a list whose components still differ is met once, at the first value they share, under a filter
    by sketches of 256 that is part of the join (and decides sets up to that size), and then verified. As members of the list's largest component need no meeting among themselves, a large group of
-   near copies costs list length x leftovers instead of its square.
+   near copies costs list length x leftovers instead of its square. Long lists are cut into blocks that meet pairwise, so no task holds a list.
+5. Components are those of classes; rows take their class's. Classes of more than a thousandth of the rows, a thousand at most, are broadcast
+   for that, so no join deals many rows to one key.
 
 Defined cases: A-Z are lower-cased and words are runs of bytes other than ASCII white space; fewer words than five make one
 shingle; null, empty and blank texts have an empty set and are linked with nothing; rows with one id are one
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, mix64, slices, word_hashes
+from tarnfold.llm.common import Scratch, batches, mix64, slices, word_hashes
 from tarnfold.llm.components import components
 
 #: Most candidate documents whose ids are broadcast to find their texts (8 bytes each); beyond it, ids are joined by a shuffle.
@@ -70,11 +72,13 @@ def sketch(df: DataFrame, doc_id: str, text: str, k: int, width: int) -> DataFra
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digest, pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n", "digest", "sketch"])
 
-    return given.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return batches(given, run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
 #: Hashes (their leading 32 bits) of the larger sketch that filters the pairs which leaders leave.
 LARGE = 256
+#: Members of a block of a list in which leftover pairs meet.
+BLOCK = 512
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -89,7 +93,7 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
                 large = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(low) if low else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), large], ["doc_id", "shingles", "large"])
 
-    return df.mapInArrow(run, "doc_id long, shingles binary, large array<int>")
+    return batches(df, run, "doc_id long, shingles binary, large array<int>")
 
 
 def least_shared(k: int, t: float) -> int:
@@ -125,7 +129,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return batches(both, run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, k: int = 32, leader_rounds: int = 2) -> DataFrame:
@@ -136,7 +140,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     need = least_shared(k, t)
     rows = scratch.save(sketch(df, doc_id, text, k, width), "sketches")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = scratch.save(full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).select("rep", "n", "sketch"), "classes")
+    copies = scratch.save(full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "classes")
+    repeated = bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    classes = copies.select("rep", "n", "sketch")
 
     # Retained values that occur in two classes or more; each class indexes its rarest.
     values = classes.select("rep", F.explode("sketch").alias("value"))
@@ -152,7 +158,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     ids = index.select(F.col("rep").alias("doc_id"))
     given = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).where("_text is not null")
     sets = full_sets(given.join(F.broadcast(ids) if n_index <= MOST_BROADCAST else ids, "doc_id", "left_semi"), width)
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids
+    if repeated:
         sets = sets.dropDuplicates(["doc_id", "shingles"])
     sets = scratch.save(sets, "sets")
 
@@ -171,24 +177,44 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     # What leaders left: pairs of different components, one of them outside the list's main component.
     placed = scratch.save(postings.join(comp, postings.rep == comp.node).join(index.select(F.col("rep").alias("r2"), "prefix", "n"), F.col("rep") == F.col("r2")).select("rep", "value", "component", "prefix", "n"), "placed")
     larger = sets.select(F.col("doc_id").alias("r3"), "large")
-    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by(F.struct("component", "c"), F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    by = by.select("value", F.col("m.component").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("xs"), blocks(F.col("all")).alias("ys"))
     open_ = placed.join(by, "value").join(larger, F.col("rep") == F.col("r3"))
-    x = open_.where("component <> main").select("value", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("prefix").alias("pa"), F.col("n").alias("na"), F.col("large").alias("la"))
-    y = open_.select(F.col("value").alias("value2"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"), F.col("large").alias("lb"), (F.col("component") == F.col("main")).alias("in_main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    x = open_.where("component <> main").withColumn("j", every("ys")).select("value", block("xs").alias("i"), "j", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("prefix").alias("pa"), F.col("n").alias("na"), F.col("large").alias("la"))
+    y = open_.withColumn("i2", every("xs")).select(F.col("value").alias("value2"), "i2", block("ys").alias("j2"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"), F.col("large").alias("lb"), (F.col("component") == F.col("main")).alias("in_main"))
     once = F.col("in_main") | (F.col("a") < F.col("b"))
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.array_min(F.array_intersect("pa", "pb")) == F.col("value"))
     fits = fits & _estimate(LARGE, least_shared(LARGE, t), F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent)
-    pairs = x.join(y, (F.col("value") == F.col("value2")) & (F.col("ca") != F.col("cb")) & once & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    meet = (F.col("value") == F.col("value2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    pairs = x.join(y, meet & (F.col("ca") != F.col("cb")) & once & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     all_links = _more(pairs, None, sets, scratch, found, k, need, percent)
-    # Copies: every row's id belongs with its class.
-    reps = full.join(classes_by_digest(rows), ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    whole = components(all_links.union(reps.where("a <> b")), scratch)
-    out = rows.join(whole, rows.doc_id == whole.node, "left").select(rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id"))
+
+    large = F.col("copies") > max(1000, rows.count() // 1000)
+    if repeated:  # classes that share an id are linked
+        of = _by_class(full, copies, large, "doc_id", "rep").distinct()
+        least = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("d"), "a")
+        all_links = all_links.union(of.join(least, F.col("doc_id") == F.col("d")).select("a", F.col("rep").alias("b")))
+    whole = components(all_links, scratch)
+    copies = scratch.save(copies.join(whole, F.col("rep") == F.col("node"), "left").select("digest", "n", "copies", F.coalesce("component", "rep").alias("component")), "placed")
+    out = _by_class(full, copies, large, "doc_id", "n", "component")
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    if repeated:  # an empty text's row goes with the other rows of its id
+        others = out.groupBy("doc_id").agg(F.min("component").alias("c")).select(F.col("doc_id").alias("d"), "c")
+        rest = rest.join(others, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n", F.coalesce("c", "component").alias("component"))
+    out = out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def classes_by_digest(rows: DataFrame) -> DataFrame:
-    return rows.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
+def _by_class(rows: DataFrame, classes: DataFrame, large: Column, *cols: str) -> DataFrame:
+    """Rows with their class's columns; large classes are broadcast, so that none deals its rows to one task."""
+    named = [c for c in classes.columns if c not in ("digest", "n")]
+    few = F.broadcast(classes.where(large).select(F.col("digest").alias("_d"), F.col("n").alias("_m"), *named))
+    own = rows.select("doc_id", "digest", "n").join(few, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_m")), "left")
+    rest = own.where("copies is null").select("doc_id", "digest", "n").join(classes.where(~large), ["digest", "n"])
+    return own.where("copies is not null").select(*cols).union(rest.select(*cols))
 
 
 def _more(pairs: DataFrame, members: DataFrame | None, sets: DataFrame, scratch: Scratch, found: list[DataFrame], k: int, need: int, percent: int) -> DataFrame:

@@ -80,6 +80,35 @@ def test_minhash_against_brute_force(spark):
     assert got == brute_duplicates(docs)
 
 
+def test_minhash_hot_groups_against_brute_force(spark, monkeypatch):
+    """A third of the rows are copies of one text, a list of near misses that meet in blocks, long texts, repeated ids."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(60)]
+    docs = [(i, " ".join(base)) for i in range(1200)]
+    for i in range(150):  # copies with changes about the threshold, which share many values
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(60)] = word()
+        docs.append((2000 + i, " ".join(copy)))
+    long = [word() for _ in range(30_000)]
+    docs += [(5000, " ".join(long)), (5001, " ".join([*long, "end"])), (5002, " ".join(long[:100]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_duplicates([d for d in docs if not 0 < d[0] < 1200]) | {i: (56, 0, False) for i in range(1, 1200)}
+    again = df.union(spark.createDataFrame([(7000, " ".join(base)), (7000, " ".join(long)), (7000, ""), (8000, "")], df.schema))
+    got = collections.Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(again).collect())
+    assert got[7000, 0] == 3 and got[5000, 0] == got[5001, 0] == 1 and got[8000, 8000] == 1
+
+
+def test_minhash_query_against_sql(spark, sf_dir):
+    from tarnfold.llm import queries
+    from tests import oracle
+
+    oracle.same(oracle.connect(sf_dir), queries.op10_minhash_bottomk(spark, sf_dir), queries.OP10_SQL)
+
+
 def test_minhash_cases(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
