@@ -12,6 +12,9 @@ GOOD_EXECUTION = ("arithmetic_error", "algebraic_error", "finalization_error", "
 BAD_STRATEGY = ("wrong_direction", "invalid_assumption", "strategy_mismatch", "no_meaningful_solution")
 WRONG_ONLY = ("finalization_error", "valid_but_incomplete", "arithmetic_error", "algebraic_error", "invalid_assumption", "wrong_direction", "no_meaningful_solution")
 
+#: Stands for a backslash; a private code point.
+KEPT = "\ue000"
+
 SCORES = ("step_validity", "proof_completeness", "strategy_compliance", "consistency")
 EVIDENCE = ", ".join(f"{s} string" for s in (*SCORES, "error_type", "judge_confidence"))
 PRIORS = "priors array<struct<rollout_id:int,suitability:int,reason:string,risk_flag:string>>"
@@ -22,8 +25,11 @@ def repair(c: Column) -> Column:
     t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"```(?:json|JSON)?", "")
     t = F.translate(t, "“”’", "\"\"'")
     t = F.when(t.rlike(r"(?s)\{.*\}"), F.regexp_extract(t, r"(?s)(\{.*\})", 1)).otherwise(F.trim(t))
-    t = F.regexp_replace(t, r",\s*([}\]])", "$1")
-    return F.regexp_replace(t, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    # a string is taken as a whole and put back, so commas are dropped between values only
+    t = F.regexp_replace(t, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|,(?=\s*[}\]])', "$1")
+    # escapes that JSON knows step aside while the other backslashes are doubled
+    t = F.regexp_replace(t, r'\\(["\\/bfnrtu])', KEPT + "$1")
+    return F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(KEPT), F.lit("\\"))
 
 
 def parse(c: Column, schema: str) -> Column:
