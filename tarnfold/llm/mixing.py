@@ -88,7 +88,7 @@ def _key(seed: int, epoch: Column) -> Column:
 
 
 BLOCK, SUB = 51, 39  # shifts: 4096 cells of 4096 sub-cells
-CELL_ROWS = 4096  # rows of a pass in one cell of the running count, on average
+CELL_ROWS = 512  # rows of a pass in one cell of the running count, on average
 
 
 def mix(df: DataFrame, source: str = "source", row_id: str = "doc_id", text: str = "text", budget: float | None = None, max_repeats: float | None = 4.0, target_entropy: float | None = None, seed: int = 17, block_tokens: int = 1 << 20, max_sources: int = 50_000, blocks: bool = True) -> tuple[DataFrame, Plan]:
