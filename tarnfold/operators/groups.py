@@ -147,10 +147,10 @@ def diversity(df: DataFrame, keys: tuple[str, ...], vector: str, eps: float = 1e
 
 
 def fraction_ranks(value: Column, w: WindowSpec, fraction: float, index: str = "rollout_id") -> tuple[Column, Column]:
-    """(in the top, in the bottom) k = max(1, ceil(n * fraction)) of the group; fraction is clamped to [0, 0.5]."""
+    """(in the top, in the bottom) k = max(1, ceil(n * fraction)) of the group in ascending order, later indices after earlier ones; fraction is clamped to [0, 0.5]."""
     f = max(0.0, min(0.5, fraction))
     k = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(w) * f))
-    return F.row_number().over(w.orderBy(value.desc(), F.col(index))) <= k, F.row_number().over(w.orderBy(value.asc(), F.col(index))) <= k
+    return F.row_number().over(w.orderBy(value.desc(), F.col(index).desc())) <= k, F.row_number().over(w.orderBy(value.asc(), F.col(index))) <= k
 
 
 def metrics(df: DataFrame, keys: tuple[str, ...] = ("group_id",), p: str = "posterior", index: str = "rollout_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per rollout: group_id, rollout_id, scores, error_type, problem_type and run (FIXTURES.md, part C)."""
+def rollouts(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """One row per rollout: group_id, rollout_id, scores, error_type, problem_type and run (FIXTURES.md, part C), and further columns of lineitem."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     correct = F.col("l_returnflag") == "R"
@@ -51,6 +51,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 5).cast("int").alias("consistency"),
         error.alias("error_type"),
         (F.col("l_suppkey") % 3).cast("int").alias("run"),
+        *more,
     )
     return rows.join(o.select(F.col("o_orderkey").alias("group_id"), F.col("o_orderpriority").alias("problem_type")), "group_id")
 

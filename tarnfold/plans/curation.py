@@ -71,39 +71,6 @@ def p6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where(F.abs(c.to_double(F.col("l_discount")) - 0.05) <= 1e-9).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-ISSUES = """list_sort(list_filter([CASE WHEN suitability = 0 THEN 'no_suitability' END, CASE WHEN step_validity = 0 THEN 'no_step_validity' END, CASE WHEN answer_correctness = 1 AND error_type = 'lucky_correct' THEN 'lucky' END, CASE WHEN consistency < 1 THEN 'inconsistent' END], lambda x: x IS NOT NULL))"""
-
-
-def row_issues() -> Column:
-    return cu.issues(("no_suitability", F.col("suitability") == 0), ("no_step_validity", F.col("step_validity") == 0), ("lucky", (F.col("answer_correctness") == 1) & (F.col("error_type") == "lucky_correct")), ("inconsistent", F.col("consistency") < 1))
-
-
-@query("p7_row_issues", ROLL + f"SELECT group_id, rollout_id, array_to_string({ISSUES}, ',') AS issues FROM roll")
-def p7(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).select("group_id", "rollout_id", F.array_join(row_issues(), ",").alias("issues"))
-
-
-@query("p8_p10_group_gate", ROLL + f"SELECT group_id, bool_and(len({ISSUES}) = 0) AS clean, bool_or(answer_correctness = 1) AS any_correct, count(DISTINCT run) AS runs FROM roll GROUP BY 1")
-def p8(spark: SparkSession, d: str) -> DataFrame:
-    t = rollouts(spark, d).withColumn("i", row_issues())
-    return t.groupBy("group_id").agg(F.every(F.size("i") == 0).alias("clean"), F.some(F.col("answer_correctness") == 1).alias("any_correct"), F.countDistinct("run").alias("runs"))
-
-
-@query("p9_clean_rows", ROLL + f"SELECT group_id, rollout_id FROM roll WHERE len({ISSUES}) = 0")
-def p9(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).where(F.size(row_issues()) == 0).select("group_id", "rollout_id")
-
-
-@query("p11_drop_reasons", ROLL + f", t AS (SELECT unnest({ISSUES}) AS reason FROM roll) SELECT reason, count(*) AS n FROM t GROUP BY 1")
-def p11(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).select(F.explode(row_issues()).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query("p12_funnel", ROLL + "SELECT CASE WHEN suitability = 0 THEN 'suitability' WHEN step_validity = 0 THEN 'step_validity' WHEN consistency = 0 THEN 'consistency' WHEN error_type = 'lucky_correct' THEN 'lucky' ELSE 'kept' END AS step, count(*) AS failed FROM roll GROUP BY 1")
-def p12(spark: SparkSession, d: str) -> DataFrame:
-    return cu.funnel(rollouts(spark, d), [("suitability", F.col("suitability") > 0), ("step_validity", F.col("step_validity") > 0), ("consistency", F.col("consistency") > 0), ("lucky", F.col("error_type") != "lucky_correct")])
-
-
 @query("p14_p15_provenance", ROLL + "SELECT group_id, rollout_id, '{\"error_type\":\"' || error_type || '\",\"step_validity\":' || step_validity || CASE WHEN suitability > 0 THEN ',\"suitability\":' || suitability ELSE '' END || '}' AS snapshot FROM roll")
 def p14(spark: SparkSession, d: str) -> DataFrame:
     """A nested snapshot; null fields leave no key."""

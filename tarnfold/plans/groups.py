@@ -80,14 +80,17 @@ _TOP = "max(CASE WHEN {0}_rn = 1 THEN answer_correctness END)"
 
 @query("w9_top1_accuracy", ROLL + """, r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(posterior, 9) DESC, rollout_id) AS p_rn, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9) DESC, rollout_id) AS l_rn,
   row_number() OVER (PARTITION BY group_id ORDER BY round(prior, 9) DESC, rollout_id) AS q_rn, row_number() OVER (PARTITION BY group_id ORDER BY answer_correctness DESC, rollout_id) AS o_rn FROM post),
+v AS (SELECT group_id, consistency, count(*) AS n, min(rollout_id) AS f, arg_min(answer_correctness, rollout_id) AS c FROM roll GROUP BY 1, 2), sc AS (SELECT avg(c) AS c FROM (SELECT c, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, f) AS k FROM v) WHERE k = 1),
 m AS (SELECT group_id, max(CASE WHEN p_rn = 1 THEN answer_correctness END) AS p, max(CASE WHEN l_rn = 1 THEN answer_correctness END) AS l, max(CASE WHEN q_rn = 1 THEN answer_correctness END) AS q,
   max(CASE WHEN o_rn = 1 THEN answer_correctness END) AS o, max(answer_correctness) AS best, avg(answer_correctness) AS rnd FROM r GROUP BY 1)
-SELECT count(*) AS n_groups, round(avg(p), 9) AS by_posterior, round(avg(l), 9) AS by_likelihood, round(avg(q), 9) AS by_prior, round(avg(o), 9) AS by_outcome, round(avg(best), 9) AS oracle, round(avg(rnd), 9) AS random FROM m""")
+SELECT count(*) AS n_groups, round(avg(p), 9) AS by_posterior, round(avg(l), 9) AS by_likelihood, round(avg(q), 9) AS by_prior, round(avg(o), 9) AS by_outcome, round(avg(best), 9) AS oracle, round(avg(rnd), 9) AS random, (SELECT round(c, 9) FROM sc) AS self_consistency FROM m""")
 def w9(spark: SparkSession, d: str) -> DataFrame:
     t = _post(spark, d)
     best = lambda c: F.max_by(F.col("answer_correctness"), F.struct(F.round(c, 9), -F.col("rollout_id")))
     m = t.groupBy("group_id").agg(best("posterior").alias("p"), best("likelihood").alias("l"), best("prior").alias("q"), best("answer_correctness").alias("o"), F.max("answer_correctness").alias("best"), F.avg("answer_correctness").alias("rnd"))
-    return m.agg(F.count("*").alias("n_groups"), *[F.round(F.avg(a), 9).alias(b) for a, b in (("p", "by_posterior"), ("l", "by_likelihood"), ("q", "by_prior"), ("o", "by_outcome"), ("best", "oracle"), ("rnd", "random"))])
+    votes = t.groupBy("group_id", "consistency").agg(F.count("*").alias("n"), F.min("rollout_id").alias("f"), F.min_by("answer_correctness", "rollout_id").alias("c"))
+    voted = votes.groupBy("group_id").agg(F.max_by("c", F.struct("n", -F.col("f"))).alias("c")).agg(F.round(F.avg("c"), 9).alias("self_consistency"))
+    return m.crossJoin(F.broadcast(voted)).agg(F.count("*").alias("n_groups"), F.first("self_consistency").alias("self_consistency"), *[F.round(F.avg(a), 9).alias(b) for a, b in (("p", "by_posterior"), ("l", "by_likelihood"), ("q", "by_prior"), ("o", "by_outcome"), ("best", "oracle"), ("rnd", "random"))])
 
 
 @query("w10_entropy_variants", ROLL + """SELECT group_id, round(-sum(CASE WHEN posterior > 0 THEN posterior * ln(posterior) ELSE 0 END), 6) + 0.0 AS plain, round(-sum(posterior * ln(posterior + 1e-12)), 6) + 0.0 AS smoothed,
@@ -137,7 +140,7 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
     return t.select("vec_id", F.round((F.col("vec_id") % 2) * F.col("diversity_weight"), 6).alias("dra_reward"))
 
 
-@query("w18_fraction_sets", ROLL + """SELECT group_id, rollout_id, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9) DESC, rollout_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS in_top,
+@query("w18_fraction_sets", ROLL + """SELECT group_id, rollout_id, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9) DESC, rollout_id DESC) <= greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS in_top,
   row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9), rollout_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS in_bottom FROM lik""")
 def w18(spark: SparkSession, d: str) -> DataFrame:
     t = rollouts(spark, d).withColumn("v", F.round(g.likelihood(), 9))

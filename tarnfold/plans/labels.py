@@ -46,27 +46,6 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return t.select("group_id", "rollout_id", lb.bucket(F.col("signals")).alias("pair_bucket"), lb.bucket(F.col("signals"), lb.CALIBRATION_PRIORITY).alias("calibration_bucket"))
 
 
-@query("l1_l2_hard_case_tags", ROLL + """, r AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS k, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9) DESC, rollout_id) AS ld, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9), rollout_id) AS la,
-  row_number() OVER (PARTITION BY group_id ORDER BY suitability DESC, rollout_id) AS sd, row_number() OVER (PARTITION BY group_id ORDER BY suitability, rollout_id) AS sa FROM lik)
-SELECT group_id, rollout_id, array_to_string(list_filter([CASE WHEN answer_correctness = 1 AND la <= k THEN 'correct_low_likelihood' END, CASE WHEN answer_correctness = 1 AND sa <= k THEN 'correct_low_prior' END,
-  CASE WHEN answer_correctness = 0 AND ld <= k THEN 'wrong_high_likelihood' END, CASE WHEN answer_correctness = 0 AND sd <= k THEN 'wrong_high_prior' END], lambda x: x IS NOT NULL), ',') AS tags FROM r""")
-def l1(spark: SparkSession, d: str) -> DataFrame:
-    return lb.with_tags(post(spark, d)).select("group_id", "rollout_id", F.array_join("hard_case_tags", ",").alias("tags"))
-
-
-@query("l5_cross_run_reasons", ROLL + """, a AS (SELECT group_id, run, max(answer_correctness) AS ok FROM roll GROUP BY 1, 2), w AS (SELECT group_id, max(ok) FILTER (run = 0) AS r0, max(ok) FILTER (run = 1) AS r1 FROM a GROUP BY 1)
-SELECT group_id, CASE WHEN r0 = 1 AND r1 = 0 THEN 'regression' WHEN r0 = 0 AND r1 = 1 THEN 'improvement' WHEN r0 = 1 THEN 'retained' ELSE 'unsolved' END AS reason FROM w WHERE r0 IS NOT NULL AND r1 IS NOT NULL""")
-def l5(spark: SparkSession, d: str) -> DataFrame:
-    ok = lambda k: F.max(F.when(F.col("run") == k, F.col("answer_correctness")))
-    w = rollouts(spark, d).groupBy("group_id").agg(ok(0).alias("r0"), ok(1).alias("r1")).where("r0 is not null and r1 is not null")
-    return w.select("group_id", F.when((F.col("r0") == 1) & (F.col("r1") == 0), "regression").when((F.col("r0") == 0) & (F.col("r1") == 1), "improvement").when(F.col("r0") == 1, "retained").otherwise("unsolved").alias("reason"))
-
-
-@query("l6_stable_groups", J5 + "SELECT group_id, bool_and(a.c = b.c) AS stable, count(*) AS n FROM p a JOIN p b USING (group_id, i) WHERE a.run = 0 AND b.run = 1 GROUP BY 1")
-def l6(spark: SparkSession, d: str) -> DataFrame:
-    return j5(spark, d).groupBy("group_id").agg(F.every(F.col("c0") == F.col("c1")).alias("stable"), F.count("*").alias("n"))
-
-
 @query("l7_l8_examples", ROLL + "SELECT sha256(group_id || '|' || rollout_id) AS example_id, CASE WHEN ('0x' || substr(sha256(CAST(group_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split, '{\"step_validity\":' || step_validity || ',\"error_type\":\"' || error_type || '\"}' AS teacher_target FROM roll")
 def l7(spark: SparkSession, d: str) -> DataFrame:
     return rollouts(spark, d).select(F.sha2(F.concat_ws("|", "group_id", "rollout_id"), 256).alias("example_id"), cu.hash_split(F.col("group_id"), 0.1).alias("split"), F.to_json(F.struct("step_validity", "error_type")).alias("teacher_target"))
