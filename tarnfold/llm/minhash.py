@@ -8,7 +8,7 @@
    does not rule t out, and is then verified by exact Jaccard on the full sets. Lists shrink to the components found so far.
 4. The rest, exactly: every pair of a list whose components still differ is met once, at the first value they share, under a filter
    by sketches of 256 that is part of the join (and decides sets up to that size), and then verified. As members of the list's largest component need no meeting among themselves, a large group of
-   near copies costs list length x leftovers instead of its square. Long lists are cut into blocks that meet pairwise, so no task holds a list.
+   near copies costs list length x leftovers instead of its square. Lists with many such pairs are cut into blocks that meet pairwise, so no task holds them all.
 5. Components are those of classes; rows take their class's. Classes of more than a thousandth of the rows, a thousand at most, are broadcast
    for that, so no join deals many rows to one key.
 
@@ -77,8 +77,8 @@ def sketch(df: DataFrame, doc_id: str, text: str, k: int, width: int) -> DataFra
 
 #: Hashes (their leading 32 bits) of the larger sketch that filters the pairs which leaders leave.
 LARGE = 256
-#: Members of a block of a list in which leftover pairs meet.
-BLOCK = 512
+#: Leftover pairs of a list that one task compares at most, on average; longer lists are cut into blocks.
+PAIRS = 1 << 18
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -178,8 +178,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     placed = scratch.save(postings.join(comp, postings.rep == comp.node).join(index.select(F.col("rep").alias("r2"), "prefix", "n"), F.col("rep") == F.col("r2")).select("rep", "value", "component", "prefix", "n"), "placed")
     larger = sets.select(F.col("doc_id").alias("r3"), "large")
     by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by(F.struct("component", "c"), F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    by = by.select("value", F.col("m.component").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("xs"), blocks(F.col("all")).alias("ys"))
+    by = by.select("value", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("nx"), F.col("all").alias("ny"))
+    tasks = F.ceil(F.col("nx") * F.col("ny") / PAIRS)  # xs x ys of them, so that few rows are copied
+    by = by.withColumn("ys", F.least(tasks, F.ceil(F.sqrt(tasks * F.col("ny") / F.col("nx")))).cast("int"))
+    by = by.select("value", "main", "ys", F.ceil(tasks / F.col("ys")).cast("int").alias("xs"))
     open_ = placed.join(by, "value").join(larger, F.col("rep") == F.col("r3"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")

@@ -82,7 +82,7 @@ def test_minhash_against_brute_force(spark):
 
 def test_minhash_hot_groups_against_brute_force(spark, monkeypatch):
     """A third of the rows are copies of one text, a list of near misses that meet in blocks, long texts, repeated ids."""
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "PAIRS", 50)
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     base = [word() for _ in range(60)]
