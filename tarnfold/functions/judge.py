@@ -92,6 +92,38 @@ def fallback(parsed: Column, correct: Column) -> Column:
     return F.coalesce(parsed, base)
 
 
+def heuristic(correct: Column) -> Column:
+    """Evidence from the answer's correctness alone. Fixed values."""
+    side = lambda score, kind, strength, weakness: F.struct(*[F.lit(score).alias(s) for s in SCORES], F.lit(kind).alias("error_type"), F.lit(0.5).alias("judge_confidence"), F.lit(strength).alias("key_strength"), F.lit(weakness).alias("key_weakness"))
+    right = side(2, "correct_weak_proof", "Deterministically correct final answer.", "Heuristic mode does not inspect reasoning semantics.")
+    return F.when(correct == 1, right).otherwise(side(0, "no_meaningful_solution", "", "Deterministically incorrect final answer."))
+
+
+def learned_or_teacher(parsed: Column, teacher: Column, mode: str = "teacher") -> Column:
+    """A learned judgment; where it failed, the teacher's if all its scores are there and the mode says so; else none at all. Scores and error_type."""
+    fields = lambda c: F.struct(*[c[s].cast("int").alias(s) for s in SCORES], F.coalesce(F.nullif(c["error_type"], F.lit("")), F.lit("format_error")).alias("error_type"))
+    nothing = F.struct(*[F.lit(0).alias(s) for s in SCORES], F.lit("format_error").alias("error_type"))
+    usable = F.lit(mode == "teacher") & teacher.isNotNull()
+    for s in SCORES:
+        usable = usable & teacher[s].isNotNull()
+    return F.when(parsed.isNotNull(), fields(parsed)).when(usable, fields(teacher)).otherwise(nothing)
+
+
+def learned_prior(parsed: Column, teacher: Column, mode: str = "teacher") -> Column:
+    """A learned suitability; where it failed, the teacher's or 2."""
+    return F.coalesce(parsed, teacher if mode == "teacher" else F.lit(None).cast("int"), F.lit(2))
+
+
+def uniform_prior(n: Column) -> Column:
+    """Priors of a group whose judge failed."""
+    return F.struct(F.lit(0).alias("suitability"), (1.0 / n).alias("prior_probability"))
+
+
+def label_agrees(correct: Column, error_type: Column) -> Column:
+    """Correct labels on correct answers, others on wrong ones."""
+    return ((correct == 1) & error_type.isin(*CORRECT)) | ((correct == 0) & ~error_type.isin(*CORRECT))
+
+
 def chat_issue(messages: Column) -> Column:
     """The first thing wrong with a chat: empty, bad_role, blank_content, system_not_first, last_not_assistant, not_alternating; else ok."""
     body = F.filter(messages, lambda m: m["role"] != "system")

@@ -46,11 +46,6 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return t.select("group_id", "rollout_id", lb.bucket(F.col("signals")).alias("pair_bucket"), lb.bucket(F.col("signals"), lb.CALIBRATION_PRIORITY).alias("calibration_bucket"))
 
 
-@query("l7_l8_examples", ROLL + "SELECT sha256(group_id || '|' || rollout_id) AS example_id, CASE WHEN ('0x' || substr(sha256(CAST(group_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split, '{\"step_validity\":' || step_validity || ',\"error_type\":\"' || error_type || '\"}' AS teacher_target FROM roll")
-def l7(spark: SparkSession, d: str) -> DataFrame:
-    return rollouts(spark, d).select(F.sha2(F.concat_ws("|", "group_id", "rollout_id"), 256).alias("example_id"), cu.hash_split(F.col("group_id"), 0.1).alias("split"), F.to_json(F.struct("step_validity", "error_type")).alias("teacher_target"))
-
-
 @query("m8_l10_correction_pairs", ROLL + """, t AS (SELECT *, CASE WHEN answer_correctness = 1 THEN CASE error_type WHEN 'correct_complete' THEN 4 WHEN 'correct_weak_proof' THEN greatest(3, step_validity) ELSE greatest(2, least(3, step_validity)) END
   ELSE CASE error_type WHEN 'finalization_error' THEN 3 WHEN 'arithmetic_error' THEN 2 ELSE 0 END END AS s2, CASE WHEN answer_correctness = 1 THEN CASE error_type WHEN 'correct_complete' THEN 4 WHEN 'correct_weak_proof' THEN greatest(3, consistency) ELSE greatest(2, least(3, consistency)) END
   ELSE CASE error_type WHEN 'finalization_error' THEN 3 WHEN 'arithmetic_error' THEN 2 WHEN 'wrong_direction' THEN 1 ELSE 0 END END AS c2 FROM roll)
@@ -65,29 +60,17 @@ def m9(spark: SparkSession, d: str) -> DataFrame:
     return lb.with_signals(post(spark, d)).select("group_id", "rollout_id", lb.corrected_prior(F.col("signals")).alias("suitability"))
 
 
-@query("m7_l11_synthetic_pairs", ROLL + """SELECT r.group_id, r.rollout_id, '{"step_validity":' || r.step_validity || '}' AS chosen, '{"step_validity":' || greatest(0, least(4, r.step_validity - 2)) || '}' AS rejected FROM roll r WHERE greatest(0, least(4, r.step_validity - 2)) <> r.step_validity""")
-def m7(spark: SparkSession, d: str) -> DataFrame:
-    return lb.pairs(rollouts(spark, d), F.struct("step_validity"), F.struct(lb.perturbed(F.col("step_validity"), -2).alias("step_validity")), "group_id", "rollout_id")
-
-
 @query("m10_error_families", ROLL + "SELECT CASE WHEN error_type LIKE '%correct%' THEN 'correct' WHEN error_type IN ('wrong_direction', 'no_meaningful_solution') THEN 'bad_strategy' ELSE 'good_execution' END AS family, count(*) AS n FROM roll GROUP BY 1")
 def m10(spark: SparkSession, d: str) -> DataFrame:
     return rollouts(spark, d).groupBy(lb.family(F.col("error_type")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("l12_l13_group_examples", ROLL + "SELECT group_id, count(*) AS num_rollouts, string_agg(suitability::VARCHAR, ',' ORDER BY rollout_id) AS targets FROM roll GROUP BY 1 HAVING bool_and(consistency > 0)")
+@query("l12_group_examples", ROLL + "SELECT group_id, count(*) AS num_rollouts, string_agg(suitability::VARCHAR, ',' ORDER BY rollout_id) AS targets FROM roll GROUP BY 1 HAVING bool_and(consistency > 0)")
 def l12(spark: SparkSession, d: str) -> DataFrame:
     t = lb.group_examples(rollouts(spark, d), F.col("consistency") > 0)
     return t.select("group_id", F.col("num_rollouts").cast("long").alias("num_rollouts"), F.array_join(F.transform("candidates", lambda c: c["suitability"].cast("string")), ",").alias("targets"))
 
 
-@query("l14_mixture_assembly", ROLL + """, e AS (SELECT error_type, count(*) AS n FROM roll GROUP BY 1), z AS (SELECT CAST(max(n) AS BIGINT) AS most FROM e) SELECT error_type, n, CAST(ceil(most / n) AS BIGINT) AS passes FROM e, z""")
-def l14(spark: SparkSession, d: str) -> DataFrame:
-    """Passes that each bucket needs for equal shares."""
-    e = rollouts(spark, d).groupBy("error_type").agg(F.count("*").alias("n"))
-    return e.crossJoin(F.broadcast(e.agg(F.max("n").alias("most")))).select("error_type", "n", F.ceil(F.col("most") / F.col("n")).alias("passes"))
-
-
 REWARD = "(CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 

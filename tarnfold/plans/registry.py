@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tarnfold.plans import curation, groups, labels, quality, reports, texts  # noqa: F401
+from tarnfold.plans import curation, examples, groups, labels, quality, reports, texts  # noqa: F401
 from tarnfold.plans.base import ORACLES, QUERIES  # noqa: F401

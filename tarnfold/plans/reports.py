@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnfold.functions.judge import label_agrees
 from tarnfold.operators import groups as g
 from tarnfold.operators import reports as r
 from tarnfold.plans.base import ROLL, query, rollouts, table
@@ -140,13 +141,15 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("n"), F.round(F.avg("tm"), 6).alias("teacher_mass"), F.round(F.avg("lm"), 6).alias("learned_mass"), F.round(F.avg("lm") - F.avg("tm"), 6).alias("delta"))
 
 
-@query("a21_rates_and_mae", ROLL + """, p AS (SELECT *, group_id % 11 <> 0 AS parsed, group_id % 11 <> 0 AND group_id % 13 <> 0 AS valid FROM roll)
-SELECT run, round(avg(parsed::INT), 9) AS parse_rate, round(avg(valid::INT), 9) AS valid_rate, round(avg(CASE WHEN valid THEN abs(step_validity - proof_completeness) END), 9) AS mae, round(avg(CASE WHEN valid THEN (step_validity = proof_completeness)::INT END), 9) AS exact_rate FROM p GROUP BY 1""")
+@query("a21_rates_and_mae", ROLL + """, p AS (SELECT *, group_id % 11 <> 0 AS parsed, group_id % 11 <> 0 AND group_id % 13 <> 0 AS valid, CASE WHEN group_id % 5 = 0 THEN 'arithmetic_error' ELSE error_type END AS judged FROM roll)
+SELECT run, round(avg(parsed::INT), 9) AS parse_rate, round(avg(valid::INT), 9) AS valid_rate, round(avg(CASE WHEN valid THEN abs(step_validity - proof_completeness) END), 9) AS mae, round(avg(CASE WHEN valid THEN (step_validity = proof_completeness)::INT END), 9) AS exact_rate,
+  round(avg((valid AND (answer_correctness = 1) = (judged LIKE '%correct%'))::INT), 9) AS consistency_rate FROM p GROUP BY 1""")
 def a21(spark: SparkSession, d: str) -> DataFrame:
     parsed = F.col("group_id") % 11 != 0
     valid = parsed & (F.col("group_id") % 13 != 0)
     diff = F.abs(F.col("step_validity") - F.col("proof_completeness"))
-    return rollouts(spark, d).groupBy("run").agg(F.round(r.accuracy(parsed), 9).alias("parse_rate"), F.round(r.accuracy(valid), 9).alias("valid_rate"), F.round(F.avg(F.when(valid, diff)), 9).alias("mae"), F.round(F.avg(F.when(valid, (diff == 0).cast("int"))), 9).alias("exact_rate"))
+    agrees = valid & label_agrees(F.col("answer_correctness"), F.when(F.col("group_id") % 5 == 0, "arithmetic_error").otherwise(F.col("error_type")))
+    return rollouts(spark, d).groupBy("run").agg(F.round(r.accuracy(parsed), 9).alias("parse_rate"), F.round(r.accuracy(valid), 9).alias("valid_rate"), F.round(F.avg(F.when(valid, diff)), 9).alias("mae"), F.round(F.avg(F.when(valid, (diff == 0).cast("int"))), 9).alias("exact_rate"), F.round(r.accuracy(agrees), 9).alias("consistency_rate"))
 
 
 @query("a22_lambda_sweep", ROLL + """, s AS (SELECT group_id, rollout_id, answer_correctness, likelihood, lam, pow(prior, lam) AS q FROM lik, (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0)) v(lam)),
@@ -161,9 +164,32 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("lam").agg(F.count("*").alias("n_groups"), F.round(F.avg("mass"), 7).alias("mass_on_correct"), F.round(F.avg("ent"), 7).alias("entropy"))
 
 
-@query("a23_best_candidate", RUNS + "SELECT problem_type, run, round(acc, 9) AS acc FROM acc ORDER BY round(acc, 9) DESC, run DESC, problem_type LIMIT 1")
+SWEPT = ROLL + """, s AS (SELECT group_id, rollout_id, answer_correctness, likelihood, lam, pow(prior, lam) AS q FROM lik, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0), (2.0)) v(lam)),
+p AS (SELECT *, round(CASE WHEN sum(q * likelihood) OVER w > 0 THEN q * likelihood / sum(q * likelihood) OVER w ELSE 1.0 / count(*) OVER w END, 9) AS posterior FROM s WINDOW w AS (PARTITION BY lam, group_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lam, group_id ORDER BY posterior DESC, rollout_id) AS rk FROM p),
+m AS (SELECT lam, group_id, max(CASE WHEN rk = 1 THEN answer_correctness END) AS top, max(answer_correctness) AS best, sum(posterior * answer_correctness) AS mass FROM k GROUP BY 1, 2),
+l AS (SELECT lam, round(avg(CASE WHEN best = 1 THEN top END), 6) AS top1_when_correct_exists, round(avg(top), 6) AS top1_all, count(*) FILTER (best = 1 AND top = 0) AS wrong_top_count, round(avg(mass), 6) AS mass_on_correct_mean,
+  round(avg((group_id % 11 <> 0)::INT), 6) AS prior_parse_rate, round(avg((group_id % 13 <> 0)::INT), 6) AS evidence_parse_rate FROM m GROUP BY 1)
+"""
+
+
+@query("a23_best_candidate", SWEPT + "SELECT * FROM l ORDER BY top1_when_correct_exists DESC, top1_all DESC, wrong_top_count, mass_on_correct_mean DESC, prior_parse_rate DESC, evidence_parse_rate DESC, lam LIMIT 1")
 def a23(spark: SparkSession, d: str) -> DataFrame:
-    return r.best(run_accuracy(spark, d).withColumn("acc", F.round("acc", 9)), [F.desc("acc"), F.desc("run"), F.asc("problem_type")])
+    """The best parameter value of a sweep, by seven keys."""
+    base = g.with_posterior(rollouts(spark, d)).select("group_id", "rollout_id", "answer_correctness", "likelihood", "prior")
+    t = r.sweep(base, "lam", [0.0, 0.25, 0.5, 1.0, 2.0])
+    t = t.withColumn("p", F.round(g.posterior(F.col("prior"), F.col("likelihood"), g.group("group_id", "lam"), F.col("lam"))[0], 9))
+    m = t.groupBy("lam", "group_id").agg(F.max_by("answer_correctness", F.struct("p", -F.col("rollout_id"))).alias("top"), F.max("answer_correctness").alias("best"), F.sum(F.col("p") * F.col("answer_correctness")).alias("mass"))
+    rate = lambda c: F.round(F.avg(c), 6)
+    metrics = m.groupBy("lam").agg(
+        rate(F.when(F.col("best") == 1, F.col("top"))).alias("top1_when_correct_exists"),
+        rate("top").alias("top1_all"),
+        F.count_if((F.col("best") == 1) & (F.col("top") == 0)).alias("wrong_top_count"),
+        rate("mass").alias("mass_on_correct_mean"),
+        rate((F.col("group_id") % 11 != 0).cast("int")).alias("prior_parse_rate"),
+        rate((F.col("group_id") % 13 != 0).cast("int")).alias("evidence_parse_rate"),
+    )
+    return r.best(metrics, [F.desc("top1_when_correct_exists"), F.desc("top1_all"), F.asc("wrong_top_count"), F.desc("mass_on_correct_mean"), F.desc("prior_parse_rate"), F.desc("evidence_parse_rate"), F.asc("lam")])
 
 
 @query("a24_gates", RUNS + """, b AS (SELECT problem_type, avg(acc) FILTER (run = 0) AS base, avg(acc) FILTER (run = 1) AS cand FROM acc GROUP BY 1)

@@ -211,12 +211,25 @@ def n7(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", label.alias("label"), changed.alias("changed"))
 
 
-@query("n9_fallback", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN 'arithmetic_error' WHEN o_orderkey % 2 = 1 THEN 'correct_weak_proof' ELSE 'no_meaningful_solution' END AS error_type FROM orders")
+@query("n9_fallback", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN 'arithmetic_error' WHEN o_orderkey % 2 = 1 THEN 'correct_weak_proof' ELSE 'no_meaningful_solution' END AS conservative,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'correct_weak_proof:2:0.5' ELSE 'no_meaningful_solution:0:0.5' END AS heuristic, CASE WHEN o_orderkey % 4 < 2 THEN 'arithmetic_error' WHEN o_orderkey % 5 > 1 THEN 'invalid_assumption' ELSE 'format_error' END AS teacher,
+  CASE WHEN o_orderkey % 4 < 2 THEN 'arithmetic_error' ELSE 'format_error' END AS zero, CAST(CASE WHEN o_orderkey % 4 < 2 THEN 1 WHEN o_orderkey % 5 > 0 THEN 3 ELSE 2 END AS INT) AS prior, 1.0::DOUBLE / (1 + o_orderkey % 7) AS uniform FROM orders""")
 def n9(spark: SparkSession, d: str) -> DataFrame:
+    """All fallbacks, of judgments of which half don't parse; the teacher's lack for some, or lack a score."""
     fields = [*jd.SCORES, "error_type", "judge_confidence"]
     t = orders(spark, d).withColumn("e", jd.parse(judged(), jd.EVIDENCE))
     parsed = F.when(F.col("e").isNotNull(), F.struct(*[F.col(f"e.{f}").alias(f) for f in fields]))
-    return t.select("id", jd.fallback(parsed, ID() % 2)["error_type"].alias("error_type"))
+    teacher = F.when(ID() % 5 > 0, F.struct(*[F.when(ID() % 5 > 1, 3).alias(s) for s in jd.SCORES], F.lit("invalid_assumption").alias("error_type")))
+    h = jd.heuristic(ID() % 2)
+    return t.select(
+        "id",
+        jd.fallback(parsed, ID() % 2)["error_type"].alias("conservative"),
+        F.concat_ws(":", h["error_type"], h["consistency"], h["judge_confidence"]).alias("heuristic"),
+        jd.learned_or_teacher(F.col("e"), teacher)["error_type"].alias("teacher"),
+        jd.learned_or_teacher(F.col("e"), teacher, "zero")["error_type"].alias("zero"),
+        jd.learned_prior(F.when(F.col("e").isNotNull(), 1), F.when(ID() % 5 > 0, 3)).alias("prior"),
+        jd.uniform_prior(1 + ID() % 7)["prior_probability"].alias("uniform"),
+    )
 
 
 @query("n10_chat_issues", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, bool_or(trim(coalesce(text, '')) = '') AS blank, list(role ORDER BY turn) FILTER (role <> 'system') AS b FROM conversations GROUP BY 1)
