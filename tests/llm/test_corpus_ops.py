@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import hashlib
 import itertools
 import math
 import random
@@ -350,6 +351,115 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.count() > 0 and out.where("n_pieces <> size(ids)").count() == 0
 
 
+def best_pieces(codec, text):
+    """Ids of the best segmentation, by looking up every substring: no automaton, no segments, no table of known ones."""
+    if not text:
+        return []
+    from tarnfold.llm import pieces
+
+    score = {p: (-math.log(10 - s), i) for i, (p, s, kind) in enumerate(codec.pieces) if kind == "normal"}
+    longest = max(map(len, score))
+    s = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    assert pieces.SPACE not in text
+    best, back = [0.0] + [-math.inf] * len(s), [None] * (len(s) + 1)
+    for end in range(1, len(s) + 1):
+        for size in range(1, min(longest, end) + 1):
+            p = s[end - size : end]
+            got = score.get(p)
+            value = best[end - size] + (got[0] if got else codec.fallback if size == 1 else -math.inf)
+            if value > best[end] + 1e-9 or (got and value > best[end] - 1e-9 and back[end] and size > back[end][0]):
+                best[end], back[end] = max(value, best[end]), (size, (got[1],) if got else tuple(codec.bytes[b] for b in p.encode()))
+    out, at = [], len(s)
+    while at:
+        size, ids = back[at]
+        out[:0] = ids
+        at -= size
+    return out
+
+
+def total(codec, ids):
+    return sum(-math.log(10 - codec.pieces[i][1]) if codec.pieces[i][2] == "normal" else codec.fallback for i in ids)
+
+
+def test_pieces_query_against_brute_force(spark, sf_dir):
+    from tarnfold.llm import pieces, queries
+
+    codec = pieces.Codec(pieces.load(queries.model_file()))
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 4000").collect()}
+    got = {r.doc_id: r for r in queries.op7_sentencepiece(spark, sf_dir).collect()}
+    assert all(r.round_trip for r in got.values())
+    for i, text in rows.items():
+        ids, want = codec.encode(text or ""), best_pieces(codec, text)
+        assert total(codec, ids) == pytest.approx(total(codec, want))  # equal scores may be cut at different places
+        assert got[i].n_pieces == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def judged_language(model, text):
+    """(language, share of its letters) by a plain Viterbi walk over one text."""
+    from tarnfold.llm import langid
+
+    words = [p for w in langid.WORD.findall((text or "").lower()) for p in ([w] if langid.plain(w) else langid.pieces(w))]
+    if not words:
+        return "und", 0.0
+    scores = np.array([model.score([w])[0] for w in words], dtype=float)
+    value, back = scores[0], []
+    for s in scores[1:]:
+        top = int(value.argmax())
+        stay = value >= value[top] - model.switch
+        back.append(np.where(stay, np.arange(len(value)), top))
+        value = np.where(stay, value, value[top] - model.switch) + s
+    state, letters = int(value.argmax()), collections.Counter()
+    for k in range(len(words) - 1, -1, -1):
+        letters[state] += sum(map(str.isalpha, langid.letters_of(words[k])))
+        state = int(back[k - 1][state]) if k else state
+    best = max(sorted(letters), key=letters.__getitem__)
+    return model.langs[best], letters[best] / sum(letters.values())
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    from tarnfold.llm import langid, queries
+    from tarnfold.llm.common import id_mod
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.where(id_mod("doc_id", 5) != 0))
+    got = {r.doc_id: r for r in queries.op8_language_spans(spark, sf_dir).collect()}
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    for i, (text, _) in texts.items():
+        if text is None or len(text) < 3000:
+            assert (got[i].lang_pred, got[i].score) == (judged_language(model, text)[0], pytest.approx(judged_language(model, text)[1])), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    held = [(got[i].lang_pred, lang) for i, (_, lang) in texts.items() if got[i].held_out and lang]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_pipeline_run_against_brute_force(spark, sf_dir):
+    """run() on whole tables against the stages done plainly, one document at a time."""
+    import corpus_pipeline as cp
+    from tarnfold.llm import langid, pieces, queries, toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    same = lambda rows: spark.createDataFrame(rows, docs.select(*cp.COLUMNS).schema)
+    model = toxicity.fit(docs, labels)
+    rows = [r for r in docs.select(*cp.COLUMNS).collect() if model.score(r.text) < 0.7]
+    languages = langid.fit(same(rows))
+    found = {r.doc_id: judged_language(languages, r.text) for r in rows}
+    rows = [r for r in rows if found[r.doc_id][0] != "und" and found[r.doc_id][1] >= 0.5]
+    kept = brute_duplicates([(r.doc_id, r.text) for r in rows])
+    rows = [r for r in rows if kept[r.doc_id][2]]
+    ids = same(rows).selectExpr("doc_id", "text", "source", "cast(doc_id as string) as __id", "xxhash64(text) as __text")
+    keys = {}
+    for k in range(4):
+        keys |= {((r[0], r[1], r[2]), k): r[3] for r in ids.select("doc_id", "text", "source", mixing._key(17, F.lit(k))).collect()}
+    used, _ = brute_mix([(r.doc_id, r.text, r.source) for r in rows], keys, 2.0, 1 << 20)
+    codec = pieces.Codec(pieces.load(queries.model_file()))
+    want = collections.Counter((i, source, tuple(codec.encode(text))) for i, text, source, _, _ in used)
+    got = cp.run(spark, sf_dir)
+    assert got.columns == ["doc_id", "source", "ids", "n_pieces"]
+    assert collections.Counter((r.doc_id, r.source, tuple(r.ids)) for r in got.collect()) == want and got.where("n_pieces <> size(ids)").count() == 0
+
+
 def test_pipeline_keeps_rows_that_only_share_an_id(spark, sf_dir):
     import corpus_pipeline as cp
 
