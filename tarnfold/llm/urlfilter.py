@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.llm.common import batches
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,11 +84,17 @@ class Trie:
         return None
 
 
-def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", max_rules: int = 1_000_000, max_bytes: int = 32 << 20) -> DataFrame:
-    """keep columns, then host, path, rule (null where none fits) and verdict."""
+def judge_urls(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", max_rules: int = 1_000_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """keep columns, then host, path, rule (null where none fits) and verdict. Rules are pairs, or a table with columns rule and verdict of any size."""
     spark = df.sparkSession
     parts = df.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    if len(rules) > max_rules or sum(len(r) for r, _ in rules) > max_bytes:
+    if isinstance(rules, DataFrame):
+        rules = rules.select("rule", "verdict").where("rule is not null")
+        n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rule")), F.lit(0))).first()
+        if n > max_rules or size > max_bytes:
+            return judge_by_join(parts, rules, default)
+        rules = [tuple(r) for r in rules.collect()]
+    elif len(rules) > max_rules or sum(len(r) for r, _ in rules) > max_bytes:
         return judge_by_join(parts, spark.createDataFrame(rules, "rule string, verdict string"), default)
     trie = spark.sparkContext.broadcast(Trie(rules))
 
@@ -105,16 +113,16 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", ke
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, "rule", "verdict"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return parts.mapInArrow(judge, f"{fields}, rule string, verdict string")
+    return batches(parts, judge, f"{fields}, rule string, verdict string")
 
 
 def judge_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """The same for rule lists of any size: one equi-join on the (host suffix, path prefix) pairs that some rule's shape allows."""
     rules = rules.select(F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"), F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER).alias("_h"), F.when(F.instr("rule", "/") > 0, F.col("rule").substr(F.instr(F.col("rule"), "/"), F.length("rule"))).otherwise("").alias("_p"))
-    lengths = rules.agg(F.collect_set(F.length("_p")).alias("_lens"))  # distinct path lengths: at most the longest rule
+    # distinct numbers of labels and path lengths: at most the longest rule's
+    lengths = rules.agg(F.collect_set(F.size(F.split("_h", r"\."))).alias("_hosts"), F.collect_set(F.length("_p")).alias("_lens"))
     seen = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter("_hosts", lambda n: n <= F.size(F.split("host", r"\."))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     tries = seen.join(F.broadcast(lengths)).select("host", "path", F.explode(suffixes).alias("_h"), "_lens")
     tries = tries.select("host", "path", "_h", F.explode(F.transform(F.filter("_lens", lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))).alias("_p"))
     hit = tries.join(rules, ["_h", "_p"])

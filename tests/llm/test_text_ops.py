@@ -46,6 +46,11 @@ def test_url_cases(spark):
     assert by[7] == ("Äb.org", "/fr/é", "org/fr/", "allow") and by[8] == ("q.net", "", None, "allow") and by[9][0] == "a.b:"
     joined = [tuple(r) for r in urlfilter.judge_urls(df, queries.URL_RULES, keep=("page_id",), max_rules=0).collect()]
     assert sorted(joined, key=str) == sorted(got, key=str)
+    table = spark.createDataFrame([*queries.URL_RULES, (None, "block")], "rule string, verdict string")
+    for most in (0, 100):
+        assert sorted((tuple(r) for r in urlfilter.judge_urls(df, table, keep=("page_id",), max_rules=most).collect()), key=str) == sorted(got, key=str)
+    deep = spark.createDataFrame([(1, "x://" + "a." * 20_000 + "net/" + "y/" * 20_000)], "page_id int, url string")
+    assert [r.rule for m in (0, 100) for r in urlfilter.judge_urls(deep, table, max_rules=m).collect()] == ["net/"] * 2
     assert urlfilter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
