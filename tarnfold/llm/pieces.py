@@ -7,8 +7,8 @@ whose best encodings, laid end to end, are the best encoding of the text; segmen
 bounded table. A U+2581 of the text itself is encoded by bytes, so every text comes back unchanged.
 
 A vocabulary that was built by merges has merge ranks for scores, which are no log probabilities: their sums favour many
-low-ranked pieces. Such scores are replaced by -log(rank + 10) (Zipf's law); the result is the best segmentation
-under those scores, not the merge order's.
+low-ranked pieces. Such scores are replaced by log probabilities after Zipf's law, -log(rank + 10) less the logarithm of
+their sum; the result is the best segmentation under those scores, not the merge order's.
 
 Defined cases: a null text gives a null list; the empty text gives an empty list; repeated rows give equal results; an empty
 table gives an empty result; further columns are ignored. Between equal scores the longer last piece wins.
@@ -57,7 +57,9 @@ class Codec:
     def _prepare(self) -> None:
         normal = [(p, s, i) for i, (p, s, kind) in enumerate(self.pieces) if kind == "normal"]
         if all(s <= 0 and s == int(s) for _, s, _ in normal):
-            normal = [(p, -math.log(10 - s), i) for p, s, i in normal]
+            norm = math.log(sum(1 / (10 - s) for _, s, _ in normal)) if normal else 0.0
+            normal = [(p, -math.log(10 - s) - norm, i) for p, s, i in normal]
+        self.scores = {i: s for _, s, i in normal}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == "byte"}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary lacks byte pieces")

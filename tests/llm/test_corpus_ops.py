@@ -357,7 +357,7 @@ def best_pieces(codec, text):
         return []
     from tarnfold.llm import pieces
 
-    score = {p: (-math.log(10 - s), i) for i, (p, s, kind) in enumerate(codec.pieces) if kind == "normal"}
+    score = {codec.pieces[i][0]: (s, i) for i, s in codec.scores.items()}
     longest = max(map(len, score))
     s = pieces.SPACE + text.replace(" ", pieces.SPACE)
     assert pieces.SPACE not in text
@@ -378,7 +378,7 @@ def best_pieces(codec, text):
 
 
 def total(codec, ids):
-    return sum(-math.log(10 - codec.pieces[i][1]) if codec.pieces[i][2] == "normal" else codec.fallback for i in ids)
+    return sum(codec.scores.get(i, codec.fallback) for i in ids)
 
 
 def test_pieces_query_against_brute_force(spark, sf_dir):

@@ -88,7 +88,8 @@ def test_pieces_round_trip(codec, text):
 def test_pieces_viterbi_is_best(codec):
     import math
 
-    score = {p: -math.log(10 - s) for p, s, kind in codec.pieces if kind == "normal"}
+    assert sum(map(math.exp, codec.scores.values())) == pytest.approx(1)  # ranks became probabilities
+    score = {codec.pieces[i][0]: s for i, s in codec.scores.items()}
     for s in ("▁the", "▁hello", "▁international", "▁ab", "▁▁x"):
         cuts = (c for n in range(len(s)) for c in itertools.combinations(range(1, len(s)), n))
         best = max(sum(score.get(s[i:j], -1e9) for i, j in itertools.pairwise((0, *c, len(s)))) for c in cuts)
