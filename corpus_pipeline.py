@@ -79,8 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage came from is deleted once its result is written."""
     scratch = Scratch(spark, "corpus")
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = len(Scratch.made)
+        docs = scratch.save(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        for used in Scratch.made[made:]:
+            used.clear()
+        scratch.keep(docs)
+        before = docs
     return docs

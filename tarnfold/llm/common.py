@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
+    #: All that were made, so that a caller who has saved a result can clear what it came from.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tarnfold-{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[str] = []
+        Scratch.made.append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df as Parquet and read it back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
+        self.paths.append(path)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tarnfold_path = path
@@ -64,10 +71,26 @@ class Scratch:
 
     def drop(self, *saved: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._tarnfold_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._tarnfold_path)
+
+    def keep(self, *saved: DataFrame) -> None:
+        """Delete all tables but these."""
+        wanted = {df._tarnfold_path for df in saved}
+        for path in [p for p in self.paths if p not in wanted]:
+            self._delete(path)
+
+    def clear(self) -> None:
+        self.keep()
+        self._delete(self.root)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+
+    def _delete(self, path: str) -> None:
+        if path in self.paths:
+            self.paths.remove(path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
@@ -114,6 +137,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator
         yield batch.slice(start)
 
 
+def runs(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """(key, its rows) of consecutive rows whose columns agree, across batches."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for b in it:
+        values = [b.column(c).to_numpy() for c in columns]
+        new = np.zeros(max(0, b.num_rows - 1), dtype=bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        for lo, hi in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]):
+            if hi == lo:
+                continue
+            here = tuple(v[lo] for v in values)
+            if held and here != key:
+                yield key, held
+                held = []
+            key = here
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, held
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(30))

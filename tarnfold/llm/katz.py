@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, batches, mix64, slices, word_hashes
+from tarnfold.llm.common import Scratch, batches, mix64, runs, slices, word_hashes
 
 TOP_BIT = np.uint64(1 << 63)
 END = np.uint64(0x656E64) | TOP_BIT
@@ -92,25 +92,6 @@ def unpack_floats(b: bytes) -> np.ndarray:
     return unpack(b[8 : 8 + n], np.float64)[unpack(b[8 + n :], np.int32)]
 
 
-def runs(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Consecutive rows with an equal key, across batches."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for b in it:
-        keys = b.column(column).to_numpy()
-        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
-        for lo, hi in pairwise([0, *cuts, len(keys)]):
-            if hi == lo:
-                continue
-            if held and keys[lo] != key:
-                yield key, held
-                held = []
-            key = keys[lo]
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield key, held
-
-
 @dataclass
 class Words:
     """Totals, the frequent words, and the counts of the others by their numbers. Bounded by `fast` and by the number of distinct counts."""
@@ -276,7 +257,7 @@ def _code(df: DataFrame, text: str, train: Column, keep: tuple[str, ...], words:
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for chunk, part in runs(iter([b]), "chunk"):
+            for (chunk,), part in runs(iter([b]), "chunk"):
                 k = np.unique(np.concatenate([unpack(x.as_py(), np.int64) for p in part for x in p.column("rare")]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(k)], ["chunk", "k"])
 
@@ -428,7 +409,7 @@ def _ask(chunks: DataFrame, words, orders: list[Order], hot: np.ndarray, buckets
     shared = chunks.sparkSession.sparkContext.broadcast([Order(o.discounts, o.hot, o.sums) for o in orders])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, parts in runs(it, "chunk"):
+        for (number,), parts in runs(it, "chunk"):
             chunk, _ = _settled(parts, words.value, shared.value, buckets)
             chunk.distinct(hot, buckets)
             for b, at in chunk.requests():
@@ -446,7 +427,7 @@ def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, of
             cells = [pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in [*blobs, *[None] * (4 - len(blobs))])]
             return pa.RecordBatch.from_arrays(cells, ["kind", "chunk", "bucket", "a", "b", "c", "d"])
 
-        for bucket, parts in runs(it, "bucket"):
+        for (bucket,), parts in runs(it, "bucket"):
             t = pa.Table.from_batches(parts)
             chunk = t["chunk"].to_pylist()
             hs, ws, ns = ([unpack(x.as_py(), kind, c == "h") for x in t[c]] for c, kind in (("h", np.int64), ("w", np.int32), ("n", np.uint32)))

@@ -7,8 +7,8 @@
 3. Rounds of leaders: each list's members meet one leader of the list; a pair passes if the union sketch (the k smallest of both)
    does not rule t out, and is then verified by exact Jaccard on the full sets. Lists shrink to the components found so far.
 4. The rest, exactly: every pair of a list whose components still differ is met once, at the first value they share, under a filter
-   by sketches of 256 that is part of the join (and decides sets up to that size), and then verified. As members of the list's largest component need no meeting among themselves, a large group of
-   near copies costs list length x leftovers instead of its square. Lists with many such pairs are cut into blocks that meet pairwise, so no task holds them all.
+   by sketches of 256, counted by matrix products (which decide sets up to that size), and then verified. As members of the list's largest component need no meeting among themselves, a large group of
+   near copies costs list length x leftovers instead of its square. Long lists are cut into blocks that meet pairwise, so no task holds a list.
 5. Components are those of classes; rows take their class's. Classes of more than a thousandth of the rows, a thousand at most, are broadcast
    for that, so no join deals many rows to one key.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import Scratch, batches, mix64, slices, word_hashes
+from tarnfold.llm.common import Scratch, batches, mix64, runs, slices, word_hashes
 from tarnfold.llm.components import components
 
 #: Most candidate documents whose ids are broadcast to find their texts (8 bytes each); beyond it, ids are joined by a shuffle.
@@ -77,8 +77,8 @@ def sketch(df: DataFrame, doc_id: str, text: str, k: int, width: int) -> DataFra
 
 #: Hashes (their leading 32 bits) of the larger sketch that filters the pairs which leaders leave.
 LARGE = 256
-#: Leftover pairs of a list that one task compares at most, on average; longer lists are cut into blocks.
-PAIRS = 1 << 18
+#: Members of a block of a list in which leftover pairs meet; a task holds two blocks.
+BLOCK = 2048
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -176,22 +176,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         comp = _placed(index, all_links, scratch)
     # What leaders left: pairs of different components, one of them outside the list's main component.
     placed = scratch.save(postings.join(comp, postings.rep == comp.node).join(index.select(F.col("rep").alias("r2"), "prefix", "n"), F.col("rep") == F.col("r2")).select("rep", "value", "component", "prefix", "n"), "placed")
-    larger = sets.select(F.col("doc_id").alias("r3"), "large")
-    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by(F.struct("component", "c"), F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
-    by = by.select("value", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("nx"), F.col("all").alias("ny"))
-    tasks = F.ceil(F.col("nx") * F.col("ny") / PAIRS)  # xs x ys of them, so that few rows are copied
-    by = by.withColumn("ys", F.least(tasks, F.ceil(F.sqrt(tasks * F.col("ny") / F.col("nx")))).cast("int"))
-    by = by.select("value", "main", "ys", F.ceil(tasks / F.col("ys")).cast("int").alias("xs"))
-    open_ = placed.join(by, "value").join(larger, F.col("rep") == F.col("r3"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    x = open_.where("component <> main").withColumn("j", every("ys")).select("value", block("xs").alias("i"), "j", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("prefix").alias("pa"), F.col("n").alias("na"), F.col("large").alias("la"))
-    y = open_.withColumn("i2", every("xs")).select(F.col("value").alias("value2"), "i2", block("ys").alias("j2"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"), F.col("large").alias("lb"), (F.col("component") == F.col("main")).alias("in_main"))
-    once = F.col("in_main") | (F.col("a") < F.col("b"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.array_min(F.array_intersect("pa", "pb")) == F.col("value"))
-    fits = fits & _estimate(LARGE, least_shared(LARGE, t), F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent)
-    meet = (F.col("value") == F.col("value2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
-    pairs = x.join(y, meet & (F.col("ca") != F.col("cb")) & once & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("size")).where("kinds > 1")
+    by = by.select("value", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    open_ = placed.join(by, "value").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = open_.select("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "component", (F.col("component") == F.col("main")).alias("main"), "n", "prefix")
+    dealt = dealt.join(sets.select(F.col("doc_id").alias("r3"), "large"), F.col("rep") == F.col("r3")).drop("r3").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q")
+    pairs = batches(dealt, lambda it: _meet(it, percent), "a long, b long")
     all_links = _more(pairs, None, sets, scratch, found, k, need, percent)
 
     large = F.col("copies") > max(1000, rows.count() // 1000)
@@ -201,6 +191,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         all_links = all_links.union(of.join(least, F.col("doc_id") == F.col("d")).select("a", F.col("rep").alias("b")))
     whole = components(all_links, scratch)
     copies = scratch.save(copies.join(whole, F.col("rep") == F.col("node"), "left").select("digest", "n", "copies", F.coalesce("component", "rep").alias("component")), "placed")
+    scratch.keep(rows, copies)
     out = _by_class(full, copies, large, "doc_id", "n", "component")
     rest = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     if repeated:  # an empty text's row goes with the other rows of its id
@@ -210,6 +201,53 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _shared(flat: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int, step: int = 1024) -> np.ndarray:
+    """Values that rows x and rows y share, pair by pair, of (value, row) entries; values of one row alone are left out."""
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    kept = count[at] > 1
+    at, row = number[at[kept]], row[kept]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, int((count > 1).sum()), step):
+        here = (at >= lo) & (at < lo + step)
+        has = np.zeros((rows, step), dtype=np.float32)
+        has[row[here], at[here] - lo] = 1
+        out += has[x] @ has[y].T
+    return out
+
+
+def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a list that may meet the threshold: of different components, one outside the list's main one, at the first value they share."""
+    need = least_shared(LARGE, percent / 100)
+    for (value, p, q), held in runs(it, "value", "p", "q"):
+        t = pa.Table.from_batches(held).combine_chunks()
+        part, rep, comp, n = (t[c].to_numpy() for c in ("part", "rep", "component", "n"))
+        main = t["main"].to_numpy(zero_copy_only=False)
+        lists = [t[c].combine_chunks() for c in ("prefix", "large")]
+        (prefix, prefix_row), (large, large_row) = ((v.flatten().to_numpy(), np.repeat(np.arange(len(rep)), v.value_lengths().to_numpy())) for v in lists)
+        bounds = np.searchsorted(large_row, np.arange(len(rep) + 1))
+        before = prefix < value
+        sides = [(part == p, part == q)] if p == q else [(part == p, part == q), (part == q, (part == p) & main)]
+        for left, right in sides:
+            x, y = np.flatnonzero(left & ~main), np.flatnonzero(right)
+            if not len(x) or not len(y):
+                continue
+            fits = (comp[x][:, None] != comp[y]) & (main[y] | (rep[x][:, None] < rep[y]) | (p != q))
+            fits &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
+            fits &= _shared(prefix[before], prefix_row[before], x, y, len(rep)) == 0
+            both = _shared(large, large_row, x, y, len(rep))
+            whole = (n[x][:, None] <= LARGE) & (n[y] <= LARGE)  # two units of slack: leading bits of two hashes may agree
+            fits &= np.where(whole, 100 * (both + 2) >= percent * (n[x][:, None] + n[y] - both - 2), both >= need)
+            i, j = np.nonzero(fits)
+            keep = whole[i, j]
+            i, j = x[i], y[j]
+            for k in np.flatnonzero(~keep).tolist():
+                la, lb = large[bounds[i[k]] : bounds[i[k] + 1]], large[bounds[j[k]] : bounds[j[k] + 1]]
+                keep[k] = np.isin(np.union1d(la, lb)[:LARGE], np.intersect1d(la, lb)).sum() >= need
+            a, b = rep[i[keep]], rep[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _by_class(rows: DataFrame, classes: DataFrame, large: Column, *cols: str) -> DataFrame:
     """Rows with their class's columns; large classes are broadcast, so that none deals its rows to one task."""
     named = [c for c in classes.columns if c not in ("digest", "n")]

@@ -214,6 +214,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     own = scratch.save(own.where("rep is not null").select("id", "rep", "links").union(rest), "counts")
     whole = components(found.where("edge").select("a", "b").union(own.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), scratch)
     whole = own.groupBy("id").agg(F.max("links").alias("links")).join(whole, F.col("id") == F.col("node"), "left").select("id", "links", F.coalesce("component", "id").alias("component"))
+    whole = scratch.save(whole, "components")
+    scratch.keep(whole)
     ids = df.select(F.col(vec_id).cast("long").alias("vec_id"))
     out = ids.join(whole, F.col("vec_id") == F.col("id"), "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
