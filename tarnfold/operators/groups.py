@@ -6,8 +6,12 @@ compared with one another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -133,15 +137,42 @@ def logp_reward(total: Column, length: Column, mode: str = "sum_exp", lo: float
     return F.exp(F.greatest(F.least(x, F.lit(0.0)), F.lit(lo))) if mode.endswith("exp") else x
 
 
+def _unit_sums(df: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:
+    """(keys, _i, _s): sums of unit vectors by group and component, added up within each Arrow batch first, so few rows are shuffled."""
+    given = df.select(*keys, F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            named = pd.DataFrame({str(i): b.column(i).to_pandas() for i in range(len(keys))})
+            code = named.groupby(list(named.columns), dropna=False, sort=False).ngroup().to_numpy()
+            v = b.column("_v")
+            flat, lengths = v.flatten().to_numpy(zero_copy_only=False), v.value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            for n in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == n)
+                x = flat[(ends[rows] - n)[:, None] + np.arange(n)]
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                usable = norm > 0  # not where a component is null
+                unit = np.where(usable, x / np.where(usable, norm, 1), 0.0)
+                groups, first, at = np.unique(code[rows], return_index=True, return_inverse=True)
+                sums = np.zeros((len(groups), n))
+                np.add.at(sums, at, unit)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows[first])).columns[: len(keys)], pa.array(sums.tolist(), pa.list_(pa.float64()))], [*keys, "_v"])
+
+    parts = given.mapInArrow(run, given.schema)
+    return parts.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_s"))
+
+
 def diversity(df: DataFrame, keys: tuple[str, ...], vector: str, eps: float = 1e-6) -> DataFrame:
     """Adds diversity_weight = 1 / (sum of cosines with the group, itself included, + eps).
 
     The sum of dot products is the dot product with the group's sum: one aggregation, no pairs.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    sums = _unit_sums(df, keys, vector).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("_sum"))
     unit = df.withColumn("_norm", norm).withColumn("_u", F.transform(vector, lambda x: F.when(F.col("_norm") > 0, x.cast("double") / F.col("_norm")).otherwise(0.0)))
-    sums = unit.select(*keys, F.posexplode("_u").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_s"))
-    sums = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("_sum"))
     dot = F.aggregate(F.zip_with("_u", "_sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return unit.join(sums, list(keys)).withColumn("diversity_weight", 1.0 / (dot + eps)).drop("_u", "_norm", "_sum")
 
