@@ -77,17 +77,28 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", tx.free_answer(t).alias("s")).select("id", "s.*")
 
 
-@query("x8_x15_x16_x18_normalise_answer", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '(' || o_orderkey || ')/(2)' WHEN 1 THEN o_orderkey::VARCHAR WHEN 2 THEN '2*pi' ELSE '101_2' END AS normalized, o_orderkey % 4 = 1 AS stripped_units, o_orderkey % 4 = 2 AS had_pi, o_orderkey % 4 = 0 AS had_fraction,
-  o_orderkey % 4 = 3 AS had_base_notation, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey / 2.0 WHEN 1 THEN o_orderkey::DOUBLE WHEN 2 THEN 2 * pi() END AS numeric_value FROM orders""")
+def shapes(by: int, *cases: str | Column) -> Column:
+    """The case of an id modulo their number."""
+    out = F.lit(None).cast("string")
+    for k, c in reversed(list(enumerate(cases))):
+        out = F.when(ID() % by == k, F.lit(c) if isinstance(c, str) else c).otherwise(out)
+    return out
+
+
+@query("x8_x15_x16_x18_normalise_answer", """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 10 AS m, CAST(o_orderkey AS VARCHAR) AS v FROM orders)
+SELECT id, CASE m WHEN 0 THEN '(' || v || ')/(2)' WHEN 1 THEN v WHEN 2 THEN '2*pi' WHEN 3 THEN '101_2' WHEN 4 THEN v WHEN 5 THEN '((' || v || ')/(2))/(3)' WHEN 6 THEN v || '%' WHEN 7 THEN v || ',-1' WHEN 8 THEN '-' || v ELSE '(' || v || ',2]' END AS normalized,
+  m = 1 AS stripped_units, m = 2 AS had_pi, m IN (0, 5) AS had_fraction, m = 3 AS had_base_notation, CASE WHEN m = 7 THEN v || ';-1' ELSE '' END AS items,
+  round(CASE m WHEN 0 THEN id / 2.0 WHEN 1 THEN id::DOUBLE WHEN 2 THEN 2 * pi() WHEN 4 THEN id::DOUBLE WHEN 5 THEN id / 6.0 WHEN 8 THEN -id::DOUBLE END, 9) + 0.0 AS numeric_value FROM t""")
 def x18(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("m") == 0, text("\\boxed{\\dfrac{", ID(), "}{2}}")).when(F.col("m") == 1, text("$", ID(), " \\text{feet}$")).when(F.col("m") == 2, "2\\pi").otherwise("101 in base 2")
-    return orders(spark, d).select("id", tx.normalise_answer(t).alias("s")).select("id", "s.normalized", "s.stripped_units", "s.had_pi", "s.had_fraction", "s.had_base_notation", "s.numeric_value")
+    given = shapes(10, text("\\boxed{\\dfrac{", ID(), "}{2}}"), text("$", ID(), " \\text{feet}$"), "2\\pi", "101 in base 2", text("The answer is ", ID(), "."), text("\\frac{\\frac{", ID(), "}{2}}{3}"), text(ID(), "\\%"), text("{", ID(), " , -1}"), text("−", ID()), text("\\left( ", ID(), " , 2 \\right]"))
+    t = orders(spark, d).select("id", tx.normalise_answer(given).alias("s"))
+    return t.select("id", "s.normalized", "s.stripped_units", "s.had_pi", "s.had_fraction", "s.had_base_notation", F.array_join(F.coalesce("s.comma_items", F.array().cast("array<string>")), ";").alias("items"), (F.round("s.numeric_value", 9) + 0.0).alias("numeric_value"))
 
 
-@query("x17_x19_x20_verify", "SELECT o_orderkey AS id, o_orderkey % 4 <> 3 AS correct, CASE o_orderkey % 4 WHEN 0 THEN 'fraction_decimal_match' WHEN 1 THEN 'comma_set_match' WHEN 2 THEN 'exact_string' ELSE 'no_match' END AS verification_method FROM orders")
+@query("x17_x19_x20_verify", "SELECT o_orderkey AS id, o_orderkey % 10 NOT IN (3, 7, 9) AS correct, CASE o_orderkey % 10 WHEN 0 THEN 'fraction_decimal_match' WHEN 1 THEN 'comma_set_match' WHEN 2 THEN 'exact_string' WHEN 4 THEN 'unit_stripped_match' WHEN 5 THEN 'latex_pi_match' WHEN 6 THEN 'numeric_match' WHEN 8 THEN 'latex_pi_match' ELSE 'no_match' END AS verification_method FROM orders")
 def x20(spark: SparkSession, d: str) -> DataFrame:
-    pred = F.when(F.col("m") == 0, text("\\frac{", ID(), "}{2}")).when(F.col("m") == 1, text(ID(), ", -1")).when(F.col("m") == 2, text("$", ID(), "$")).otherwise(text(ID() + 1))
-    gold = F.when(F.col("m") == 0, text((ID() / 2).cast("decimal(20,1)"))).when(F.col("m") == 1, text("-1,", ID())).otherwise(text(ID()))
+    pred = shapes(10, text("\\frac{", ID(), "}{2}"), text(ID(), ", -1"), text("$", ID(), "$"), text(ID() + 1), text(ID(), " apples"), text(ID(), "\\pi"), text(ID()), text("(", ID(), ", 1)"), text(ID(), "\\pi/2"), "")
+    gold = shapes(10, text((ID() / 2).cast("decimal(20,1)")), text("-1,", ID()), text(ID()), text(ID()), text(ID()), text(ID(), "*pi"), text(ID(), ".0000001"), text("(1, ", ID(), ")"), text("0.5*pi*", ID()), "")
     return orders(spark, d).select("id", tx.verify(pred, gold, F.lit("Find all roots of p.")).alias("s")).select("id", "s.correct", "s.verification_method")
 
 
