@@ -224,8 +224,8 @@ def _number_words(df: DataFrame, text: str, scratch: Scratch, fast: int) -> tupl
     place = F.row_number().over(Window.partitionBy("c", "b").orderBy("k")) - 1
     numbers = rest.withColumn("place", place).join(groups, (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2"))).select("k", (F.col("first") + F.col("place")).cast("int").alias("id"))
     numbers = scratch.save(numbers, "numbers")
-    if distinct >= 1 << 31:
-        raise ValueError("2**31 distinct words or more; their numbers are 32 bits")
+    if distinct >= (1 << 31) - 2:
+        raise ValueError("too many distinct words for numbers of 31 bits")
     less = groups.groupBy("c2").agg(F.min("first").alias("first")).orderBy("first").toPandas()
     scratch.drop(counted)
     words = Words(k[by], by.astype(np.int32), c, less["first"].to_numpy(dtype=np.int64), less["c2"].to_numpy(dtype=np.int64), int(total), int(distinct), int(texts["c"]) if texts else 0)
@@ -316,6 +316,7 @@ class Chunk:
         self.p = words.p(self.ids)
         self.order, self.mark = 1, words.start
         self.history = self.before(self.ids, words.start)  # keys of the next order's histories
+        self.rank = self.history  # numbers of the histories, equal where their keys are
 
     def before(self, values: np.ndarray, first: int) -> np.ndarray:
         """Each token's predecessor's value, or `first` where a text begins."""
@@ -329,9 +330,8 @@ class Chunk:
         seen = self.before(self.counts, self.words.texts)  # a history's count is that of the n-gram before
         self.where = np.flatnonzero(seen > 0)
         h, w = self.history[self.where], self.ids[self.where]
-        keys, rank = np.unique(h, return_inverse=True)
-        grams, first, self.inverse = np.unique(rank << 32 | w, return_index=True, return_inverse=True)
-        self.h, self.w = keys[grams >> 32], grams & 0xFFFFFFFF
+        grams, first, self.inverse = np.unique(self.rank[self.where] << 32 | w, return_index=True, return_inverse=True)
+        self.h, self.w = h[first], grams & 0xFFFFFFFF
         self.low, self.seen = self.p[self.where[first]], seen[self.where[first]]
         self.n = np.bincount(self.inverse, weights=self.train[self.where], minlength=len(grams)).astype(np.int64)
         mixed = mix64(self.h.view(np.uint64))
@@ -373,6 +373,9 @@ class Chunk:
         self.order += 1
         self.mark = int(extended(self.order, np.array([self.mark]), np.array([self.words.start]))[0])
         self.history = self.before(extended(self.order, self.history, self.ids), self.mark)
+        place = np.zeros(len(self.ids), dtype=np.int64)  # a history is the n-gram before, so its place among these numbers it
+        place[self.where] = self.inverse
+        self.rank = self.before(place, (1 << 31) - 1)
 
 
 def _chunks(corpus: DataFrame, answers: list[DataFrame], chunks: int, kept: list[str]) -> DataFrame:
@@ -434,16 +437,21 @@ def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, of
             sizes = [len(x) for x in hs]
             h, w, n = np.concatenate(hs), np.concatenate(ws).astype(np.int64), np.concatenate(ns).astype(np.int64)
             del hs, ws, ns
-            keys, rank = np.unique(h, return_inverse=True)
-            grams, inverse = np.unique(rank << 32 | w, return_inverse=True)
-            del h, w, rank
+            if order == 2:  # the history's number itself fits
+                grams, inverse = np.unique(h << 32 | w, return_inverse=True)
+                keys, owner = np.unique(grams >> 32, return_inverse=True)
+            else:
+                keys, rank = np.unique(h, return_inverse=True)
+                grams, inverse = np.unique(rank << 32 | w, return_inverse=True)
+                owner = grams >> 32
+                del rank
+            del h, w
             c = np.bincount(inverse, weights=n, minlength=len(grams)).astype(np.int64)
             if order == 2:
                 low = words.value.p(grams & 0xFFFFFFFF)
             else:  # equal wherever it is given
                 low = np.zeros(len(grams))
                 low[inverse[n > 0]] = np.concatenate([unpack_floats(x.as_py()) for x in t["p"]])
-            owner = grams >> 32  # history's place in keys
             sums = np.zeros((len(keys), TOP + 2))
             few = c <= TOP
             np.add.at(sums, (owner[few & (c > 0)], c[few & (c > 0)] - 1), 1.0)
