@@ -216,6 +216,14 @@ def _shared(flat: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, row
     return out
 
 
+def _in_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, how many of the smallest values of the union (as many as a row has places) lie in both; one of the two rows is full."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    rank = np.arange(both.shape[1] - 1) - np.cumsum(twice, axis=1) + twice  # of a pair's value in the union
+    return (twice & (rank < a.shape[1])).sum(axis=1)
+
+
 def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of two blocks of a list that may meet the threshold: of different components, one outside the list's main one, at the first value they share."""
     need = least_shared(LARGE, percent / 100)
@@ -225,7 +233,8 @@ def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch
         main = t["main"].to_numpy(zero_copy_only=False)
         lists = [t[c].combine_chunks() for c in ("prefix", "large")]
         (prefix, prefix_row), (large, large_row) = ((v.flatten().to_numpy(), np.repeat(np.arange(len(rep)), v.value_lengths().to_numpy())) for v in lists)
-        bounds = np.searchsorted(large_row, np.arange(len(rep) + 1))
+        padded = np.full((len(rep), LARGE), 1 << 40)
+        padded[large_row, np.arange(len(large)) - np.searchsorted(large_row, np.arange(len(rep)))[large_row]] = large
         before = prefix < value
         sides = [(part == p, part == q)] if p == q else [(part == p, part == q), (part == q, (part == p) & main)]
         for left, right in sides:
@@ -241,9 +250,10 @@ def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch
             i, j = np.nonzero(fits)
             keep = whole[i, j]
             i, j = x[i], y[j]
-            for k in np.flatnonzero(~keep).tolist():
-                la, lb = large[bounds[i[k]] : bounds[i[k] + 1]], large[bounds[j[k]] : bounds[j[k] + 1]]
-                keep[k] = np.isin(np.union1d(la, lb)[:LARGE], np.intersect1d(la, lb)).sum() >= need
+            rest = np.flatnonzero(~keep)
+            for lo in range(0, len(rest), 4096):
+                at = rest[lo : lo + 4096]
+                keep[at] = _in_union(padded[i[at]], padded[j[at]]) >= need
             a, b = rep[i[keep]], rep[j[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 

@@ -103,6 +103,19 @@ def test_minhash_hot_groups_against_brute_force(spark, monkeypatch):
     assert got[7000, 0] == 3 and got[5000, 0] == got[5001, 0] == 1 and got[8000, 8000] == 1
 
 
+def test_minhash_union_sketch_against_brute_force():
+    rng = np.random.default_rng(8)
+    a = np.array([np.sort(rng.choice(400, 64, replace=False)) for _ in range(200)])
+    b = np.array([np.sort(rng.choice(400, 64, replace=False)) for _ in range(200)])
+    b[:50, 30:] = 1 << 40  # shorter rows
+    b[50:80] = a[50:80]
+    want = [len(set(x) & set(y) & set(sorted({*x, *y} - {1 << 40})[:64])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert minhash._in_union(a, b).tolist() == want
+    flat, row = np.concatenate(a[:20]), np.repeat(np.arange(20), 64)
+    shared = minhash._shared(flat, row, np.arange(5), np.arange(20), 20, step=50)
+    assert all(shared[i, j] == len(set(a[i]) & set(a[j])) for i in range(5) for j in range(20) if i != j)
+
+
 def test_minhash_query_against_sql(spark, sf_dir):
     from tarnfold.llm import queries
     from tests import oracle
