@@ -83,8 +83,8 @@ def first_n(df: DataFrame, n: int, h: str, *ties: str) -> tuple[DataFrame, DataF
     The hash that cuts the order is found by counting leading digits, 4096 at a time, until few enough rows share them; only
     those are ordered, so no task holds n rows, whatever n is.
     """
-    if n <= 0:
-        return df.limit(0), df.limit(0)
+    if n <= EDGE:
+        return df.limit(0), df.orderBy(h, *ties).limit(max(0, n))
     prefix, before, size = "", 0, None
     while size is None or size > EDGE:
         at = len(prefix)
@@ -103,6 +103,12 @@ def first_n(df: DataFrame, n: int, h: str, *ties: str) -> tuple[DataFrame, DataF
     return df.where(F.substring(h, 1, len(prefix)) < prefix), edge
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly rows of few input splits: dealt to as many tasks as there are cores. Larger inputs have splits enough and stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str, target: int) -> DataFrame:
     """The reference's single scan with early stop: rows in hash order; those with a reason go; then later copies of a key; then rows after
     the target-th survivor. Where fewer survive, the scan goes on to the end. Adds `outcome`: selected, duplicate, the reason, or unscanned.
@@ -114,11 +120,9 @@ def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str
     first = fine.groupBy(key).agg(F.min(F.struct("_o", tie)).alias("_f"))
     marked = ranked.join(first, key, "left").withColumn("_dup", F.col("_reason").isNull() & (F.struct("_o", tie) != F.col("_f")))
     survivors = first.select(F.col("_f._o").alias("_o"), F.col(f"_f.{tie}").alias(tie))
-    last = None
-    if 0 < target <= survivors.count():
-        _, edge = first_n(survivors, target, "_o", tie)
-        last = edge.agg(F.max(F.struct("_o", tie)).alias("_last"))
-    out = marked.join(F.broadcast(last)) if last is not None else marked.withColumn("_last", F.lit(None).cast(marked.select(F.struct("_o", tie).alias("x")).schema["x"].dataType))
+    _, edge = first_n(survivors, target, "_o", tie)  # where fewer survive, a short edge or none
+    last = edge.agg(F.when(F.lit(target > EDGE) | (F.count("*") == target), F.max(F.struct("_o", tie))).alias("_last"))
+    out = marked.join(F.broadcast(last))
     state = F.when(F.struct("_o", tie) > F.col("_last"), "unscanned").when(F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_dup"), "duplicate").otherwise("selected")
     return out.withColumn("outcome", state).drop("_f", "_dup", "_last", "_reason")
 

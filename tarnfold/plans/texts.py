@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import judge as jd
 from tarnfold.functions import text as tx
-from tarnfold.operators.curate import normalised
+from tarnfold.operators.curate import normalised, spread
 from tarnfold.plans.base import query, table
 from tarnfold.plans.curation import NORM
 
@@ -15,7 +15,7 @@ K = "o_orderkey"
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % 4).alias("m"))
+    return spread(table(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % 4).alias("m")))
 
 
 def text(*parts: str | Column) -> Column:
