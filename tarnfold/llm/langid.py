@@ -2,7 +2,7 @@
 
 Fit: hashed character n-grams (with word bounds) of every training text are counted per language into a fixed number of
 buckets, together with letters per script. The model's size is bounded by max_langs x (buckets + scripts), whatever the
-corpus. Words are runs of letters, cut where the script changes; runs of more than 24 letters, as scripts without spaces have them,
+corpus. Words are runs of letters with their combining marks, cut where the script changes; runs of more than 24 letters, as scripts without spaces have them,
 are cut into consecutive pieces of 16 (the last one 9 to 24), whose n-grams reach over the cut, so every letter is learned and
 judged and spans can begin inside a run. Predict: a word's candidates are the languages that use its script; its score is its mean n-gram log
 probability, floored; a switch of language between two words costs `switch`. The prediction is the language whose spans
@@ -16,6 +16,7 @@ answers `und`; further columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,18 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.common import batches, slices, with_text
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks, which continue a word and its script, and are no letters.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0xFE30)) if unicodedata.category(c) in ("Mn", "Mc"))
+MARK = re.compile(f"[{_MARKS}]")
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+MARKED_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and their marks, in lower case."""
+    low = text.lower()
+    return (PLAIN_WORD if low.isascii() or not MARK.search(low) else MARKED_WORD).findall(low)
+
 
 #: First code point of each range and its script; "" ends a range.
 RANGES = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, ""), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, ""), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, "")]
@@ -50,14 +62,22 @@ def letters_of(word: str) -> str:
     return word.lstrip("\0").partition("\0")[0] if "\0" in word else word
 
 
+def scripts_of(run: str) -> np.ndarray:
+    """Script of each letter; a mark has the letter's before it."""
+    out = np.fromiter(map(script, run), dtype=np.int64, count=len(run))
+    for m in MARK.finditer(run):
+        out[m.start()] = out[max(0, m.start() - 1)]
+    return out
+
+
 def plain(run: str) -> bool:
     """Whether a run of letters stays whole."""
-    return len(run) <= WHOLE and (max(run) < "\u0370" or len(set(map(script, run))) == 1)
+    return len(run) <= WHOLE and (max(run) < "\u0370" or len(set(scripts_of(run).tolist())) == 1)
 
 
 def pieces(run: str) -> list[str]:
     """Words of a run of letters. A piece that continues a word begins with a zero; one that is continued ends with a zero and the next three letters."""
-    scripts = np.fromiter(map(script, run), dtype=np.int64, count=len(run))
+    scripts = scripts_of(run)
     bounds = [0, *(np.flatnonzero(np.diff(scripts)) + 1).tolist(), len(run)]
     out = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -156,7 +176,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1
         for b in it:
             for part in slices(b, "text", 1 << 20):
                 for t, key in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                    words.setdefault(key, Counter()).update(WORD.findall(t.lower()))
+                    words.setdefault(key, Counter()).update(words_of(t))
                 if sum(map(len, words.values())) > 200_000:
                     spill()
         spill()
@@ -237,7 +257,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 per_text, lengths, fresh = [], [], []
                 cut: dict[str, list[str]] = {}
                 for t in part.column(name).to_pylist():
-                    words = WORD.findall(t.lower()) if t and m.langs else []
+                    words = words_of(t) if t and m.langs else []
                     strange = set(words).difference(known)
                     cut.update((w, pieces(w)) for w in strange if w not in cut and not plain(w))
                     if not cut.keys().isdisjoint(strange):

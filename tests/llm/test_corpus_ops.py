@@ -412,7 +412,7 @@ def judged_language(model, text):
     """(language, share of its letters) by a plain Viterbi walk over one text."""
     from tarnfold.llm import langid
 
-    words = [p for w in langid.WORD.findall((text or "").lower()) for p in ([w] if langid.plain(w) else langid.pieces(w))]
+    words = [p for w in langid.words_of(text or "") for p in ([w] if langid.plain(w) else langid.pieces(w))]
     if not words:
         return "und", 0.0
     scores = np.array([model.score([w])[0] for w in words], dtype=float)

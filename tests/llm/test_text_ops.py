@@ -188,6 +188,12 @@ def test_chat_query_against_sql(spark, sf_dir):
     oracle.same(oracle.connect(sf_dir), queries.op6_chat_format(spark, sf_dir), queries.OP6_SQL)
 
 
+def test_marks_stay_in_their_words():
+    assert langid.words_of("हिन्दी में ЗА́мок cafe\u0301 x2y") == ["हिन्दी", "में", "за́мок", "cafe\u0301", "x", "y"]
+    assert langid.plain("за́мок") and langid.plain("हिन्दी") and langid.pieces("за́мокабв") == ["за́мокабв"]
+    assert langid.words_of("\u0301 12") == [] and langid.words_of("Ärger über alles") == ["ärger", "über", "alles"]
+
+
 def test_long_runs_and_mixed_scripts_are_judged_whole(spark):
     rng = random.Random(8)
     run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
