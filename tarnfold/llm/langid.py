@@ -252,7 +252,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         letters = np.zeros(1 << 12, dtype=np.int64)
         for b in it:
             for part in slices(b, name, 1 << 22):
-                if len(known) > 300_000:
+                if len(known) > 200_000:
                     known = {}
                 per_text, lengths, fresh = [], [], []
                 cut: dict[str, list[str]] = {}

@@ -78,7 +78,7 @@ def sketch(df: DataFrame, doc_id: str, text: str, k: int, width: int) -> DataFra
 #: Hashes (their leading 32 bits) of the larger sketch that filters the pairs which leaders leave.
 LARGE = 256
 #: Members of a block of a list in which leftover pairs meet; a task holds two blocks.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -118,16 +118,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, b.num_rows, 256):
+                part, keep = b.slice(lo, 256), []
+                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    if len(p) > len(q):
+                        p, q = q, p
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    both = int((q[at] == p).sum()) if len(q) else 0
+                    keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return batches(both, run, "a long, b long")
 
@@ -241,15 +242,17 @@ def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch
             x, y = np.flatnonzero(left & ~main), np.flatnonzero(right)
             if not len(x) or not len(y):
                 continue
-            fits = (comp[x][:, None] != comp[y]) & (main[y] | (rep[x][:, None] < rep[y]) | (p != q))
-            fits &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
-            fits &= _shared(prefix[before], prefix_row[before], x, y, len(rep)) == 0
+            # two units of slack: leading bits of two hashes may agree
+            fits = _shared(prefix[before], prefix_row[before], x, y, len(rep)) == 0
             both = _shared(large, large_row, x, y, len(rep))
-            whole = (n[x][:, None] <= LARGE) & (n[y] <= LARGE)  # two units of slack: leading bits of two hashes may agree
-            fits &= np.where(whole, 100 * (both + 2) >= percent * (n[x][:, None] + n[y] - both - 2), both >= need)
+            for at in range(0, len(x), 128):  # in strips, so that temporaries stay small
+                s, k = x[at : at + 128][:, None], both[at : at + 128]
+                likely = np.where((n[s] <= LARGE) & (n[y] <= LARGE), 100 * (k + 2) >= percent * (n[s] + n[y] - k - 2), k >= need)
+                likely &= (comp[s] != comp[y]) & (main[y] | (rep[s] < rep[y]) | (p != q))
+                fits[at : at + 128] &= likely & (100 * np.minimum(n[s], n[y]) >= percent * np.maximum(n[s], n[y]))
             i, j = np.nonzero(fits)
-            keep = whole[i, j]
             i, j = x[i], y[j]
+            keep = (n[i] <= LARGE) & (n[j] <= LARGE)
             rest = np.flatnonzero(~keep)
             for lo in range(0, len(rest), 4096):
                 at = rest[lo : lo + 4096]

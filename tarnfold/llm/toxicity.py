@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for b in it:
             for t, y, fold in zip(*(b.column(c).to_pylist() for c in ("text", "y", "fold")), strict=True):
                 seen.update((f, fold, int(y > 0)) for f in _doc_features(t))
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield out()
         yield out()
 
