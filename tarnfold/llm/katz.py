@@ -20,7 +20,7 @@ Stored and evaluated in partitioned tables, of which nothing is cut off, whateve
    probability, which recursively came about in the same way.
 
 A chunk asks once for an n-gram however often it occurs, so no n-gram is hot. Histories seen `hot` times or more (N / hot of them at
-most, known from the order below) are dealt by history and word, and their sums added up apart. Blobs of sorted, delta-coded and
+most, known from the order below) are dealt to several buckets by word, in proportion to their counts, and their sums added up apart. Blobs of sorted, delta-coded and
 compressed numbers travel instead of rows.
 
 Up to order 3 n-grams are compared exactly; longer histories by 63-bit hashes, as words are when they are numbered.
@@ -137,13 +137,34 @@ class Words:
         return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int32)
 
 
+@dataclass
+class Hot:
+    """Histories that are frequent, each dealt to a number of buckets by word instead of to one."""
+
+    keys: np.ndarray  # sorted
+    parts: np.ndarray
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each history, whether it is there)."""
+        if not len(self.keys):
+            return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+
+def hot_histories(keys: np.ndarray, counts: np.ndarray, limit: int) -> Hot:
+    """Parts in proportion to the counts, so that all of them together are no more than twice N / limit."""
+    keys, first = np.unique(keys.astype(np.int64), return_index=True)
+    return Hot(keys, 1 + counts[first] // limit)
+
+
 @dataclass
 class Order:
     """One order of the model: discounts, sums of hot histories, and the table of its n-grams (rows of blobs by bucket)."""
 
     discounts: np.ndarray  # by count, 1 from TOP + 1 on
-    hot: np.ndarray  # sorted keys of hot histories
-    sums: np.ndarray  # theirs: n-grams by count 1 to TOP, counts above TOP added up, lower-order probability of the seen
+    hot: Hot
+    sums: np.ndarray  # of hot histories: n-grams by count 1 to TOP, counts above TOP added up, lower-order probability of the seen
     table: DataFrame | None = None
 
     def weights(self, sums: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +346,7 @@ class Chunk:
         out[self.at[:-1]] = first
         return out
 
-    def distinct(self, hot: np.ndarray, buckets: int) -> None:
+    def distinct(self, hot: Hot, buckets: int) -> None:
         """The next order's n-grams with a seen history, by bucket, history and word."""
         seen = self.before(self.counts, self.words.texts)  # a history's count is that of the n-gram before
         self.where = np.flatnonzero(seen > 0)
@@ -335,9 +356,9 @@ class Chunk:
         self.low, self.seen = self.p[self.where[first]], seen[self.where[first]]
         self.n = np.bincount(self.inverse, weights=self.train[self.where], minlength=len(grams)).astype(np.int64)
         mixed = mix64(self.h.view(np.uint64))
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, self.h), len(hot) - 1)
-            mixed = np.where(hot[at] == self.h, mix64(mixed + self.w.view(np.uint64)), mixed)
+        at, hit = hot.find(self.h)
+        hit = np.flatnonzero(hit)
+        mixed[hit] = mix64(mixed[hit] + mix64(self.w[hit].view(np.uint64)) % hot.parts[at[hit]].astype(np.uint64))
         bucket = (mixed % np.uint64(buckets)).astype(np.int64)
         self.dealt = np.argsort(bucket, kind="stable")
         self.bounds = np.searchsorted(bucket[self.dealt], np.arange(buckets + 1))
@@ -361,9 +382,9 @@ class Chunk:
                 i = np.minimum(np.searchsorted(odd, rank), len(odd) - 1)
                 hit = np.flatnonzero(odd[i] == rank)
                 f[at[hit]], a[at[hit]] = order.weights(unpack(sums, np.float64).reshape(-1, TOP + 2)[i[hit]], self.seen[at[hit]])
-        if len(order.hot):
-            i = np.minimum(np.searchsorted(order.hot, self.h), len(order.hot) - 1)
-            hit = np.flatnonzero(order.hot[i] == self.h)
+        i, hit = order.hot.find(self.h)
+        if hit.any():
+            hit = np.flatnonzero(hit)
             f[hit], a[hit] = order.weights(order.sums[i[hit]], self.seen[hit])
         kept = c * order.discounts[np.where(c <= TOP, c, 0)]
         p = np.where(c > 0, f * kept / self.seen, a * self.low)
@@ -407,7 +428,7 @@ _MET = "kind int, chunk long, bucket int, a binary, b binary, c binary, d binary
 ANSWER, STATS, HOT, OFTEN, GRAMS = range(5)
 
 
-def _ask(chunks: DataFrame, words, orders: list[Order], hot: np.ndarray, buckets: int) -> DataFrame:  # noqa: ANN001
+def _ask(chunks: DataFrame, words, orders: list[Order], hot: Hot, buckets: int) -> DataFrame:  # noqa: ANN001
     """The chunks' requests for the next order."""
     shared = chunks.sparkSession.sparkContext.broadcast([Order(o.discounts, o.hot, o.sums) for o in orders])
 
@@ -422,7 +443,7 @@ def _ask(chunks: DataFrame, words, orders: list[Order], hot: np.ndarray, buckets
     return batches(chunks, run, _ASKED)
 
 
-def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, often: int) -> DataFrame:  # noqa: ANN001
+def _meet(asked: DataFrame, words, order: int, hot: Hot, buckets: int, often: int) -> DataFrame:  # noqa: ANN001
     """Buckets add up what chunks ask for, and answer; see the kinds above."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +478,7 @@ def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, of
             np.add.at(sums, (owner[few & (c > 0)], c[few & (c > 0)] - 1), 1.0)
             sums[:, TOP] = np.bincount(owner[~few], weights=c[~few], minlength=len(keys))
             sums[:, TOP + 1] = np.bincount(owner, weights=np.where(c > 0, low, 0.0), minlength=len(keys))
-            is_hot = np.isin(keys, hot)
+            is_hot = hot.find(keys)[1]
             odd = (~sums[:, :TOP].any(axis=1) | (1 - sums[:, TOP + 1] < 1e-12)) & ~is_hot
             at = 0
             for number, size in zip(chunk, sizes, strict=True):
@@ -478,7 +499,7 @@ def _meet(asked: DataFrame, words, order: int, hot: np.ndarray, buckets: int, of
                 yield row(HOT, -1, bucket, pack(keys[is_hot]), pack(sums[is_hot].reshape(-1)))
             high = np.flatnonzero(c >= often)
             if len(high):
-                yield row(OFTEN, -1, bucket, pack(keys[owner[high]]), pack(grams[high] & 0xFFFFFFFF))
+                yield row(OFTEN, -1, bucket, pack(keys[owner[high]]), pack(grams[high] & 0xFFFFFFFF), pack(c[high]))
             seen = np.flatnonzero(c)
             if len(seen):
                 yield row(GRAMS, -1, bucket, pack(keys[owner[seen]], True), pack((grams[seen] & 0xFFFFFFFF).astype(np.int32)), pack(c[seen].astype(np.uint32)), *([] if order == 2 else [pack_floats(low[seen])]))
@@ -495,7 +516,8 @@ def _evaluate(df: DataFrame, text: str, keep: tuple[str, ...], train: Column, or
     orders: list[Order] = []
     answers: list[DataFrame] = []
     mark = np.array([words.start])  # the history at a text's start
-    often = np.union1d(np.flatnonzero(words.counts >= hot), mark)  # hot histories of order 2
+    high = np.flatnonzero(words.counts >= hot)
+    often = hot_histories(np.append(high, mark), np.append(words.counts[high], words.texts), hot)  # of order 2
     for k in range(2, order + 1):
         old = model.orders[k - 2] if model else None
         if old:
@@ -510,13 +532,13 @@ def _evaluate(df: DataFrame, text: str, keep: tuple[str, ...], train: Column, or
             orders.append(Order(old.discounts, old.hot, old.sums, old.table))
         else:
             r = sum((unpack(x["a"], np.int64) for x in met.where(F.col("kind") == STATS).select("a").toLocalIterator()), np.zeros(TOP + 2, dtype=np.int64))
-            sums = np.zeros((len(often), TOP + 2))
+            sums = np.zeros((len(often.keys), TOP + 2))
             for x in met.where(F.col("kind") == HOT).select("a", "b").toLocalIterator():
-                np.add.at(sums, np.searchsorted(often, unpack(x["a"], np.int64)), unpack(x["b"], np.float64).reshape(-1, TOP + 2))
+                np.add.at(sums, np.searchsorted(often.keys, unpack(x["a"], np.int64)), unpack(x["b"], np.float64).reshape(-1, TOP + 2))
             orders.append(Order(discounts(dict(enumerate(r.tolist()))), often, sums, table))
-            high = [extended(k, unpack(x["a"], np.int64), unpack(x["b"], np.int64)) for x in met.where(F.col("kind") == OFTEN).select("a", "b").toLocalIterator()]
+            high = [(extended(k, unpack(x["a"], np.int64), unpack(x["b"], np.int64)), unpack(x["c"], np.int64)) for x in met.where(F.col("kind") == OFTEN).select("a", "b", "c").toLocalIterator()]
             mark = extended(k, mark, np.array([words.start]))
-            often = np.unique(np.concatenate([*high, mark]))
+            often = hot_histories(np.concatenate([mark, *[h for h, _ in high]]), np.concatenate([[words.texts], *[c for _, c in high]]), hot)
         answers.append(met.where(F.col("kind") == ANSWER).select("chunk", "bucket", "a", "b", "c"))
     shared = spark.sparkContext.broadcast([Order(o.discounts, o.hot, o.sums) for o in orders])
 
