@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, katz, langid, minhash, mixing, mpeg, pieces, pivots, toxicity, urlfilter
+from tarnfold.llm import chat, divergence, katz, langid, minhash, mixing, mpeg, pieces, pivots, prefixtrie, topk, toxicity, urlfilter
 from tarnfold.llm.common import id_mod, table
 
 #: The rules of op4, host and path prefix with a verdict.
@@ -156,6 +156,62 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
 """
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a conversation id's digits, which DuckDB has no function for.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, role, sha256(octet_length(encode(role)) || ':' || role || text) AS key, octet_length(encode(text)) AS bytes FROM t),
+l AS (SELECT conv_id, list(key ORDER BY turn NULLS FIRST, role, key) AS ks, list(bytes ORDER BY turn NULLS FIRST, role, key) AS bs FROM k GROUP BY conv_id),
+h AS (SELECT *, {_CRC32} % 9 AS h FROM l),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ks[1:h.h], []), h.ks[h.h + 1:]) AS ks, list_concat(coalesce(b.bs[1:h.h], []), h.bs[h.h + 1:]) AS bs FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(ks) AS n, array_to_string(ks[1:d], '') AS prefix, CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], '') END AS above, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM r)),
+g AS (SELECT d, prefix, above, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM p GROUP BY d, prefix, above),
+c AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM g WHERE d > 0 GROUP BY d, above),
+f AS (SELECT g.*, coalesce(c.n_children, 0) AS n_children FROM g LEFT JOIN c ON c.d = g.d AND c.prefix = g.prefix),
+u AS (SELECT up AS d, left(prefix, CAST(64 * up AS BIGINT)) AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u ON u.d = f.d AND u.prefix = f.prefix LEFT JOIN g q ON q.d = f.d - 1 AND q.prefix = f.above
+"""
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END AS BIGINT) AS score FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.r <> c.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 20
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+n AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY w.lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(all_n)::BIGINT AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, sum(n)::BIGINT AS total FROM n GROUP BY lang, source),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, (1 + (1000000000 * (coalesce(n.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v))::BIGINT AS p, (1 + (1000000000 * (k.all_n + 2)) // (l.lang_total + 2 * l.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM x WHERE n > 0 AND p > q),
+k2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT * FROM k2 WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_pivot_neighbours": op2_pivot_neighbours,
@@ -167,5 +223,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_spans": op8_language_spans,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_minhash_bottomk": op10_minhash_bottomk,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_top_k": op12_top_k,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {"op2_pivot_neighbours": OP2_SQL, "op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_minhash_bottomk": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_pivot_neighbours": OP2_SQL, "op4_url_trie": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_minhash_bottomk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_top_k": OP12_SQL, "op13_source_divergence": OP13_SQL}
