@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnfold.functions import text as tx
+
 # The labels of the evidence judge.
 ERROR_TYPES = ("correct_complete", "correct_weak_proof", "lucky_correct", "finalization_error", "valid_but_incomplete", "arithmetic_error", "algebraic_error", "invalid_assumption", "strategy_mismatch", "wrong_direction", "format_error", "no_meaningful_solution")
 CORRECT = ("correct_complete", "correct_weak_proof", "lucky_correct")
@@ -12,34 +14,26 @@ GOOD_EXECUTION = ("arithmetic_error", "algebraic_error", "finalization_error", "
 BAD_STRATEGY = ("wrong_direction", "invalid_assumption", "strategy_mismatch", "no_meaningful_solution")
 WRONG_ONLY = ("finalization_error", "valid_but_incomplete", "arithmetic_error", "algebraic_error", "invalid_assumption", "wrong_direction", "no_meaningful_solution")
 
-#: Stands for a backslash; a private code point.
-KEPT = "\ue000"
-
 SCORES = ("step_validity", "proof_completeness", "strategy_compliance", "consistency")
 EVIDENCE = ", ".join(f"{s} string" for s in (*SCORES, "error_type", "judge_confidence"))
 PRIORS = "priors array<struct<rollout_id:int,suitability:int,reason:string,risk_flag:string>>"
 
 
-def repair(c: Column) -> Column:
-    """Without fences and smart quotes, cut to the outermost braces, trailing commas and stray backslashes mended."""
-    t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"```(?:json|JSON)?", "")
-    t = F.translate(t, "“”’", "\"\"'")
-    t = F.when(t.rlike(r"(?s)\{.*\}"), F.regexp_extract(t, r"(?s)(\{.*\})", 1)).otherwise(F.trim(t))
-    # a string is taken as a whole and put back, so commas are dropped between values only
-    t = F.regexp_replace(t, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|,(?=\s*[}\]])', "$1")
-    # escapes that JSON knows step aside while the other backslashes are doubled
-    t = F.regexp_replace(t, r'\\(["\\/bfnrtu])', KEPT + "$1")
-    return F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(KEPT), F.lit("\\"))
-
+def parse(c: Column, schema: str, keys: tuple[str, ...] = (), deep: bool = False) -> Column:
+    """The first candidate of a text that parses (and has the keys), as a struct; null where none does.
 
-def parse(c: Column, schema: str) -> Column:
-    """The repaired text as a struct; null where it isn't JSON."""
-    bad = F.from_json(repair(c), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return F.when(bad.isNotNull() & bad["_bad"].isNull(), bad)
+    Text that is JSON as it stands, without a backslash that might be LaTeX, is settled in the JVM; only the rest is mended.
+    """
+    text = F.trim(c)
+    read = lambda t: F.from_json(t, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    fine = lambda s: s.isNotNull() & s["_bad"].isNull()
+    plain = F.coalesce(text.startswith("{") & ~F.contains(text, F.lit("\\")) & fine(read(text)), F.lit(False))
+    mended = read(F.when(plain & (not keys), text).otherwise(tx.json_candidate(F.when(~plain | bool(keys), c), keys, deep)["value"]))
+    return F.when(fine(mended), mended)
 
 
 def diagnose(c: Column) -> Column:
-    """Codes for why a text might not parse."""
+    """Codes for why a text might not parse. The codes, in their order."""
     t = F.trim(F.coalesce(c, F.lit("")))
     has = lambda s: F.contains(t, F.lit(s))
     codes = [
@@ -72,6 +66,28 @@ def evidence_issues(e: Column) -> Column:
     return F.when(e.isNull(), F.array(F.lit("parsed_json_not_object"))).when(F.size(gone) > 0, gone).otherwise(F.array_compact(F.array(bad)))
 
 
+def strict_evidence(e: Column, correct: Column) -> Column:
+    """What is wrong with a judgment whose numbers must be whole and in range: the first of missing_keys, invalid_numeric_field, score_out_of_range,
+    judge_confidence_out_of_range, invalid_error_type; else ok, or inconsistent where the label doesn't suit the answer. Fields are texts; the judgment is a
+    column of the table, not an expression that calls Python."""
+    wanted = (*SCORES, "error_type", "key_strength", "key_weakness", "critical_failure_step", "judge_confidence")
+    scores = F.transform(F.array(*[e[s] for s in SCORES]), lambda c: F.transform(F.array(c.try_cast("double")), lambda x: F.when(F.abs(x) < float("inf"), F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))))[0])
+    both = F.struct(scores.alias("scores"), F.exists(F.array(*[e[k] for k in wanted]), lambda c: c.isNull()).alias("gap"), e["judge_confidence"].try_cast("double").alias("sure"), e["error_type"].alias("kind"))
+
+    def judged(x: Column) -> Column:
+        return (
+            F.when(x["gap"], "missing_keys")
+            .when(F.exists(x["scores"], lambda c: c.isNull()) | x["sure"].isNull(), "invalid_numeric_field")
+            .when(F.exists(x["scores"], lambda c: (c < 0) | (c > 4)), "score_out_of_range")
+            .when((x["sure"] < 0) | (x["sure"] > 1), "judge_confidence_out_of_range")
+            .when(~x["kind"].isin(*ERROR_TYPES), "invalid_error_type")
+            .when(~F.coalesce(label_agrees(correct, x["kind"]), F.lit(False)), "inconsistent")
+            .otherwise("ok")
+        )
+
+    return F.transform(F.array(both), judged)[0]
+
+
 def mend_error_type(error_type: Column, correct: Column, lowest_score: Column) -> Column:
     """The flag that judges put instead of a label, by correctness."""
     label = F.when(correct >= 1, F.when(lowest_score >= 3, "correct_complete").otherwise("correct_weak_proof")).otherwise("finalization_error")

@@ -6,10 +6,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import answers as a
+from tarnfold.functions import jsonmend
 
 
 def _struct(fn: Callable, schema: str, *cols: Column) -> Column:
@@ -71,7 +72,27 @@ def solution_answer(problem: Column, solution: Column) -> Column:
 
 
 def latex_safe_json(c: Column) -> Column:
-    return _udf(lambda s: None if s is None else a.latex_safe_json(s), "string", None)(c)
+    """JSON text whose strings hold LaTeX, as JSON that keeps it."""
+    return _udf(lambda s: None if s is None else jsonmend.mend(s).text, "string", None)(c)
+
+
+def json_candidate(c: Column, keys: tuple[str, ...] = (), deep: bool = False) -> Column:
+    """struct<value, source>: the first candidate of a text that parses (and has the keys), as JSON; where it came from."""
+    return _struct(lambda s: jsonmend.parse(s, keys, deep), "value string, source string", c)
+
+
+@F.udtf(returnType="rank int, answer string, source string, place int, last boolean", useArrow=True)
+class AnswerCandidates:
+    """Every answer that a text may give, the one to take first: FROM t, LATERAL answer_candidates(text)."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        for rank, candidate in enumerate(a.free_answers(text), 1):
+            yield rank, *candidate
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL."""
+    spark.udtf.register("answer_candidates", AnswerCandidates)
 
 
 # Regular rules, in the JVM.
@@ -155,5 +176,15 @@ def stable_id(*cols: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*cols)), 256)
 
 
-def percent(mean: Column, n: Column) -> Column:
-    return F.concat(F.format_number(mean * 100, 2), F.lit("% (n="), n.cast("string"), F.lit(")"))
+def percent(mean: Column, n: Column, deviation: Column | None = None) -> Column:
+    """`61.25% (n=4)`, or with a deviation `61.25 ± 0.40% (n=4)`."""
+    shown = F.format_number(mean * 100, 2)
+    if deviation is not None:
+        shown = F.concat(shown, F.lit(" ± "), F.format_number(deviation * 100, 2))
+    return F.concat(shown, F.lit("% (n="), n.cast("string"), F.lit(")"))
+
+
+def parameter_slug(value: Column) -> Column:
+    """A number as part of a file name: 0.5 is 0p5, -1 is m1; whole numbers without a fraction."""
+    shown = F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    return F.replace(F.replace(shown, F.lit("-"), F.lit("m")), F.lit("."), F.lit("p"))

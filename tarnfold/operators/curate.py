@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.sources.files import scratch
 
+#: Bytes of items in one automaton.
+SHARD = 1 << 22
 #: Above this many keys an evaluation set is joined by a shuffle instead of a broadcast.
 MOST_KEYS = 1_000_000
 
@@ -113,12 +119,17 @@ def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str
     """The reference's single scan with early stop: rows in hash order; those with a reason go; then later copies of a key; then rows after
     the target-th survivor. Where fewer survive, the scan goes on to the end. Adds `outcome`: selected, duplicate, the reason, or unscanned.
 
-    A key's first row is an aggregate; the target-th survivor is found by counting digits of the hash (first_n).
+    A key's first row is an aggregate; the target-th survivor is found by counting digits of the hash (first_n). Rows with a reason need no
+    key; keys that hold more than a thousandth of the others, a thousand at most, are broadcast, the rest are joined.
     """
     ranked = df.withColumn("_o", order).withColumn("_reason", reason)
     fine = ranked.where("_reason is null")
-    first = fine.groupBy(key).agg(F.min(F.struct("_o", tie)).alias("_f"))
-    marked = ranked.join(first, key, "left").withColumn("_dup", F.col("_reason").isNull() & (F.struct("_o", tie) != F.col("_f")))
+    first = fine.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("_o", tie)).alias("_f"), F.count("*").alias("_c"))
+    often = F.col("_c") > max(1000, fine.count() // 1000)
+    hot, cold = F.broadcast(first.where(often).drop("_c")), first.where(~often).drop("_c")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    told = fine.join(hot, same).unionByName(fine.join(hot.select("_key"), same, "left_anti").join(cold, same)).drop("_key")
+    marked = told.withColumn("_dup", F.struct("_o", tie) != F.col("_f")).unionByName(ranked.where("_reason is not null").withColumn("_dup", F.lit(False)), allowMissingColumns=True)
     survivors = first.select(F.col("_f._o").alias("_o"), F.col(f"_f.{tie}").alias(tie))
     _, edge = first_n(survivors, target, "_o", tie)  # where fewer survive, a short edge or none
     last = edge.agg(F.when(F.lit(target > EDGE) | (F.count("*") == target), F.max(F.struct("_o", tie))).alias("_last"))
@@ -147,7 +158,7 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item:
 
     A text that holds an item holds the item's inner words as whole words, between the same white space. So the item is indexed by one
     window of `width` inner words (the one with the lowest hash), documents by all of theirs; ids that meet are verified by
-    `contains`. Items of one or two words have no inner words: these are looked for one by one.
+    `contains`. Items of one or two words have no inner words: these are looked for by automata (holding).
     """
     known = items.select(F.col(item).alias("_item")).where("_item is not null").distinct()
     words = F.split("_item", r"\s+")
@@ -163,8 +174,65 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item:
     met = met.select("_id", "_item").distinct()
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     found = texts.join(met, "_id").where(F.contains("_text", "_item")).select("_id")
-    short = small(known.where(F.size(words) <= 2))
-    return found.union(texts.join(short, F.contains("_text", "_item"), "left_semi").select("_id")).distinct().select(F.col("_id").alias(doc_id))
+    short = known.where(F.size(words) <= 2)
+    return found.union(holding(texts, short)).distinct().select(F.col("_id").alias(doc_id))
+
+
+def holding(texts: DataFrame, items: DataFrame, most: int = SHARD) -> DataFrame:
+    """_id of texts (_id, _text) that hold one of the items (_item), by automata over the items: one pass over a text for all items of a shard.
+
+    Items are dealt to shards of about `most` bytes. One shard is broadcast; with more, a text goes to each shard, whose task builds the
+    automaton before it reads texts, so that a task's memory doesn't grow with the items.
+    """
+    size = items.agg(F.coalesce(F.sum(F.octet_length("_item") + 32), F.lit(0))).first()[0]
+    if not size:
+        return texts.select("_id").limit(0)
+    shards = -(-size // most)
+    if shards == 1:
+        words = [r[0] for r in items.select("_item").collect()]  # within `most` bytes
+        return texts.select("_id", "_text").mapInArrow(lambda it: _scan(it, automaton(words), "" in words), texts.select("_id").schema)
+    of = F.pmod(F.xxhash64("_item"), F.lit(shards)).cast("int")
+    none = F.lit(None)
+    dealt = items.select(of.alias("_shard"), F.lit(0).alias("_k"), none.cast(texts.schema["_id"].dataType).alias("_id"), F.col("_item").alias("_text"))
+    asked = texts.where("_text is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), F.lit(1).alias("_k"), "_id", "_text")
+    both = dealt.union(asked).repartition(shards, "_shard").sortWithinPartitions("_shard", "_k")
+    return both.mapInArrow(_scan_shards, texts.select("_id").schema)
+
+
+def automaton(words: list[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        if w:
+            a.add_word(w)
+    a.make_automaton()
+    return a
+
+
+def _found(a: ahocorasick.Automaton, text: str | None, every: bool) -> bool:
+    """every: an empty item is in each text."""
+    return text is not None and (every or (len(a) > 0 and next(a.iter(text), None) is not None))
+
+
+def _scan(it: Iterator[pa.RecordBatch], a: ahocorasick.Automaton, every: bool = False) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        yield batch.select(["_id"]).filter(pa.array([_found(a, t, every) for t in batch.column("_text").to_pylist()], pa.bool_()))
+
+
+def _scan_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, words, a = None, [], None
+    for batch in it:
+        kept = []
+        for s, k, t in zip(*[batch.column(c).to_pylist() for c in ("_shard", "_k", "_text")], strict=True):
+            if s != shard:
+                shard, words, a = s, [], None
+            if k == 0:
+                words.append(t)
+                kept.append(False)
+                continue
+            if a is None:
+                a = automaton(words)
+            kept.append(_found(a, t, "" in words))
+        yield batch.select(["_id"]).filter(pa.array(kept, pa.bool_()))
 
 
 def batches(index: Column, size: int) -> tuple[Column, Column]:

@@ -41,8 +41,8 @@ def mixed_order(c: Column) -> list[Column]:
 
 
 def softmax(x: Column, w: WindowSpec, temperature: float = 1.0) -> Column:
-    """Shifted by the maximum; where any input is not finite, uniform."""
-    e = F.exp((x - F.max(x).over(w)) / temperature)
+    """Shifted by the maximum; where any input is not finite, uniform. Temperatures under 1e-8 count as that."""
+    e = F.exp((x - F.max(x).over(w)) / max(temperature, 1e-8))
     p = e / F.sum(e).over(w)
     return F.when(F.every(finite(x.cast("double"))).over(w), p).otherwise(1.0 / F.count(F.lit(1)).over(w))
 
@@ -165,8 +165,8 @@ def _unit_sums(df: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:
     return parts.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_s"))
 
 
-def diversity(df: DataFrame, keys: tuple[str, ...], vector: str, eps: float = 1e-6) -> DataFrame:
-    """Adds diversity_weight = 1 / (sum of cosines with the group, itself included, + eps).
+def diversity(df: DataFrame, keys: tuple[str, ...], vector: str, eps: float = 1e-6, size: int | None = None) -> DataFrame:
+    """Adds diversity_weight = 1 / (sum of cosines with the group, itself included, + eps). With a size, groups of fewer rows are incomplete: weight 1.
 
     The sum of dot products is the dot product with the group's sum: one aggregation, no pairs.
     """
@@ -174,7 +174,12 @@ def diversity(df: DataFrame, keys: tuple[str, ...], vector: str, eps: float = 1e
     sums = _unit_sums(df, keys, vector).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("_sum"))
     unit = df.withColumn("_norm", norm).withColumn("_u", F.transform(vector, lambda x: F.when(F.col("_norm") > 0, x.cast("double") / F.col("_norm")).otherwise(0.0)))
     dot = F.aggregate(F.zip_with("_u", "_sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return unit.join(sums, list(keys)).withColumn("diversity_weight", 1.0 / (dot + eps)).drop("_u", "_norm", "_sum")
+    weight = 1.0 / (dot + eps)
+    out = unit.join(sums, list(keys), "left")
+    if size is not None:
+        weight = F.when(F.col("_rows") >= size, weight).otherwise(1.0)
+        out = out.join(df.groupBy(*keys).agg(F.count("*").alias("_rows")), list(keys))
+    return out.withColumn("diversity_weight", weight).drop("_u", "_norm", "_sum", "_rows")
 
 
 def fraction_ranks(value: Column, w: WindowSpec, fraction: float, index: str = "rollout_id") -> tuple[Column, Column]:

@@ -7,7 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.operators.curate import first_n, hash_order, hash_uniform
+from tarnfold.operators.curate import EDGE, first_n, hash_order, hash_uniform
+from tarnfold.sources.files import scratch
+
+#: Buckets up to this number are broadcast with their quotas; hexadecimal digits that are counted at once.
+MOST_BUCKETS, DIGITS = 100_000, 3
 
 
 def take(df: DataFrame, n: int, seed: int | str, *ids: str) -> DataFrame:
@@ -17,6 +21,7 @@ def take(df: DataFrame, n: int, seed: int | str, *ids: str) -> DataFrame:
 
 
 def take_per(df: DataFrame, n: int, seed: int | str, strata: list[str], *ids: str) -> DataFrame:
+    """n rows of each stratum by hash order; a constant limit, which Spark applies within each task first."""
     w = Window.partitionBy(*strata).orderBy(hash_order(seed, *[F.col(c) for c in ids]), *ids)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
@@ -47,16 +52,49 @@ def largest_remainder(shares: DataFrame, total: int, name: str, share: str, stab
     return t.withColumn("_left", left).withColumn("quota", (F.col("_base") + (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) <= F.col("_left")).cast("int")).cast("long")).drop("_exact", "_base", "_frac", "_left")
 
 
+def chosen_per(df: DataFrame, quotas: DataFrame, bucket: str, h: str, *ties: str) -> DataFrame:
+    """Adds _chosen: whether a row is among its bucket's first `quota` by a hexadecimal hash column, for all buckets at once.
+
+    Where each bucket's order is cut is found by counting leading digits of the hash, 4096 values at a time, in the buckets that are still open,
+    until few enough rows share the digits; only those are ordered. So no task holds a bucket, however many rows it has. Rows of buckets
+    without a quota aren't chosen.
+    """
+    n = F.greatest(F.coalesce("quota", F.lit(0)).cast("long"), F.lit(0).cast("long")).alias("_n")
+    cuts = quotas.select(F.col(bucket), n, F.lit("").alias("_prefix"), F.lit(0).cast("long").alias("_before"), F.lit(None).cast("long").alias("_size"))
+    few = cuts.count() <= MOST_BUCKETS
+    with_cuts = lambda t, c: t.join(F.broadcast(c) if few else c, bucket)
+    for at in range(0, 60, DIGITS):
+        inside = with_cuts(df.select(bucket, h), cuts.where((F.col("_n") > 0) & (F.col("_size").isNull() | (F.col("_size") > EDGE)))).where(F.col(h).startswith(F.col("_prefix")))
+        counts = inside.groupBy(bucket, "_n", "_prefix", "_before", F.substring(h, at + 1, DIGITS).alias("_d")).agg(F.count("*").alias("_c"))
+        so_far = F.col("_before") + F.sum("_c").over(Window.partitionBy(bucket).orderBy("_d"))  # at most 4096 rows of a bucket
+        cut = counts.withColumn("_to", so_far).where((F.col("_to") >= F.col("_n")) & (F.col("_to") - F.col("_c") < F.col("_n")))
+        found = cut.select(bucket, F.concat("_prefix", "_d").alias("_p"), (F.col("_to") - F.col("_c")).alias("_b"), F.col("_c").alias("_s"))
+        # a bucket in which nothing was cut has fewer rows than its quota: all are chosen, as beyond the last digit
+        new = cuts.join(found, bucket, "left").select(
+            bucket,
+            "_n",
+            F.when(F.col("_p").isNotNull(), F.col("_p")).when(F.col("_size").isNull() & (F.col("_n") > 0), F.lit("g")).otherwise(F.col("_prefix")).alias("_prefix"),
+            F.coalesce("_b", "_before").alias("_before"),
+            F.coalesce("_s", "_size", F.lit(0)).cast("long").alias("_size"),
+        )
+        path = scratch(df.sparkSession, "cuts")
+        new.write.parquet(path)
+        cuts = df.sparkSession.read.parquet(path)
+        if (cuts.agg(F.max("_size")).first()[0] or 0) <= EDGE:
+            break
+    marked = df.join(F.broadcast(cuts) if few else cuts, bucket, "left")
+    edge = (F.col("_n") > 0) & (F.length("_prefix") > 0) & F.col(h).startswith(F.col("_prefix"))
+    plain = marked.where(~F.coalesce(edge, F.lit(False))).withColumn("_chosen", F.coalesce((F.col("_n") > 0) & (F.col(h) < F.col("_prefix")), F.lit(False)))
+    last = marked.where(edge).withColumn("_chosen", F.row_number().over(Window.partitionBy(bucket).orderBy(h, *ties)) <= F.col("_n") - F.col("_before"))
+    return plain.unionByName(last).drop("_n", "_prefix", "_before", "_size")
+
+
 def stratified(df: DataFrame, quotas: DataFrame, bucket: str, total: int, seed: int | str, ident: str) -> DataFrame:
     """Each bucket's quota by hash order; what is missing is filled from the rest, in hash order."""
-    h = hash_order(seed, F.col(ident))
-    w = Window.partitionBy(bucket).orderBy("_h", ident)
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).join(F.broadcast(quotas.select(bucket, "quota")), bucket, "left")
-    first = ranked.where(F.col("_r") <= F.coalesce("quota", F.lit(0)))
-    lack = total - first.count()
-    certain, edge = first_n(ranked.where(F.col("_r") > F.coalesce("quota", F.lit(0))), lack, "_h", ident)
-    rest = certain.union(edge)
-    return first.withColumn("via", F.lit("quota")).union(rest.withColumn("via", F.lit("backfill"))).drop("_h", "_r", "quota")
+    marked = chosen_per(df.withColumn("_h", hash_order(seed, F.col(ident))), quotas, bucket, "_h", ident)
+    first, others = marked.where("_chosen"), marked.where("not _chosen")
+    certain, edge = first_n(others, total - first.count(), "_h", ident)
+    return first.withColumn("via", F.lit("quota")).union(certain.union(edge).withColumn("via", F.lit("backfill"))).drop("_h", "_chosen")
 
 
 def rebalance(a: int, b: int, share_of_a: float) -> tuple[int, int]:

@@ -302,18 +302,24 @@ def s2b(spark: SparkSession, d: str) -> DataFrame:
     return files.first_rows(table(spark, d, "benchmark"), 7, "item_id")
 
 
-@query("s3_json_or_jsonl", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+@query("s3_json_or_jsonl", "SELECT item_id, text FROM benchmark")
 def s3(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "nation").select("n_nationkey", "n_name")
-    b = table(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))
-    lines = files.write_jsonl(a, files.scratch(spark, "lines"))
-    array = files.write_text(spark, files.to_json_array(b), files.scratch(spark, "array"))
-    return files.read_json_any(spark, lines, a.schema).union(files.read_json_any(spark, array, a.schema))
+    """One folder with files of lines, of an array, and of one object over several lines."""
+    t, path = table(spark, d, "benchmark").select("item_id", "text"), files.scratch(spark, "mixed")
+    one = t.agg(F.min("item_id")).first()[0]
+    shown = F.concat(F.lit("{\n  \"item_id\": "), "item_id", F.lit(",\n  \"text\": "), F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{\"text\":(.*)\}$", 1), F.lit("\n}"))
+    files.write_text(spark, t.where(F.col("item_id") == one).select(shown.alias("value")), f"{path}/object")
+    files.write_text(spark, files.to_json_array(t.where((F.col("item_id") != one) & (F.col("item_id") % 2 == 0))), f"{path}/array")
+    files.write_jsonl(t.where((F.col("item_id") != one) & (F.col("item_id") % 2 != 0)), f"{path}/lines")
+    return files.read_json_any(spark, path, t.schema)
 
 
-@query("s4_optional_scan", "SELECT item_id, text FROM benchmark WHERE false")
+@query("s4_optional_scan", "SELECT item_id, text FROM benchmark")
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    return files.read_optional(spark, f"{files.scratch(spark, 'missing')}/none", table(spark, d, "benchmark").select("item_id", "text").schema)
+    """Of two optional files one is there."""
+    t, path = table(spark, d, "benchmark").select("item_id", "text"), files.scratch(spark, "optional")
+    files.write_jsonl(t, f"{path}/there")
+    return files.read_optional(spark, f"{path}/missing", t.schema).union(files.read_optional(spark, f"{path}/there", t.schema))
 
 
 @query("s6_k6_partitioned_files", "SELECT doc_id, lang, 'lang=' || lang AS folder FROM documents")
@@ -361,11 +367,13 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s5_splits", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    """A dataset kept as one table per split, read back with the split as a column."""
+    """A dataset kept as JSON lines per split, read back with the split as a column."""
     path = files.scratch(spark, "splits")
+    parts = []
     for split, test in (("test", F.col("doc_id") % 10 == 0), ("train", F.col("doc_id") % 10 != 0)):
-        docs(spark, d).where(test).select("doc_id").write.parquet(f"{path}/split={split}")
-    return files.discover(spark, path).select("doc_id", "split")
+        t = docs(spark, d).where(test).select("doc_id")
+        parts.append(files.read_jsonl(spark, files.write_jsonl(t, f"{path}/{split}"), t.schema).withColumn("split", F.lit(split)))
+    return parts[0].union(parts[1])
 
 
 @query("p13_result_row", ROLL + "SELECT group_id AS index, 'run' || run AS model_label, rollout_id, answer_correctness = 1 AS correct, error_type AS verification_method FROM roll")
@@ -378,9 +386,9 @@ def p16(spark: SparkSession, d: str) -> DataFrame:
     return rollouts(spark, d).where("run = 1 and answer_correctness = 0 and step_validity > 2").select("group_id", "rollout_id")
 
 
-@query("k3_json_summary", "SELECT '{\"n\":' || count(*) || ',\"langs\":' || count(DISTINCT lang) || ',\"longest\":' || max(n_chars) || '}' AS summary FROM documents")
+@query("k3_json_summary", """SELECT '{' || chr(10) || '  "langs": ' || count(DISTINCT lang) || ',' || chr(10) || '  "longest": ' || max(n_chars) || ',' || chr(10) || '  "n": ' || count(*) || chr(10) || '}' AS summary FROM documents""")
 def k3(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest")).select(F.to_json(F.struct("n", "langs", "longest")).alias("summary"))
+    return files.summaries(docs(spark, d).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest")))
 
 
 @query("k5_markdown_rows", "SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")

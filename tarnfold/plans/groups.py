@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.operators import groups as g
+from tarnfold.operators import rewards as rw
 from tarnfold.plans.base import ROLL, query, rollouts, table
 
 KEY = ("group_id",)
@@ -180,3 +181,38 @@ def w23(spark: SparkSession, d: str) -> DataFrame:
     flat = packed.select("conv_id", gold.alias("g"), F.size("m").alias("n"), F.posexplode("m").alias("i", "x"))
     each = F.greatest(F.lit(1), F.ceil(F.col("n") / F.size("g"))).cast("int")
     return flat.select("conv_id", F.col("x.turn").alias("turn"), F.get("g", F.floor(F.col("i") / each).cast("int")).alias("gold_role"))
+
+
+# The same rewards by registered group functions.
+
+
+@query("w5_by_callback", ROLL + "SELECT group_id, rollout_id, round(posterior, 9) AS posterior, fallback FROM post")
+def w5_callback(spark: SparkSession, d: str) -> DataFrame:
+    t = rollouts(spark, d).withColumn("likelihood", g.likelihood())
+    return rw.apply(t, "posterior", KEY, "rollout_id").withColumn("posterior", F.round("posterior", 9))
+
+
+@query("w6_by_callback", ROLL + """, t AS (SELECT *, pow(prior, 0.5) / sum(pow(prior, 0.5)) OVER (PARTITION BY group_id) AS tp FROM lik)
+SELECT group_id, rollout_id, round(CASE WHEN sum(tp * likelihood) OVER w > 0 THEN tp * likelihood / sum(tp * likelihood) OVER w ELSE 1.0 / count(*) OVER w END, 9) AS posterior FROM t WINDOW w AS (PARTITION BY group_id)""")
+def w6_callback(spark: SparkSession, d: str) -> DataFrame:
+    t = rollouts(spark, d).withColumn("likelihood", g.likelihood())
+    return rw.apply(t, "tempered_posterior", KEY, "rollout_id", power=0.5).select("group_id", "rollout_id", F.round("posterior", 9).alias("posterior"))
+
+
+@query("w10_by_callback", ROLL + """SELECT group_id, rollout_id, round(CASE WHEN count(*) OVER w > 1 THEN -sum(CASE WHEN posterior > 0 THEN posterior * ln(posterior) ELSE 0 END) OVER w / ln(count(*) OVER w) ELSE 0 END, 6) + 0.0 AS entropy FROM post WINDOW w AS (PARTITION BY group_id)""")
+def w10_callback(spark: SparkSession, d: str) -> DataFrame:
+    return rw.apply(_post(spark, d), "entropy", KEY, "rollout_id").withColumn("entropy", F.round("entropy", 6) + 0.0)
+
+
+@query("w13_by_callback", ROLL + """SELECT group_id, rollout_id, round(CASE WHEN count(*) OVER w > 1 THEN (likelihood - avg(likelihood) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE 0 END, 7) + 0.0 AS advantage FROM lik WINDOW w AS (PARTITION BY group_id)""")
+def w13_callback(spark: SparkSession, d: str) -> DataFrame:
+    t = rollouts(spark, d).withColumn("reward", g.likelihood())
+    return rw.apply(t, "leave_one_out", KEY, "rollout_id").withColumn("advantage", F.round("advantage", 7) + 0.0)
+
+
+@query("w16_incomplete_groups", _UNIT + """, b AS (SELECT *, vec_id // 8 AS batch FROM u), c AS (SELECT batch, count(*) AS rows FROM b GROUP BY 1), x AS (SELECT vec_id, batch, unnest(u) AS v, generate_subscripts(u, 1) AS i FROM b), s AS (SELECT batch, i, sum(v) AS s FROM x GROUP BY 1, 2)
+SELECT vec_id, CASE WHEN c.rows >= 8 THEN round(1.0 / (sum(v * s) + 1e-6), 5) ELSE 1.0 END AS diversity_weight FROM x JOIN s USING (batch, i) JOIN c USING (batch) GROUP BY vec_id, c.rows""")
+def w16_incomplete(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of eight by position; of the last, which has fewer, each weighs 1."""
+    t = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 8))
+    return g.diversity(t, ("batch",), "embedding", size=8).select("vec_id", F.round("diversity_weight", 5).alias("diversity_weight"))

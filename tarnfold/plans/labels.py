@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from tarnfold.plans.base import ROLL, query, rollouts, table
 from tarnfold.plans.reports import J5, j5
 from tarnfold.sources import files
 from tarnfold.streaming import belief as bf
+from tarnfold.streaming import log, loop, progress
 
 
 def post(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +85,25 @@ def z2(spark: SparkSession, d: str) -> DataFrame:
     return bf.beliefs(table(spark, d, "events"), ["user_id", "event_type"], reward()).withColumn("belief", F.round("belief", 9))
 
 
-@query("z3_drift", f"SELECT user_id, round((1 + sum(k * {REWARD})) / (2 + sum(k)) * avg(k), 9) AS usability, round(1 - avg(k), 9) AS drift FROM (SELECT *, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS k FROM events) GROUP BY 1")
+#: How far a record kept to its strategy, and the strategies it used: of `click` and the event's own kind, with weights.
+KEPT = "least(1.0, greatest(0.0, (event_id % 7) / 5.0::DOUBLE))"
+
+
+@query("z3_drift", f"""SELECT user_id, event_type, trials, round(alpha / (alpha + beta) * (1 - drift), 9) AS usability, round(drift, 9) AS drift FROM (SELECT user_id, event_type, count(*) AS trials,
+  1 + sum({KEPT} * {REWARD}) AS alpha, 1 + sum({KEPT} * (1 - {REWARD})) AS beta, avg(1 - {KEPT}) AS drift FROM events GROUP BY 1, 2)""")
 def z3(spark: SparkSession, d: str) -> DataFrame:
-    t = bf.drift(table(spark, d, "events"), ["user_id"], F.lit("click"), F.col("event_type"), reward())
-    return t.select("user_id", F.round("usability", 9).alias("usability"), F.round("drift", 9).alias("drift"))
+    t = bf.drift(table(spark, d, "events"), ["user_id", "event_type"], F.col("value") >= 50, F.col("event_id") % 7 / 5.0)
+    return t.select("user_id", "event_type", "trials", F.round("usability", 9).alias("usability"), F.round("drift", 9).alias("drift"))
+
+
+@query("z3_credited", f"""WITH e AS (SELECT user_id, {REWARD} AS r, event_type AS strategy, {KEPT} AS w FROM events UNION ALL SELECT user_id, {REWARD}, 'shared', 1 - {KEPT} FROM events)
+SELECT user_id, strategy, round(1 + sum(w * r), 9) AS alpha, round(1 + sum(w * (1 - r)), 9) AS beta, round(sum(w), 9) AS trials FROM e GROUP BY 1, 2""")
+def z3_used(spark: SparkSession, d: str) -> DataFrame:
+    """Each record used its own kind of strategy and a shared one, by weights."""
+    w = bf.clamped(F.col("event_id") % 7 / 5.0)
+    t = table(spark, d, "events").withColumn("used", F.create_map("event_type", w, F.lit("shared"), 1 - w))
+    got = bf.credited(t, ["user_id"], F.col("value") >= 50, "used")
+    return got.select("user_id", "strategy", *[F.round(c, 9).alias(c) for c in ("alpha", "beta", "trials")])
 
 
 @query("z4_prefix_beliefs", f"SELECT event_id, round((1 + coalesce(sum({REWARD}) OVER w, 0)) / (2 + coalesce(count(*) OVER w, 0)), 9) AS belief_before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -105,12 +119,74 @@ def z4c(spark: SparkSession, d: str) -> DataFrame:
 
 @query("z1_z2_streamed_beliefs", f"SELECT event_type, alpha, beta, trials FROM (SELECT event_type, 1 + sum({REWARD}) AS alpha, 1 + sum(1 - {REWARD}) AS beta, count(*) AS trials FROM events GROUP BY 1)")
 def z1(spark: SparkSession, d: str) -> DataFrame:
-    """The events as an append-only log, read as a stream into the same state."""
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"beliefs_{uuid.uuid4().hex}"
-    bf.run_stream(bf.beliefs(stream, ["event_type"], reward()), name, "complete", files.scratch(spark, "stream"))
-    return spark.table(name).select("event_type", "alpha", "beta", "trials")
+    """Events come in files, are appended to a log in micro-batches by a stream that is started again half-way, and read back from there."""
+    inbox, out, at = (files.scratch(spark, name) for name in ("inbox", "log", "checkpoint"))
+    for k in (0, 1):
+        arrive(spark, d, inbox, k)
+        log.append(log_source(spark, d, inbox), out, at).awaitTermination()
+    t = log.read(spark, out, table(spark, d, "events").schema)
+    return bf.beliefs(t, ["event_type"], reward()).select("event_type", "alpha", "beta", "trials")
+
+
+def arrive(spark: SparkSession, d: str, inbox: str, half: int) -> None:
+    """Half of the events in order of time, as files."""
+    t = table(spark, d, "events")
+    middle = t.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    if middle is not None:
+        part = t.where(F.col("ts") <= middle if half == 0 else F.col("ts") > middle)
+        part.repartition(3).write.mode("append").parquet(inbox)
+    elif not half:
+        t.write.parquet(inbox)
+
+
+def log_source(spark: SparkSession, d: str, inbox: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+
+
+@query("z6_progress", f"SELECT 'beliefs' AS query, count(*) AS input_rows, count(*)::DOUBLE AS observed_rows, sum({REWARD}) AS observed_reward FROM events")
+def z6(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream of events reports: rows of its micro-batches, and metrics observed in the plan."""
+    inbox, out, at = (files.scratch(spark, name) for name in ("inbox", "log", "checkpoint"))
+    with progress.Progress(spark) as seen:
+        for k in (0, 1):
+            arrive(spark, d, inbox, k)
+            stream = log_source(spark, d, inbox).observe("seen", F.count(F.lit(1)).alias("rows"), F.sum(reward()).alias("reward"))
+            seen.wait(log.append(stream, out, at, "beliefs"))
+        metric = lambda k: F.sum(F.coalesce(F.col("metrics")[k], F.lit(0.0)))
+        return seen.table().groupBy("query").agg(F.sum("input_rows").alias("input_rows"), metric("seen.rows").alias("observed_rows"), metric("seen.reward").alias("observed_reward"))
+
+
+CHOICES = ["direct", "algebra", "cases"]
+
+
+def offered(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the reward that each strategy would bring, in quarters."""
+    rewards = [((F.col("event_id") * (k + 2) + k) % 5 / 4.0).alias(c) for k, c in enumerate(CHOICES)]
+    return table(spark, d, "events").select("user_id", "event_id", "ts", F.array(*rewards).alias("rewards"))
+
+
+def _closed_loop_sql() -> str:
+    names = range(len(CHOICES))
+    belief = lambda k: f"a{k} / (a{k} + b{k})"
+    hashed = lambda k: f"sha256('42|' || e.user_id || '|' || e.event_id || '|{CHOICES[k]}')"
+    before = lambda k, j: f"({belief(k)} > {belief(j)} OR ({belief(k)} = {belief(j)} AND {hashed(k)} < {hashed(j)}))"
+    best = "CASE " + " ".join(f"WHEN {' AND '.join(before(k, j) for j in names if j != k)} THEN {k}" for k in names) + " END"
+    take = lambda field: "CASE c " + " ".join(f"WHEN {k} THEN {field(k)}" for k in names) + " END"
+    state = ", ".join(f"CASE WHEN c = {k} THEN a{k} + r{k} ELSE a{k} END AS a{k}, CASE WHEN c = {k} THEN b{k} + 1 - r{k} ELSE b{k} END AS b{k}, CASE WHEN c = {k} THEN t{k} + 1 ELSE t{k} END AS t{k}" for k in names)
+    start = ", ".join(f"1.0::DOUBLE AS a{k}, 1.0::DOUBLE AS b{k}, 0::BIGINT AS t{k}" for k in names)
+    given = ", ".join(f"((event_id * {k + 2} + {k}) % 5) / 4.0::DOUBLE AS r{k}" for k in names)
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {given} FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS chosen, NULL::DOUBLE AS belief, NULL::DOUBLE AS reward, NULL::BIGINT AS trials, {start} FROM events
+  UNION ALL SELECT user_id, n, event_id, c, {take(belief)}, {take(lambda k: f"r{k}")}, {take(lambda k: f"t{k}")}, {state}
+  FROM (SELECT e.*, {", ".join(f"s.a{k}, s.b{k}, s.t{k}" for k in names)}, {best} AS c FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT user_id, event_id, {"CASE chosen " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CHOICES)) + " END"} AS strategy, round(belief, 9) AS belief, reward, trials FROM s WHERE n > 0"""
+
+
+@query("z4_closed_loop", _closed_loop_sql())
+def z4_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Every choice made on the beliefs that the user's earlier choices left."""
+    t = loop.choose_and_learn(offered(spark, d), CHOICES, "user_id", "event_id", ["ts", "event_id"], "rewards")
+    return t.withColumn("belief", F.round("belief", 9))
 
 
 @query("z5_budget", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 5")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.functions import closest, ragged
 from tarnfold.functions import judge as jd
 from tarnfold.functions import text as tx
 from tarnfold.operators.curate import normalised, spread
@@ -77,6 +78,18 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", tx.free_answer(t).alias("s")).select("id", "s.*")
 
 
+@query("x14_all_candidates", """WITH t AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS v, CAST(o_orderkey + 1 AS VARCHAR) AS w FROM orders),
+s AS (SELECT id, v, w, 'First the answer is ' || w || chr(10) || 'so \\boxed{' || v || '} or' || chr(10) || '#### ' || v AS text FROM t)
+SELECT id, unnest(['gsm8k_hash_answer', 'boxed', 'explicit_answer_phrase']) AS source, unnest([1, 2, 3])::INT AS rank, unnest([v, v, w]) AS answer, unnest([strpos(text, '#### ') + 4, strpos(text, 'boxed{') + 5, strpos(text, 'answer is ') + 9])::INT AS place FROM s""")
+def x14_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every place where a text says an answer, by a table function in a lateral join."""
+    tx.register_functions(spark)
+    t = text("First the answer is ", ID() + 1, "\nso \\boxed{", ID(), "} or\n#### ", ID())
+    orders(spark, d).select("id", t.alias("text")).createOrReplaceTempView("worked_answers")
+    got = spark.sql("SELECT id, c.source, c.rank, c.answer, c.place FROM worked_answers, LATERAL answer_candidates(text) c")
+    return got.where(F.col("source").isin("gsm8k_hash_answer", "boxed", "explicit_answer_phrase"))
+
+
 def shapes(by: int, *cases: str | Column) -> Column:
     """The case of an id modulo their number."""
     out = F.lit(None).cast("string")
@@ -125,7 +138,14 @@ def x24(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", tx.slug(F.concat("p_name", F.lit(" #"), "p_brand")).alias("slug"))
 
 
-# Keywords of strategies.
+# Families of strategies with their keywords; keywords of strategies.
+FAMILIES = {
+    "algebraic_transformation": ["algebra", "equation", "transform", "substitution", "rewrite", "simplify", "factor", "manipulation"],
+    "modular_reasoning": ["mod", "modular", "number_theory", "residue", "divisibility", "remainder", "parity", "congruence", "cycle"],
+    "counting_formula": ["count", "combinatorics", "probability", "inclusion", "exclusion", "binomial", "formula"],
+    "case_analysis": ["case", "casework", "split", "partition", "scenario"],
+    "direct_computation": ["direct", "compute", "calculation", "brute", "enumerate", "numeric"],
+}
 STRATEGIES = [("fermat", "fermat_little_theorem"), ("euler", "euler_theorem"), ("cycle|repeat every|period", "cycle_detection"), (r"modulo| mod |\\mod|congru", "modular_arithmetic"), ("brute force|direct computation|enumerat", "brute_force"), ("case analysis|case-by-case|split into cases", "case_analysis")]
 SAYS = {"cycle": r"cycle|repeat every|period", "mod": r"modulo| mod |\\mod|congru", "brute": "brute force|direct computation|enumerat", "case": "case analysis|case-by-case|split into cases", "theory": "fermat|euler"}
 WANTED = {"brute_force": SAYS["brute"], "modular_arithmetic": SAYS["mod"], "cycle_detection": SAYS["cycle"], "case_analysis": SAYS["case"]}
@@ -142,6 +162,22 @@ def x25(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", tx.all_classes(talk(), STRATEGIES).alias("strategies"), tx.first_class(talk(), STRATEGIES, "other").alias("first_strategy"))
 
 
+@query("x25_closest_name")
+def x25_closest(spark: SparkSession, d: str) -> DataFrame:
+    """The nation whose name is closest to each distinct word of the benchmark's texts. No SQL: held against a comparison with all names in the tests."""
+    names = [r[0] for r in table(spark, d, "nation").select("n_name").collect()]  # a list of names is a parameter
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.upper("text"), r"\s+")).alias("word")).where("word <> ''").distinct()
+    return words.select("word", closest.closest_name(F.col("word"), names).alias("nation"))
+
+
+@query("x25_strategy_family", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'modular_reasoning' WHEN 1 THEN 'counting_formula' WHEN 2 THEN 'case_analysis' ELSE 'direct_computation' END AS family FROM orders""")
+def x25_family(spark: SparkSession, d: str) -> DataFrame:
+    """By own name, by a keyword, by the description's keyword, by closeness."""
+    raw = F.when(F.col("m") == 0, "Modular Reasoning").when(F.col("m") == 1, text("binomial ", ID())).when(F.col("m") == 2, text("z", ID())).otherwise("dirct_comptation")
+    told = F.when(F.col("m") == 2, "Split by sign").otherwise("")
+    return orders(spark, d).select("id", closest.strategy_family(raw, told, list(FAMILIES), FAMILIES).alias("family"))
+
+
 @query("x26_compliance", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN 1.0 WHEN 3 THEN 0.3 ELSE 0.0 END::DOUBLE AS score FROM orders")
 def x26(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", F.round(tx.compliance(talk(), F.lit("modular_arithmetic"), WANTED, RIVALS), 6).alias("score"))
@@ -164,10 +200,12 @@ def x29(spark: SparkSession, d: str) -> DataFrame:
     return t.select("conv_id", tx.last_assistant(F.col("m")).alias("content"))
 
 
-@query("x30_formats", "SELECT lang, format('{:.2f}', avg(quality) * 100) || '% (n=' || count(*) || ')' AS shown FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("x30_formats", """SELECT lang, format('{:.2f}', avg(quality) * 100) || '% (n=' || count(*) || ')' AS shown, format('{:.2f}', avg(quality) * 100) || ' ± ' || format('{:.2f}', coalesce(stddev_pop(quality), 0) * 100) || '% (n=' || count(*) || ')' AS spread,
+  replace(CAST(round(count(*) / 8.0, 3)::DECIMAL(18, 3)::DOUBLE AS VARCHAR), '.', 'p') AS slug FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
 def x30(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.count("*").alias("n"))
-    return t.select("lang", tx.percent(F.col("q"), F.col("n")).alias("shown"))
+    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.stddev_pop("quality").alias("s"), F.count("*").alias("n"))
+    slug = tx.parameter_slug(F.round(F.col("n") / 8, 3))
+    return t.select("lang", tx.percent(F.col("q"), F.col("n")).alias("shown"), tx.percent(F.col("q"), F.col("n"), F.coalesce("s", F.lit(0.0))).alias("spread"), F.when(F.contains(slug, F.lit("p")), slug).otherwise(F.concat(slug, F.lit("p0"))).alias("slug"))
 
 
 # JSON
@@ -188,12 +226,39 @@ def n1(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.when(ok, score_0_to_4(F.col("e.step_validity"))).alias("step_validity"), F.when(ok, score_0_to_4(F.col("e.consistency"))).alias("consistency"), F.array_join(jd.evidence_issues(F.col("e")), ",").alias("issues"))
 
 
-@query("n2_latex_json", "SELECT o_orderkey AS id, '\\frac{' || o_orderkey || '}{2}' AS reason FROM orders")
+@query("n2_latex_json", """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '\\frac{' || o_orderkey || '}{2}' WHEN 1 THEN 'a' || chr(10) || '\\binom{5}{' || o_orderkey || '}' WHEN 2 THEN 'A\\u12 \\(' || o_orderkey WHEN 3 THEN '"\\text ' || o_orderkey || ',]' ELSE '\\\\right' END AS reason FROM orders""".replace("\\\\", "\\"))
 def n2(spark: SparkSession, d: str) -> DataFrame:
-    t = text('{"reason": "\\frac{', ID(), '}{2}"}')
+    """Commands whose backslash JSON would take for an escape, escapes that are meant, codes whole and cut short."""
+    t = shapes(5, text('{"reason": "\\frac{', ID(), '}{2}"}'), text('{"reason": "a\\n\\binom{5}{', ID(), '}"}'), text('{"reason": "\\u0041\\u12 \\(', ID(), '"}'), text('{"reason": "\\"\\text ', ID(), ',]"}'), text('{"reason": "\\\\right"}'))
     return orders(spark, d).select("id", F.get_json_object(tx.latex_safe_json(t), "$.reason").alias("reason"))
 
 
+@query("n3_cascade", """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 6 AS m, CAST(o_orderkey AS VARCHAR) AS v FROM orders)
+SELECT id, CASE m WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN v WHEN 4 THEN '7' END AS a, CASE m WHEN 0 THEN 'repaired' WHEN 1 THEN 'repaired' WHEN 2 THEN 'object' WHEN 3 THEN 'object' WHEN 4 THEN 'repaired' ELSE 'none' END AS source FROM t""")
+def n3(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced with commas left over; quotes of print; two objects, of which one fits; an object after one that never closes; nested in prose; nothing that fits."""
+    t = shapes(
+        6,
+        text('Sure:\n```json\n{"a": ', ID(), ', "b": [1, 2,],}\n```'),
+        text("{“a”: ", ID(), "} done"),
+        text('{"b": 1} and {"a": ', ID(), ',}'),
+        text('{"x": [1 {"b": 2} so {"a": ', ID(), "} }"),
+        text('result {"a": 7, "c": {"d": "\\sqrt{2}, }"}} end ', ID()),
+        text('{"b": ', ID(), "}"),
+    )
+    got = tx.json_candidate(t, ("a",), True)
+    return orders(spark, d).select("id", got.alias("c")).select("id", F.get_json_object("c.value", "$.a").alias("a"), "c.source")
+
+
+@query("n6_strict_ranges", """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing_keys' WHEN 2 THEN 'invalid_numeric_field' WHEN 3 THEN 'score_out_of_range' WHEN 4 THEN 'judge_confidence_out_of_range' WHEN 5 THEN 'invalid_error_type' ELSE 'inconsistent' END AS verdict FROM orders""")
+def n6(spark: SparkSession, d: str) -> DataFrame:
+    """A judgment per kind of fault."""
+    body = lambda score, confidence, kind: text('{"step_validity": ', score, ', "proof_completeness": "3", "strategy_compliance": 2, "consistency": 0, "error_type": "', kind, '", "key_strength": "", "key_weakness": "", "critical_failure_step": "', ID(), '", "judge_confidence": ', confidence, "}")
+    t = shapes(7, body("4", "1.0", "lucky_correct"), text('{"step_validity": 1}'), body('"x"', "0.5", "lucky_correct"), body("5", "0.5", "lucky_correct"), body("1", "1.5", "lucky_correct"), body("1", "0.5", "typo"), body("1", "0.5", "arithmetic_error"))
+    schema = jd.EVIDENCE + ", key_strength string, key_weakness string, critical_failure_step string"
+    return orders(spark, d).select("id", jd.parse(t, schema).alias("e")).select("id", jd.strict_evidence(F.col("e"), F.lit(1)).alias("verdict"))
+
+
 @query("n4_diagnosis", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'contains_code_block,prefix_text_before_json,suffix_text_after_json' WHEN 1 THEN 'json_decode_error' WHEN 2 THEN 'missing_open_brace,missing_close_brace,prefix_text_before_json,suffix_text_after_json' ELSE 'empty_output' END AS codes FROM orders")
 def n4(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", F.array_join(jd.diagnose(judged()), ",").alias("codes"))
@@ -202,8 +267,8 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 @query("n5_prior_coverage", "SELECT o_orderkey AS id, '2' AS missing, '1' AS duplicate, CAST(5 + o_orderkey % 4 AS VARCHAR) AS invalid FROM orders")
 def n5(spark: SparkSession, d: str) -> DataFrame:
     raw = text('{"priors": [{"rollout_id": 0, "suitability": 3}, {"rollout_id": 1}, {"rollout_id": 1}, {"rollout_id": ', 5 + F.col("m"), "}]}")
-    ids = F.transform(jd.parse(raw, jd.PRIORS)["priors"], lambda p: p["rollout_id"])
-    t = orders(spark, d).select("id", jd.coverage(ids, F.lit(3)).alias("c"))
+    ids = F.transform("p.priors", lambda p: p["rollout_id"])
+    t = orders(spark, d).select("id", jd.parse(raw, jd.PRIORS).alias("p")).select("id", jd.coverage(ids, F.lit(3)).alias("c"))
     return t.select("id", *[F.array_join(F.transform(F.col(f"c.{k}"), lambda x: x.cast("string")), ",").alias(k) for k in ("missing", "duplicate", "invalid")])
 
 
@@ -269,6 +334,32 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 6).alias("norm"))
 
 
+#: An embedding as eight token vectors; every third token of a row is masked, and all of a row in fifty.
+TOKENS = "SELECT vec_id, t, list_transform(embedding[8 * t + 1:8 * t + 8], lambda x: x::DOUBLE) AS v, CASE WHEN (vec_id + t) % 3 = 0 OR vec_id % 50 = 0 THEN 0 ELSE 1 END AS m FROM embeddings, range(0, 8) r(t)"
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    each = F.sequence(F.lit(0), F.lit(7))
+    on = F.transform(each, lambda t: F.when(((F.col("vec_id") + t) % 3 == 0) | (F.col("vec_id") % 50 == 0), 0).otherwise(1))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(each, lambda t: F.slice("embedding", 8 * t + 1, 8)).alias("vectors"), on.alias("mask"))
+
+
+@query("m4_masked_pooling", f"""WITH t AS ({TOKENS}), c AS (SELECT vec_id, k, coalesce(sum(v[k] * m), 0) / greatest(sum(m), 1) AS x FROM t, range(1, 9) g(k) GROUP BY 1, 2)
+SELECT vec_id, CAST(k - 1 AS INT) AS component, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n FROM c)""")
+def m4_pool(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).select("vec_id", F.posexplode(ragged.pool("vectors", "mask")).alias("component", "x")).select("vec_id", "component", F.round("x", 6).alias("x"))
+
+
+@query("w15_token_rewards", f"""WITH t AS (SELECT vec_id, sum(-abs(v[1]) * m) AS total, sum(m) AS n FROM ({TOKENS}) GROUP BY 1)
+SELECT vec_id, n::BIGINT AS tokens, {", ".join(f"round(CASE WHEN n > 0 THEN {x} ELSE 0 END, 9) AS {name}" for name, x in (("sum_exp", "exp(greatest(least(total, 0), -80))"), ("mean_exp", "exp(greatest(least(total / n, 0), -80))"), ("sum", "total"), ("mean", "total / n")))} FROM t""")
+def w15_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Rewards of answers from the log probabilities of their tokens, those under the mask only."""
+    logps = F.transform("vectors", lambda v: -F.abs(v[0].cast("double")))
+    t = tokens(spark, d)
+    rewards = [F.round(ragged.logp_reward(logps, F.col("mask"), mode), 9).alias(mode) for mode in ("sum_exp", "mean_exp", "sum", "mean")]
+    return t.select("vec_id", ragged.token_sums(logps, F.col("mask"))["tokens"].alias("tokens"), *rewards)
+
+
 @query("m5_process_reward", "SELECT event_id, round(CASE WHEN event_type = 'click' THEN 0.7 + 0.3 * value / 100 ELSE 0.1 * value / 100 END, 9) AS reward FROM events")
 def m5(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("value") / 100

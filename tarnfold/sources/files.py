@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.sources import positions
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set and there is one machine."""
@@ -22,34 +26,29 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines are skipped; a line that isn't an object of the schema fails the job, naming its file, its first byte there and its start.
+    """JSON lines; blank lines are skipped; a line that isn't an object of the schema fails the job, naming `path:line`.
 
-    Lines are read as text, as the JSON reader takes an array of objects for several rows. A split file's lines have no numbers of
-    their own, so the message tells what finds the line: its file and text.
+    Stores that Arrow has no access to are read by Spark's text reader, whose message names the file and the line's text.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
-    keep = "_corrupt_line"
-    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(keep, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": keep})
-    rows = lines.withColumn("_r", parsed)
-    bad = ~F.ltrim("value").startswith("{") | F.col("_r").isNull() | F.col(f"_r.{keep}").isNotNull()
-    told = F.concat(F.lit("Malformed line, no object of the schema, in "), "_file", F.lit(": "), F.substring("value", 1, 200))
-    checked = rows.withColumn("_r", F.when(bad, F.raise_error(told).cast(rows.schema["_r"].dataType)).otherwise(F.col("_r")))
-    return checked.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields])
+    if positions.readable(path):
+        return positions.read(spark, path, schema)
+    return parse_lines(spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")), schema)
 
 
-def line_number(spark: SparkSession, path: str, line: str) -> int | None:
-    """1-based number of the first such line of one file, for an error's message: a search of that file alone."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    found = whole.where(F.col("line").startswith(line)).agg(F.min("n")).first()[0]
-    return None if found is None else found + 1
+def parse_lines(lines: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
+    """(value, _file, and what to keep) -> the schema's fields. Lines are parsed as text, as the JSON reader takes an array of objects for several rows."""
+    corrupt = "_corrupt_line"
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = lines.where(F.trim("value") != "").withColumn("_r", parsed)
+    bad = ~F.ltrim("value").startswith("{") | F.col("_r").isNull() | F.col(f"_r.{corrupt}").isNotNull()
+    told = F.concat(F.lit("Malformed line, no object of the schema, in "), "_file", F.lit(": "), F.substring("value", 1, 200))
+    checked = rows.withColumn("_r", F.when(bad, F.raise_error(told).cast(rows.schema["_r"].dataType)).otherwise(F.col("_r")))
+    return checked.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], *keep)
 
 
 def read_json_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines, or one JSON array or object per file: told apart by the first character that isn't white space."""
-    heads = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.substring(F.trim("value"), 1, 1)).first()
-    if heads is not None and heads[0] == "[":
-        return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
-    return read_jsonl(spark, path, schema)
+    """Files of JSON lines, of one JSON array, or of one object over several lines, mixed as they come: each file's head tells."""
+    return positions.read(spark, path, schema)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -104,6 +103,16 @@ def summary(row: Row) -> str:
     return json.dumps(row.asDict(recursive=True), indent=2, sort_keys=True, ensure_ascii=False, default=str)
 
 
+def summaries(df: DataFrame) -> DataFrame:
+    """The same of each row of a table of reports, as `summary`."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_pydict({"summary": pa.array([summary(Row(**r)) for r in batch.to_pylist()], pa.string())})
+
+    return df.mapInArrow(run, "summary string")
+
+
 def markdown(rows: list[Row], columns: list[str]) -> str:
     """A Markdown table of a report's rows; None is a dash, floats have four digits."""
     show = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def beliefs(df: DataFrame, keys: list[str], reward: Column, weight: Column | None = None) -> DataFrame:
@@ -14,13 +13,27 @@ def beliefs(df: DataFrame, keys: list[str], reward: Column, weight: Column | Non
     return out.withColumn("belief", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-def drift(df: DataFrame, keys: list[str], assigned: Column, actual: Column, reward: Column) -> DataFrame:
-    """Success when the assigned strategy was followed, the share of records that drifted off it, and usability = success (1 - drift)."""
-    kept = (assigned == actual).cast("double")
-    out = df.groupBy(*keys).agg((1 + F.sum(kept * reward)).alias("alpha"), (1 + F.sum(kept * (1 - reward))).alias("beta"), (1 - F.avg(kept)).alias("drift"))
+def clamped(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+
+
+def drift(df: DataFrame, keys: list[str], correct: Column, compliance: Column) -> DataFrame:
+    """Beliefs in assigned strategies: a record counts as much as it complied with its strategy, and has drifted off it by the rest.
+
+    alpha, beta, trials, drift (mean), usability = belief (1 - drift).
+    """
+    w, right = clamped(compliance), F.coalesce(correct, F.lit(False)).cast("double")
+    out = df.groupBy(*keys).agg((1 + F.sum(w * right)).alias("alpha"), (1 + F.sum(w * (1 - right))).alias("beta"), F.count(F.lit(1)).alias("trials"), F.avg(1 - w).alias("drift"))
     return out.withColumn("usability", F.col("alpha") / (F.col("alpha") + F.col("beta")) * (1 - F.col("drift")))
 
 
+def credited(df: DataFrame, keys: list[str], correct: Column, strategies: str) -> DataFrame:
+    """Beliefs in the strategies that records really used: map<strategy, weight>, each with its weight as credit. strategy, alpha, beta, trials."""
+    each = df.select(*keys, F.coalesce(correct, F.lit(False)).cast("double").alias("_right"), F.explode(strategies).alias("strategy", "_weight")).withColumn("_weight", clamped(F.col("_weight")))
+    credit = each.groupBy(*keys, "strategy").agg((1 + F.sum(F.col("_weight") * F.col("_right"))).alias("alpha"), (1 + F.sum(F.col("_weight") * (1 - F.col("_right")))).alias("beta"), F.sum("_weight").alias("trials"))
+    return credit.withColumn("belief", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+
+
 def before_each(df: DataFrame, keys: list[str], order: list[Column], reward: Column) -> DataFrame:
     """The belief that held before each record."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,10 +49,3 @@ def choose(df: DataFrame, type_key: str, strategy: str) -> DataFrame:
 def windowed(df: DataFrame, ts: str, keys: list[str], value: str, length: str, late: str) -> DataFrame:
     """Tumbling windows with a watermark, for streams and batches."""
     return df.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
-
-
-def run_stream(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """All that is there, into a memory table: for tests and small states."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
