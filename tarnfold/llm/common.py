@@ -7,6 +7,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import pairwise
 
 import numpy as np
@@ -46,18 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+_OWNER: ContextVar[list[Scratch] | None] = ContextVar("scratch_owner", default=None)
 
-    #: All that were made, so that a caller who has saved a result can clear what it came from.
+
+@contextmanager
+def owned() -> Iterator[list[Scratch]]:
+    """The scratch folders that this block's own thread makes, so that who has saved a result can clear what it came from."""
     made: list[Scratch] = []
+    before = _OWNER.set(made)
+    try:
+        yield made
+    finally:
+        _OWNER.reset(before)
+
+
+class Scratch:
+    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tarnfold-{label}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: list[str] = []
-        Scratch.made.append(self)
+        if (owner := _OWNER.get()) is not None:
+            owner.append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df as Parquet and read it back."""
@@ -83,8 +97,6 @@ class Scratch:
     def clear(self) -> None:
         self.keep()
         self._delete(self.root)
-        if self in Scratch.made:
-            Scratch.made.remove(self)
 
     def _delete(self, path: str) -> None:
         if path in self.paths:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tarnfold.llm.common import Scratch, batches, slices, with_text
 
 WORD = re.compile(r"[^\W\d_]+")
-STOPS = frozenset(".!?;\n")
+STOP = re.compile(r"[.!?;\n]")
 
 #: Words of each class, in the classes' order of precedence after insults.
 CLASSES = {
@@ -178,13 +179,15 @@ class Model:
         if not self._ready:
             self._prepare()
         low = text.lower() if text else ""
-        done = -1
+        done, stops = -1, None
         for at in sorted(end - n + 1 for end, n in self.finder.iter(low) if end == n - 1 or not low[end - n].isalpha()):
             if at <= done:
                 continue
-            begin = max(low.rfind(s, 0, at) for s in STOPS) + 1
-            ends = [e for s in STOPS if (e := low.find(s, at)) >= 0]
-            done = min(ends, default=len(low))
+            if stops is None:
+                stops = [m.start() for m in STOP.finditer(low)]
+            after = bisect_left(stops, at)
+            begin = stops[after - 1] + 1 if after else 0
+            done = stops[after] if after < len(stops) else len(low)
             _, path = self.machine.run([self.token(w) for w in WORD.findall(low[begin:done])])
             if path:
                 yield path

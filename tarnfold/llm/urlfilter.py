@@ -13,6 +13,7 @@ rows are judged alike; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -42,7 +43,8 @@ def _rest(url: Column) -> Column:
 class Trie:
     """Nested dicts: reversed host labels, then "/" and path segments.
 
-    At a host node, `None` holds the path trie. At a path node, `""` lists (unfinished last segment, rule, verdict).
+    At a host node, `None` holds the path trie. At a path node, `""` holds the unfinished last segments with rule and verdict, and `0` their
+    lengths, the longest first: a segment is looked up by its beginnings of these lengths, however many rules end there.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str]]) -> None:
@@ -56,7 +58,13 @@ class Trie:
             *whole, last = (slash + path).split("/")
             for segment in whole:
                 node = node.setdefault(("/", segment), {})
-            node.setdefault("", []).append((last, rule, verdict))
+            ends = node.setdefault("", {})
+            if last not in ends or (verdict == "block" and ends[last][1] != "block"):
+                ends[last] = (rule, verdict)
+            lengths = node.setdefault(0, [])
+            at = bisect_left(lengths, -len(last), key=lambda n: -n)
+            if at == len(lengths) or lengths[at] != len(last):
+                lengths.insert(at, len(last))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
@@ -72,15 +80,13 @@ class Trie:
             segments, node, depth = path.split("/"), paths, 0
             while node is not None:
                 rest = segments[depth] if depth < len(segments) else None
-                for last, rule, verdict in node.get("", ()) if rest is not None else ():
-                    if rest.startswith(last):
-                        key = (depth, len(last), verdict == "block")
-                        if best is None or key > best[0]:
-                            best = (key, rule, verdict)
+                if rest is not None and "" in node:
+                    found = next((node[""][rest[:n]] for n in node[0] if n <= len(rest) and rest[:n] in node[""]), None)
+                    best = found or best  # a deeper rule is longer
                 node = node.get(("/", rest)) if rest is not None else None
                 depth += 1
             if best:
-                return best[1], best[2]
+                return best
         return None
 
 

@@ -1,6 +1,8 @@
 """Every query and pipeline stage on tables with nulls in any column, empty and very long texts, ties, repeated rows and clashing names; and on empty tables."""
 
 import collections
+import threading
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,12 +51,19 @@ def test_query(name, spark, odd_dir):
     if empty:
         assert len(rows) == (1 if name.startswith("op6") else 0)  # its own conversation
         return
-    want = {"op2": 7, "op4": 5, "op6": 4, "op3": None}.get(name.split("_")[0], len(DOCS))
+    want = {"op2": 7, "op4": 5, "op6": 4, "op3": None, "op11": None, "op12": None, "op13": None}.get(name.split("_")[0], len(DOCS))
     assert want is None or len(rows) == want
     by = collections.defaultdict(list)
     for r in rows:
         by[r[0]].append(tuple(r)[1:])
-    if 1 in by and name[:3] in ("op1", "op5", "op7", "op8", "op9"):
+    if name.startswith("op11"):
+        # 1 takes its own first turns, 2 those of conversation 0, which isn't there; rows without an id take no part
+        assert {(r.conv_id, r.depth) for r in rows} == {(1, 0), (1, 1), (1, 2), (1, 3), *([(2, 1)] if zlib.crc32(b"2") % 9 == 0 else [])}
+        assert next(r for r in rows if r.depth == 0).n_convs == 2
+    if name.startswith("op13"):
+        assert not rows or {r.part for r in rows} == {"pair"} and all(r.value == 0 for r in rows)
+        assert {(r.lang, r.source, r.item) for r in rows} == {(x, s, o) for x, s, o in [("en", "a", "b"), ("en", "a", "c"), ("en", "b", "a"), ("en", "b", "c"), ("en", "c", "a"), ("en", "c", "b"), ("de", "b", ""), ("de", "", "b")]}
+    if 1 in by and name.split("_")[0] in ("op1", "op5", "op7", "op8", "op9"):
         assert by[1][0] == by[1][1]  # equal rows, equal results
     if name.startswith("op10"):
         assert {r.doc_id: r.component_id for r in rows}[7] == 6 and all(r.kept for r in rows if r.doc_id in (None, 1, 3, 4, 5, 6, 8))
@@ -82,6 +91,28 @@ def test_run(spark, odd_dir):
     assert got.count() == 0 if empty else {6, 1} & {r.doc_id for r in got.collect()}
 
 
+def test_two_runs_at_once(spark, odd_dir):
+    """Runs in threads of one driver don't clear each other's tables."""
+    where, empty = odd_dir
+    if empty:
+        return
+    got = {}
+    threads = [threading.Thread(target=lambda k=k: got.update({k: sorted(map(str, cp.run(spark, where).collect()))})) for k in (0, 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got[0] == got[1] and got[0]
+
+
+def test_mixing_is_written_block_after_block(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want, _ = mixing.mix(docs.select(*cp.COLUMNS), max_repeats=2.0)
+    rows = sorted(want.select("mix_block", "mix_key", "doc_id").collect())
+    assert len({r.mix_block for r in rows}) >= 1
+    assert [r.doc_id for r in cp.mix_sources(spark, docs, sf_dir).collect()] == [r.doc_id for r in rows]
+
+
 def test_language_ties_go_to_the_first(spark):
     rows = spark.createDataFrame([("gleich alles", "b"), ("gleich alles", "a")], "text string, lang string")
     got = langid.identify(spark.createDataFrame([(1, "gleich")], "doc_id int, text string"), langid.fit(rows), keep=("doc_id",)).first()
