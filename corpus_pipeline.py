@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.llm import langid, minhash, mixing, pieces, toxicity
-from tarnfold.llm.common import Scratch, table
+from tarnfold.llm.common import Scratch, owned, table
 from tarnfold.llm.queries import model_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,9 +56,12 @@ def one_row_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, max_repeats: float = 2.0) -> DataFrame:
-    """Documents as often as the sources' target weights ask for, within the corpus's own number of tokens."""
-    out, _ = mixing.mix(docs.select(*COLUMNS), max_repeats=max_repeats, blocks=False)
-    return out.select(*COLUMNS)
+    """Documents as often as the sources' target weights ask for, within the corpus's own number of tokens, block after block: what is written
+    holds a block's rows together, blocks in order and each in its permuted order. (A stage returns the columns of `documents`, so the block's number isn't one.)
+    """
+    out, _ = mixing.mix(docs.select(*COLUMNS), max_repeats=max_repeats)
+    order = ["mix_block", "mix_key", "doc_id"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +86,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus")
     docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        made = len(Scratch.made)
-        docs = scratch.save(stage(spark, before, sf_dir), name.replace(" ", "-"))
-        for used in Scratch.made[made:]:
+        with owned() as made:
+            docs = scratch.save(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        for used in made:
             used.clear()
         scratch.keep(docs)
         before = docs
