@@ -6,12 +6,13 @@ Names of tasks, fields, styles and tiers are fixed values.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.judge import SCORES
-from tarnfold.operators.curate import hash_order, hash_split, hash_uniform
+from tarnfold.operators.curate import dense_index, hash_order, hash_split
 from tarnfold.operators.sampling import oversample, ratios
 
 TEXTS = ("key_strength", "key_weakness", "critical_failure_step")
@@ -81,31 +82,6 @@ def hard_case_examples(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame
     return evidence, prior, posterior
 
 
-def perturbed_prior(target: Column, odd: Column) -> Column:
-    """A wrong prior judgment: struct<prior_score, risk_of_error, style>. Borderline scores go to an end, by a bit of the record's hash."""
-    s, risk = target["prior_score"], target["risk_of_error"]
-    new = F.when(s >= 3, s - 2).when(s <= 1, s + 2).otherwise(F.when(odd, 4).otherwise(0))
-    style = F.when(s >= 3, "low_prior_on_teacher_high_prior").when(s <= 1, "high_prior_on_teacher_low_prior").otherwise("polarized_prior_misjudge")
-    return F.struct(new.alias("prior_score"), F.when(new >= 3, F.least(risk, F.lit(1))).when(new <= 1, F.greatest(risk, F.lit(3))).otherwise(4 - new).alias("risk_of_error"), style.alias("style"))
-
-
-def prior_pairs(df: DataFrame, record: Column, learned: Column, companions: float, seed: int) -> DataFrame:
-    """Preference pairs of prior judgments: chosen is the teacher's; rejected the learned one where there is one and it differs, else a perturbed one.
-
-    Learned rejects get a perturbed companion with probability `companions`.
-    """
-    t = df.withColumns({"record_id": record, "_learned": learned, "_target": simple_prior_target()})
-    odd = F.conv(F.substring(F.sha2("record_id", 256), 1, 1), 16, 10).cast("int") % 2 == 1
-    t = t.withColumns({"_wrong": perturbed_prior(F.col("_target"), odd), "_theirs": simple_prior_target(F.col("_learned"))})
-    differs = F.col("_learned").isNotNull() & (F.col("_theirs.prior_score") != F.col("_target.prior_score"))
-    side = lambda c, source: F.struct(c["prior_score"].alias("prior_score"), c["risk_of_error"].alias("risk_of_error"), F.lit(source).alias("source"), (c["style"] if source == "synthetic" else F.lit("learned_prediction")).alias("style"))
-    made, found = side(F.col("_wrong"), "synthetic"), side(F.col("_theirs"), "learned")
-    extra = hash_uniform(F.concat_ws("|", F.lit(str(seed)), "record_id")) < companions
-    rejected = F.when(differs & extra, F.array(found, made)).when(differs, F.array(found)).otherwise(F.array(made))
-    out = t.select("record_id", F.col("_target.prior_score").alias("chosen_score"), F.col("_target.risk_of_error").alias("chosen_risk"), F.explode(rejected).alias("r"))
-    return out.select("record_id", "chosen_score", "chosen_risk", F.col("r.prior_score").alias("rejected_score"), F.col("r.risk_of_error").alias("rejected_risk"), F.col("r.source").alias("rejected_source"), F.col("r.style").alias("rejected_style"))
-
-
 def mixture(evidence: DataFrame, prior: DataFrame, weights: dict[str, float], seed: int, most: int | None = None) -> DataFrame:
     """One training set of (task, example_id, pass, instance, place): both pools in the weights' ratio, in whole reshuffled passes.
 
@@ -119,3 +95,21 @@ def mixture(evidence: DataFrame, prior: DataFrame, weights: dict[str, float], se
     parts = [oversample(pool.select("example_id"), wanted[k], seed, "example_id", rows=n[k]).withColumn("task", F.lit(k)) for k, pool in (("evidence", evidence), ("prior", prior))]
     both = parts[0].unionByName(parts[1])
     return both.withColumn("place", hash_order(seed, F.col("task"), F.col("example_id"), F.col("instance")))
+
+
+def assemble(train: dict[str, list[tuple[str, DataFrame]]], held: dict[str, list[tuple[str, DataFrame]]], weights: dict[str, float], seed: int, most: int | None = None) -> DataFrame:
+    """A mixture of several sources per task, with its validation set: task, source, example_id, split (train or val), index.
+
+    Sources of a task are one pool, in which an example of two sources is two. Training rows are indexed in the shuffled mixture's order; validation is the
+    plain union, indexed by task and source.
+    """
+    pool = lambda parts: reduce(DataFrame.unionByName, [df.select(F.lit(source).alias("source"), "example_id") for source, df in parts])
+    key = F.concat_ws("|", "source", "example_id")
+    mixed = mixture(*[pool(train[k]).select(key.alias("example_id")) for k in ("evidence", "prior")], weights, seed, most)
+    mixed = dense_index(mixed, [F.col("place"), F.col("task")], "index").withColumn("split", F.lit("train"))
+    mixed = mixed.select("task", F.substring_index("example_id", "|", 1).alias("source"), F.substring_index("example_id", "|", -1).alias("example_id"), "split", "index")
+    order = {source: i for i, source in enumerate(dict.fromkeys(source for parts in held.values() for source, _ in parts))}
+    place = reduce(lambda c, kv: F.when(F.col("source") == kv[0], kv[1]).otherwise(c), order.items(), F.lit(len(order)))
+    kept = pool(held["evidence"]).withColumn("task", F.lit("evidence")).unionByName(pool(held["prior"]).withColumn("task", F.lit("prior")))
+    kept = dense_index(kept.withColumn("_place", place), [F.col("task"), F.col("_place"), F.col("example_id")], "index").withColumn("split", F.lit("val"))
+    return mixed.unionByName(kept.select(mixed.columns))

@@ -54,14 +54,24 @@ def bucket(signals: Column, priority: list[tuple[str, str]] = PAIR_PRIORITY) ->
     return F.coalesce(*[F.when(F.array_contains(signals, s), F.lit(b)) for s, b in priority], F.lit(None).cast("string"))
 
 
-def with_tags(df: DataFrame, keys: tuple[str, ...] = ("group_id",), fraction: float = 0.25) -> DataFrame:
-    """Adds `hard_case_tags` of a rollout: wrong among the likeliest or most trusted, correct among the least."""
+def with_tags(df: DataFrame, keys: tuple[str, ...] = ("group_id",), fraction: float = 0.25, reward: str = "posterior") -> DataFrame:
+    """Adds group_hard_case_tags, and hard_case_tags of a rollout, its group's among them, sorted.
+
+    A rollout: wrong among the likeliest or most trusted, correct among the least. A group: some are right but not the first best by
+    reward; or some are right and some wrong, and so is the best, or one of the likeliest is wrong.
+    """
     w = g.group(*keys)
     tops = {n: g.fraction_ranks(F.col(n), w, fraction) for n in ("likelihood", "suitability")}
     right = F.col("answer_correctness") == 1
-    rules = [("correct_low_likelihood", right & tops["likelihood"][1]), ("correct_low_prior", right & tops["suitability"][1]), ("wrong_high_likelihood", ~right & tops["likelihood"][0]), ("wrong_high_prior", ~right & tops["suitability"][0])]
-    flagged = df.withColumns({f"_{n}": c for n, c in rules})
-    return flagged.withColumn("hard_case_tags", F.array_compact(F.array(*[F.when(F.col(f"_{n}"), F.lit(n)) for n, _ in rules]))).drop(*[f"_{n}" for n, _ in rules])
+    flags = {"_likely": tops["likelihood"][0], "_unlikely": tops["likelihood"][1], "_trusted": tops["suitability"][0], "_mistrusted": tops["suitability"][1], "_best": g.first_best(F.col(reward), w)}
+    t = df.withColumns(flags)
+    some = lambda c: F.some(c).over(w)
+    missed = some(right) & some(F.col("_best") & ~right)
+    t = t.withColumns({"_missed": missed, "_conflict": some(right) & some(~right) & (missed | some(~right & F.col("_likely")))})
+    own = [("correct_low_likelihood", right & F.col("_unlikely")), ("correct_low_prior", right & F.col("_mistrusted")), ("wrong_high_likelihood", ~right & F.col("_likely")), ("wrong_high_prior", ~right & F.col("_trusted"))]
+    shared = [("medium_reward_conflict", F.col("_conflict")), ("posterior_top1_wrong", F.col("_missed"))]
+    held = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
+    return t.withColumns({"group_hard_case_tags": held(shared), "hard_case_tags": F.array_sort(held([*own, *shared]))}).drop(*flags, "_missed", "_conflict")
 
 
 def correction() -> Column:

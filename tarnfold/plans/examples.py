@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.functions.judge import PRIORS as PRIORS_SCHEMA
+from tarnfold.functions.judge import SCORES
 from tarnfold.operators import examples as ex
 from tarnfold.operators import gates as gt
+from tarnfold.operators import preferences as pf
+from tarnfold.operators.curate import hash_split
 from tarnfold.plans.base import query
-from tarnfold.plans.quality import DEBUG, HARD, ISSUES, debug, hard_cases
+from tarnfold.plans.quality import DEBUG, HARD, ISSUES, TAGGED, debug, hard_cases, tagged
 
 SOURCE = "runs/debug.jsonl"
 MORE = "'problem ' || group_id AS problem, CASE WHEN part % 5 = 0 THEN 'gap' END AS key_weakness, CASE WHEN part % 3 = 0 THEN 'clear ' ELSE ' ' END AS key_strength, CASE part % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'high' WHEN 2 THEN '' END AS risk_flag, CASE WHEN part % 6 = 0 THEN 'fits' END AS prior_reason"
@@ -84,14 +88,101 @@ def l13(spark: SparkSession, d: str) -> DataFrame:
     return t.select("group_id", "rollout_id", "p.prior_score", "p.risk_of_error", F.col("p.brief_reason").alias("prior_reason"), F.round("e.likelihood_score", 6).alias("likelihood_score"), F.col("e.brief_reason").alias("evidence_reason"))
 
 
-@query("m7_l11_prior_pairs", DEBUG + f""", t AS (SELECT group_id || ':' || rollout_id AS record_id, CAST(suitability AS INT) AS s, CAST({RISK} AS INT) AS risk, CASE WHEN part % 7 <> 0 THEN CAST((suitability + CASE WHEN part % 3 = 0 THEN 1 ELSE 0 END) % 5 AS INT) END AS l, CASE WHEN part % 4 = 1 THEN 2 ELSE 0 END AS flagged FROM dbg),
-w AS (SELECT *, CASE WHEN s >= 3 THEN s - 2 WHEN s <= 1 THEN s + 2 WHEN ('0x' || substr(sha256(record_id), 1, 1))::INT % 2 = 1 THEN 4 ELSE 0 END AS p, l IS NOT NULL AND l <> s AS found, ('0x' || substr(sha256('5|' || record_id), 1, 8))::BIGINT / 4294967295.0 < 0.4 AS extra FROM t)
-SELECT record_id, s AS chosen_score, risk AS chosen_risk, l AS rejected_score, greatest(flagged, 4 - l) AS rejected_risk, 'learned' AS rejected_source, 'learned_prediction' AS rejected_style FROM w WHERE found
-UNION ALL SELECT record_id, s, risk, p, CASE WHEN p >= 3 THEN least(risk, 1) WHEN p <= 1 THEN greatest(risk, 3) ELSE 4 - p END, 'synthetic', CASE WHEN s >= 3 THEN 'low_prior_on_teacher_high_prior' WHEN s <= 1 THEN 'high_prior_on_teacher_low_prior' ELSE 'polarized_prior_misjudge' END FROM w WHERE NOT found OR extra""")
+#: The rule that bends an evidence judgment: its number, and what rules 1 to 8 do.
+RULE = "CASE WHEN list_contains(tags, 'wrong_high_likelihood') THEN 1 WHEN list_contains(tags, 'correct_low_likelihood') THEN 2 WHEN list_contains(tags, 'wrong_high_prior') THEN 3 WHEN list_contains(tags, 'correct_low_prior') THEN 4 WHEN len(group_tags) > 0 AND answer_correctness = 0 THEN 5 WHEN len(group_tags) > 0 THEN 6 WHEN answer_correctness = 1 THEN 7 ELSE 8 END"
+ADDS = {"step_validity": "[1, -1, 1, 0, 1, 0, -1, 1]", "proof_completeness": "[1, -2, 0, 0, 1, -1, -1, 1]", "strategy_compliance": "[1, -1, 2, -2, 0, 0, -1, 1]", "consistency": "[1, -1, 0, 0, 0, 0, -1, 1]"}
+SHIFTS = "[0.35, -0.35, 0.25, -0.25, 0.2, -0.2, -0.2, 0.2]"
+KINDS = "['finalization_error', 'correct_weak_proof', 'valid_but_incomplete', NULL, 'valid_but_incomplete', 'correct_weak_proof', 'correct_weak_proof', 'finalization_error']"
+STYLES = "['wrong_but_plausible_high_likelihood', 'correct_but_underrated', 'high_prior_wrong_reward_leakage', 'low_prior_correct_underrated', 'posterior_conflict_wrong_boosted', 'posterior_conflict_correct_underrated', 'generic_correct_underrated', 'generic_wrong_overrated']"
+VAL = "CASE WHEN ('0x' || substr(sha256('problem ' || group_id), 1, 8))::BIGINT / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END"
+COMPANION = "('0x' || substr(sha256('5|' || pair_id), 1, 8))::BIGINT / 4294967295.0 < 0.4"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged rollouts with their split and what a learned judge said of them."""
+    t = told(tagged(spark, d)).withColumn("split", hash_split(F.col("problem"), 0.1))
+    each = t.where(F.col("part") % 7 > 2).select("problem", "rollout_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("at"), "part", "suitability", "step_validity", "error_type", "likelihood")
+    last = F.col("at") == 1
+    learned = each.select(
+        "problem",
+        "rollout_id",
+        "at",
+        F.when(last, (F.col("suitability") + (F.col("part") % 5 == 0).cast("int")) % 5).otherwise(0).alias("suitability"),
+        F.when(last, (F.col("step_validity") + 1) % 5).otherwise(0).alias("step_validity"),
+        *[F.lit(None).cast("int").alias(s) for s in ("proof_completeness", "strategy_compliance", "consistency")],
+        F.when(last & (F.col("part") % 5 == 1), "format_error").otherwise("").alias("error_type"),
+        F.when(F.col("part") % 5 > 1, F.round(F.col("likelihood") / 2, 9)).alias("likelihood"),
+    )
+    return pf.with_learned(t, learned, "at")
+
+
+def _evidence_pairs_sql(kind: str) -> str:
+    simple = kind == "simple"
+    confidence = "likelihood" if simple else "coalesce(judge_confidence, 0)"
+    add = lambda s: f"CAST(greatest(0, least(4, {s} + {ADDS[s]}[rule])) AS INT)"
+    unit = lambda x: f"greatest(0.0, least(1.0, {x}))"
+    made = f"{add('step_validity')} AS step, {add('proof_completeness')} AS proof, {add('strategy_compliance')} AS strategy, {add('consistency')} AS consistent, coalesce({KINDS}[rule], error_type) AS kind, round({unit(f'{confidence} + {SHIFTS}[rule]')}, 6) AS sure, 'synthetic' AS source, {STYLES}[rule] AS style"
+    learned = f"CAST((step_validity + 1) % 5 AS INT), CAST(proof_completeness AS INT), CAST(strategy_compliance AS INT), CAST(consistency AS INT), CASE WHEN part % 5 = 1 THEN 'format_error' ELSE error_type END, round({unit(f'CASE WHEN part % 5 > 1 THEN round(likelihood / 2, 9) ELSE {confidence} END')}, 6), 'learned_sft', 'real_learned_mistake'"
+    return TAGGED + f""", x AS (SELECT *, {RULE} AS rule, '{kind}-evidence:' || group_id || ':' || rollout_id AS pair_id, {VAL} AS split, CASE WHEN len(tags) > 0 THEN tags[1] ELSE 'clean' END AS bucket FROM tg)
+SELECT pair_id || CASE WHEN part % 7 > 2 THEN ':synthetic' ELSE '' END AS pair_id, split, bucket AS bucket_name, {made} FROM x WHERE part % 7 <= 2 OR {COMPANION} UNION ALL SELECT pair_id, split, bucket, {learned} FROM x WHERE part % 7 > 2"""
+
+
+def _evidence_columns(t: DataFrame, confidence: str) -> DataFrame:
+    field = lambda name: F.get_json_object("rejected", f"$.{name}")
+    scores = [field(s).cast("int").alias(n) for s, n in zip(SCORES, ("step", "proof", "strategy", "consistent"), strict=True)]
+    return t.where("chosen <> rejected").select("pair_id", "split", "bucket_name", *scores, field("error_type").alias("kind"), F.round(field(confidence).cast("double"), 6).alias("sure"), F.col("rejected_source").alias("source"), F.col("rejected_style").alias("style"))
+
+
+@query("l11_simple_evidence_pairs", _evidence_pairs_sql("simple"))
+def l11_simple(spark: SparkSession, d: str) -> DataFrame:
+    """Teacher against learned judgments of evidence, bent ones where there is none, and companions; all eight rules."""
+    return _evidence_columns(pf.evidence_pairs(records(spark, d), "simple", 0.4, 5), "likelihood_score")
+
+
+@query("l11_runtime_evidence_pairs", _evidence_pairs_sql("runtime"))
+def l11_runtime(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence_columns(pf.evidence_pairs(records(spark, d), "runtime", 0.4, 5), "judge_confidence")
+
+
+@query("m7_l11_prior_pairs", TAGGED + f""", t AS (SELECT *, CAST(suitability AS INT) AS s, CAST({RISK} AS INT) AS risk, group_id || ':' || rollout_id AS id, CASE WHEN part % 7 > 2 THEN CAST((suitability + CASE WHEN part % 5 = 0 THEN 1 ELSE 0 END) % 5 AS INT) END AS l, CASE WHEN len(tags) > 0 THEN tags[1] ELSE 'clean' END AS bucket_name FROM tg),
+w AS (SELECT *, 'simple-prior:' || id AS pair_id, CASE WHEN s >= 3 THEN s - 2 WHEN s <= 1 THEN s + 2 WHEN ('0x' || substr(sha256(id), 1, 1))::INT % 2 = 1 THEN 4 ELSE 0 END AS p FROM t)
+SELECT pair_id, bucket_name, s AS chosen_score, risk AS chosen_risk, l AS rejected_score, 4 - l AS rejected_risk, 'learned_sft' AS rejected_source, 'real_learned_mistake' AS rejected_style FROM w WHERE l IS NOT NULL
+UNION ALL SELECT pair_id || CASE WHEN l IS NULL THEN '' ELSE ':synthetic' END, bucket_name, s, risk, p, CASE WHEN p >= 3 THEN least(risk, 1) WHEN p <= 1 THEN greatest(risk, 3) ELSE 4 - p END, 'synthetic', CASE WHEN s >= 3 THEN 'low_prior_on_teacher_high_prior' WHEN s <= 1 THEN 'high_prior_on_teacher_low_prior' ELSE 'polarized_prior_misjudge' END FROM w WHERE l IS NULL OR {COMPANION}""")
 def m7(spark: SparkSession, d: str) -> DataFrame:
-    """Teacher against learned judgments, perturbed ones where these agree or failed to parse, and companions."""
-    learned = F.when(F.col("part") % 7 != 0, (F.col("suitability") + (F.col("part") % 3 == 0).cast("int")) % 5)
-    return ex.prior_pairs(told(debug(spark, d)), F.concat_ws(":", "group_id", "rollout_id"), learned, 0.4, 5)
+    """Teacher against learned judgments of single priors, perturbed ones where there is none, and companions."""
+    t = pf.prior_pairs(records(spark, d), 0.4, 5)
+    field = lambda side, name: F.get_json_object(side, f"$.{name}").cast("int")
+    return t.select("pair_id", "bucket_name", *[field(side, name).alias(f"{side}_{short}") for side in ("chosen", "rejected") for name, short in (("prior_score", "score"), ("risk_of_error", "risk"))], "rejected_source", "rejected_style")
+
+
+@query("l11_runtime_prior_pairs", TAGGED + f""", t AS (SELECT *, CAST(suitability AS INT) AS s, CASE WHEN part % 7 > 2 THEN CAST((suitability + CASE WHEN part % 5 = 0 THEN 1 ELSE 0 END) % 5 AS INT) END AS l, count(*) OVER (PARTITION BY group_id) AS cnt, row_number() OVER (PARTITION BY group_id ORDER BY suitability, rollout_id) AS lo, row_number() OVER (PARTITION BY group_id ORDER BY rollout_id) AS mid FROM tg),
+q AS (SELECT group_id, bool_and(l IS NOT NULL) AND bool_or(l <> s) AS found, string_agg(CAST(l AS VARCHAR), ',' ORDER BY rollout_id) AS theirs, string_agg(CAST(s AS VARCHAR), ',' ORDER BY rollout_id) AS own, list_sort(list_distinct(flatten(list(tags)))) AS gtags FROM t GROUP BY 1),
+f AS (SELECT group_id, rollout_id, s, CASE WHEN s >= 3 THEN s - 2 WHEN s <= 1 THEN s + 2 WHEN rollout_id % 2 = 1 THEN 4 ELSE 0 END AS p FROM t WHERE lo = 1 OR lo = cnt OR mid = cnt // 2 + 1),
+m AS (SELECT f.group_id, f.rollout_id, any_value(f.s) AS s, string_agg(CAST(CASE WHEN t.rollout_id = f.rollout_id THEN p ELSE t.s END AS VARCHAR), ',' ORDER BY t.rollout_id) AS made FROM f JOIN t USING (group_id) GROUP BY 1, 2),
+z AS (SELECT m.*, own, theirs, coalesce(found, false) AS found, 'runtime-prior:' || group_id || ':' || m.rollout_id AS pair_id, CASE WHEN len(gtags) > 0 THEN gtags[1] ELSE 'clean' END AS bucket_name FROM m JOIN q USING (group_id))
+SELECT pair_id, bucket_name, own AS chosen, theirs AS rejected, 'learned_sft' AS rejected_source, 'real_learned_mistake' AS rejected_style FROM z WHERE found
+UNION ALL SELECT pair_id || CASE WHEN found THEN ':synthetic' ELSE '' END, bucket_name, own, made, 'synthetic', CASE WHEN s >= 3 THEN 'low_prior_on_teacher_high_prior' WHEN s <= 1 THEN 'high_prior_on_teacher_low_prior' ELSE 'polarized_prior_misjudge' END FROM z WHERE NOT found OR {COMPANION}""")
+def l11_priors(spark: SparkSession, d: str) -> DataFrame:
+    """Whole groups, for each rollout in focus."""
+    t = pf.runtime_prior_pairs(records(spark, d), 0.4, 5)
+    scores = lambda side: F.array_join(F.transform(F.from_json(side, PRIORS_SCHEMA)["priors"], lambda p: p["suitability"].cast("string")), ",").alias(side)
+    return t.select("pair_id", "bucket_name", scores("chosen"), scores("rejected"), "rejected_source", "rejected_style")
+
+
+@query("l14_sources", EVIDENCE + PRIORS.removeprefix(DEBUG) + f""", ids AS (SELECT 'evidence' AS task, group_id, {SPLIT} AS split FROM ev UNION ALL SELECT 'prior', group_id, {SPLIT} FROM pr), p AS (SELECT *, CASE WHEN group_id % 3 = 0 THEN 'bootstrap_v1' ELSE 'anchor_clean' END AS source FROM ids),
+n AS (SELECT count(*) FILTER (task = 'evidence') AS e, count(*) FILTER (task = 'prior') AS r FROM p WHERE split = 'train'), z AS (SELECT CAST(ceil(greatest(e / 0.75, r / 0.25)) AS BIGINT) AS total FROM n),
+y AS (SELECT total, CAST(round_even(total * 0.75, 0) AS BIGINT) AS we FROM z), v AS (SELECT task, source, count(*) AS n FROM p WHERE split = 'val' GROUP BY 1, 2)
+SELECT 'val' AS split, task, source, n, (SELECT sum(n) FROM v)::BIGINT AS indices FROM v UNION ALL SELECT 'train', 'evidence', 'all', we, total FROM y UNION ALL SELECT 'train', 'prior', 'all', total - we, total FROM y""")
+def l14_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Anchor and bootstrap sources in one mixture, with the union of their validation rows; indices are dense in each split."""
+    pools = {"evidence": evidence(spark, d).withColumn("group_id", F.col("group_key.group_id")), "prior": prior(spark, d)}
+    own = {"anchor_clean": F.col("group_id") % 3 != 0, "bootstrap_v1": F.col("group_id") % 3 == 0}
+    part = lambda split: {task: [(source, t.where(c & (F.col("split") == split))) for source, c in own.items()] for task, t in pools.items()}
+    t = ex.assemble(part("train"), part("val"), {"evidence": 3.0, "prior": 1.0}, 11)
+    source = F.when(F.col("split") == "train", "all").otherwise(F.col("source"))
+    counts = t.groupBy("split", "task", source.alias("source")).agg(F.count("*").alias("n"))
+    dense = t.groupBy("split").agg(F.when((F.min("index") == 0) & (F.max("index") == F.count("*") - 1), F.countDistinct("index")).alias("indices"))
+    return counts.join(dense, "split")
 
 
 @query("l14_mixture_assembly", EVIDENCE + PRIORS.removeprefix(DEBUG) + f""", ids AS (SELECT 'evidence' AS task, sha256({ASKED}) AS example_id FROM ev UNION ALL SELECT 'prior', example_id FROM pr), n AS (SELECT count(*) FILTER (task = 'evidence') AS e, count(*) FILTER (task = 'prior') AS p FROM ids),

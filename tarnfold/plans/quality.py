@@ -129,12 +129,23 @@ def l1(spark: SparkSession, d: str) -> DataFrame:
     return hard_cases(spark, d).select("group_id", "rollout_id", *[F.array_join(c, ",").alias(c) for c in HARD_COLUMNS])
 
 
-@query("l2_rollout_tags", ROLL + """, r AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS k, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9) DESC, rollout_id DESC) AS ld, row_number() OVER (PARTITION BY group_id ORDER BY round(likelihood, 9), rollout_id) AS la,
-  row_number() OVER (PARTITION BY group_id ORDER BY suitability DESC, rollout_id DESC) AS sd, row_number() OVER (PARTITION BY group_id ORDER BY suitability, rollout_id) AS sa FROM lik)
-SELECT group_id, rollout_id, array_to_string(list_filter([CASE WHEN answer_correctness = 1 AND la <= k THEN 'correct_low_likelihood' END, CASE WHEN answer_correctness = 1 AND sa <= k THEN 'correct_low_prior' END,
-  CASE WHEN answer_correctness = 0 AND ld <= k THEN 'wrong_high_likelihood' END, CASE WHEN answer_correctness = 0 AND sd <= k THEN 'wrong_high_prior' END], lambda x: x IS NOT NULL), ',') AS tags FROM r""")
+#: Tags of dbg's rollouts and groups; ranks by likelihood, suitability and reward.
+TAGGED = DEBUG + """, rk AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY group_id) * 0.25)) AS k, row_number() OVER (PARTITION BY group_id ORDER BY likelihood DESC, rollout_id DESC) AS ld, row_number() OVER (PARTITION BY group_id ORDER BY likelihood, rollout_id) AS la,
+  row_number() OVER (PARTITION BY group_id ORDER BY suitability DESC, rollout_id DESC) AS sd, row_number() OVER (PARTITION BY group_id ORDER BY suitability, rollout_id) AS sa, row_number() OVER (PARTITION BY group_id ORDER BY bayesian_reward DESC, rollout_id) AS best FROM dbg),
+gt AS (SELECT group_id, bool_or(answer_correctness = 1) AND bool_or(best = 1 AND answer_correctness = 0) AS missed, bool_or(answer_correctness = 1) AND bool_or(answer_correctness = 0) AND (bool_or(best = 1 AND answer_correctness = 0) OR bool_or(answer_correctness = 0 AND ld <= k)) AS conflict FROM rk GROUP BY 1),
+tg AS (SELECT rk.*, list_filter([CASE WHEN conflict THEN 'medium_reward_conflict' END, CASE WHEN missed THEN 'posterior_top1_wrong' END], lambda x: x IS NOT NULL) AS group_tags,
+  list_filter([CASE WHEN answer_correctness = 1 AND la <= k THEN 'correct_low_likelihood' END, CASE WHEN answer_correctness = 1 AND sa <= k THEN 'correct_low_prior' END, CASE WHEN conflict THEN 'medium_reward_conflict' END, CASE WHEN missed THEN 'posterior_top1_wrong' END,
+  CASE WHEN answer_correctness = 0 AND ld <= k THEN 'wrong_high_likelihood' END, CASE WHEN answer_correctness = 0 AND sd <= k THEN 'wrong_high_prior' END], lambda x: x IS NOT NULL) AS tags FROM rk JOIN gt USING (group_id))
+"""
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    return lb.with_tags(debug(spark, d), reward="bayesian_reward")
+
+
+@query("l2_rollout_tags", TAGGED + "SELECT group_id, rollout_id, array_to_string(tags, ',') AS tags, array_to_string(group_tags, ',') AS group_tags FROM tg")
 def l2(spark: SparkSession, d: str) -> DataFrame:
-    return lb.with_tags(post(spark, d)).select("group_id", "rollout_id", F.array_join("hard_case_tags", ",").alias("tags"))
+    return tagged(spark, d).select("group_id", "rollout_id", F.array_join("hard_case_tags", ",").alias("tags"), F.array_join("group_hard_case_tags", ",").alias("group_tags"))
 
 
 RUN_METRICS = """(SELECT group_id, run, arg_max(answer_correctness, -rk) AS ok, coalesce(sum(CASE WHEN answer_correctness = 1 THEN bayesian_reward END), 0) AS mass, bool_or(answer_correctness = 1) AS anyc, count(*) AS size
