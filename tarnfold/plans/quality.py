@@ -71,32 +71,50 @@ def p8(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.array_join(gt.codes(gt.prior_group_gate(3)), ",").alias("issues"), gt.clean_group().alias("clean"))
 
 
-CLEAN = "NOT evidence_judge_fallback_used AND NOT prior_judge_fallback_used AND NOT judge_failed AND evidence_json AND prior_json AND coalesce(format_valid, false) AND strategy_section_present AND reasoning_section_present AND final_answer_section_present AND likelihood IS NOT NULL AND bayesian_reward IS NOT NULL AND prior_probability IS NOT NULL"
+#: The log with damage of every kind: scores and suitabilities that are missing or out of range, likelihoods that are no numbers, unknown labels.
+DAMAGED = DEBUG + """, dam AS (SELECT * REPLACE (CASE WHEN part % 73 = 0 THEN NULL WHEN part % 101 = 0 THEN 9 ELSE suitability END AS suitability, CASE WHEN part % 79 <> 0 THEN step_validity END AS step_validity,
+  CASE WHEN part % 83 = 0 THEN 7 ELSE consistency END AS consistency, CASE WHEN part % 89 = 0 THEN 'NaN'::DOUBLE ELSE likelihood END AS likelihood, CASE WHEN part % 97 = 0 THEN 'typo' ELSE error_type END AS error_type) FROM dbg)
+"""
+
+
+def damaged(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("part")
+    return debug(spark, d).withColumns({
+        "suitability": F.when(part % 73 == 0, F.lit(None)).when(part % 101 == 0, 9).otherwise(F.col("suitability")),
+        "step_validity": F.when(part % 79 != 0, F.col("step_validity")),
+        "consistency": F.when(part % 83 == 0, 7).otherwise(F.col("consistency")),
+        "likelihood": F.when(part % 89 == 0, float("nan")).otherwise(F.col("likelihood")),
+        "error_type": F.when(part % 97 == 0, "typo").otherwise(F.col("error_type")),
+    })
+
 
+CLEAN = "NOT evidence_judge_fallback_used AND NOT prior_judge_fallback_used AND NOT judge_failed AND evidence_json AND prior_json AND coalesce(format_valid, false) AND strategy_section_present AND reasoning_section_present AND final_answer_section_present AND NOT isnan(likelihood) AND error_type <> 'typo' AND prior_probability IS NOT NULL"
 
-@query("p9_clean_rows", DEBUG + f"SELECT group_id, rollout_id FROM dbg WHERE {CLEAN}")
+
+@query("p9_clean_rows", DAMAGED + f"SELECT group_id, rollout_id FROM dam WHERE {CLEAN}")
 def p9(spark: SparkSession, d: str) -> DataFrame:
-    return debug(spark, d).where(gt.clean_row()).select("group_id", "rollout_id")
+    return damaged(spark, d).where(gt.clean_row()).select("group_id", "rollout_id")
 
 
 FIELD = f"NOT coalesce(format_valid, false) OR {' OR '.join(OFF.values())}"
-ROW_DROPS = _list([("fallback", "prior_judge_fallback_used OR evidence_judge_fallback_used"), ("missing_evidence_json", "NOT evidence_json"), ("missing_field", FIELD), ("missing_prior_json", "NOT prior_json"), ("nan_prior_probability", "prior_probability IS NULL"), ("parse_failure", "judge_failed")])
-GROUP_DROPS = _list([("fallback", "bool_or(prior_judge_fallback_used)"), ("missing_field", f"bool_or({OFF['strategy']})"), ("nan_prior_probability", "bool_or(prior_probability IS NULL)"), ("parse_failure", "bool_or(NOT prior_json)")])
+OUTSIDE = "step_validity IS NOT NULL AND consistency = 7"
+ROW_DROPS = _list([("fallback", "prior_judge_fallback_used OR evidence_judge_fallback_used"), ("invalid_error_type", "error_type = 'typo'"), ("missing_evidence_json", "NOT evidence_json"), ("missing_field", FIELD), ("missing_prior_json", "NOT prior_json"), ("missing_score_field", "step_validity IS NULL"), ("nan_posterior_or_likelihood", "isnan(likelihood)"), ("nan_prior_probability", "prior_probability IS NULL"), ("parse_failure", "judge_failed"), ("score_out_of_range", OUTSIDE)])
+GROUP_DROPS = _list([("fallback", "bool_or(prior_judge_fallback_used)"), ("missing_field", f"bool_or({OFF['strategy']})"), ("missing_score_field", "bool_or(suitability IS NULL)"), ("nan_prior_probability", "bool_or(prior_probability IS NULL)"), ("parse_failure", "bool_or(NOT prior_json)"), ("score_out_of_range", "bool_or(suitability = 9) AND NOT bool_or(suitability IS NULL)")])
 
 
-@query("p11_drop_reasons", DEBUG + f", x AS (SELECT 'row' AS kind, {ROW_DROPS} AS r FROM dbg UNION ALL SELECT 'group', {GROUP_DROPS} FROM dbg GROUP BY group_id), y AS (SELECT kind, unnest(r) AS reason, r[1] AS first FROM x) SELECT kind, reason, count(*) AS n, count(*) FILTER (reason = first) AS n_primary FROM y GROUP BY 1, 2")
+@query("p11_drop_reasons", DAMAGED + f", x AS (SELECT 'row' AS kind, {ROW_DROPS} AS r FROM dam UNION ALL SELECT 'group', {GROUP_DROPS} FROM dam GROUP BY group_id), y AS (SELECT kind, unnest(r) AS reason, r[1] AS first FROM x) SELECT kind, reason, count(*) AS n, count(*) FILTER (reason = first) AS n_primary FROM y GROUP BY 1, 2")
 def p11(spark: SparkSession, d: str) -> DataFrame:
     """Reasons of rows and groups; a row's primary reason is its alphabetically first."""
-    t = debug(spark, d)
+    t = damaged(spark, d)
     rows = t.select(F.lit("row").alias("kind"), gt.drop_reasons().alias("r"))
     whole = t.groupBy("group_id").agg(gt.codes(gt.prior_drop_gate()).alias("r")).select(F.lit("group"), "r")
     each = rows.union(whole).select("kind", F.explode("r").alias("reason"), F.get("r", F.lit(0)).alias("first"))
     return each.groupBy("kind", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == F.col("first")).alias("n_primary"))
 
 
-@query("p12_funnel", DEBUG + f"SELECT CASE WHEN judge_failed OR NOT evidence_json OR NOT prior_json THEN 'parse_failed' WHEN prior_judge_fallback_used OR evidence_judge_fallback_used THEN 'fallback' WHEN prior_probability IS NULL THEN 'nan_prior_probability' WHEN {FIELD} THEN 'missing_field' ELSE 'kept' END AS step, count(*) AS removed FROM dbg GROUP BY 1")
+@query("p12_funnel", DAMAGED + f"SELECT CASE WHEN judge_failed OR NOT evidence_json OR NOT prior_json THEN 'parse_failed' WHEN prior_judge_fallback_used OR evidence_judge_fallback_used THEN 'fallback' WHEN isnan(likelihood) THEN 'nan_posterior_or_likelihood' WHEN prior_probability IS NULL THEN 'nan_prior_probability' WHEN step_validity IS NULL THEN 'missing_score_field' WHEN {OUTSIDE} THEN 'score_out_of_range' WHEN error_type = 'typo' THEN 'invalid_error_type' WHEN {FIELD} THEN 'missing_field' ELSE 'kept' END AS step, count(*) AS removed FROM dam GROUP BY 1")
 def p12(spark: SparkSession, d: str) -> DataFrame:
-    return gt.funnel(debug(spark, d))
+    return gt.funnel(damaged(spark, d))
 
 
 TAGS = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.judge import label_agrees
 from tarnfold.operators import groups as g
 from tarnfold.operators import reports as r
+from tarnfold.operators.curate import small
 from tarnfold.plans.base import ROLL, query, rollouts, table
 from tarnfold.plans.groups import METRICS, metrics
 
@@ -276,8 +277,9 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
 @query("j9_group_similarity_sums", """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM n)
 SELECT a.vec_id, round(sum(list_dot_product(a.u, b.u)), 6) AS sum_cos, count(*) AS n FROM u a JOIN u b ON a.label = b.label GROUP BY 1""")
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    t = g.diversity(table(spark, d, "embeddings"), ("label",), "embedding", eps=0.0)
-    return t.select("vec_id", F.round(1 / F.col("diversity_weight"), 6).alias("sum_cos"), F.count("*").over(g.group("label")).alias("n"))
+    t = table(spark, d, "embeddings")
+    sizes = small(t.groupBy("label").agg(F.count("*").alias("n")))
+    return g.diversity(t, ("label",), "embedding", eps=0.0).join(sizes, "label").select("vec_id", F.round(1 / F.col("diversity_weight"), 6).alias("sum_cos"), "n")
 
 
 @query("j11_score_compare", ROLL + "SELECT group_id, round(avg(abs(step_validity - consistency)), 9) AS mae, bool_and(step_validity = consistency) AS exact FROM roll GROUP BY 1")
