@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions.judge import SCORES
 from tarnfold.operators.curate import dense_index, hash_order, hash_split
-from tarnfold.operators.sampling import oversample, ratios
+from tarnfold.operators.sampling import chosen_per, oversample, ratios
 
 TEXTS = ("key_strength", "key_weakness", "critical_failure_step")
 
@@ -113,3 +113,44 @@ def assemble(train: dict[str, list[tuple[str, DataFrame]]], held: dict[str, list
     kept = pool(held["evidence"]).withColumn("task", F.lit("evidence")).unionByName(pool(held["prior"]).withColumn("task", F.lit("prior")))
     kept = dense_index(kept.withColumn("_place", place), [F.col("task"), F.col("_place"), F.col("example_id")], "index").withColumn("split", F.lit("val"))
     return mixed.unionByName(kept.select(mixed.columns))
+
+
+def allocate(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """Whole parts of total * share, and one more for the largest fractions, earlier buckets first on ties."""
+    exact = {k: total * r for k, r in shares.items()}
+    out = {k: math.floor(x) for k, x in exact.items()}
+    left = total - sum(out.values())
+    for k in sorted(shares, key=lambda k: exact[k] - out[k], reverse=True)[:left]:
+        out[k] += 1
+    return out
+
+
+def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str, float], seed: int, most: int | None = None) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+    """(training set, rows allocated) of pools (task, bucket, example_id): tasks by weight, in each the buckets by share.
+
+    Without `most`, as many rows as use the pool that is scarcest for its part wholly. A pool is used in whole reshuffled passes and a part of one; all
+    pools are sampled in one plan. Adds pass and index, a dense position in the shuffled set. A part that falls to an empty pool is an error.
+    """
+    task_share, share = ratios(weights), ratios(shares)
+    sizes = {(r.task, r.bucket): r.n for r in pools.groupBy("task", "bucket").agg(F.count("*").alias("n")).collect()}  # tasks x buckets
+    wanted = [sizes[t, b] / max(1e-9, task_share[t] * share[b]) for t in weights for b in shares if sizes.get((t, b)) and share[b] > 0]
+    total = most if most is not None else math.ceil(max(wanted, default=0))
+    first, *others = weights
+    if len(others) != 1:
+        raise ValueError("two tasks are mixed")
+    rows = {first: round(total * task_share[first])}
+    rows[others[0]] = total - rows[first]
+    parts = {(t, b): n for t in weights for b, n in allocate(rows[t], share).items()}
+    if empty := [k for k, n in parts.items() if n > 0 and not sizes.get(k)]:
+        raise ValueError(f"nothing to sample from in {empty}")
+    key = F.concat_ws("|", "task", "bucket")
+    plan = [(f"{t}|{b}", -(-n // sizes[t, b]), n - (-(-n // sizes[t, b]) - 1) * sizes[t, b]) for (t, b), n in parts.items() if n > 0]
+    quotas = pools.sparkSession.createDataFrame(plan, "_pool string, _passes int, quota long")
+    each = pools.withColumn("_pool", key).join(F.broadcast(quotas.drop("quota")), "_pool")
+    each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
+    each = each.withColumn("_h", hash_order(seed, F.col("task"), F.col("bucket"), F.col("pass"), F.col("example_id")))
+    last = F.col("pass") == F.col("_passes") - 1
+    cut = chosen_per(each.where(last), quotas.drop("_passes"), "_pool", "_h", "example_id").where("_chosen").drop("_chosen")
+    used = each.where(~last).unionByName(cut).drop("_passes", "_pool")
+    order = hash_order(seed, F.lit("place"), F.col("task"), F.col("bucket"), F.col("pass"), F.col("example_id"))
+    return dense_index(used.withColumn("_place", order), [F.col("_place")], "index").drop("_place", "_h"), parts

@@ -194,3 +194,27 @@ def l14(spark: SparkSession, d: str) -> DataFrame:
     uses = mixed.groupBy("task", "example_id").agg(F.count("*").alias("uses"), F.max("pass").alias("pass"))
     pools = uses.groupBy("task").agg(F.sum("uses").alias("n"), (F.max("pass") + 1).cast("long").alias("passes"), F.min("uses").alias("least_uses"))
     return pools.select("task", "n", "passes", "least_uses")
+
+
+# Names of the buckets; shares are parameters.
+BUCKETS = {"anchor_clean": 0.4, "stable_bootstrap": 0.15, "retention": 0.2, "calibration_correction": 0.25}
+IN_BUCKET = "['anchor_clean', 'stable_bootstrap', 'retention', 'calibration_correction'][1 + group_id % 4]"
+
+
+@query("l14_bucket_mixture", EVIDENCE + PRIORS.removeprefix(DEBUG) + f""", pool AS (SELECT task, bucket, count(*) AS n FROM (SELECT 'evidence' AS task, {IN_BUCKET} AS bucket FROM ev UNION ALL SELECT 'prior', {IN_BUCKET} FROM pr) GROUP BY 1, 2),
+share AS (SELECT * FROM (VALUES ('anchor_clean', 1, 0.4::DOUBLE), ('stable_bootstrap', 2, 0.15::DOUBLE), ('retention', 3, 0.2::DOUBLE), ('calibration_correction', 4, 0.25::DOUBLE)) v(bucket, place, r)),
+z AS (SELECT CAST(ceil(max(n / (r * CASE task WHEN 'evidence' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END))) AS BIGINT) AS total FROM pool JOIN share USING (bucket)),
+t AS (SELECT 'evidence' AS task, CAST(round_even(total * 0.6::DOUBLE, 0) AS BIGINT) AS rows FROM z UNION ALL SELECT 'prior', total - CAST(round_even(total * 0.6::DOUBLE, 0) AS BIGINT) FROM z),
+a AS (SELECT *, rows * r AS exact, CAST(floor(rows * r) AS BIGINT) AS base FROM t, share), b AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY exact - base DESC, place) AS k, rows - sum(base) OVER (PARTITION BY task) AS spare FROM a),
+c AS (SELECT task, bucket, CAST(base + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS want FROM b)
+SELECT task, bucket, want AS n, (want // n)::BIGINT AS least_uses, ((want + n - 1) // n)::BIGINT AS most_uses, (SELECT total FROM z) AS indices FROM c JOIN pool USING (task, bucket)""")
+def l14_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Four buckets in two tasks, checked by how often each pool's examples are used; indices are dense."""
+    in_bucket = lambda g: F.element_at(F.array(*[F.lit(b) for b in BUCKETS]), (g % 4 + 1).cast("int")).alias("bucket")
+    pools = evidence(spark, d).select(F.lit("evidence").alias("task"), in_bucket(F.col("group_key.group_id")), "example_id")
+    pools = pools.union(prior(spark, d).select(F.lit("prior"), in_bucket(F.col("group_id")), "example_id"))
+    mixed, _ = ex.bucket_mixture(pools, BUCKETS, {"evidence": 3.0, "prior": 2.0}, 11)
+    dense = mixed.agg(F.when((F.min("index") == 0) & (F.max("index") == F.count("*") - 1), F.countDistinct("index")).alias("indices"))
+    uses = mixed.groupBy("task", "bucket", "example_id").agg(F.count("*").alias("uses"))
+    own = pools.join(uses, ["task", "bucket", "example_id"], "left").groupBy("task", "bucket").agg(F.sum("uses").alias("n"), F.min(F.coalesce("uses", F.lit(0))).alias("least_uses"), F.max("uses").alias("most_uses"))
+    return own.crossJoin(F.broadcast(dense))
