@@ -115,6 +115,30 @@ def x20(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("id", tx.verify(pred, gold, F.lit("Find all roots of p.")).alias("s")).select("id", "s.correct", "s.verification_method")
 
 
+# Answers by composition: how it is introduced, how it is wrapped, what it is. Each id is one of 4 x 4 x 5 compositions.
+LEADS = ["", "[Strategy]\nadd\n[Reasoning]\n= 12\n[Final Answer]\n", "work 3/4\n\nFinal answer: ", "First \\boxed{12}\nFINAL_ANSWER: "]
+WRAPS = [("", ""), ("\\boxed{", "}"), ("$", "$."), ("the answer is $\\boxed{\\text{", "}}$")]
+
+
+def composed(spark: SparkSession, d: str) -> DataFrame:
+    k = lambda by, n: (F.floor(ID() / by) % n).cast("int")
+    pick = lambda at, cases: F.element_at(F.array(*[F.lit(c) if isinstance(c, str) else c for c in cases]), at + 1)
+    values = [ID().cast("string"), text("\\frac{", ID(), "}{4}"), text(ID(), " apples"), text("-", ID(), ".50"), text("2\\pi + ", ID())]
+    lead, wrap, value = k(1, 4), k(4, 4), k(16, 5)
+    whole = F.concat(pick(lead, LEADS), pick(wrap, [a for a, _ in WRAPS]), pick(value, values), pick(wrap, [b for _, b in WRAPS]))
+    return spread(table(spark, d, "orders").select(F.col(K).alias("id"), whole.alias("text")))
+
+
+@query("x12_x18_composed", """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4 AS lead, (o_orderkey // 4) % 4 AS wrap, (o_orderkey // 16) % 5 AS v FROM orders),
+f AS (SELECT *, lead = 3 AND wrap <> 1 AND wrap <> 3 AS other FROM t)
+SELECT id, CASE WHEN other THEN '12' WHEN v = 0 THEN CAST(id AS VARCHAR) WHEN v = 1 THEN '(' || id || ')/(4)' WHEN v = 2 THEN CAST(id AS VARCHAR) WHEN v = 3 THEN '-' || id || '.50' ELSE '2*pi+' || id END AS normalized,
+  round(CASE WHEN other THEN 12.0 WHEN v = 0 THEN id WHEN v = 1 THEN id / 4.0 WHEN v = 2 THEN id WHEN v = 3 THEN -(id + 0.5) ELSE 2 * pi() + id END::DOUBLE, 6) AS numeric, NOT other AND v = 2 AS stripped FROM f""")
+def x12_composed(spark: SparkSession, d: str) -> DataFrame:
+    """Final answer of a composed completion, in its normal form. A box anywhere comes before a caption."""
+    t = composed(spark, d).select("id", tx.normalise_answer(tx.final_answer(F.col("text"))).alias("a"))
+    return t.select("id", "a.normalized", F.round("a.numeric_value", 6).alias("numeric"), F.col("a.stripped_units").alias("stripped"))
+
+
 @query("x21_near_misses", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'numerically_very_close' WHEN 1 THEN 'order_may_matter,same_collection_items' ELSE '' END AS reasons FROM orders")
 def x21(spark: SparkSession, d: str) -> DataFrame:
     pred = F.when(F.col("m") == 0, "1.0005").when(F.col("m") == 1, "11,7").otherwise("abc")
