@@ -6,6 +6,10 @@ from tarnfold.plans import registry
 from tests import oracle
 
 
+#: Held against plain Python in test_hostile.py: SQL has no similarity of common blocks.
+NO_SQL = {"x25_closest_name"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return oracle.connect(sf_dir)
@@ -14,6 +18,9 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(name, spark, sf_dir, con):
     df = registry.QUERIES[name](spark, sf_dir)
+    if name in NO_SQL:
+        assert df.count() > 0
+        return
     assert name in registry.ORACLES
     oracle.same(con, df, registry.ORACLES[name])
 
