@@ -177,11 +177,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         comp = _placed(index, all_links, scratch)
     # What leaders left: pairs of different components, one of them outside the list's main component.
     placed = scratch.save(postings.join(comp, postings.rep == comp.node).join(index.select(F.col("rep").alias("r2"), "prefix", "n"), F.col("rep") == F.col("r2")).select("rep", "value", "component", "prefix", "n"), "placed")
-    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("size")).where("kinds > 1")
-    by = by.select("value", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    open_ = placed.join(by, "value").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = open_.select("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "component", (F.col("component") == F.col("main")).alias("main"), "n", "prefix")
-    dealt = dealt.join(sets.select(F.col("doc_id").alias("r3"), "large"), F.col("rep") == F.col("r3")).drop("r3").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q")
+    dealt = _dealt(placed).join(sets.select(F.col("doc_id").alias("r3"), "large"), F.col("rep") == F.col("r3")).drop("r3").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q")
     pairs = batches(dealt, lambda it: _meet(it, percent), "a long, b long")
     all_links = _more(pairs, None, sets, scratch, found, k, need, percent)
 
@@ -202,6 +198,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Each list's members, dealt to meetings (value, p, q) of a block p of those outside its main component, which ask, with a block q of members.
+
+    Blocks of the main component are numbered after those of the others. An asking row goes to the blocks from its own one on, an asked one of the others to
+    those up to its own, one of the main component to each block that asks: for o others and m main members 2 o m / BLOCK + o^2 / BLOCK
+    rows, none of which pairs the main component with itself.
+    """
+    by = placed.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"), F.max("c").alias("most"), F.sum("c").alias("size")).where("kinds > 1")
+    by = by.select("value", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"))
+    t = placed.join(by, "value").withColumn("main", F.col("component") == F.col("main"))
+    t = t.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    to = lambda p, q, asks: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(asks).alias("asks"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda p: to(p, F.col("others") + F.col("own"), False))
+    asks = F.transform(F.sequence("own", F.col("others") + F.col("mains") - 1), lambda q: to(F.col("own"), q, True))
+    among = F.transform(F.sequence(F.lit(0), "own"), lambda p: to(p, F.col("own"), False))
+    t = t.withColumn("_to", F.explode(F.when(F.col("main"), asked).otherwise(F.concat(asks, among))))
+    return t.select("value", "_to.p", "_to.q", "_to.asks", "rep", "component", "main", "n", "prefix")
+
+
 def _shared(flat: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int, step: int = 1024) -> np.ndarray:
     """Values that rows x and rows y share, pair by pair, of (value, row) entries; values of one row alone are left out."""
     values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -226,39 +241,37 @@ def _in_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a list that may meet the threshold: of different components, one outside the list's main one, at the first value they share."""
+    """Pairs of an asking row and an asked one that may meet the threshold: of different components, at the first value they share."""
     need = least_shared(LARGE, percent / 100)
     for (value, p, q), held in runs(it, "value", "p", "q"):
         t = pa.Table.from_batches(held).combine_chunks()
-        part, rep, comp, n = (t[c].to_numpy() for c in ("part", "rep", "component", "n"))
-        main = t["main"].to_numpy(zero_copy_only=False)
+        rep, comp, n = (t[c].to_numpy() for c in ("rep", "component", "n"))
+        main, asks = (t[c].to_numpy(zero_copy_only=False) for c in ("main", "asks"))
         lists = [t[c].combine_chunks() for c in ("prefix", "large")]
         (prefix, prefix_row), (large, large_row) = ((v.flatten().to_numpy(), np.repeat(np.arange(len(rep)), v.value_lengths().to_numpy())) for v in lists)
         padded = np.full((len(rep), LARGE), 1 << 40)
         padded[large_row, np.arange(len(large)) - np.searchsorted(large_row, np.arange(len(rep)))[large_row]] = large
         before = prefix < value
-        sides = [(part == p, part == q)] if p == q else [(part == p, part == q), (part == q, (part == p) & main)]
-        for left, right in sides:
-            x, y = np.flatnonzero(left & ~main), np.flatnonzero(right)
-            if not len(x) or not len(y):
-                continue
-            # two units of slack: leading bits of two hashes may agree
-            fits = _shared(prefix[before], prefix_row[before], x, y, len(rep)) == 0
-            both = _shared(large, large_row, x, y, len(rep))
-            for at in range(0, len(x), 128):  # in strips, so that temporaries stay small
-                s, k = x[at : at + 128][:, None], both[at : at + 128]
-                likely = np.where((n[s] <= LARGE) & (n[y] <= LARGE), 100 * (k + 2) >= percent * (n[s] + n[y] - k - 2), k >= need)
-                likely &= (comp[s] != comp[y]) & (main[y] | (rep[s] < rep[y]) | (p != q))
-                fits[at : at + 128] &= likely & (100 * np.minimum(n[s], n[y]) >= percent * np.maximum(n[s], n[y]))
-            i, j = np.nonzero(fits)
-            i, j = x[i], y[j]
-            keep = (n[i] <= LARGE) & (n[j] <= LARGE)
-            rest = np.flatnonzero(~keep)
-            for lo in range(0, len(rest), 4096):
-                at = rest[lo : lo + 4096]
-                keep[at] = _in_union(padded[i[at]], padded[j[at]]) >= need
-            a, b = rep[i[keep]], rep[j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(x) or not len(y):
+            continue
+        # two units of slack: leading bits of two hashes may agree
+        fits = _shared(prefix[before], prefix_row[before], x, y, len(rep)) == 0
+        both = _shared(large, large_row, x, y, len(rep))
+        for at in range(0, len(x), 128):  # in strips, so that temporaries stay small
+            s, k = x[at : at + 128][:, None], both[at : at + 128]
+            likely = np.where((n[s] <= LARGE) & (n[y] <= LARGE), 100 * (k + 2) >= percent * (n[s] + n[y] - k - 2), k >= need)
+            likely &= (comp[s] != comp[y]) & (main[y] | (rep[s] < rep[y]) | (p != q))
+            fits[at : at + 128] &= likely & (100 * np.minimum(n[s], n[y]) >= percent * np.maximum(n[s], n[y]))
+        i, j = np.nonzero(fits)
+        i, j = x[i], y[j]
+        keep = (n[i] <= LARGE) & (n[j] <= LARGE)
+        rest = np.flatnonzero(~keep)
+        for lo in range(0, len(rest), 4096):
+            at = rest[lo : lo + 4096]
+            keep[at] = _in_union(padded[i[at]], padded[j[at]]) >= need
+        a, b = rep[i[keep]], rep[j[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _by_class(rows: DataFrame, classes: DataFrame, large: Column, *cols: str) -> DataFrame:

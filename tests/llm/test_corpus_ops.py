@@ -485,3 +485,30 @@ def test_pipeline_keeps_rows_that_only_share_an_id(spark, sf_dir):
     got = collections.Counter((r.doc_id, r.text) for r in cp.one_of_each(spark, docs, sf_dir).collect())
     assert got == collections.Counter([(1, a), (1, b), (4, c), (5, ""), (5, None), (6, ""), *rows[10:]])
     assert cp.one_of_each(spark, docs.where("doc_id is null"), sf_dir).count() == 7
+
+
+def test_one_leftover_of_a_long_list(spark):
+    """A list of L members outside whose main component there is one row deals about L rows, and pairs are those of all comparisons."""
+    def meetings(components, block):
+        rows = [(i, 7, c, [1], 5) for i, c in enumerate(components)]
+        placed = spark.createDataFrame(rows, "rep long, value long, component long, prefix array<long>, n long")
+        was, minhash.BLOCK = minhash.BLOCK, block
+        try:
+            dealt = minhash._dealt(placed).collect()
+        finally:
+            minhash.BLOCK = was
+        met = collections.defaultdict(lambda: ([], []))
+        for r in dealt:
+            met[r.p, r.q][0 if r.asks else 1].append(r)
+        pairs = [frozenset((x.rep, y.rep)) for (p, q), (xs, ys) in met.items() for x in xs for y in ys if x.component != y.component and (y.main or x.rep < y.rep or p != q)]
+        return len(dealt), pairs
+
+    n, pairs = meetings([0] * 2001 + [5], 64)
+    assert n < 5000 and len(pairs) == len(set(pairs)) == 2001
+    rnd = random.Random(2)
+    for block in (3, 10, 1000):
+        components = [rnd.choice([0, 0, 0, 1, 2, 3 + i]) for i in range(60)]
+        n, pairs = meetings(components, block)
+        top = max(sorted(set(components), reverse=True), key=components.count)
+        want = {frozenset((i, j)) for i in range(60) for j in range(i) if components[i] != components[j]}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want, top
