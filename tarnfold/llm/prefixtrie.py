@@ -83,11 +83,11 @@ def classes_of(convs: DataFrame, turns: DataFrame) -> DataFrame:
     return whole.groupBy(*key).agg(F.min("conv_id").alias("k"), F.count("*").alias("w")).join(hashed, key).select("k", "w", "len", "ends_sha256")
 
 
-def _down(step: DataFrame, named: DataFrame, most: int, scratch_rows: int) -> DataFrame:
-    """step with its group's name, for groups of more than one class."""
+def _down(step: DataFrame, named: DataFrame, most: int, rows: int) -> DataFrame:
+    """step with its group's name, for groups of more than one class. most, rows: classes of the largest group, and of all."""
     on = ["node", "digest"]
     shared = named.where("n_classes > 1").select(*on, F.col("conv_id").alias("_name"), "n_classes")
-    limit = max(1000, scratch_rows // 1000)
+    limit = max(1000, rows // 1000)
     if most <= limit:
         return step.join(shared.drop("n_classes"), on)
     hot = F.broadcast(shared.where(F.col("n_classes") > limit).drop("n_classes"))  # at most a thousand
