@@ -126,11 +126,12 @@ def allocate(total: int, shares: dict[str, float]) -> dict[str, int]:
 
 
 def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str, float], seed: int, most: int | None = None) -> tuple[DataFrame, dict[tuple[str, str], int]]:
-    """(training set, rows allocated) of pools (task, bucket, example_id): tasks by weight, in each the buckets by share.
+    """(training set, rows allocated) of pools (task, bucket, example_id): tasks by weight, in each the buckets by share. An example counts once in a pool.
 
     Without `most`, as many rows as use the pool that is scarcest for its part wholly. A pool is used in whole reshuffled passes and a part of one; all
     pools are sampled in one plan. Adds pass and index, a dense position in the shuffled set. A part that falls to an empty pool is an error.
     """
+    pools = pools.select("task", "bucket", "example_id").distinct()
     task_share, share = ratios(weights), ratios(shares)
     sizes = {(r.task, r.bucket): r.n for r in pools.groupBy("task", "bucket").agg(F.count("*").alias("n")).collect()}  # tasks x buckets
     wanted = [sizes[t, b] / max(1e-9, task_share[t] * share[b]) for t in weights for b in shares if sizes.get((t, b)) and share[b] > 0]

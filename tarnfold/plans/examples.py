@@ -201,7 +201,7 @@ BUCKETS = {"anchor_clean": 0.4, "stable_bootstrap": 0.15, "retention": 0.2, "cal
 IN_BUCKET = "['anchor_clean', 'stable_bootstrap', 'retention', 'calibration_correction'][1 + group_id % 4]"
 
 
-@query("l14_bucket_mixture", EVIDENCE + PRIORS.removeprefix(DEBUG) + f""", pool AS (SELECT task, bucket, count(*) AS n FROM (SELECT 'evidence' AS task, {IN_BUCKET} AS bucket FROM ev UNION ALL SELECT 'prior', {IN_BUCKET} FROM pr) GROUP BY 1, 2),
+@query("l14_bucket_mixture", EVIDENCE + PRIORS.removeprefix(DEBUG) + f""", pool AS (SELECT task, bucket, count(DISTINCT id) AS n FROM (SELECT 'evidence' AS task, {IN_BUCKET} AS bucket, sha256({ASKED}) AS id FROM ev UNION ALL SELECT 'prior', {IN_BUCKET}, example_id FROM pr) GROUP BY 1, 2),
 share AS (SELECT * FROM (VALUES ('anchor_clean', 1, 0.4::DOUBLE), ('stable_bootstrap', 2, 0.15::DOUBLE), ('retention', 3, 0.2::DOUBLE), ('calibration_correction', 4, 0.25::DOUBLE)) v(bucket, place, r)),
 z AS (SELECT CAST(ceil(max(n / (r * CASE task WHEN 'evidence' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END))) AS BIGINT) AS total FROM pool JOIN share USING (bucket)),
 t AS (SELECT 'evidence' AS task, CAST(round_even(total * 0.6::DOUBLE, 0) AS BIGINT) AS rows FROM z UNION ALL SELECT 'prior', total - CAST(round_even(total * 0.6::DOUBLE, 0) AS BIGINT) FROM z),
@@ -213,6 +213,7 @@ def l14_buckets(spark: SparkSession, d: str) -> DataFrame:
     in_bucket = lambda g: F.element_at(F.array(*[F.lit(b) for b in BUCKETS]), (g % 4 + 1).cast("int")).alias("bucket")
     pools = evidence(spark, d).select(F.lit("evidence").alias("task"), in_bucket(F.col("group_key.group_id")), "example_id")
     pools = pools.union(prior(spark, d).select(F.lit("prior"), in_bucket(F.col("group_id")), "example_id"))
+    pools = pools.distinct()
     mixed, _ = ex.bucket_mixture(pools, BUCKETS, {"evidence": 3.0, "prior": 2.0}, 11)
     dense = mixed.agg(F.when((F.min("index") == 0) & (F.max("index") == F.count("*") - 1), F.countDistinct("index")).alias("indices"))
     uses = mixed.groupBy("task", "bucket", "example_id").agg(F.count("*").alias("uses"))
