@@ -121,22 +121,19 @@ def z4c(spark: SparkSession, d: str) -> DataFrame:
 def z1(spark: SparkSession, d: str) -> DataFrame:
     """Events come in files, are appended to a log in micro-batches by a stream that is started again half-way, and read back from there."""
     inbox, out, at = (files.scratch(spark, name) for name in ("inbox", "log", "checkpoint"))
-    for k in (0, 1):
-        arrive(spark, d, inbox, k)
+    for half in halves(spark, d):
+        half.repartition(3).write.mode("append").parquet(inbox)
         log.append(log_source(spark, d, inbox), out, at).awaitTermination()
     t = log.read(spark, out, table(spark, d, "events").schema)
     return bf.beliefs(t, ["event_type"], reward()).select("event_type", "alpha", "beta", "trials")
 
 
-def arrive(spark: SparkSession, d: str, inbox: str, half: int) -> None:
-    """Half of the events in order of time, as files."""
+def halves(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The events up to a middle time, those without a time among them, and the later ones. The middle is found once: a second approximation may be another, and rows between the two would come twice or never."""
     t = table(spark, d, "events")
     middle = t.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    if middle is not None:
-        part = t.where(F.col("ts") <= middle if half == 0 else F.col("ts") > middle)
-        part.repartition(3).write.mode("append").parquet(inbox)
-    elif not half:
-        t.write.parquet(inbox)
+    early = F.coalesce(F.col("ts") <= F.lit(middle), F.lit(True))
+    return [t.where(early), t.where(~early)]
 
 
 def log_source(spark: SparkSession, d: str, inbox: str) -> DataFrame:
@@ -148,8 +145,8 @@ def z6(spark: SparkSession, d: str) -> DataFrame:
     """What the stream of events reports: rows of its micro-batches, and metrics observed in the plan."""
     inbox, out, at = (files.scratch(spark, name) for name in ("inbox", "log", "checkpoint"))
     with progress.Progress(spark) as seen:
-        for k in (0, 1):
-            arrive(spark, d, inbox, k)
+        for half in halves(spark, d):
+            half.repartition(3).write.mode("append").parquet(inbox)
             stream = log_source(spark, d, inbox).observe("seen", F.count(F.lit(1)).alias("rows"), F.sum(reward()).alias("reward"))
             seen.wait(log.append(stream, out, at, "beliefs"))
         metric = lambda k: F.sum(F.coalesce(F.col("metrics")[k], F.lit(0.0)))

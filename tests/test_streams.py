@@ -95,3 +95,22 @@ def test_progress_adds_up(spark, tmp_path):
         got = [r for r in seen.table().collect() if r.input_rows]
     assert [(r.query, r.input_rows, r.metrics["m.n"]) for r in got] == [("mine", 7, 7.0)] * 3
     assert max(r.metrics["m.most"] for r in got) == 26
+
+
+def test_both_halves_of_the_events_arrive_once(spark, tmp_path, monkeypatch):
+    """Also with events without a time, and where a second approximation of the middle time is another one."""
+    import datetime
+
+    from tarnfold.plans import labels
+
+    day = lambda i: None if i % 10 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(i, day(i), i % 3, "click" if i % 2 else "view", float(i), "") for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    middles = iter([0.5, 0.9, 0.5, 0.1])
+    real = F.percentile_approx
+    monkeypatch.setattr(labels.F, "percentile_approx", lambda c, *_: real(c, next(middles)))
+    got = {r.event_type: (r.trials, r.alpha) for r in labels.z1(spark, str(tmp_path)).collect()}
+    assert got == {"click": (50, 26.0), "view": (50, 26.0)}
+    middles = iter([0.5, 0.9])
+    seen = labels.z6(spark, str(tmp_path)).first()
+    assert (seen.input_rows, seen.observed_rows, seen.observed_reward) == (100, 100.0, 50.0)
