@@ -1,7 +1,10 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import curate, groups, sampling
+from tarnfold.operators import curate, groups, rewards, sampling
 from tarnfold.sources import files
 
 
@@ -113,3 +116,44 @@ def test_markdown():
     from pyspark.sql import Row
 
     assert files.markdown([Row(a=None, b=0.5)], ["a", "b"]) == "| a | b |\n| --- | --- |\n| - | 0.5000 |\n"
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_rewards_of_groups_that_batches_cut(spark, monkeypatch, batch):
+    """A call has the groups of a batch; groups over several batches, null keys, bad values and single rows stay apart."""
+    rows = []
+    for g in (None, *range(12)):
+        k = g or 0
+        rows += [(g, i, (5 * k + i) % 4, None if k == 3 and i == 1 else ((7 * k + i) % 5) / 4) for i in range(1 + 5 * k % 8)]
+    t = spark.createDataFrame(rows, "g int, i int, suitability int, likelihood double").repartition(3)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, batch)
+    try:
+        got = {(r.g, r.i): r for r in rewards.apply(t, "posterior", ("g",), "i").collect()}
+        loo = {(r.g, r.i): r.advantage for r in rewards.apply(t.fillna(0.0, ["likelihood"]).withColumn("reward", F.col("likelihood")), "leave_one_out", ("g",), "i").collect()}
+    finally:
+        spark.conf.unset(conf)
+    assert len(got) == len(loo) == len(rows)
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        e = [math.exp(r[2]) for r in own]
+        x = [None if r[3] is None else a / sum(e) * r[3] for a, r in zip(e, own, strict=True)]
+        bad = None in x or sum(x) <= 0
+        like = [r[3] or 0.0 for r in own]
+        for k, r in enumerate(own):
+            assert got[g, r[1]].fallback == bad
+            assert got[g, r[1]].posterior == pytest.approx(1 / len(own) if bad else x[k] / sum(x))
+            others = like[:k] + like[k + 1 :]
+            assert loo[g, r[1]] == pytest.approx(like[k] - sum(others) / len(others) if others else 0.0)
+
+
+def test_rewards_call_python_by_the_batch(spark):
+    @rewards.register("test_calls", ("x",), "calls long", many=True)
+    def calls(groups, x):
+        return {"calls": np.full(len(x), len(groups.starts))}
+
+    try:
+        t = spark.range(4000).select((F.col("id") % 1000).alias("g"), "id", F.lit(1.0).alias("x"))
+        assert rewards.apply(t, "test_calls", ("g",), "id").agg(F.max("calls")).first()[0] > 100
+    finally:
+        del rewards.REGISTRY["test_calls"]
