@@ -25,12 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lineitems that a task should hold at most.
+ROWS = 1 << 18
+
+
+def dealt(spark: SparkSession, t: DataFrame, key: str) -> DataFrame:
+    """Dealt by key to as many tasks as its rows ask for, so that a task's sorts and hash tables don't grow with the table. What follows by this key, or by more columns, is not dealt again.
+
+    Never to fewer than the session deals to, as a join would then deal anew; a table of a few tasks stays as it is.
+    """
+    tasks = -(-t.count() // ROWS)
+    return t if tasks < 4 else t.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def rollouts(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """One row per rollout: group_id, rollout_id, scores, error_type, problem_type and run (FIXTURES.md, part C), and further columns of lineitem."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    li, o = dealt(spark, table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "orders")
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     correct = F.col("l_returnflag") == "R"
     step = (F.round(F.col("l_discount") * 100).cast("int") % 5).cast("int")

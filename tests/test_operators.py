@@ -157,3 +157,18 @@ def test_rewards_call_python_by_the_batch(spark):
         assert rewards.apply(t, "test_calls", ("g",), "id").agg(F.max("calls")).first()[0] > 100
     finally:
         del rewards.REGISTRY["test_calls"]
+
+
+def test_rollouts_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """A task's rows don't grow with the table: as many tasks as the rows ask for, whole groups in each, and no second deal for what follows."""
+    from tarnfold.plans import base, reports
+
+    want = rows(base.rollouts(spark, sf_dir))
+    monkeypatch.setattr(base, "ROWS", 500)
+    t = base.rollouts(spark, sf_dir)
+    assert rows(t) == want
+    tasks = t.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.collect_set("group_id").alias("g")).collect()
+    assert len(tasks) >= len(want) / 500 / 2 and max(r.n for r in tasks) < 2 * 500 + 50
+    assert sum(len(r.g) for r in tasks) == len({r[0] for r in want})
+    plan = reports.a15(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(group_id" not in plan
