@@ -81,7 +81,7 @@ def json_candidate(c: Column, keys: tuple[str, ...] = (), deep: bool = False) ->
     return _struct(lambda s: jsonmend.parse(s, keys, deep), "value string, source string", c)
 
 
-@F.udtf(returnType="rank int, answer string, source string, place int, last boolean", useArrow=True)
+@F.udtf(returnType="rank int, answer string, source string, place int, last boolean", useArrow=False)
 class AnswerCandidates:
     """Every answer that a text may give, the one to take first: FROM t, LATERAL answer_candidates(text)."""
 
