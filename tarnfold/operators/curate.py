@@ -115,6 +115,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once and read back, for rows that are costly to make and are asked for several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str, target: int) -> DataFrame:
     """The reference's single scan with early stop: rows in hash order; those with a reason go; then later copies of a key; then rows after
     the target-th survivor. Where fewer survive, the scan goes on to the end. Adds `outcome`: selected, duplicate, the reason, or unscanned.

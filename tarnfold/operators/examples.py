@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.judge import SCORES
-from tarnfold.operators.curate import dense_index, hash_order, hash_split
+from tarnfold.operators.curate import dense_index, hash_order, hash_split, kept
 from tarnfold.operators.sampling import chosen_per, oversample, ratios
 
 TEXTS = ("key_strength", "key_weakness", "critical_failure_step")
@@ -75,6 +75,10 @@ def prior_examples(df: DataFrame, tier: str, source: str, held: float = 0.1) ->
 
 def hard_case_examples(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evidence, prior, posterior) hard cases of rows with tags (gates.with_hard_cases). A posterior case is a group with its rollouts."""
+    named = ["group_id", "rollout_id", "problem", *[f"parsed_{s}" for s in ("strategy", "reasoning", "final_answer")], "answer_correctness", *SCORES, "error_type", *TEXTS, "judge_confidence", "suitability", "prior_reason", "risk_flag", "bayesian_reward"]
+    tagged = ["evidence_tags", "prior_tags", "posterior_group_tags", "prior_group_tags"]
+    some = reduce(lambda a, b: a | b, [F.coalesce(F.size(c) > 0, F.lit(False)) for c in tagged if c != "prior_tags"])
+    df = kept(df.where(some).select(*dict.fromkeys([*named, *tagged])), "hard")  # made once for the three
     evidence = evidence_examples(df.where(F.size("evidence_tags") > 0), "hard_case", source)
     prior = prior_examples(df.where(F.size("prior_group_tags") > 0), "hard_case", source)
     rollout = F.struct("rollout_id", "answer_correctness", "bayesian_reward", "evidence_tags")
@@ -88,6 +92,7 @@ def mixture(evidence: DataFrame, prior: DataFrame, weights: dict[str, float], se
     As many rows as use the pool that is scarce for its weight wholly, unless `most` says otherwise. `place` orders the shuffled mixture.
     """
     share = ratios(weights)
+    evidence, prior = (kept(pool.select("example_id"), "pool") for pool in (evidence, prior))  # counts, cuts and passes all read them
     n = {"evidence": evidence.count(), "prior": prior.count()}
     total = most if most is not None else math.ceil(max((n[k] / share[k] for k in n if share.get(k, 0) > 0), default=0))
     wanted = {"evidence": round(total * share["evidence"])}
@@ -131,7 +136,7 @@ def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str
     Without `most`, as many rows as use the pool that is scarcest for its part wholly. A pool is used in whole reshuffled passes and a part of one; all
     pools are sampled in one plan. Adds pass and index, a dense position in the shuffled set. A part that falls to an empty pool is an error.
     """
-    pools = pools.select("task", "bucket", "example_id").distinct()
+    pools = kept(pools.select("task", "bucket", "example_id").distinct(), "pools")
     task_share, share = ratios(weights), ratios(shares)
     sizes = {(r.task, r.bucket): r.n for r in pools.groupBy("task", "bucket").agg(F.count("*").alias("n")).collect()}  # tasks x buckets
     wanted = [sizes[t, b] / max(1e-9, task_share[t] * share[b]) for t in weights for b in shares if sizes.get((t, b)) and share[b] > 0]
