@@ -64,11 +64,12 @@ def bent(target: Column, reason: str, confidence: str, right: Column) -> tuple[C
     return out, first(lambda rule: F.lit(rule.style))
 
 
-def with_learned(df: DataFrame, learned: DataFrame, order: str) -> DataFrame:
-    """Adds `learned`: the last learned row (by `order`) of the record's problem and rollout, null where there is none."""
+def with_learned(df: DataFrame, learned: DataFrame, order: str, tasks: int | None = None) -> DataFrame:
+    """Adds `learned`: the last learned row (by `order`) of the record's problem and rollout, null where there is none. Both sides are dealt to `tasks`, or as the session does."""
     key = lambda: F.concat_ws(":", F.sha2("problem", 256), F.col("rollout_id").cast("string"))
-    last = learned.withColumn("_key", key()).groupBy("_key").agg(F.max_by(F.struct(*learned.columns), order).alias("learned"))
-    return df.withColumn("_key", key()).join(last, "_key", "left").drop("_key")
+    dealt = lambda t: t.repartition(tasks, "_key") if tasks else t
+    last = dealt(learned.withColumn("_key", key())).groupBy("_key").agg(F.max_by(F.struct(*learned.columns), order).alias("learned"))
+    return dealt(df.withColumn("_key", key())).join(last, "_key", "left").drop("_key")
 
 
 def sorted_json(c: Column, names: list[str]) -> Column:

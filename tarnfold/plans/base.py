@@ -29,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS = 1 << 18
 
 
-def dealt(spark: SparkSession, t: DataFrame, key: str) -> DataFrame:
-    """Dealt by key to as many tasks as its rows ask for, so that a task's sorts and hash tables don't grow with the table. What follows by this key, or by more columns, is not dealt again.
+def tasks(spark: SparkSession, t: DataFrame) -> int | None:
+    """How many tasks the rows ask for, but not fewer than the session deals to, as a join would then deal anew; none for a table of a few."""
+    n = -(-t.count() // ROWS)
+    return None if n < 4 else max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    Never to fewer than the session deals to, as a join would then deal anew; a table of a few tasks stays as it is.
-    """
-    tasks = -(-t.count() // ROWS)
-    return t if tasks < 4 else t.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+def dealt(spark: SparkSession, t: DataFrame, key: str) -> DataFrame:
+    """Dealt by key to as many tasks as its rows ask for, so that a task's sorts and hash tables don't grow with the table. What follows by this key, or by more columns, is not dealt again."""
+    n = tasks(spark, t)
+    return t if n is None else t.repartition(n, key)
 
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]

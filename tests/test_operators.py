@@ -172,3 +172,42 @@ def test_rollouts_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
     assert sum(len(r.g) for r in tasks) == len({r[0] for r in want})
     plan = reports.a15(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(group_id" not in plan
+
+
+def test_pools_of_mixtures_are_made_once(spark):
+    """Counting, cutting and passing read what was written; the rows are not made again for each."""
+    from tarnfold.operators import examples as ex
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return True
+
+    pool = lambda n: spark.range(n).where(F.udf(seen, "boolean").asNondeterministic()("id")).select(F.col("id").cast("string").alias("example_id"))
+    assert ex.mixture(pool(300), pool(100), {"evidence": 1.0, "prior": 1.0}, 1).count() == 600
+    assert made.value == 400
+    made.value = 0
+    pools = pool(200).select(F.when(F.col("example_id") % 2 == 0, "evidence").otherwise("prior").alias("task"), F.lit("b").alias("bucket"), "example_id")
+    assert ex.bucket_mixture(pools, {"b": 1.0}, {"evidence": 1.0, "prior": 1.0}, 1)[0].count() == 200
+    assert made.value == 200
+
+
+def test_learned_judgments_are_dealt_to_the_tasks_asked_for(spark):
+    from tarnfold.operators import preferences
+
+    t = spark.range(40).select((F.col("id") % 10).cast("string").alias("problem"), (F.col("id") % 4).cast("int").alias("rollout_id"))
+    learned = t.where("problem < '5'").withColumn("at", F.monotonically_increasing_id())
+    got = preferences.with_learned(t, learned, "at", 9)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert got.rdd.getNumPartitions() == 9
+    assert rows(got) == rows(preferences.with_learned(t, learned, "at"))
+
+
+def test_candidates_are_not_framed_row_by_row(spark):
+    from tarnfold.functions import text
+
+    text.register_functions(spark)
+    spark.createDataFrame([("the answer is 4",)], "t string").createOrReplaceTempView("said")
+    plan = spark.sql("SELECT c.* FROM said, LATERAL answer_candidates(t) c")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" not in plan and "BatchEvalPythonUDTF" in plan
