@@ -28,6 +28,11 @@ def hash_order(seed: int | str, *cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]), 256)
 
 
+def short_order(h: Column) -> Column:
+    """The order of a hexadecimal hash by its first 128 bits, a quarter as long."""
+    return F.unhex(F.substring(h, 1, 32))
+
+
 def hash_uniform(c: Column) -> Column:
     """sha256's first 32 bits over 0xFFFFFFFF."""
     return F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967295.0
@@ -115,11 +120,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+#: Whether the shuffles of an execution go with its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once and read back, for rows that are costly to make and are asked for several times."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Written once and read back, for rows that are costly to make and are asked for several times. The shuffles that made them leave the disk with the write."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
+
+
+def packed(text: Column) -> Column:
+    """A text as bytes, digests in hexadecimal as half of them: these don't compress, so rows that carry them are as long on disk. `unpacked` gives the text."""
+    digest = text.rlike("^[0-9a-f]+$") & (F.length(text) % 2 == 0)
+    return F.when(digest, F.concat(F.lit(b"\x00"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x01"), text.cast("binary")))
+
+
+def unpacked(code: Column) -> Column:
+    rest = F.substring(code, 2, (1 << 31) - 1)
+    return F.when(F.substring(code, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
 
 
 def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str, target: int) -> DataFrame:
@@ -145,19 +171,30 @@ def scan_select(df: DataFrame, reason: Column, key: str, order: Column, tie: str
     return out.withColumn("outcome", state).drop("_f", "_dup", "_last", "_reason")
 
 
-def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """0-based global position by order: range partitions, counts per partition, then positions within; no single-partition window.
+def dense_index(df: DataFrame, order: list[Column], name: str = "idx", without: tuple[str, ...] = ()) -> DataFrame:
+    """0-based global position by order: range partitions, sorted and numbered within, and counts per partition; no single-partition window.
 
-    The dealt rows are written once, with their partition's number, as a second computation of the ranges would draw other bounds.
+    The numbered rows are written once, `without` columns that only ordered them, as a second computation of the ranges would draw other bounds.
     """
-    spark = df.sparkSession
-    path = scratch(spark, "index")
-    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path)
-    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).drop(*without)
+    dealt = kept(local, "index").withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m")
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b")).cast("long")).drop("_p", "_i", "_b")
+    return dealt.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b")).cast("long")).drop("_p", "_i", "_b")
+
+
+def dense_counts(df: DataFrame, index: str, keys: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
+    """(rows by keys and `more`: n; rows by keys: indices, how many different ones there are if they run from 0 without a gap, else null).
+
+    Indices are counted exactly, as bits in blocks of 32768: rows that are written in their order send few blocks, not each index.
+    """
+    block, bit = F.bitmap_bucket_number(F.col(index)).alias("_block"), F.bitmap_bit_position(F.col(index))
+    counted = [F.count("*").alias("_n"), F.min(index).alias("_least"), F.max(index).alias("_most"), F.bitmap_construct_agg(bit).alias("_bits")]
+    blocks = kept(df.groupBy(*keys, *more, block).agg(*counted), "blocks")
+    counts = blocks.groupBy(*keys, *more).agg(F.sum("_n").alias("n"))
+    whole = blocks.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"), F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_d"))
+    dense = whole.groupBy(*keys).agg(F.when((F.min("_least") == 0) & (F.max("_most") == F.sum("_n") - 1), F.sum("_d")).alias("indices"))
+    return counts, dense
 
 
 def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item: str, width: int = 4) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.judge import SCORES
-from tarnfold.operators.curate import dense_index, hash_order, hash_split, kept
+from tarnfold.operators.curate import dense_index, hash_order, hash_split, kept, packed, short_order, unpacked
 from tarnfold.operators.sampling import chosen_per, oversample, ratios
 
 TEXTS = ("key_strength", "key_weakness", "critical_failure_step")
@@ -58,19 +58,36 @@ def provenance(source: str, label: str) -> list[Column]:
     return [F.lit(source).alias("source_file"), F.lit(label).alias("label_source"), F.sha2("problem", 256).alias("problem_key")]
 
 
+def evidence_id() -> Column:
+    """A hash of what an evidence example asks and of its answer."""
+    return F.sha2(F.to_json(F.struct("problem", *[F.coalesce(f"parsed_{s}", F.lit("")).alias(s) for s in ("strategy", "reasoning", "final_answer")], "answer_correctness", evidence_target().alias("target"))), 256)
+
+
+def prior_id() -> Column:
+    """A hash of a group's problem and priors."""
+    return F.sha2(F.to_json(F.struct("problem", "priors")), 256)
+
+
 def evidence_examples(df: DataFrame, tier: str, source: str, held: float = 0.1) -> DataFrame:
     """One per row; its id is a hash of what it asks and of its answer, its split one of its problem."""
-    asked = F.to_json(F.struct("problem", *[F.coalesce(f"parsed_{s}", F.lit("")).alias(s) for s in ("strategy", "reasoning", "final_answer")], "answer_correctness", evidence_target().alias("target")))
     tags = [F.array_sort("evidence_tags").alias("hard_case_tags")] if "evidence_tags" in df.columns else []
-    return df.select(F.sha2(asked, 256).alias("example_id"), F.lit("evidence_judge").alias("task"), hash_split(F.col("problem"), held).alias("split"), F.lit(tier).alias("quality_tier"), *provenance(source, "teacher_trace"), F.struct("group_id", "rollout_id").alias("group_key"), evidence_target().alias("teacher_target"), *tags)
+    return df.select(evidence_id().alias("example_id"), F.lit("evidence_judge").alias("task"), hash_split(F.col("problem"), held).alias("split"), F.lit(tier).alias("quality_tier"), *provenance(source, "teacher_trace"), F.struct("group_id", "rollout_id").alias("group_key"), evidence_target().alias("teacher_target"), *tags)
 
 
 def prior_examples(df: DataFrame, tier: str, source: str, held: float = 0.1) -> DataFrame:
     """One per group."""
     tags = [F.array_sort(F.flatten(F.array(F.first("prior_group_tags"), F.array_distinct(F.flatten(F.collect_list("prior_tags")))))).alias("hard_case_tags")] if "prior_tags" in df.columns else []
     whole = df.groupBy("group_id", "problem").agg(F.count("*").alias("num_rollouts"), prior_targets().alias("priors"), *tags)
-    asked = F.to_json(F.struct("problem", "priors"))
-    return whole.select(F.sha2(asked, 256).alias("example_id"), F.lit("prior_judge").alias("task"), hash_split(F.col("problem"), held).alias("split"), F.lit(tier).alias("quality_tier"), *provenance(source, "teacher_trace"), "group_id", "num_rollouts", "priors", *[F.col("hard_case_tags") for _ in tags])
+    return whole.select(prior_id().alias("example_id"), F.lit("prior_judge").alias("task"), hash_split(F.col("problem"), held).alias("split"), F.lit(tier).alias("quality_tier"), *provenance(source, "teacher_trace"), "group_id", "num_rollouts", "priors", *[F.col("hard_case_tags") for _ in tags])
+
+
+def example_ids(df: DataFrame, good: Column, clean: Column, held: float = 0.1) -> DataFrame:
+    """(group_id, task, example_id, split) of the evidence examples of rows that are `good` and the prior examples of groups that are `clean` (an aggregate), from one pass over the groups."""
+    whole = df.groupBy("group_id", "problem").agg(F.collect_list(F.when(good, evidence_id())).alias("_ids"), prior_targets().alias("priors"), clean.alias("_clean"))
+    one = lambda task, x: F.struct(F.lit(task).alias("task"), x.alias("example_id"))
+    prior = F.when(F.col("_clean"), F.array(one("prior", prior_id()))).otherwise(F.array().cast("array<struct<task:string,example_id:string>>"))
+    each = whole.select("group_id", hash_split(F.col("problem"), held).alias("split"), F.explode(F.concat(F.transform("_ids", lambda x: one("evidence", x)), prior)).alias("_e"))
+    return each.select("group_id", "_e.task", "_e.example_id", "split")
 
 
 def hard_case_examples(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,13 +147,21 @@ def allocate(total: int, shares: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str, float], seed: int, most: int | None = None) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str, float], seed: int, most: int | None = None, near: tuple[str, ...] = ()) -> tuple[DataFrame, dict[tuple[str, str], int]]:
     """(training set, rows allocated) of pools (task, bucket, example_id): tasks by weight, in each the buckets by share. An example counts once in a pool.
 
     Without `most`, as many rows as use the pool that is scarcest for its part wholly. A pool is used in whole reshuffled passes and a part of one; all
     pools are sampled in one plan. Adds pass and index, a dense position in the shuffled set. A part that falls to an empty pool is an error.
+    `near`: columns of the pools that rows of one example share; rows that lie by them aren't dealt anew.
     """
-    pools = kept(pools.select("task", "bucket", "example_id").distinct(), "pools")
+    places, examples, parts = bucket_places(pools, shares, weights, seed, most, near)
+    return places.join(examples.select("row", "example_id"), "row").select("task", "bucket", "example_id", "pass", "index"), parts
+
+
+def bucket_places(pools: DataFrame, shares: dict[str, float], weights: dict[str, float], seed: int, most: int | None = None, near: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, dict[tuple[str, str], int]]:
+    """`bucket_mixture` as places (task, bucket, row, pass, index) and examples (task, bucket, row, example_id), so that a mixture of many passes holds no ids."""
+    pools = pools.select("task", "bucket", packed(F.col("example_id")).alias("_id"), *near).dropDuplicates(["task", "bucket", *near, "_id"])
+    pools = kept(pools.drop(*near).withColumn("row", F.monotonically_increasing_id()), "pools")
     task_share, share = ratios(weights), ratios(shares)
     sizes = {(r.task, r.bucket): r.n for r in pools.groupBy("task", "bucket").agg(F.count("*").alias("n")).collect()}  # tasks x buckets
     wanted = [sizes[t, b] / max(1e-9, task_share[t] * share[b]) for t in weights for b in shares if sizes.get((t, b)) and share[b] > 0]
@@ -153,10 +178,10 @@ def bucket_mixture(pools: DataFrame, shares: dict[str, float], weights: dict[str
     plan = [(f"{t}|{b}", -(-n // sizes[t, b]), n - (-(-n // sizes[t, b]) - 1) * sizes[t, b]) for (t, b), n in parts.items() if n > 0]
     quotas = pools.sparkSession.createDataFrame(plan, "_pool string, _passes int, quota long")
     each = pools.withColumn("_pool", key).join(F.broadcast(quotas.drop("quota")), "_pool")
-    each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
-    each = each.withColumn("_h", hash_order(seed, F.col("task"), F.col("bucket"), F.col("pass"), F.col("example_id")))
-    last = F.col("pass") == F.col("_passes") - 1
-    cut = chosen_per(each.where(last), quotas.drop("_passes"), "_pool", "_h", "example_id").where("_chosen").drop("_chosen")
-    used = each.where(~last).unionByName(cut).drop("_passes", "_pool")
-    order = hash_order(seed, F.lit("place"), F.col("task"), F.col("bucket"), F.col("pass"), F.col("example_id"))
-    return dense_index(used.withColumn("_place", order), [F.col("_place")], "index").drop("_place", "_h"), parts
+    whole = each.where("_passes > 1").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 2)))
+    last = each.withColumn("pass", F.col("_passes") - 1).withColumn("_h", hash_order(seed, F.col("task"), F.col("bucket"), F.col("pass"), unpacked(F.col("_id"))))
+    cut = chosen_per(last, quotas.drop("_passes"), "_pool", "_h", "_id").where("_chosen")
+    order = short_order(hash_order(seed, F.lit("place"), F.col("task"), F.col("bucket"), F.col("pass"), unpacked(F.col("_id"))))
+    columns = ["task", "bucket", "row", "pass", order.alias("_o")]
+    places = dense_index(whole.select(columns).unionByName(cut.select(columns)), [F.col("_o")], "index", ("_o",))
+    return places, pools.select("task", "bucket", "row", unpacked(F.col("_id")).alias("example_id")), parts
