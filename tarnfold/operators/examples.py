@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions.judge import SCORES
 from tarnfold.operators.curate import dense_index, hash_order, hash_split, kept, packed, short_order, unpacked
-from tarnfold.operators.sampling import chosen_per, oversample, ratios
+from tarnfold.operators.sampling import chosen_per, copies, passes, ratios
 
 TEXTS = ("key_strength", "key_weakness", "critical_failure_step")
 
@@ -108,33 +108,60 @@ def mixture(evidence: DataFrame, prior: DataFrame, weights: dict[str, float], se
 
     As many rows as use the pool that is scarce for its weight wholly, unless `most` says otherwise. `place` orders the shuffled mixture.
     """
+    pools = evidence.select(F.lit("evidence").alias("task"), "example_id").unionByName(prior.select(F.lit("prior").alias("task"), "example_id"))
+    pools = _numbered(pools.withColumn("source", F.lit(None).cast("string")))  # counts, cuts and passes all read it
+    out = _mixed(pools, weights, seed, most)
+    return out.select(_example().alias("example_id"), "pass", "instance", "task", _place(seed).alias("place"))
+
+
+def _numbered(pools: DataFrame, near: tuple[str, ...] = ()) -> DataFrame:
+    """Pools (task, source, example_id, others) as a table with short ids, numbered copies and rows."""
+    ids = copies(pools.withColumn("_id", packed(F.col("example_id"))), ["task", "source", "_id"], near)
+    return kept(ids.drop("example_id", *near).withColumn("row", F.monotonically_increasing_id()), "pools")
+
+
+def _example() -> Column:
+    return unpacked(F.col("_id"))
+
+
+def _place(seed: int) -> Column:
+    """An example of two sources is two."""
+    return hash_order(seed, F.col("task"), F.concat_ws("|", "source", _example()), F.col("instance"))
+
+
+def _mixed(pools: DataFrame, weights: dict[str, float], seed: int, most: int | None) -> DataFrame:
+    """(task, source, _id, row, pass, instance) of numbered pools: what `mixture` says, without the order."""
     share = ratios(weights)
-    evidence, prior = (kept(pool.select("example_id"), "pool") for pool in (evidence, prior))  # counts, cuts and passes all read them
-    n = {"evidence": evidence.count(), "prior": prior.count()}
+    counts = {r.task: r.n for r in pools.groupBy("task").agg(F.count("*").alias("n")).collect()}  # two tasks
+    n = {k: counts.get(k, 0) for k in ("evidence", "prior")}
     total = most if most is not None else math.ceil(max((n[k] / share[k] for k in n if share.get(k, 0) > 0), default=0))
     wanted = {"evidence": round(total * share["evidence"])}
     wanted["prior"] = total - wanted["evidence"]
-    parts = [oversample(pool.select("example_id"), wanted[k], seed, "example_id", rows=n[k]).withColumn("task", F.lit(k)) for k, pool in (("evidence", evidence), ("prior", prior))]
-    both = parts[0].unionByName(parts[1])
-    return both.withColumn("place", hash_order(seed, F.col("task"), F.col("example_id"), F.col("instance")))
+    columns = ["task", "source", "_id", "row", "_copies", "_copy"]
+    parts = [passes(pools.where(F.col("task") == k).select(columns), wanted[k], seed, F.concat_ws("|", "source", _example()), n[k], "source", "_id") for k in n]
+    return parts[0].unionByName(parts[1])
 
 
-def assemble(train: dict[str, list[tuple[str, DataFrame]]], held: dict[str, list[tuple[str, DataFrame]]], weights: dict[str, float], seed: int, most: int | None = None) -> DataFrame:
-    """A mixture of several sources per task, with its validation set: task, source, example_id, split (train or val), index.
+def assemble(pools: DataFrame, sources: list[str], weights: dict[str, float], seed: int, most: int | None = None, near: tuple[str, ...] = ()) -> DataFrame:
+    """A mixture of several sources per task, with its validation set, of pools (task, source, split, example_id): task, source, example_id, split (train or val), index.
 
     Sources of a task are one pool, in which an example of two sources is two. Training rows are indexed in the shuffled mixture's order; validation is the
-    plain union, indexed by task and source.
+    plain union, indexed by task and source, in the order of `sources`. `near`: columns of the pools that rows of one example share; they lie by these.
     """
-    pool = lambda parts: reduce(DataFrame.unionByName, [df.select(F.lit(source).alias("source"), "example_id") for source, df in parts])
-    key = F.concat_ws("|", "source", "example_id")
-    mixed = mixture(*[pool(train[k]).select(key.alias("example_id")) for k in ("evidence", "prior")], weights, seed, most)
-    mixed = dense_index(mixed, [F.col("place"), F.col("task")], "index").withColumn("split", F.lit("train"))
-    mixed = mixed.select("task", F.substring_index("example_id", "|", 1).alias("source"), F.substring_index("example_id", "|", -1).alias("example_id"), "split", "index")
-    order = {source: i for i, source in enumerate(dict.fromkeys(source for parts in held.values() for source, _ in parts))}
-    place = reduce(lambda c, kv: F.when(F.col("source") == kv[0], kv[1]).otherwise(c), order.items(), F.lit(len(order)))
-    kept = pool(held["evidence"]).withColumn("task", F.lit("evidence")).unionByName(pool(held["prior"]).withColumn("task", F.lit("prior")))
-    kept = dense_index(kept.withColumn("_place", place), [F.col("task"), F.col("_place"), F.col("example_id")], "index").withColumn("split", F.lit("val"))
-    return mixed.unionByName(kept.select(mixed.columns))
+    places, examples = assembled(pools, sources, weights, seed, most, near)
+    return places.join(examples, "row").select("task", "source", "example_id", "split", "index")
+
+
+def assembled(pools: DataFrame, sources: list[str], weights: dict[str, float], seed: int, most: int | None = None, near: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """`assemble` as places (task, source, split, row, index) and examples (row, example_id), so that a mixture of many passes holds no ids."""
+    pools = _numbered(pools.select("task", "source", "split", "example_id", *near), near)
+    mixed = _mixed(pools.where(F.col("split") == "train"), weights, seed, most)
+    mixed = dense_index(mixed.select("task", "source", "row", short_order(_place(seed)).alias("_o")), [F.col("_o"), F.col("task")], "index", ("_o",))
+    rank = reduce(lambda c, kv: F.when(F.col("source") == kv[1], kv[0]).otherwise(c), enumerate(sources), F.lit(len(sources)))
+    held = pools.where(F.col("split") == "val").select("task", "source", "row", _example().alias("_e"))
+    held = dense_index(held, [F.col("task"), rank, F.col("_e")], "index", ("_e",))
+    both = mixed.withColumn("split", F.lit("train")).unionByName(held.withColumn("split", F.lit("val")))
+    return both.select("task", "source", "split", "row", "index"), pools.select("row", _example().alias("example_id"))
 
 
 def allocate(total: int, shares: dict[str, float]) -> dict[str, int]:
@@ -179,9 +206,9 @@ def bucket_places(pools: DataFrame, shares: dict[str, float], weights: dict[str,
     quotas = pools.sparkSession.createDataFrame(plan, "_pool string, _passes int, quota long")
     each = pools.withColumn("_pool", key).join(F.broadcast(quotas.drop("quota")), "_pool")
     whole = each.where("_passes > 1").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 2)))
-    last = each.withColumn("pass", F.col("_passes") - 1).withColumn("_h", hash_order(seed, F.col("task"), F.col("bucket"), F.col("pass"), unpacked(F.col("_id"))))
+    last = each.withColumn("pass", F.col("_passes") - 1).withColumn("_h", hash_order(seed, F.col("task"), F.col("bucket"), F.col("pass"), _example()))
     cut = chosen_per(last, quotas.drop("_passes"), "_pool", "_h", "_id").where("_chosen")
-    order = short_order(hash_order(seed, F.lit("place"), F.col("task"), F.col("bucket"), F.col("pass"), unpacked(F.col("_id"))))
+    order = short_order(hash_order(seed, F.lit("place"), F.col("task"), F.col("bucket"), F.col("pass"), _example()))
     columns = ["task", "bucket", "row", "pass", order.alias("_o")]
     places = dense_index(whole.select(columns).unionByName(cut.select(columns)), [F.col("_o")], "index", ("_o",))
-    return places, pools.select("task", "bucket", "row", unpacked(F.col("_id")).alias("example_id")), parts
+    return places, pools.select("task", "bucket", "row", _example().alias("example_id")), parts

@@ -107,17 +107,29 @@ def rebalance(a: int, b: int, share_of_a: float) -> tuple[int, int]:
     return min(a, round(total * share_of_a)), min(b, round(total * (1 - share_of_a)))
 
 
+def copies(df: DataFrame, ident: list[str], near: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _copies, how many rows have the same identity, and _copy, which of them a row is. `near`: columns that these rows share too; rows that lie by them aren't dealt anew."""
+    w = Window.partitionBy(*near, *ident)
+    return df.withColumns({"_copies": F.count(F.lit(1)).over(w), "_copy": F.row_number().over(w.orderBy(*ident)) - 1})
+
+
 def oversample(df: DataFrame, n: int, seed: int | str, ident: str, rows: int | None = None) -> DataFrame:
     """Reshuffled whole passes until n rows: adds pass and instance. Passes are known from one count."""
     size = df.count() if rows is None else rows
+    return passes(copies(df, [ident]), n, seed, F.col(ident), size, ident)
+
+
+def passes(df: DataFrame, n: int, seed: int | str, ident: Column, size: int, *ties: str) -> DataFrame:
+    """`oversample` of `size` rows whose copies are numbered. A pass takes each copy once, its last part the first ones, so instances follow and no row of a pass is dealt."""
     if not size or n <= 0:
-        return df.withColumns({"pass": F.lit(0), "instance": F.lit(0).cast("long")}).limit(0)
+        return df.drop("_copies", "_copy").withColumns({"pass": F.lit(0), "instance": F.lit(0).cast("long")}).limit(0)
     whole = math.ceil(n / size)
-    each = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))))
-    each = each.withColumn("_h", hash_order(seed, F.col("pass"), F.col(ident)))
-    certain, edge = first_n(each.where(F.col("pass") == whole - 1), n - (whole - 1) * size, "_h", ident)
-    out = each.where(F.col("pass") < whole - 1).union(certain).union(edge)
-    return out.withColumn("instance", (F.row_number().over(Window.partitionBy(ident).orderBy("pass")) - 1).cast("long")).drop("_h")
+    last = df.withColumns({"pass": F.lit(whole - 1), "_h": hash_order(seed, F.lit(whole - 1), ident)})
+    certain, edge = first_n(last, n - (whole - 1) * size, "_h", *ties, "_copy")
+    out = certain.union(edge).drop("_h")
+    if whole > 1:
+        out = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(whole - 2)))).union(out)
+    return out.withColumn("instance", (F.col("pass") * F.col("_copies") + F.col("_copy")).cast("long")).drop("_copies", "_copy")
 
 
 def mixture_size(counts: dict[str, int], shares: dict[str, float]) -> int:

@@ -1,5 +1,6 @@
 """Mixtures of examples hold ids once on disk, as bytes; the parts they are made of against plain ways."""
 
+import hashlib
 import time
 import uuid
 from collections import Counter
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.operators import curate, sampling
+from tarnfold.plans import registry
 
 
 def on_disk(path):
@@ -39,6 +41,34 @@ def test_bucket_mixture_holds_ids_once_on_disk(spark, tables):
     assert order == sorted(order)
 
 
+def test_assembled_mixture_holds_ids_once_on_disk(spark, tables):
+    from tarnfold.operators import examples as ex
+
+    n, uses = 20_000, 4
+    pools = spark.range(n).select(F.when(F.col("id") % 2 == 0, "evidence").otherwise("prior").alias("task"), F.when(F.col("id") % 3 == 0, "a").otherwise("c").alias("source"), F.when(F.col("id") % 10 < 8, "train").otherwise("val").alias("split"), F.sha2(F.col("id").cast("string"), 256).alias("example_id"))
+    t = ex.assemble(pools, ["c", "a"], {"evidence": 1.0, "prior": 1.0}, 1, uses * n)
+    assert on_disk(tables) < 44 * n + 20 * (uses * n + n // 5)
+    val = [(r.task, r.source, r.example_id) for r in t.where("split = 'val'").orderBy("index").collect()]
+    assert val == sorted(((r.task, r.source, r.example_id) for r in pools.where("split = 'val'").collect()), key=lambda r: (r[0], "ca".index(r[1]), r[2]))
+    train = t.where("split = 'train'")
+    assert sorted(r["index"] for r in train.select("index").collect()) == list(range(uses * n))
+    assert {r["n"] for r in train.groupBy("task", "source", "example_id").agg(F.count("*").alias("n")).collect()} == {5}
+    assert train.join(pools.where("split = 'train'"), ["task", "source", "example_id"], "left_anti").count() == 0
+
+
+def test_copies_in_passes(spark):
+    """Copies of an example are used one by one; the last, partial pass takes the first of them in the order of its hashes."""
+    names = ["a", "a", "a", "b", "c", "c", "d|x", "00ff", None]
+    t = spark.createDataFrame([(x,) for x in names], "id string")
+    got = sampling.oversample(t, 22, 5, "id").collect()
+    h = {(p, x): hashlib.sha256("|".join(["5", str(p), *([x] if x is not None else [])]).encode()).hexdigest() for p in range(3) for x in set(names)}
+    third = sorted(names, key=lambda x: h[2, x])[:4]
+    want = Counter(names + names + third)
+    assert Counter(r.id for r in got) == want
+    assert sorted((r.id or "", r.instance) for r in got) == sorted((x or "", i) for x, k in want.items() for i in range(k))
+    assert Counter(r.id for r in got if r["pass"] == 2) == Counter(third)
+
+
 def test_packed_texts(spark):
     texts = ["ab", "abc", "AB", "", "00ff" * 16, "x|日本", None, "12", "ab" * 100_000, "ab\n"]
     t = spark.createDataFrame(list(enumerate(texts)), "i int, x string").withColumn("p", curate.packed(F.col("x")))
@@ -64,3 +94,10 @@ def test_kept_rows_leave_no_shuffle(spark, tables):
         time.sleep(0.1)
     assert known() <= before and spark.conf.get(curate.CLEANUP) == was
     assert t.count() == 7
+
+
+@pytest.mark.parametrize("name", ["l14_bucket_mixture", "l14_sources"])
+def test_tables_of_mixture_queries(name, spark, sf_dir, tables):
+    """Short against the rollouts that they are made of."""
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
+    assert on_disk(tables) < 80 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
